@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..functions.text import empty_strings, extract_all, java_regex, once, rule_regex
+from ..functions.text import empty_strings, extract_all, java_regex, once, over, rule_regex
 
 MAPPINGS_TYPE = "array<struct<token:string,original:string>>"
 
@@ -45,23 +45,20 @@ def _context_regex(rule: R.PiiRule) -> str:
     return f"((?={body}){_near(rule.context, R.CONTEXT_WINDOW)}{body})|{body}"
 
 
-def _numbered(token: str, number: Column) -> Column:
-    return F.concat(F.lit(f"[{token}_"), number.cast("string"), F.lit("]"))
-
-
 def _pieces(text: Column, regex: str, mark: Column) -> Column:
     """The text between the matches.  Splitting at a single character avoids compiling the regex for every row."""
     return F.split(F.regexp_replace(text, F.lit(regex), mark), mark, -1)
 
 
-def _join_numbered(pieces: Column, token: str, offset: Column) -> Column:
-    return F.concat_ws("", F.transform(
-        pieces, lambda x, i: F.when(i == 0, x).otherwise(F.concat(_numbered(token, i + offset), x))))
+def _join_numbered(pieces: Column, token: str, offset: str) -> Column:
+    """Pieces joined by ``[token_1]``, ``[token_2]``, ...; ``offset`` counts tokens of earlier rules with this name."""
+    lead = f"(x, i) -> if(i = 0, x, concat('[{token}_', i + {offset}, ']', x))"
+    return F.array_join(over("transform", pieces, lead), "")
 
 
 def _interleave(separators: Column, pieces: Column) -> Column:
     lead = F.concat(F.array(F.lit("")), separators)
-    return F.concat_ws("", F.zip_with(lead, pieces, lambda s, x: F.concat(s, x)))
+    return F.array_join(over("zip_with", lead, pieces, "(s, x) -> concat(s, x)"), "")
 
 
 def _applies(rule: R.PiiRule, lowered: Column) -> Column:
@@ -79,13 +76,13 @@ def redact(
     rules: Sequence[R.PiiRule] = R.PII_RULES,
     redacted: str = "content_redacted",
     mappings: str = "mappings",
-    pseudonym: dict[str, Column] | None = None,
+    pseudonym: dict[str, str] | None = None,
 ) -> DataFrame:
     """Add ``redacted``, ``mappings`` (token and original, in order of replacement) and ``token_collision``.
 
     ``token_collision`` tells that the input already held text that looks like a token, so restoring is ambiguous.
-    ``pseudonym`` maps a category to a column function of the match (see ``governance.pseudonymize``); such matches are
-    replaced by its value instead of a numbered token and leave no mapping.
+    ``pseudonym`` maps a category to an SQL expression of the match ``x`` (see ``governance.pseudonymize``); such matches
+    are replaced by its value instead of a numbered token and leave no mapping.
     """
     pseudonym = pseudonym or {}
     kept = df.columns
@@ -95,41 +92,34 @@ def redact(
         *kept, "_text", _unused_mark(F.col("_text")).alias("_mark"),
         *[_applies(r, F.col("_lower")).alias(f"_try{i}") for i, r in enumerate(rules)])
 
-    current, mark = F.col("_text"), F.col("_mark")
-    numbered: list[tuple[str, str, Column]] = []
+    current, mark, none = F.col("_text"), F.col("_mark"), empty_strings()
+    numbered: list[tuple[str, str, str]] = []
     for i, rule in enumerate(rules):
         found, regex = f"_found{i}", rule_regex(rule)
-        offset = F.lit(0)
-        for token, earlier, _ in numbered:
-            if token == rule.token:
-                offset = offset + F.size(earlier)
+        offset = " + ".join(["0", *[f"size({f})" for token, f, _ in numbered if token == rule.token]])
         if rule.context:
             words = "|".join(re.escape(w) for w in rule.context)
-            try_it = F.col(f"_try{i}") & F.rlike(current, F.lit(f"(?iu){words}"))
             whole = _context_regex(rule)
-            state = state.withColumn("_all", F.when(try_it, extract_all(current, whole)).otherwise(empty_strings()))
-            state = state.withColumn("_ok", F.when(F.size("_all") > 0, extract_all(current, whole, 1))
-                                     .otherwise(empty_strings()))
-            state = state.withColumn(found, F.filter("_ok", lambda x: x != ""))
-            cuts = F.zip_with("_all", "_ok", lambda m, ok: F.when(ok != "", mark).otherwise(m))
+            try_it = F.col(f"_try{i}") & F.rlike(current, F.lit(f"(?iu){words}"))
+            state = state.withColumn("_all", F.when(try_it, extract_all(current, whole)).otherwise(none))
+            state = state.withColumn("_ok", F.when(F.size("_all") > 0, extract_all(current, whole, 1)).otherwise(none))
+            state = state.withColumn(found, F.array_remove("_ok", ""))
+            cuts = over("zip_with", F.col("_all"), F.col("_ok"), "(m, ok) -> if(ok != '', _mark, m)")
             pieces = F.split(_interleave(cuts, _pieces(current, regex, mark)), mark, -1)
         else:
-            state = state.withColumn(
-                found, F.when(F.col(f"_try{i}"), extract_all(current, regex)).otherwise(empty_strings()))
+            state = state.withColumn(found, F.when(F.col(f"_try{i}"), extract_all(current, regex)).otherwise(none))
             pieces = _pieces(current, regex, mark)
         if rule.category in pseudonym:
-            rebuilt = _interleave(F.transform(found, pseudonym[rule.category]), pieces)
+            rebuilt = _interleave(over("transform", F.col(found), f"x -> {pseudonym[rule.category]}"), pieces)
         else:
             rebuilt = _join_numbered(pieces, rule.token, offset)
             numbered.append((rule.token, found, offset))
         state = state.withColumn("_text", F.when(F.size(found) > 0, rebuilt).otherwise(current))
 
-    def entries(token: str, found: str, offset: Column) -> Column:
-        return F.transform(found, lambda x, i: F.struct(
-            _numbered(token, i + 1 + offset).alias("token"), x.alias("original")))
-
-    none = F.array().cast(MAPPINGS_TYPE)
-    collected = F.concat(none, *[entries(*n) for n in numbered])
+    entries = [over("transform", F.col(found),
+                    f"(x, i) -> struct(concat('[{token}_', i + 1 + {offset}, ']') as token, x as original)")
+               for token, found, offset in numbered]
+    collected = F.concat(F.array().cast(MAPPINGS_TYPE), *entries)
     collision = F.contains(F.col(text), F.lit("[")) & F.rlike(F.col(text), F.lit(any_token_regex(rules)))
     return once(state, kept, **{
         redacted: current,

@@ -341,3 +341,104 @@ top AS (SELECT tag, count(*) AS n, min(first_seq * 100 + pos) AS f FROM each_tag
 SELECT (SELECT count(*) FROM cur) AS total_cases, (SELECT count(DISTINCT case_id) FROM vault) AS cases_with_pii,
   string_agg(tag || '=' || CAST(n AS VARCHAR), '|' ORDER BY n DESC, f) AS top_tags FROM top"""
 ORACLES["flagship"] = f"{WITH_CASES},\n{_found(Q.SEARCH_PHRASE, 10)}\nSELECT first_seq AS pos, {CONTEXT} FROM found"
+
+# Governance, stores, streams ----------------------------------------------------------------------------------------
+
+
+def _hmac(value: str) -> str:
+    """HMAC-SHA256 in hex, from the hash function alone; the padded keys are constants."""
+    key = bytes.fromhex(Q.DEMO_SECRET).ljust(64, b"\0")
+    inner = "".join(f"\\x{b ^ 0x36:02X}" for b in key)
+    outer = "".join(f"\\x{b ^ 0x5C:02X}" for b in key)
+    return f"sha256('{outer}'::BLOB || unhex(sha256('{inner}'::BLOB || encode({value}))))"
+
+
+def _hash_step(rule, i: int, source: str) -> str:
+    name = f"'__{rule.token}_' || upper(substr({_hmac('a[k - 1]')}, 1, 16)) || '__'"
+    return f"""r{i} AS MATERIALIZED (
+  SELECT * EXCLUDE (t, a, sp), CAST([] AS VARCHAR[]) AS m{i}, array_to_string(list_transform(sp, lambda x, k:
+      CASE WHEN k = 1 THEN x ELSE {name} || x END), '') AS t
+  FROM (SELECT *, regexp_extract_all(t, {regex(rule)}) AS a, string_split_regex(t, {regex(rule)}) AS sp
+        FROM {source}))"""
+
+
+def policy_redaction(rules, hashed: set[str]) -> str:
+    steps, before = ["start AS (SELECT *, content AS t FROM raw)"], "start"
+    for i, rule in enumerate(rules):
+        steps.append((_hash_step if rule.category in hashed else _plain_step)(rule, i, before))
+        before = f"r{i}"
+    return ",\n".join(steps)
+
+
+_LAST = f"r{len(R.PII_RULES) - 1}"
+ORACLES["pseudonymize"] = (f"WITH {LEAD},\n{policy_redaction(R.PII_RULES, {r.category for r in R.PII_RULES})}\n"
+                           f"SELECT ingest_seq, t AS content_redacted FROM {_LAST}")
+
+_CHOSEN = {r.category: Q.DEMO_POLICY.get(r.category, Q.CategoryRule()) for r in R.PII_RULES}
+_ACTIVE = [r for r in R.PII_RULES if _CHOSEN[r.category].redact != "none"]
+_KEPT = "[]"
+for _i, _r in enumerate(_ACTIVE):
+    if _CHOSEN[_r.category].reversible:
+        _KEPT = (f"list_concat({_KEPT}, list_transform(m{_i}, lambda x, k: '[{_r.token}_' || CAST(k AS VARCHAR) || "
+                 f"']=' || x))")
+_DENIED = "|".join(r.token for r in R.PII_RULES if _CHOSEN[r.category].export == "deny")
+ORACLES["policy_rules"] = f"""WITH {LEAD},
+{policy_redaction(_ACTIVE, {c for c, p in _CHOSEN.items() if p.redact == 'hash'})}
+SELECT ingest_seq, t AS content_redacted, {joined(_KEPT)} AS mappings,
+  regexp_replace(t, '\\[(?:{_DENIED})_\\d+\\]|__(?:{_DENIED})_[0-9A-F]+__', '', 'g') AS outbound
+FROM r{len(_ACTIVE) - 1}"""
+
+
+def _pack_counts(rules, profile: str) -> str:
+    """Tokens per category as columns of the last step, unpivoted; ``rules`` run in their own CTE scope."""
+    sums = " UNION ALL ".join(f"SELECT '{profile}' AS profile, '{r.category}' AS category, "
+                              f"CAST(sum(len(m{i})) AS BIGINT) AS tokens FROM {{last}}" for i, r in enumerate(rules))
+    last = f"r{len(rules) - 1}"
+    steps, before = ["start AS (SELECT *, content AS t FROM raw)"], "start"
+    for i, rule in enumerate(rules):
+        steps.append(_plain_step(rule, i, before))
+        before = f"r{i}"
+    return f"(WITH {LEAD},\n" + ",\n".join(steps) + "\nSELECT * FROM (" + sums.format(last=last) + ") WHERE tokens > 0)"
+
+
+ORACLES["policy_check"] = (f"SELECT * FROM {_pack_counts(R.PII_RULES, 'default')} UNION ALL "
+                           f"SELECT * FROM {_pack_counts(R.PII_RULES_EXTENDED, 'extended')}")
+ORACLES["assert_no_pii"] = f"WITH {LEAD}\n" + " UNION ALL ".join(
+    f"SELECT '{r.category}' AS category, count(*) FILTER (WHERE regexp_matches(content, {regex(r)})) AS rows FROM raw"
+    for r in R.PII_RULES)
+ORACLES["audit_rows"] = f"""{WITH_RED}
+SELECT {case_id('content')} AS case_id, ingest_seq, 'ingest' AS operation, 'strict' AS profile,
+  CAST(len(mappings) AS BIGINT) AS tokens, NOT ({' OR '.join(f'regexp_matches(t, {regex(r)})' for r in R.PII_RULES)})
+  AS pii_free FROM red"""
+_WORDS = f"list_filter(string_split_regex(t, '[{SPACE}]+'), lambda x: x <> '')"
+ORACLES["fingerprint"] = f"""{WITH_RED},
+words AS (SELECT ingest_seq, unnest(w) AS x, generate_subscripts(w, 1) AS pos
+  FROM (SELECT ingest_seq, {_WORDS} AS w FROM red)),
+firsts AS (SELECT ingest_seq, x, min(pos) AS pos FROM words GROUP BY ingest_seq, x)
+SELECT CAST(ingest_seq AS VARCHAR) AS case_id,
+  string_agg(substr(sha256(x), 1, {16}), '|' ORDER BY pos) AS fingerprint FROM firsts GROUP BY ingest_seq"""
+ORACLES["linked_items"] = f"""WITH {LEAD}
+SELECT DISTINCT {case_id('content')} AS case_id,
+  unnest(regexp_extract_all(content, {text(re2(R.LINKED_ITEM_PATTERN))}, 1)) AS item_id FROM raw"""
+ORACLES["entities"] = f"WITH {LEAD},\n{IDS}\n" + " UNION ALL ".join(
+    f"SELECT DISTINCT case_id, '{r.name}' AS kind, unnest(regexp_extract_all(content, {regex(r)})) AS value FROM ids"
+    for r in R.ENTITY_RULES)
+ORACLES["vault_roundtrip"] = (f"{WITH_RED},\n{VAULT}\n"
+                              f"SELECT case_id, ingest_seq, {FLAT_MAPPINGS} AS mappings FROM vault")
+ORACLES["vault_transfer"] = ORACLES["current_vault"]
+ORACLES["encrypt_cbc"] = _raw_query("content")
+ORACLES["case_store"] = ORACLES["current_cases"]
+ORACLES["case_store_json"] = f"""{WITH_CASES}
+SELECT case_id, summary, {joined('symptoms')} AS symptoms, environment, {joined('error_patterns')} AS error_patterns,
+  {joined('tags')} AS tags, content_redacted, word_count FROM cur"""
+
+_ARRIVED = "SELECT source, doc_id AS ingest_seq, 'Support note: ' || text AS content FROM documents"
+ORACLES["stream_ingest"] = f"""WITH raw AS MATERIALIZED (SELECT min(source) AS source, min(ingest_seq) AS ingest_seq,
+  content FROM ({_ARRIVED}) WHERE length(content) >= {R.MIN_CONTENT_LENGTH} GROUP BY content),
+{redaction()}
+SELECT ingest_seq, md5(content) AS content_md5, t AS content_redacted, {word_count('content')} AS word_count FROM red"""
+ORACLES["stream_dedupe"] = f"SELECT DISTINCT md5(content) AS content_md5 FROM ({_ARRIVED})"
+ORACLES["stream_changed"] = f"SELECT event_id, user_id FROM ({ORACLES['changed_only']})"
+ORACLES["stream_tag_counts"] = f"""WITH {LEAD},
+tagged AS (SELECT 1704067200 + ingest_seq AS s, unnest({tag_list('content')}) AS tag FROM raw)
+SELECT CAST(s - s % 600 AS BIGINT) AS start, tag, count(*) AS count FROM tagged GROUP BY ALL"""

@@ -11,12 +11,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules as R
+from ..functions import crypto
 from ..functions import fields as X
-from ..functions.text import word_count
+from ..functions.text import lines, trimmed_lines, word_count
 from ..operators import cases as C
 from ..operators import context as K
-from ..operators import logs, parse, redact, search, stats
-from .corpus import raw_cases, table
+from ..operators import governance, logs, parse, redact, search, stats
+from ..policy import TRUSTED, CategoryRule
+from ..session import shared_folder, spread
+from ..sources.store import export_case_store_json, read_case_store, read_case_store_json, write_case_store
+from ..sources.vault import merge, read_vault, transfer, unseal, write_vault
+from ..streaming import rollups, stateful
+from ..streaming.monitor import Target, dedupe_seen, monitor
+from .corpus import COLUMNS, raw_cases, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,13 +79,11 @@ def _field(spark: SparkSession, sf_dir: str, name: str, value: Callable[[Column]
 
 @query
 def parse_lines(spark, sf_dir):
-    from ..functions.text import lines
     return _field(spark, sf_dir, "lines", lambda c: joined(lines(c)))
 
 
 @query
 def parse_summary(spark, sf_dir):
-    from ..functions.text import trimmed_lines
     return _field(spark, sf_dir, "summary", lambda c: X.summary(trimmed_lines(c)))
 
 
@@ -100,7 +105,6 @@ def parse_symptoms(spark, sf_dir):
 
 @query
 def parse_errors(spark, sf_dir):
-    from ..functions.text import trimmed_lines
     return _field(spark, sf_dir, "error_patterns", lambda c: joined(X.error_patterns(trimmed_lines(c))))
 
 
@@ -133,7 +137,7 @@ def detect_case_ids(spark, sf_dir):
 @query
 def valid_content(spark, sf_dir):
     """On the bare texts, most of which are not case content."""
-    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    texts = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return texts.filter(X.is_case_content(F.col("text"))).select("doc_id")
 
 
@@ -300,7 +304,6 @@ def case_with_vault(spark, sf_dir):
 @query
 def get_full(spark, sf_dir):
     """Restored current cases under the trusted profile, for a table of requests."""
-    from ..policy import TRUSTED
     return K.get_full(current(spark, sf_dir), vault_history(spark, sf_dir),
                       _requested(spark, sf_dir).select("case_id"), TRUSTED).select(
         "case_id", "ingest_seq", "content_full")
@@ -425,3 +428,187 @@ def store_stats(spark, sf_dir):
 def flagship(spark, sf_dir):
     """Ingest, redact, keep the current version, search, export contexts."""
     return _flat_context(_found_rows(spark, sf_dir).withColumn("pos", F.col("pos.first_seq")))
+
+
+# Governance ------------------------------------------------------------------------------------------------------
+
+DEMO_SECRET = "00112233445566778899aabbccddeeff"
+DEMO_KEYS = {"team": "0f" * 32, "other": "a5" * 32}
+DEMO_POLICY = {
+    "EMAIL": CategoryRule(),
+    "SUBSCRIPTION_ID": CategoryRule(redact="hash", reversible=False, export="deny"),
+    "GUID": CategoryRule(reversible=False),
+    "PHONE": CategoryRule(redact="none"),
+    "VM_NAME": CategoryRule(export="deny"),
+}
+
+
+@query
+def pseudonymize(spark, sf_dir):
+    pads = governance.pad_table(spark, team=DEMO_SECRET)
+    return governance.pseudonymize(raw_cases(spark, sf_dir), pads, "team").select("ingest_seq", "content_redacted")
+
+
+@query
+def policy_rules(spark, sf_dir):
+    pads = governance.pad_table(spark, team=DEMO_SECRET)
+    done = governance.apply_policy(raw_cases(spark, sf_dir), DEMO_POLICY, pads, "team")
+    return done.select("ingest_seq", "content_redacted", flat_mappings("mappings").alias("mappings"),
+                       governance.outbound_text(F.col("content_redacted"), DEMO_POLICY).alias("outbound"))
+
+
+@query
+def policy_check(spark, sf_dir):
+    return governance.policy_check(raw_cases(spark, sf_dir),
+                                   {"default": R.PII_RULES, "extended": R.PII_RULES_EXTENDED})
+
+
+@query
+def assert_no_pii(spark, sf_dir):
+    """Rows per category in which a pattern matches, on the unredacted texts."""
+    return governance.pii_matches(raw_cases(spark, sf_dir), "content")
+
+
+@query
+def audit_rows(spark, sf_dir):
+    rows = governance.audit_rows(ingested(spark, sf_dir), governance.Operation("ingest", "strict"))
+    return rows.select("case_id", "ingest_seq", "operation", "profile", F.col("tokens").cast("long").alias("tokens"),
+                       "pii_free")
+
+
+@query
+def fingerprint(spark, sf_dir):
+    rows = redact.redact(raw_cases(spark, sf_dir)).select(
+        F.col("ingest_seq").cast("string").alias("case_id"), "content_redacted")
+    return governance.export_mode(rows, "fingerprint").select("case_id", joined("fingerprint").alias("fingerprint"))
+
+
+@query
+def linked_items(spark, sf_dir):
+    raw = raw_cases(spark, sf_dir)
+    return governance.linked_items(raw.select(parse.case_id(raw).alias("case_id"), "content"))
+
+
+@query
+def entities(spark, sf_dir):
+    raw = raw_cases(spark, sf_dir)
+    return governance.entities(raw.select(parse.case_id(raw).alias("case_id"), "content"))
+
+
+# Stores and vault ------------------------------------------------------------------------------------------------
+
+
+@query
+def vault_roundtrip(spark, sf_dir):
+    """Seal, write, read and unseal the mappings of every write."""
+    keys = crypto.key_table(spark, **DEMO_KEYS)
+    path = shared_folder(spark, "vault")
+    write_vault(vault_history(spark, sf_dir), path, keys, "team")
+    return read_vault(spark, path, keys).select("case_id", "ingest_seq", flat_mappings("mappings").alias("mappings"))
+
+
+@query
+def vault_transfer(spark, sf_dir):
+    """Hand a vault over to another key, merge it with one's own, keep the last mappings per case."""
+    keys = crypto.key_table(spark, **DEMO_KEYS)
+    path = shared_folder(spark, "vault")
+    write_vault(vault_history(spark, sf_dir), path, keys, "team")
+    own = spark.read.parquet(path)
+    both = merge(own, transfer(own, keys, "other"))
+    return C.current_vault(unseal(both, keys)).select(
+        "case_id", "ingest_seq", flat_mappings("mappings").alias("mappings"))
+
+
+@query
+def encrypt_cbc(spark, sf_dir):
+    """Every text through the older cipher form and back."""
+    key = crypto.key_column(crypto.key_table(spark, **DEMO_KEYS), "team")
+    sealed = raw_cases(spark, sf_dir).select("ingest_seq", crypto.encrypt_cbc(F.col("content"), key).alias("payload"))
+    return sealed.select("ingest_seq", crypto.decrypt_cbc(F.col("payload"), key).alias("content"))
+
+
+@query
+def case_store(spark, sf_dir):
+    """Append all case writes to a store, read it back, resolve the current cases."""
+    path = shared_folder(spark, "store")
+    write_case_store(case_history(spark, sf_dir), path)
+    return C.current_cases(read_case_store(spark, path)).select("case_id", "ingest_seq", "first_seq", "summary",
+                                                                "content_redacted")
+
+
+@query
+def case_store_json(spark, sf_dir):
+    """Current cases to the JSON exchange form and back."""
+    path = shared_folder(spark, "json")
+    export_case_store_json(current(spark, sf_dir), path)
+    back = read_case_store_json(spark, path, whole_file=False)
+    return back.select("case_id", "summary", joined("symptoms").alias("symptoms"),
+                       flat_map("environment").alias("environment"), joined("error_patterns").alias("error_patterns"),
+                       joined("tags").alias("tags"), "content_redacted",
+                       F.col("word_count").cast("long").alias("word_count"))
+
+
+# Streams ---------------------------------------------------------------------------------------------------------
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # A pattern, because a stream reads a folder or a pattern but not a single file, and a table may be either.
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
+def _text_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as arriving support texts; exact copies stay exact copies."""
+    return _stream(spark, sf_dir, "documents").select(
+        "source", F.col("doc_id").alias("ingest_seq"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id")).alias("ts"),
+        F.lit(None).cast("string").alias("given_case_id"),
+        F.concat(F.lit("Support note: "), F.col("text")).alias("content"))
+
+
+def _run_to_table(df: DataFrame, name: str) -> DataFrame:
+    """Run a stream over everything that is there and return what it wrote."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, name)
+    (df.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint")
+     .trigger(availableNow=True).start(f"{path}/rows").awaitTermination())
+    return spark.read.schema(df.schema).parquet(f"{path}/rows")
+
+
+@query
+def stream_ingest(spark, sf_dir):
+    path = shared_folder(spark, "monitor")
+    target = Target(f"{path}/store", f"{path}/vault", crypto.key_table(spark, **DEMO_KEYS), "team")
+    monitor(_text_stream(spark, sf_dir), target, f"{path}/checkpoint", interval=None).awaitTermination()
+    return spark.read.parquet(target.store).select(
+        "ingest_seq", "content_md5", "content_redacted", F.col("word_count").cast("long").alias("word_count"))
+
+
+@query
+def stream_dedupe(spark, sf_dir):
+    seen = dedupe_seen(_text_stream(spark, sf_dir), delay="365 days")
+    return _run_to_table(seen.select("content_md5"), "dedupe")
+
+
+@query
+def stream_changed(spark, sf_dir):
+    events = _stream(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("source"), F.col("event_id").alias("ingest_seq"),
+        F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("content"))
+    return _run_to_table(stateful.changed_only(events), "changed").select(
+        F.col("ingest_seq").alias("event_id"), F.col("source").cast("long").alias("user_id"))
+
+
+@query
+def stream_bounded_seen(spark, sf_dir):
+    return _run_to_table(stateful.bounded_seen(_text_stream(spark, sf_dir)), "seen").select("source", "ingest_seq")
+
+
+@query
+def stream_tag_counts(spark, sf_dir):
+    cases = (_stream(spark, sf_dir, "documents").selectExpr(
+        "timestamp_seconds(1704067200 + doc_id) AS ts", f"{COLUMNS['content']} AS content")
+        .select("ts", X.tags(F.col("content")).alias("tags")))
+    path = shared_folder(spark, "tags")
+    rollups.write_updates(rollups.tag_counts(cases), f"{path}/rows", f"{path}/checkpoint",
+                          interval=None).awaitTermination()
+    return rollups.read_counts(spark, f"{path}/rows").select(
+        F.unix_seconds("start").alias("start"), "tag", "count")

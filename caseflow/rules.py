@@ -7,6 +7,7 @@ them into the equivalent Java regex for Spark.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 
@@ -34,6 +35,10 @@ class PiiRule:
     hint: str | None = None
     context: tuple[str, ...] = ()
 
+    def __post_init__(self):
+        if not re.fullmatch(r"\w+", self.token):
+            raise ValueError(f"token {self.token!r} must consist of word characters")
+
 
 # Sensitive-data patterns in the order they apply. Order is part of the result.
 PII_RULES = (
