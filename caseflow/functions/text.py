@@ -59,6 +59,12 @@ def rule_regex(rule) -> str:
     return java_regex(rule.pattern, rule.ignore_case)
 
 
+def quoted(value: str) -> str:
+    """``value`` as an SQL string literal."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
 def over(function: str, *args: Column | str) -> Column:
     """Call a function some of whose arguments are lambdas, given as SQL text.
 

@@ -37,7 +37,7 @@ def current_vault(vault_history: DataFrame) -> DataFrame:
 def get_cases(cases: DataFrame, ids: Sequence[str] | DataFrame) -> DataFrame:
     """Point look-up; unknown ids give no row.  ``ids`` is a list or a one-column table of any size."""
     if isinstance(ids, DataFrame):
-        return cases.join(ids.select(F.col(ids.columns[0]).alias("case_id")), "case_id", "left_semi")
+        return cases.join(ids.select(F.col(ids.columns[0]).alias("case_id")).distinct(), "case_id", "left_semi")
     return cases.filter(F.col("case_id").isin(list(ids)))
 
 
@@ -51,12 +51,17 @@ def with_mappings(cases: DataFrame, vault: DataFrame, same_version: bool = True)
     return cases.join(vault.select(*keys, "mappings"), keys, "left")
 
 
+def _mapped_ids(vault: DataFrame) -> DataFrame:
+    return vault.filter(F.size("mappings") > 0).select("case_id").distinct()
+
+
 def cases_with_pii(cases: DataFrame, vault: DataFrame) -> DataFrame:
-    return cases.join(vault.filter(F.size("mappings") > 0).select("case_id"), "case_id", "left_semi")
+    """Cases that ever had mappings."""
+    return cases.join(_mapped_ids(vault), "case_id", "left_semi")
 
 
 def cases_without_pii(cases: DataFrame, vault: DataFrame) -> DataFrame:
-    return cases.join(vault.filter(F.size("mappings") > 0).select("case_id"), "case_id", "left_anti")
+    return cases.join(_mapped_ids(vault), "case_id", "left_anti")
 
 
 def first_copies(df: DataFrame, text: str = "content", order: str = "ingest_seq") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import rules as R
 from ..functions.text import shorten
 from ..policy import PolicyConfig, PolicyViolation
-from .cases import get_cases, with_mappings
+from .cases import get_cases, latest, with_mappings
 from .redact import rehydrated
 
 CONTEXT_COLUMNS = ("case_id", "summary", "symptoms", "environment", "key_errors", "tags", "content_preview")
@@ -35,6 +35,14 @@ def to_case_context(cases: DataFrame, always_ellipsis: bool = False, keep: Seque
     return cases.select(*keep, *context_columns(always_ellipsis))
 
 
+def current_contexts(history: DataFrame) -> DataFrame:
+    """The context of every current case (with ``first_seq``), from the append-only store.
+
+    Contexts are cut out first and versions resolved afterwards, so the shuffle carries no case texts.
+    """
+    return latest(to_case_context(history, keep=["ingest_seq"]))
+
+
 def requests(cases: DataFrame, ids: Sequence[str]) -> DataFrame:
     """A list of ids as a table that remembers the order: (pos, case_id)."""
     # An Arrow table reaches the planner with its size, so the join strategy follows from it.
@@ -42,15 +50,14 @@ def requests(cases: DataFrame, ids: Sequence[str]) -> DataFrame:
     return cases.sparkSession.createDataFrame(table)
 
 
-def export_rows(cases: DataFrame, ids: Sequence[str] | DataFrame) -> DataFrame:
+def export_rows(contexts: DataFrame, ids: Sequence[str] | DataFrame) -> DataFrame:
     """One context per request in request order, repeats kept, unknown ids left out.
 
-    ``ids`` is a list or a table (pos, case_id) of any size.  The table is joined by key; whether it is small enough to
-    broadcast is decided from its size.  Requests for one id share a single row of ``cases``, so only the narrow context
-    travels.
+    ``contexts`` comes from ``to_case_context`` or ``current_contexts``; ``ids`` is a list or a table (pos, case_id) of
+    any size.  It is joined by key, and whether it is small enough to broadcast is decided from its size.
     """
-    wanted = ids if isinstance(ids, DataFrame) else requests(cases, ids)
-    return wanted.join(to_case_context(cases), "case_id").select("pos", *CONTEXT_COLUMNS)
+    wanted = ids if isinstance(ids, DataFrame) else requests(contexts, ids)
+    return wanted.join(contexts, "case_id").select("pos", *CONTEXT_COLUMNS)
 
 
 def context_pack(rows: DataFrame, generated_at: Column | None = None) -> DataFrame:
@@ -75,13 +82,12 @@ def _context_of(row: Column) -> Column:
 
 
 def export_context(cases: DataFrame, ids: Sequence[str], generated_at: Column | None = None) -> DataFrame:
-    return context_pack(export_rows(cases, ids), generated_at)
+    return context_pack(export_rows(to_case_context(cases), ids), generated_at)
 
 
 def search_rows(found: DataFrame) -> DataFrame:
     """Ordered context rows of a ``search(..., with_context=True)`` result."""
-    ranked = found.select(F.struct(-F.col("score"), "first_seq").alias("pos"), "*")
-    return to_case_context(ranked, keep=["pos"])
+    return found.select(F.struct(-F.col("score"), "first_seq").alias("pos"), *CONTEXT_COLUMNS)
 
 
 def iso_instant(ts: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..functions.text import empty_strings, extract_all, java_regex, once, over, rule_regex
+from ..functions.text import java_regex, once, quoted, rule_regex
 
 MAPPINGS_TYPE = "array<struct<token:string,original:string>>"
 
@@ -45,20 +45,25 @@ def _context_regex(rule: R.PiiRule) -> str:
     return f"((?={body}){_near(rule.context, R.CONTEXT_WINDOW)}{body})|{body}"
 
 
-def _pieces(text: Column, regex: str, mark: Column) -> Column:
+# Stages are written as SQL text: one call into the JVM each, where building nested lambdas takes dozens.
+
+
+def _pieces(regex: str) -> str:
     """The text between the matches.  Splitting at a single character avoids compiling the regex for every row."""
-    return F.split(F.regexp_replace(text, F.lit(regex), mark), mark, -1)
+    return f"split(regexp_replace(_text, {quoted(regex)}, _mark), _mark, -1)"
 
 
-def _join_numbered(pieces: Column, token: str, offset: str) -> Column:
+def _numbered(pieces: str, token: str, offset: str) -> str:
     """Pieces joined by ``[token_1]``, ``[token_2]``, ...; ``offset`` counts tokens of earlier rules with this name."""
-    lead = f"(x, i) -> if(i = 0, x, concat('[{token}_', i + {offset}, ']', x))"
-    return F.array_join(over("transform", pieces, lead), "")
+    return f"array_join(transform({pieces}, (x, i) -> if(i = 0, x, concat('[{token}_', i + {offset}, ']', x))), '')"
+
+
+def _interleaved(separators: str, pieces: str) -> str:
+    return f"array_join(zip_with(concat(array(''), {separators}), {pieces}, (s, x) -> concat(s, x)), '')"
 
 
-def _interleave(separators: Column, pieces: Column) -> Column:
-    lead = F.concat(F.array(F.lit("")), separators)
-    return F.array_join(over("zip_with", lead, pieces, "(s, x) -> concat(s, x)"), "")
+def _all_matches(test: str, regex: str, group: int = 0) -> str:
+    return f"if({test}, regexp_extract_all(_text, {quoted(regex)}, {group}), cast(array() as array<string>))"
 
 
 def _applies(rule: R.PiiRule, lowered: Column) -> Column:
@@ -92,37 +97,34 @@ def redact(
         *kept, "_text", _unused_mark(F.col("_text")).alias("_mark"),
         *[_applies(r, F.col("_lower")).alias(f"_try{i}") for i, r in enumerate(rules)])
 
-    current, mark, none = F.col("_text"), F.col("_mark"), empty_strings()
     numbered: list[tuple[str, str, str]] = []
     for i, rule in enumerate(rules):
         found, regex = f"_found{i}", rule_regex(rule)
         offset = " + ".join(["0", *[f"size({f})" for token, f, _ in numbered if token == rule.token]])
         if rule.context:
-            words = "|".join(re.escape(w) for w in rule.context)
-            whole = _context_regex(rule)
-            try_it = F.col(f"_try{i}") & F.rlike(current, F.lit(f"(?iu){words}"))
-            state = state.withColumn("_all", F.when(try_it, extract_all(current, whole)).otherwise(none))
-            state = state.withColumn("_ok", F.when(F.size("_all") > 0, extract_all(current, whole, 1)).otherwise(none))
+            words, whole = "|".join(re.escape(w) for w in rule.context), _context_regex(rule)
+            state = state.withColumn("_all", F.expr(_all_matches(
+                f"_try{i} and rlike(_text, {quoted('(?iu)' + words)})", whole)))
+            state = state.withColumn("_ok", F.expr(_all_matches("size(_all) > 0", whole, 1)))
             state = state.withColumn(found, F.array_remove("_ok", ""))
-            cuts = over("zip_with", F.col("_all"), F.col("_ok"), "(m, ok) -> if(ok != '', _mark, m)")
-            pieces = F.split(_interleave(cuts, _pieces(current, regex, mark)), mark, -1)
+            cuts = "zip_with(_all, _ok, (m, ok) -> if(ok != '', _mark, m))"
+            pieces = f"split({_interleaved(cuts, _pieces(regex))}, _mark, -1)"
         else:
-            state = state.withColumn(found, F.when(F.col(f"_try{i}"), extract_all(current, regex)).otherwise(none))
-            pieces = _pieces(current, regex, mark)
+            state = state.withColumn(found, F.expr(_all_matches(f"_try{i}", regex)))
+            pieces = _pieces(regex)
         if rule.category in pseudonym:
-            rebuilt = _interleave(over("transform", F.col(found), f"x -> {pseudonym[rule.category]}"), pieces)
+            rebuilt = _interleaved(f"transform({found}, x -> {pseudonym[rule.category]})", pieces)
         else:
-            rebuilt = _join_numbered(pieces, rule.token, offset)
+            rebuilt = _numbered(pieces, rule.token, offset)
             numbered.append((rule.token, found, offset))
-        state = state.withColumn("_text", F.when(F.size(found) > 0, rebuilt).otherwise(current))
+        state = state.withColumn("_text", F.expr(f"if(size({found}) > 0, {rebuilt}, _text)"))
 
-    entries = [over("transform", F.col(found),
-                    f"(x, i) -> struct(concat('[{token}_', i + 1 + {offset}, ']') as token, x as original)")
-               for token, found, offset in numbered]
-    collected = F.concat(F.array().cast(MAPPINGS_TYPE), *entries)
+    entries = [f"transform({found}, (x, i) -> struct(concat('[{token}_', i + 1 + {offset}, ']') as token, "
+               f"x as original))" for token, found, offset in numbered]
+    collected = F.expr(f"concat({', '.join([f'cast(array() as {MAPPINGS_TYPE})', *entries])})")
     collision = F.contains(F.col(text), F.lit("[")) & F.rlike(F.col(text), F.lit(any_token_regex(rules)))
     return once(state, kept, **{
-        redacted: current,
+        redacted: F.col("_text"),
         mappings: F.when(F.col(text).isNotNull(), collected),
         "token_collision": collision,
     })

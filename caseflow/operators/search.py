@@ -13,19 +13,13 @@ from .. import rules as R
 from ..functions.match import any_contains, contains, count_containing
 from ..functions.text import once
 from .cases import latest
+from .context import CONTEXT_COLUMNS, context_columns
 
 RESULT_COLUMNS = ("case_id", "score", "matches", "summary", "tags", "created_at")
-CONTEXT_INPUT = ("symptoms", "environment", "error_patterns", "content_redacted")
 DEFAULT_LIMIT = 10
 PARTS_PER_QUERY = 64
 
 
-def _checked(limit: int) -> int:
-    if limit < 0:
-        raise ValueError(f"limit must not be negative: {limit}")
-    return limit
-
-
 def lowered_fields() -> dict[str, Column]:
     """Per search field, its text in lower case: a string or an array of strings."""
     def each(name: str) -> Column:
@@ -65,26 +59,36 @@ def scored(cases: DataFrame, query: str, accumulate: bool = False) -> DataFrame:
     return counted.select(*cases.columns, score_of(seen).alias("score"), matches_of(seen).alias("matches"))
 
 
+def _narrow(found: DataFrame, with_context: bool, keep: Sequence[str]) -> DataFrame:
+    """Results without the case text; with ``with_context`` plus the compact context columns."""
+    extra = [c for c in CONTEXT_COLUMNS if c not in RESULT_COLUMNS] if with_context else []
+    contexts = {name: column for name, column in zip(CONTEXT_COLUMNS, context_columns())}
+    return found.select(*RESULT_COLUMNS, *[contexts[name] for name in extra], *keep)
+
+
+def _best(found: DataFrame, limit: int) -> DataFrame:
+    if limit < 0:
+        raise ValueError(f"limit must not be negative: {limit}")
+    return found.filter(F.col("score") > 0).orderBy(F.desc("score"), "first_seq").limit(limit)
+
+
 def search(cases: DataFrame, query: str, limit: int = DEFAULT_LIMIT, accumulate: bool = False,
            with_context: bool = False) -> DataFrame:
     """The best ``limit`` current cases for ``query``; equal scores keep the order in which cases first appeared.
 
-    ``with_context`` also returns the columns a context is built from, which saves a look-up afterwards.
+    ``with_context`` also returns the columns of a compact context, which saves a look-up afterwards.
     """
-    columns = [*RESULT_COLUMNS, "first_seq", *(CONTEXT_INPUT if with_context else ())]
-    return (scored(cases, query, accumulate).filter(F.col("score") > 0)
-            .orderBy(F.desc("score"), "first_seq").limit(_checked(limit)).select(*columns))
+    return _best(_narrow(scored(cases, query, accumulate), with_context, ["first_seq"]), limit)
 
 
-def search_history(history: DataFrame, query: str, limit: int = DEFAULT_LIMIT, accumulate: bool = False) -> DataFrame:
+def search_history(history: DataFrame, query: str, limit: int = DEFAULT_LIMIT, accumulate: bool = False,
+                   with_context: bool = False) -> DataFrame:
     """``search`` straight on the append-only store.
 
     Scores every write first and picks the current one afterwards, so case texts are read but never shuffled.
     """
-    narrow = ["ingest_seq", "score", "matches", "summary", "tags", "created_at"]
-    found = latest(scored(history, query, accumulate).select("case_id", *narrow), columns=narrow)
-    return (found.filter(F.col("score") > 0).orderBy(F.desc("score"), "first_seq").limit(_checked(limit))
-            .select(*RESULT_COLUMNS, "first_seq"))
+    found = latest(_narrow(scored(history, query, accumulate), with_context, ["ingest_seq"]))
+    return _best(found.drop("ingest_seq"), limit)
 
 
 def _top_per_query(hits: DataFrame, limit: int) -> DataFrame:
@@ -135,7 +139,8 @@ def search_batch(cases: DataFrame, queries: Sequence[str], limit: int = DEFAULT_
     Each case is scored against a list of phrases in place and only hits leave the row, so cases and phrases are never
     paired up.  Longer lists take several passes over the cases, ``per_pass`` phrases each.
     """
-    _checked(limit)
+    if limit < 0:
+        raise ValueError(f"limit must not be negative: {limit}")
     numbered = list(enumerate(queries))
     if not numbered:
         raise ValueError("no queries given")

@@ -143,6 +143,9 @@ def redaction(rules: Sequence[R.PiiRule] = R.PII_RULES, source: str = "raw") ->
     return ",\n".join(steps)
 
 
+# Replace the tokens one after the other; the text travels in the "original" field.
+RESTORED = """list_reduce(list_prepend({'token': '', 'original': t}, mappings), lambda a, e:
+  {'token': '', 'original': replace(a.original, e.token, e.original)}).original"""
 FLAT_MAPPINGS = joined("list_transform(mappings, lambda e: e.token || '=' || e.original)")
 
 
@@ -237,8 +240,9 @@ ORACLES: dict[str, str] = {
         f"list_transform(regexp_extract_all(content, {DISCUSSION}, 1), lambda a, i: {trim('a')} || '@' || "
         f"{trim(f'regexp_extract_all(content, {DISCUSSION}, 2)[i]')})") + " AS discussion"),
     "detect_case_ids": _raw_query(f"{joined(_detected('content'))} AS case_ids"),
-    "valid_content": f"SELECT doc_id FROM documents WHERE length(text) >= {R.MIN_CONTENT_LENGTH} AND ("
-                     + " OR ".join(f"regexp_matches(text, {regex(r)})" for r in R.CONTENT_INDICATORS) + ")",
+    "valid_content": "SELECT conv_id, turn FROM (SELECT conv_id, turn, role || ': ' || text AS said FROM conversations) "
+                     f"WHERE length(said) >= {R.MIN_CONTENT_LENGTH} AND ("
+                     + " OR ".join(f"regexp_matches(said, {regex(r)})" for r in R.CONTENT_INDICATORS) + ")",
     "content_hash": _raw_query("md5(content) AS content_md5"),
     "reject_blank": f"SELECT conv_id, count(*) AS turns FROM conversations WHERE {trim('text')} <> '' GROUP BY conv_id",
     "parse_case": _raw_query(_flat_case("content")),
@@ -283,7 +287,7 @@ WHERE case_id IN (SELECT case_id FROM wanted)""",
 SELECT cur.case_id, cur.ingest_seq, cur.summary, {FLAT_MAPPINGS} AS mappings
 FROM cur LEFT JOIN vault ON cur.case_id = vault.case_id AND cur.ingest_seq = vault.ingest_seq""",
     "get_full": f"""{WITH_CASES},\n{REQUESTS}
-SELECT cur.case_id, cur.ingest_seq, CASE WHEN len(red.mappings) > 0 THEN red.content END AS content_full
+SELECT cur.case_id, cur.ingest_seq, CASE WHEN len(red.mappings) > 0 THEN {RESTORED} END AS content_full
 FROM cur JOIN red USING (ingest_seq) WHERE cur.case_id IN (SELECT case_id FROM wanted)""",
     "content_dedupe": """SELECT min(doc_id) AS ingest_seq, md5(text) AS content_md5, count(*) AS copies
 FROM documents GROUP BY text""",

@@ -136,9 +136,10 @@ def detect_case_ids(spark, sf_dir):
 
 @query
 def valid_content(spark, sf_dir):
-    """On the bare texts, most of which are not case content."""
-    texts = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    return texts.filter(X.is_case_content(F.col("text"))).select("doc_id")
+    """Conversation turns that count as case content; the speaker's role is part of the text."""
+    turns = spread(table(spark, sf_dir, "conversations"), "conv_id")
+    said = F.concat("role", F.lit(": "), "text")
+    return turns.filter(X.is_case_content(said)).select("conv_id", "turn")
 
 
 @query
@@ -289,8 +290,9 @@ def _requested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def get_cases(spark, sf_dir):
-    return C.get_cases(current(spark, sf_dir), _requested(spark, sf_dir).select("case_id")).select(
-        "case_id", "ingest_seq", "summary", joined("tags").alias("tags"))
+    """Looked up in the history, so that only the requested cases are resolved to their last write."""
+    found = C.get_cases(case_history(spark, sf_dir), _requested(spark, sf_dir).select("case_id"))
+    return C.current_cases(found).select("case_id", "ingest_seq", "summary", joined("tags").alias("tags"))
 
 
 @query
@@ -304,8 +306,9 @@ def case_with_vault(spark, sf_dir):
 @query
 def get_full(spark, sf_dir):
     """Restored current cases under the trusted profile, for a table of requests."""
-    return K.get_full(current(spark, sf_dir), vault_history(spark, sf_dir),
-                      _requested(spark, sf_dir).select("case_id"), TRUSTED).select(
+    ids = _requested(spark, sf_dir).select("case_id")
+    cases = C.current_cases(C.get_cases(case_history(spark, sf_dir), ids))
+    return K.get_full(cases, vault_history(spark, sf_dir), ids, TRUSTED).select(
         "case_id", "ingest_seq", "content_full")
 
 
@@ -370,18 +373,17 @@ def _flat_context(rows: DataFrame) -> DataFrame:
 
 
 def _found_rows(spark: SparkSession, sf_dir: str, phrase: str = SEARCH_PHRASE, limit: int = 10) -> DataFrame:
-    return K.search_rows(search.search(current(spark, sf_dir), phrase, limit, with_context=True))
+    return K.search_rows(search.search_history(case_history(spark, sf_dir), phrase, limit, with_context=True))
 
 
 @query
 def case_context(spark, sf_dir):
-    cases = current(spark, sf_dir)
-    return _flat_context(K.to_case_context(cases, keep=["first_seq"]).withColumnRenamed("first_seq", "pos"))
+    return _flat_context(K.current_contexts(case_history(spark, sf_dir)).withColumnRenamed("first_seq", "pos"))
 
 
 @query
 def export_context(spark, sf_dir):
-    return _flat_context(K.export_rows(current(spark, sf_dir), _requested(spark, sf_dir)))
+    return _flat_context(K.export_rows(K.current_contexts(case_history(spark, sf_dir)), _requested(spark, sf_dir)))
 
 
 @query

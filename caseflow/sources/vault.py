@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.crypto import encrypt, key_column, try_decrypt
 from ..operators.redact import MAPPINGS_TYPE
 
+MAX_BROADCAST_KEYS = 10_000
+
 
 def seal(vault: DataFrame, keys: DataFrame, key_id: str) -> DataFrame:
     """(case_id, ingest_seq, mappings) with the mappings as an encrypted ``payload``."""
@@ -17,7 +19,9 @@ def seal(vault: DataFrame, keys: DataFrame, key_id: str) -> DataFrame:
 
 def unseal(sealed: DataFrame, keys: DataFrame) -> DataFrame:
     """Mappings of sealed rows; ``readable`` is false where the key is unknown or wrong or the payload damaged."""
-    with_key = sealed.join(keys, "key_id", "left")
+    # Nearly all rows name the same key: a shuffle by key would send them to one task.
+    small = keys.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS
+    with_key = sealed.join(F.broadcast(keys) if small else keys, "key_id", "left")
     opened = with_key.withColumn("_json", try_decrypt(F.col("payload"), F.col("key")))
     return opened.select("case_id", "ingest_seq", F.from_json("_json", MAPPINGS_TYPE).alias("mappings"),
                          F.col("_json").isNotNull().alias("readable"))
