@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from .text import (
+    empty_strings,
     extract,
     extract_all,
     java_regex,
@@ -17,6 +18,17 @@ from .text import (
 )
 
 
+def _may_match(text: Column, rule: R.Rule) -> Column:
+    test = F.lit(not rule.hints)
+    for hint in rule.hints:
+        test = test | F.contains(F.lower(text), F.lit(hint))
+    return test
+
+
+def _found(text: Column, rule: R.Rule, group: int = 0) -> Column:
+    return F.when(_may_match(text, rule), extract_all(text, rule_regex(rule), group)).otherwise(empty_strings())
+
+
 def summary(line_text: Column) -> Column:
     """First meaningful line of newline-joined trimmed lines."""
     regex = (rf"(?<![^\n])(?!{R.SUMMARY_SKIP_PREFIX})(?![^\n]*{R.SUMMARY_SKIP_TEXT})"
@@ -38,7 +50,9 @@ def fallback_case_id(source: Column, ingest_seq: Column, text: Column) -> Column
 def environment(text: Column, rules: Sequence[R.Rule] = R.ENVIRONMENT_RULES) -> Column:
     """Map of the fields found; the value is trimmed, fields without a match are left out."""
     entries = F.array(*[
-        F.struct(F.lit(r.name).alias("key"), F.regexp_extract(text, rule_regex(r), 1).alias("value")) for r in rules
+        F.struct(F.lit(r.name).alias("key"),
+                 F.when(_may_match(text, r), F.regexp_extract(text, rule_regex(r), 1)).otherwise("").alias("value"))
+        for r in rules
     ])
     found = F.filter(entries, lambda e: e["value"] != "")
     return F.map_from_entries(
@@ -48,7 +62,7 @@ def environment(text: Column, rules: Sequence[R.Rule] = R.ENVIRONMENT_RULES) ->
 def symptoms(text: Column, rules: Sequence[R.Rule] = R.SYMPTOM_RULES,
              min_length: int = R.MIN_SYMPTOM_LENGTH) -> Column:
     """Every phrase after a symptom word, rule by rule, longer than ``min_length`` once trimmed."""
-    found = F.concat(*[extract_all(text, rule_regex(r), 1) for r in rules])
+    found = F.concat(*[_found(text, r, 1) for r in rules])
     return F.filter(F.transform(found, trim), lambda s: F.length(s) > min_length)
 
 
@@ -61,7 +75,8 @@ def error_patterns(line_text: Column, words: Sequence[str] = R.ERROR_WORDS,
 
 def tags(text: Column, rules: Sequence[R.Rule] = R.TAG_RULES) -> Column:
     """Names of the rules that match, in rule order."""
-    return F.array_compact(F.array(*[F.when(F.rlike(text, F.lit(rule_regex(r))), F.lit(r.name)) for r in rules]))
+    return F.array_compact(F.array(*[
+        F.when(_may_match(text, r) & F.rlike(text, F.lit(rule_regex(r))), F.lit(r.name)) for r in rules]))
 
 
 def discussion(text: Column) -> Column:
@@ -76,7 +91,7 @@ def discussion(text: Column) -> Column:
 
 def detect_case_ids(text: Column, rules: Sequence[R.Rule] = R.DETECT_ID_RULES) -> Column:
     """All matches of all rules, rule by rule, without repeats; the first one is the suggested id."""
-    return F.array_distinct(F.concat(*[extract_all(text, rule_regex(r)) for r in rules]))
+    return F.array_distinct(F.concat(*[_found(text, r) for r in rules]))
 
 
 def is_case_content(text: Column, min_length: int = R.MIN_CONTENT_LENGTH,

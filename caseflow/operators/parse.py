@@ -58,13 +58,13 @@ def parse_case(
     kept = [c for c in df.columns if c not in added]
     raw, source = F.col(text), F.col(read_from or text)
     now = _column(df, "ts", F.current_timestamp())
-    lined = df.withColumn("_lines", trimmed_lines(source))
+    lined = df.withColumn("_lined", trimmed_lines(source))
     computed = {
         "case_id": case_id(df, text, detected_first),
-        "summary": X.summary(F.col("_lines")),
+        "summary": X.summary(F.col("_lined")),
         "symptoms": X.symptoms(source),
         "environment": X.environment(source),
-        "error_patterns": X.error_patterns(F.col("_lines")),
+        "error_patterns": X.error_patterns(F.col("_lined")),
         "tags": X.tags(raw, tag_rules),
         "word_count": word_count(raw),
         "created_at": now,

@@ -288,11 +288,18 @@ def _requested(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("case_id"))
 
 
+def _requested_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ingested writes of the requested cases: ids are matched on the raw rows, so only those texts are redacted."""
+    raw = raw_cases(spark, sf_dir)
+    named = raw.withColumn("case_id", parse.case_id(raw))
+    wanted = C.get_cases(named, _requested(spark, sf_dir).select("case_id"))
+    return parse.ingest(wanted.withColumn("given_case_id", F.col("case_id")).drop("case_id"))
+
+
 @query
 def get_cases(spark, sf_dir):
-    """Looked up in the history, so that only the requested cases are resolved to their last write."""
-    found = C.get_cases(case_history(spark, sf_dir), _requested(spark, sf_dir).select("case_id"))
-    return C.current_cases(found).select("case_id", "ingest_seq", "summary", joined("tags").alias("tags"))
+    cases = C.current_cases(parse.cases_of(_requested_history(spark, sf_dir)))
+    return cases.select("case_id", "ingest_seq", "summary", joined("tags").alias("tags"))
 
 
 @query
@@ -306,10 +313,10 @@ def case_with_vault(spark, sf_dir):
 @query
 def get_full(spark, sf_dir):
     """Restored current cases under the trusted profile, for a table of requests."""
+    done = _requested_history(spark, sf_dir)
+    cases = C.current_cases(parse.cases_of(done))
     ids = _requested(spark, sf_dir).select("case_id")
-    cases = C.current_cases(C.get_cases(case_history(spark, sf_dir), ids))
-    return K.get_full(cases, vault_history(spark, sf_dir), ids, TRUSTED).select(
-        "case_id", "ingest_seq", "content_full")
+    return K.get_full(cases, parse.vault_of(done), ids, TRUSTED).select("case_id", "ingest_seq", "content_full")
 
 
 @query
@@ -383,7 +390,8 @@ def case_context(spark, sf_dir):
 
 @query
 def export_context(spark, sf_dir):
-    return _flat_context(K.export_rows(K.current_contexts(case_history(spark, sf_dir)), _requested(spark, sf_dir)))
+    contexts = K.current_contexts(parse.cases_of(_requested_history(spark, sf_dir)))
+    return _flat_context(K.export_rows(contexts, _requested(spark, sf_dir)))
 
 
 @query
@@ -555,7 +563,10 @@ def case_store_json(spark, sf_dir):
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     # A pattern, because a stream reads a folder or a pattern but not a single file, and a table may be either.
-    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+    still = table(spark, sf_dir, name)
+    stream = spark.readStream.schema(still.schema).parquet(f"{sf_dir}/{name}.parque[t]")
+    cores = spark.sparkContext.defaultParallelism
+    return stream.repartition(cores) if still.rdd.getNumPartitions() < cores else stream
 
 
 def _text_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,11 +13,15 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Rule:
-    """A named regular expression."""
+    """A named regular expression.
+
+    ``hints`` are lower-case literals one of which every match contains; texts without any skip the regex.
+    """
 
     name: str
     pattern: str
     ignore_case: bool = True
+    hints: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -109,18 +113,18 @@ PII_RULES_EXTENDED = (
 
 # Tags in output order.
 TAG_RULES = (
-    Rule("AMA", r"\bAMA\b"),
-    Rule("Windows", r"\bWindows\b"),
-    Rule("Linux", r"\bLinux\b|\bRedHat\b"),
-    Rule("MetricsExtension", r"\bMetricsExtension\b"),
-    Rule("InfluxDB", r"\bInfluxDb\b"),
-    Rule("Telegraf", r"\bTelegraf\b"),
-    Rule("Timeout", r"\btimeout\b"),
-    Rule("Connection", r"\bconnection\b"),
-    Rule("Azure", r"\bAzure\b"),
+    Rule("AMA", r"\bAMA\b", hints=("ama",)),
+    Rule("Windows", r"\bWindows\b", hints=("windows",)),
+    Rule("Linux", r"\bLinux\b|\bRedHat\b", hints=("linux", "redhat")),
+    Rule("MetricsExtension", r"\bMetricsExtension\b", hints=("metricsextension",)),
+    Rule("InfluxDB", r"\bInfluxDb\b", hints=("influxdb",)),
+    Rule("Telegraf", r"\bTelegraf\b", hints=("telegraf",)),
+    Rule("Timeout", r"\btimeout\b", hints=("timeout",)),
+    Rule("Connection", r"\bconnection\b", hints=("connection",)),
+    Rule("Azure", r"\bAzure\b", hints=("azure",)),
 )
 
-TAG_RULES_LEGACY = (*TAG_RULES[:-1], Rule("Version", r"version\s*\d+\.\d+"))
+TAG_RULES_LEGACY = (*TAG_RULES[:-1], Rule("Version", r"version\s*\d+\.\d+", hints=("version",)))
 
 # Case id patterns; the first pattern that matches anywhere wins.
 CASE_ID_RULES = (
@@ -132,17 +136,17 @@ CASE_ID_RULES = (
 
 # Environment fields, group 1 is the value.
 ENVIRONMENT_RULES = (
-    Rule("subscriptionId", r"Subscription ID[:\s]*([a-f0-9-]{36})"),
-    Rule("workspaceId", r"Workspace ID[:\s]*([a-f0-9-]{36})"),
-    Rule("agentVersion", r"Agent version[:\s]*([0-9.]+)"),
-    Rule("osVersion", r"Major OS Version[:\s]*([^:\n]+)"),
+    Rule("subscriptionId", r"Subscription ID[:\s]*([a-f0-9-]{36})", hints=("subscription id",)),
+    Rule("workspaceId", r"Workspace ID[:\s]*([a-f0-9-]{36})", hints=("workspace id",)),
+    Rule("agentVersion", r"Agent version[:\s]*([0-9.]+)", hints=("agent version",)),
+    Rule("osVersion", r"Major OS Version[:\s]*([^:\n]+)", hints=("major os version",)),
 )
 
 # Symptom phrases, group 1 is the phrase.
 SYMPTOM_RULES = (
-    Rule("symptom", r"symptom[s]?[:\s]*([^\n]+)"),
-    Rule("issue", r"issue[:\s]*([^\n]+)"),
-    Rule("problem", r"problem[:\s]*([^\n]+)"),
+    Rule("symptom", r"symptom[s]?[:\s]*([^\n]+)", hints=("symptom",)),
+    Rule("issue", r"issue[:\s]*([^\n]+)", hints=("issue",)),
+    Rule("problem", r"problem[:\s]*([^\n]+)", hints=("problem",)),
 )
 MIN_SYMPTOM_LENGTH = 10
 
