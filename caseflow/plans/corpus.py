@@ -68,6 +68,7 @@ HEADER = " || ".join([
 COLUMNS = {
     "source": f"'src' || {_digits('doc_id % 4')}",
     "ingest_seq": "doc_id",
+    "given_case_id": f"CASE WHEN doc_id % 19 = 7 THEN 'MANUAL-' || {_digits('doc_id - doc_id % 2')} END",
     "content": HEADER,
 }
 
@@ -79,8 +80,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def raw_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source, ingest_seq, ts, given_case_id, content), one row per document."""
+    """(source, ingest_seq, given_case_id, content, ts), one row per document."""
     documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return documents.selectExpr(
         *[f"{expr} AS {name}" for name, expr in COLUMNS.items()],
-        "timestamp_seconds(1704067200 + doc_id) AS ts", "CAST(NULL AS STRING) AS given_case_id")
+        "timestamp_seconds(1704067200 + doc_id) AS ts")

@@ -56,9 +56,10 @@ def summary(c: str) -> str:
             f"'{R.NO_SUMMARY}')")
 
 
-def case_id(c: str) -> str:
+def case_id(c: str, detected_first: bool = False) -> str:
     found = ", ".join(f"nullif(regexp_extract({c}, {regex(r)}), '')" for r in R.CASE_ID_RULES)
-    return (f"coalesce({found}, 'CASE-' || substr(md5(source || '|' || CAST(ingest_seq AS VARCHAR) || '|' || {c}), "
+    known = f"{found}, given_case_id" if detected_first else f"given_case_id, {found}"
+    return (f"coalesce({known}, 'CASE-' || substr(md5(source || '|' || CAST(ingest_seq AS VARCHAR) || '|' || {c}), "
             f"1, 16))")
 
 
@@ -138,7 +139,7 @@ def redaction(rules: Sequence[R.PiiRule] = R.PII_RULES, source: str = "raw") ->
         entries = (f"list_concat({entries}, list_transform(m{i}, lambda x, k: {{'token': '[{rule.token}_' || "
                    f"CAST(k AS VARCHAR) || ']', 'original': x}}))")
     names = "|".join(r.token for r in rules)
-    steps.append(f"red AS MATERIALIZED (SELECT source, ingest_seq, content, t, {entries} AS mappings, "
+    steps.append(f"red AS MATERIALIZED (SELECT source, ingest_seq, given_case_id, content, t, {entries} AS mappings, "
                  f"regexp_matches(content, '\\[(?:{names})_\\d+\\]') AS collision FROM {before})")
     return ",\n".join(steps)
 
@@ -206,10 +207,10 @@ def _raw_query(columns: str) -> str:
     return f"WITH {LEAD}\nSELECT ingest_seq, {columns} FROM raw"
 
 
-def _flat_case(c: str) -> str:
-    return (f"{case_id('content')} AS case_id, {summary(c)} AS summary, {joined(symptom_list(c))} AS symptoms, "
+def _flat_case(c: str, tag_rules=R.TAG_RULES, detected_first: bool = False) -> str:
+    return (f"{case_id('content', detected_first)} AS case_id, {summary(c)} AS summary, {joined(symptom_list(c))} AS symptoms, "
             f"{environment(c)} AS environment, {joined(error_list(c))} AS error_patterns, "
-            f"{joined(tag_list('content'))} AS tags, {word_count('content')} AS word_count")
+            f"{joined(tag_list('content', tag_rules))} AS tags, {word_count('content')} AS word_count")
 
 
 def _detected(c: str) -> str:
@@ -224,21 +225,32 @@ LINES = f"""lines AS MATERIALIZED (SELECT ingest_seq, pos, x AS line, {NORMAL} A
   SELECT ingest_seq, unnest(string_split(content, chr(10))) AS x,
     generate_subscripts(string_split(content, chr(10)), 1) AS pos FROM raw))"""
 
+COMPRESSED = f"""keys AS (SELECT ingest_seq, key, min(pos) AS pos, arg_min(line, pos) AS line, count(*) AS n
+  FROM lines GROUP BY ingest_seq, key),
+compressed AS MATERIALIZED (SELECT ingest_seq, string_agg(line, chr(10) ORDER BY pos) || CASE WHEN max(n) > 1 THEN
+  chr(10) || '{R.REPEATED_HEADER}' || chr(10) || string_agg('[REPEATED ' || CAST(n AS VARCHAR) || 'x] ' ||
+  substr(key, 1, {R.REPEATED_KEY_CHARS}) || '...', chr(10) ORDER BY pos) FILTER (WHERE n > 1) ELSE '' END
+  AS content_compressed FROM keys GROUP BY ingest_seq)"""
+
 DISCUSSION = text(re2(R.DISCUSSION_PATTERN))
 
+def discussion(c: str) -> str:
+    return joined(f"list_transform(regexp_extract_all({c}, {DISCUSSION}, 1), lambda a, i: {trim('a')} || '@' || "
+                  f"{trim(f'regexp_extract_all({c}, {DISCUSSION}, 2)[i]')})")
+
+
 ORACLES: dict[str, str] = {
     "parse_lines": _raw_query(f"{joined(lines('content'))} AS lines"),
     "parse_summary": _raw_query(f"{summary('content')} AS summary"),
     "parse_case_id": _raw_query(f"{case_id('content')} AS case_id"),
+    "parse_case_id_legacy": _raw_query(f"{case_id('content', detected_first=True)} AS case_id"),
     "parse_environment": _raw_query(f"{environment('content')} AS environment"),
     "parse_symptoms": _raw_query(f"{joined(symptom_list('content'))} AS symptoms"),
     "parse_errors": _raw_query(f"{joined(error_list('content'))} AS error_patterns"),
     "parse_tags": _raw_query(f"{joined(tag_list('content'))} AS tags"),
     "parse_tags_legacy": _raw_query(f"{joined(tag_list('content', R.TAG_RULES_LEGACY))} AS tags"),
     "parse_word_count": _raw_query(f"{word_count('content')} AS word_count"),
-    "parse_discussion": _raw_query(joined(
-        f"list_transform(regexp_extract_all(content, {DISCUSSION}, 1), lambda a, i: {trim('a')} || '@' || "
-        f"{trim(f'regexp_extract_all(content, {DISCUSSION}, 2)[i]')})") + " AS discussion"),
+    "parse_discussion": _raw_query(f"{discussion('content')} AS discussion"),
     "detect_case_ids": _raw_query(f"{joined(_detected('content'))} AS case_ids"),
     "valid_content": "SELECT conv_id, turn FROM (SELECT conv_id, turn, role || ': ' || text AS said FROM conversations) "
                      f"WHERE length(said) >= {R.MIN_CONTENT_LENGTH} AND ("
@@ -250,13 +262,8 @@ ORACLES: dict[str, str] = {
     "case_counts": f"""{WITH_RED}
 SELECT {case_id('content')} AS case_id, ingest_seq, CAST(len({symptom_list('t')}) AS BIGINT) AS n_symptoms,
   CAST(len({error_list('t')}) AS BIGINT) AS n_errors, CAST(len(mappings) AS BIGINT) AS n_tokens FROM red""",
-    "compress_logs": f"""WITH {LEAD}, {LINES},
-keys AS (SELECT ingest_seq, key, min(pos) AS pos, arg_min(line, pos) AS line, count(*) AS n FROM lines
-  GROUP BY ingest_seq, key)
-SELECT ingest_seq, string_agg(line, chr(10) ORDER BY pos) || CASE WHEN max(n) > 1 THEN chr(10) ||
-  '{R.REPEATED_HEADER}' || chr(10) || string_agg('[REPEATED ' || CAST(n AS VARCHAR) || 'x] ' ||
-  substr(key, 1, {R.REPEATED_KEY_CHARS}) || '...', chr(10) ORDER BY pos) FILTER (WHERE n > 1) ELSE '' END
-  AS content_compressed FROM keys GROUP BY ingest_seq""",
+    "compress_logs": f"""WITH {LEAD}, {LINES}, {COMPRESSED}
+SELECT ingest_seq, content_compressed FROM compressed""",
     "log_pattern_counts": f"""WITH {LEAD}, {LINES}, {IDS}
 SELECT key AS pattern, count(*) AS occurrences, count(DISTINCT case_id) AS cases
 FROM lines JOIN ids USING (ingest_seq) GROUP BY key""",
@@ -438,7 +445,7 @@ SELECT case_id, summary, {joined('symptoms')} AS symptoms, environment, {joined(
 
 _ARRIVED = "SELECT source, doc_id AS ingest_seq, 'Support note: ' || text AS content FROM documents"
 ORACLES["stream_ingest"] = f"""WITH raw AS MATERIALIZED (SELECT min(source) AS source, min(ingest_seq) AS ingest_seq,
-  content FROM ({_ARRIVED}) WHERE length(content) >= {R.MIN_CONTENT_LENGTH} GROUP BY content),
+  NULL AS given_case_id, content FROM ({_ARRIVED}) WHERE length(content) >= {R.MIN_CONTENT_LENGTH} GROUP BY content),
 {redaction()}
 SELECT ingest_seq, md5(content) AS content_md5, t AS content_redacted, {word_count('content')} AS word_count FROM red"""
 ORACLES["stream_dedupe"] = f"SELECT DISTINCT md5(content) AS content_md5 FROM ({_ARRIVED})"
@@ -446,3 +453,18 @@ ORACLES["stream_changed"] = f"SELECT event_id, user_id FROM ({ORACLES['changed_o
 ORACLES["stream_tag_counts"] = f"""WITH {LEAD},
 tagged AS (SELECT 1704067200 + ingest_seq AS s, unnest({tag_list('content')}) AS tag FROM raw)
 SELECT CAST(s - s % 600 AS BIGINT) AS start, tag, count(*) AS count FROM tagged GROUP BY ALL"""
+
+# The older composition: compress, parse the raw text with the older rules, redact with both older passes.
+ORACLES["ingest_legacy"] = f"""WITH given AS MATERIALIZED ({corpus.SQL}), {LINES.replace('FROM raw', 'FROM given')},
+{COMPRESSED},
+raw AS MATERIALIZED (SELECT source, ingest_seq, given_case_id, content_compressed AS content
+  FROM given JOIN compressed USING (ingest_seq)),
+{redaction(R.PII_RULES_LEGACY + R.CONTEXT_RULES)}
+SELECT ingest_seq, {_flat_case('content', R.TAG_RULES_LEGACY, detected_first=True)},
+  {discussion('content')} AS discussion, t AS content_redacted, {FLAT_MAPPINGS} AS mappings FROM red"""
+ORACLES["case_context_legacy"] = f"""{WITH_CASES}
+SELECT case_id, substr(content_redacted, 1, 500) || '...' AS content_preview FROM cur"""
+ORACLES["context_json"] = f"""{WITH_CASES},\n{_found(Q.SEARCH_PHRASE, 10)}
+SELECT 'support_cases' AS context_type, CAST(count(*) AS VARCHAR) AS total_cases,
+  arg_max(case_id, score * 1000000000 - first_seq) AS first_case,
+  arg_max(summary, score * 1000000000 - first_seq) AS first_summary FROM found"""

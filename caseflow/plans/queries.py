@@ -19,8 +19,9 @@ from ..operators import context as K
 from ..operators import governance, logs, parse, redact, search, stats
 from ..policy import TRUSTED, CategoryRule
 from ..session import shared_folder, spread
+from ..sources.files import context_json as context_document
 from ..sources.store import export_case_store_json, read_case_store, read_case_store_json, write_case_store
-from ..sources.vault import merge, read_vault, transfer, unseal, write_vault
+from ..sources.vault import merge, read_vault, transfer, unseal, write_ingested, write_vault
 from ..streaming import rollups, stateful
 from ..streaming.monitor import Target, dedupe_seen, monitor
 from .corpus import COLUMNS, raw_cases, table
@@ -32,6 +33,16 @@ SEARCH_PHRASE = "timeout"
 BATCH_PHRASES = ("timeout", "linux", "Socket", "azure storage", "telegraf", "zyxwvuts", "[EMAIL_1]", "the ")
 BATCH_LIMIT = 7
 
+DEMO_SECRET = "00112233445566778899aabbccddeeff"
+DEMO_KEYS = {"team": "0f" * 32, "other": "a5" * 32}
+DEMO_POLICY = {
+    "EMAIL": CategoryRule(),
+    "SUBSCRIPTION_ID": CategoryRule(redact="hash", reversible=False, export="deny"),
+    "GUID": CategoryRule(reversible=False),
+    "PHONE": CategoryRule(redact="none"),
+    "VM_NAME": CategoryRule(export="deny"),
+}
+
 
 def query(run: Query) -> Query:
     QUERIES[run.__name__] = run
@@ -51,6 +62,10 @@ def flat_mappings(mappings: Column | str) -> Column:
     return joined(F.transform(mappings, lambda e: F.concat(e["token"], F.lit("="), e["original"])))
 
 
+def flat_discussion(entries: Column | str) -> Column:
+    return joined(F.transform(entries, lambda e: F.concat(e["author"], F.lit("@"), e["timestamp"])))
+
+
 def ingested(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     return parse.ingest(raw_cases(spark, sf_dir), **options)
 
@@ -93,6 +108,13 @@ def parse_case_id(spark, sf_dir):
     return raw.select("ingest_seq", parse.case_id(raw).alias("case_id"))
 
 
+@query
+def parse_case_id_legacy(spark, sf_dir):
+    """The id found in the text wins over the given one."""
+    raw = raw_cases(spark, sf_dir)
+    return raw.select("ingest_seq", parse.case_id(raw, detected_first=True).alias("case_id"))
+
+
 @query
 def parse_environment(spark, sf_dir):
     return _field(spark, sf_dir, "environment", lambda c: flat_map(X.environment(c)))
@@ -125,8 +147,7 @@ def parse_word_count(spark, sf_dir):
 
 @query
 def parse_discussion(spark, sf_dir):
-    return _field(spark, sf_dir, "discussion", lambda c: joined(F.transform(
-        X.discussion(c), lambda e: F.concat(e["author"], F.lit("@"), e["timestamp"]))))
+    return _field(spark, sf_dir, "discussion", lambda c: flat_discussion(X.discussion(c)))
 
 
 @query
@@ -153,11 +174,11 @@ def reject_blank(spark, sf_dir):
     return parse.reject_blank(turns).groupBy("conv_id").agg(F.count("*").alias("turns"))
 
 
-def _flat_case(cases: DataFrame) -> DataFrame:
+def _flat_case(cases: DataFrame, *more: Column) -> DataFrame:
     return cases.select(
         "ingest_seq", "case_id", "summary", joined("symptoms").alias("symptoms"),
         flat_map("environment").alias("environment"), joined("error_patterns").alias("error_patterns"),
-        joined("tags").alias("tags"), F.col("word_count").cast("long").alias("word_count"))
+        joined("tags").alias("tags"), F.col("word_count").cast("long").alias("word_count"), *more)
 
 
 @query
@@ -172,6 +193,15 @@ def ingest_cases(spark, sf_dir):
     return _flat_case(ingested(spark, sf_dir))
 
 
+@query
+def ingest_legacy(spark, sf_dir):
+    """The older composition: compress, parse with the older rules, redact with both older passes."""
+    done = ingested(spark, sf_dir, compress=True, fields="raw", rules=R.PII_RULES_LEGACY + R.CONTEXT_RULES,
+                    tag_rules=R.TAG_RULES_LEGACY, detected_first=True, with_discussion=True)
+    return _flat_case(done, flat_discussion("discussion").alias("discussion"), F.col("content_redacted"),
+                      flat_mappings("mappings").alias("mappings"))
+
+
 @query
 def case_counts(spark, sf_dir):
     counts = parse.case_counts(ingested(spark, sf_dir))
@@ -302,21 +332,29 @@ def get_cases(spark, sf_dir):
     return cases.select("case_id", "ingest_seq", "summary", joined("tags").alias("tags"))
 
 
+def _written(done: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """An ingest through the store and the sealed vault: case history and mappings as tables."""
+    spark = done.sparkSession
+    keys, path = crypto.key_table(spark, **DEMO_KEYS), shared_folder(spark, name)
+    write_ingested(done, f"{path}/store", f"{path}/vault", keys, "team")
+    return read_case_store(spark, f"{path}/store"), read_vault(spark, f"{path}/vault", keys)
+
+
 @query
 def case_with_vault(spark, sf_dir):
     """Current cases with the mappings of the same write."""
-    rows = C.latest(parse.ingest(raw_cases(spark, sf_dir)).select("case_id", "ingest_seq", "summary"))
-    return C.with_mappings(rows, vault_history(spark, sf_dir)).select(
+    history, vault = _written(ingested(spark, sf_dir), "case_with_vault")
+    rows = C.current_cases(history, columns=["summary"])
+    return C.with_mappings(rows, vault).select(
         "case_id", "ingest_seq", "summary", flat_mappings("mappings").alias("mappings"))
 
 
 @query
 def get_full(spark, sf_dir):
     """Restored current cases under the trusted profile, for a table of requests."""
-    done = _requested_history(spark, sf_dir)
-    cases = C.current_cases(parse.cases_of(done))
+    history, vault = _written(_requested_history(spark, sf_dir), "get_full")
     ids = _requested(spark, sf_dir).select("case_id")
-    return K.get_full(cases, parse.vault_of(done), ids, TRUSTED).select("case_id", "ingest_seq", "content_full")
+    return K.get_full(C.current_cases(history), vault, ids, TRUSTED).select("case_id", "ingest_seq", "content_full")
 
 
 @query
@@ -388,6 +426,22 @@ def case_context(spark, sf_dir):
     return _flat_context(K.current_contexts(case_history(spark, sf_dir)).withColumnRenamed("first_seq", "pos"))
 
 
+@query
+def case_context_legacy(spark, sf_dir):
+    """The older preview ends in an ellipsis whatever its length."""
+    narrow = K.to_case_context(case_history(spark, sf_dir), always_ellipsis=True, keep=["ingest_seq"])
+    return C.latest(narrow).select("case_id", "content_preview")
+
+
+@query
+def context_json(spark, sf_dir):
+    """Fields of the JSON document of a search's contexts."""
+    document = context_document(K.context_pack(_found_rows(spark, sf_dir)))
+    paths = {"context_type": "$.context_type", "total_cases": "$.total_cases", "first_case": "$.cases[0].case_id",
+             "first_summary": "$.cases[0].summary"}
+    return document.select(*[F.get_json_object("json", path).alias(name) for name, path in paths.items()])
+
+
 @query
 def export_context(spark, sf_dir):
     contexts = K.current_contexts(parse.cases_of(_requested_history(spark, sf_dir)))
@@ -442,17 +496,6 @@ def flagship(spark, sf_dir):
 
 # Governance ------------------------------------------------------------------------------------------------------
 
-DEMO_SECRET = "00112233445566778899aabbccddeeff"
-DEMO_KEYS = {"team": "0f" * 32, "other": "a5" * 32}
-DEMO_POLICY = {
-    "EMAIL": CategoryRule(),
-    "SUBSCRIPTION_ID": CategoryRule(redact="hash", reversible=False, export="deny"),
-    "GUID": CategoryRule(reversible=False),
-    "PHONE": CategoryRule(redact="none"),
-    "VM_NAME": CategoryRule(export="deny"),
-}
-
-
 @query
 def pseudonymize(spark, sf_dir):
     pads = governance.pad_table(spark, team=DEMO_SECRET)

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_own_folder: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
@@ -15,12 +16,12 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
 
     The folder comes from ``spark.checkpoint.dir``.  Only where that is unset (tests, a laptop) is a temporary one used.
     """
-    base = spark.sparkContext.getConf().get(CHECKPOINT_DIR) or spark.conf.get(CHECKPOINT_DIR, None)
+    base = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
             raise RuntimeError(f"{CHECKPOINT_DIR} must name a folder that every executor can reach")
-        base = tempfile.mkdtemp(prefix="caseflow-")
-        spark.conf.set(CHECKPOINT_DIR, base)
+        base = _own_folder.setdefault(context.applicationId, tempfile.mkdtemp(prefix="caseflow-"))
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.crypto import encrypt, key_column, try_decrypt
+from ..operators.parse import cases_of, vault_of
 from ..operators.redact import MAPPINGS_TYPE
 
 MAX_BROADCAST_KEYS = 10_000
@@ -31,6 +32,17 @@ def write_vault(vault: DataFrame, path: str, keys: DataFrame, key_id: str) -> No
     seal(vault, keys, key_id).write.mode("append").parquet(path)
 
 
+def write_ingested(done: DataFrame, store: str, vault: str, keys: DataFrame, key_id: str, mode: str = "append") -> None:
+    """Write an ingest to a case store and a sealed vault; the texts are parsed and redacted once for both."""
+    # Raw text is not among the kept columns.
+    done = done.select(*cases_of(done).columns, "mappings").persist()
+    try:
+        seal(vault_of(done), keys, key_id).write.mode(mode).parquet(vault)
+        cases_of(done).write.mode(mode).parquet(store)
+    finally:
+        done.unpersist()
+
+
 def read_vault(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     return unseal(spark.read.parquet(path), keys)
 

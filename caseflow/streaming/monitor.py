@@ -15,8 +15,8 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import rules as R
 from ..functions import fields as X
 from ..operators.cases import first_copies
-from ..operators.parse import cases_of, ingest, vault_of
-from ..sources.vault import seal
+from ..operators.parse import ingest
+from ..sources.vault import write_ingested
 
 log = logging.getLogger(__name__)
 
@@ -66,14 +66,9 @@ def write_batch(batch: DataFrame, batch_id: int, target: Target, remember: int |
         fresh = fresh.join(seen, "content_md5", "left_anti")
     suggested = F.get(X.detect_case_ids(F.col("content")), 0)
     named = fresh.withColumn("given_case_id", F.coalesce("given_case_id", suggested))
-    done = ingest(named, **options).persist()
-    try:
-        mapped = seal(vault_of(done), target.keys, target.key_id)
-        mapped.write.mode("overwrite").parquet(f"{target.vault}/batch_id={batch_id}")
-        stored = cases_of(done.select("*")).columns
-        done.select(*stored, "content_md5").write.mode("overwrite").parquet(f"{target.store}/batch_id={batch_id}")
-    finally:
-        done.unpersist()
+    folder = f"batch_id={batch_id}"
+    write_ingested(ingest(named, **options), f"{target.store}/{folder}", f"{target.vault}/{folder}", target.keys,
+                   target.key_id, mode="overwrite")
 
 
 def monitor(stream: DataFrame, target: Target, checkpoint: str, interval: str | None = "1 second",
