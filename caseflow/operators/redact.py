@@ -1,7 +1,8 @@
 """Replace sensitive values by numbered tokens, and put them back.
 
-Rules apply one after the other, each to the output of the one before.  A rule is one column stage: find the matches, and
-only where there are any rebuild the text around numbered tokens.  Everything stays in built-in functions.
+Rules apply one after the other, each to the output of the one before, so a text is folded over the rule list: a step
+finds the matches of its rule, and only where there are any rebuilds the text around numbered tokens.  The fold is a
+single expression of built-in functions with literal regexes.
 """
 
 from __future__ import annotations
@@ -45,25 +46,46 @@ def _context_regex(rule: R.PiiRule) -> str:
     return f"((?={body}){_near(rule.context, R.CONTEXT_WINDOW)}{body})|{body}"
 
 
-# Stages are written as SQL text: one call into the JVM each, where building nested lambdas takes dozens.
+# Steps are written as SQL text: one call into the JVM, where building nested lambdas from Python takes hundreds.
 
 
-def _pieces(regex: str) -> str:
-    """The text between the matches.  Splitting at a single character avoids compiling the regex for every row."""
-    return f"split(regexp_replace(_text, {quoted(regex)}, _mark), _mark, -1)"
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value``, evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _numbered(pieces: str, token: str, offset: str) -> str:
-    """Pieces joined by ``[token_1]``, ``[token_2]``, ...; ``offset`` counts tokens of earlier rules with this name."""
-    return f"array_join(transform({pieces}, (x, i) -> if(i = 0, x, concat('[{token}_', i + {offset}, ']', x))), '')"
+def _pieces(regex: str) -> str:
+    """The text between the matches.  Splitting at a single character avoids compiling the regex for every row."""
+    return f"split(regexp_replace(s.t, {quoted(regex)}, _mark), _mark, -1)"
 
 
 def _interleaved(separators: str, pieces: str) -> str:
-    return f"array_join(zip_with(concat(array(''), {separators}), {pieces}, (s, x) -> concat(s, x)), '')"
-
-
-def _all_matches(test: str, regex: str, group: int = 0) -> str:
-    return f"if({test}, regexp_extract_all(_text, {quoted(regex)}, {group}), cast(array() as array<string>))"
+    return f"array_join(zip_with(concat(array(''), {separators}), {pieces}, (m, x) -> concat(m, x)), '')"
+
+
+def _step(rule: R.PiiRule, try_it: str, continued: bool, pseudonym: str | None) -> str:
+    """One rule as an expression of the state ``s``: its text ``s.t`` and its mappings ``s.m``."""
+    regex = rule_regex(rule)
+    # Numbers go on where an earlier rule with the same token stopped.
+    before = f"size(filter(s.m, e -> startswith(e.token, '[{rule.token}_')))" if continued else "0"
+    pieces = _pieces(regex)
+    if rule.context:
+        cuts = "zip_with(a, ok, (m, k) -> if(k != '', _mark, m))"
+        pieces = f"split({_interleaved(cuts, pieces)}, _mark, -1)"
+    if pseudonym:
+        text, mappings = _interleaved(f"transform(f, x -> {pseudonym})", pieces), "s.m"
+    else:
+        text = (f"array_join(transform({pieces}, (x, n) -> "
+                f"if(n = 0, x, concat('[{rule.token}_', n + {before}, ']', x))), '')")
+        mappings = (f"concat(s.m, transform(f, (x, n) -> "
+                    f"struct(concat('[{rule.token}_', n + 1 + {before}, ']') as token, x as original)))")
+    rebuilt = f"if(size(f) > 0, struct({text} as t, {mappings} as m), s)"
+    if not rule.context:
+        return f"if({try_it}, {_let('f', f'regexp_extract_all(s.t, {quoted(regex)}, 0)', rebuilt)}, s)"
+    words, whole = quoted("(?iu)" + "|".join(re.escape(w) for w in rule.context)), quoted(_context_regex(rule))
+    accepted = _let("ok", f"regexp_extract_all(s.t, {whole}, 1)", _let("f", "array_remove(ok, '')", rebuilt))
+    found = _let("a", f"regexp_extract_all(s.t, {whole}, 0)", f"if(size(a) > 0, {accepted}, s)")
+    return f"if({try_it} and rlike(s.t, {words}), {found}, s)"
 
 
 def _applies(rule: R.PiiRule, lowered: Column) -> Column:
@@ -91,42 +113,24 @@ def redact(
     """
     pseudonym = pseudonym or {}
     kept = df.columns
-    state = df.withColumn("_text", F.col(text)).withColumn("_lower", F.lower(text))
+    prepared = df.withColumn("_text", F.col(text)).withColumn("_lower", F.lower(text))
     # A token never contains a hint, so hints can all be looked up once, on the input.
-    state = state.select(
+    prepared = prepared.select(
         *kept, "_text", _unused_mark(F.col("_text")).alias("_mark"),
         *[_applies(r, F.col("_lower")).alias(f"_try{i}") for i, r in enumerate(rules)])
 
-    numbered: list[tuple[str, str, str]] = []
-    for i, rule in enumerate(rules):
-        found, regex = f"_found{i}", rule_regex(rule)
-        offset = " + ".join(["0", *[f"size({f})" for token, f, _ in numbered if token == rule.token]])
-        if rule.context:
-            words, whole = "|".join(re.escape(w) for w in rule.context), _context_regex(rule)
-            state = state.withColumn("_all", F.expr(_all_matches(
-                f"_try{i} and rlike(_text, {quoted('(?iu)' + words)})", whole)))
-            state = state.withColumn("_ok", F.expr(_all_matches("size(_all) > 0", whole, 1)))
-            state = state.withColumn(found, F.array_remove("_ok", ""))
-            cuts = "zip_with(_all, _ok, (m, ok) -> if(ok != '', _mark, m))"
-            pieces = f"split({_interleaved(cuts, _pieces(regex))}, _mark, -1)"
-        else:
-            state = state.withColumn(found, F.expr(_all_matches(f"_try{i}", regex)))
-            pieces = _pieces(regex)
-        if rule.category in pseudonym:
-            rebuilt = _interleaved(f"transform({found}, x -> {pseudonym[rule.category]})", pieces)
-        else:
-            rebuilt = _numbered(pieces, rule.token, offset)
-            numbered.append((rule.token, found, offset))
-        state = state.withColumn("_text", F.expr(f"if(size({found}) > 0, {rebuilt}, _text)"))
-
-    entries = [f"transform({found}, (x, i) -> struct(concat('[{token}_', i + 1 + {offset}, ']') as token, "
-               f"x as original))" for token, found, offset in numbered]
-    collected = F.expr(f"concat({', '.join([f'cast(array() as {MAPPINGS_TYPE})', *entries])})")
+    tokens = [r.token for r in rules if r.category not in pseudonym]
+    steps = [f"when {i} then " + _step(r, f"_try{i}", tokens.count(r.token) > 1, pseudonym.get(r.category))
+             for i, r in enumerate(rules)]
+    start = f"struct(_text as t, cast(array() as {MAPPINGS_TYPE}) as m)"
+    folded = (f"aggregate(sequence(0, {len(rules) - 1}), {start}, (s, i) -> case i {' '.join(steps)} else s end)"
+              if rules else start)
+    done = prepared.select(*kept, F.expr(folded).alias("_done"))
     collision = F.contains(F.col(text), F.lit("[")) & F.rlike(F.col(text), F.lit(any_token_regex(rules)))
-    return once(state, kept, **{
-        redacted: F.col("_text"),
-        mappings: F.when(F.col(text).isNotNull(), collected),
-        "token_collision": collision,
+    return once(done, kept, **{
+        redacted: F.col("_done.t"),
+        mappings: F.when(F.col(text).isNotNull(), F.col("_done.m")),
+        "token_collision": collision if rules else F.lit(False),
     })
 
 
