@@ -76,11 +76,12 @@ def first_copies(df: DataFrame, text: str = "content", order: str = "ingest_seq"
 
 
 def changed_only(df: DataFrame, text: str = "content", source: str = "source", ts: str = "ts",
-                 order: str = "ingest_seq", slice_length: str = "1 hour") -> DataFrame:
+                 order: str = "ingest_seq", slice_length: str = "1 hour", before: DataFrame | None = None) -> DataFrame:
     """Rows whose text differs from the previous non-empty one of the same source; empty texts are dropped.
 
     A busy source is cut into slices of time, so no task sorts a whole source.  The first row of a slice is compared with
-    the last row of the source's slice before, taken from a table with one row per source and slice.
+    the last row of the source's slice before, taken from a table with one row per source and slice.  ``before`` holds
+    (source, last), the hash of the text each source had before these rows.
     """
     rows = (df.filter(F.length(text) > 0)
             .withColumn("_hash", F.sha2(F.col(text), 256))
@@ -90,6 +91,9 @@ def changed_only(df: DataFrame, text: str = "content", source: str = "source", t
     last = (rows.groupBy(source, "_slice").agg(F.max_by("_hash", F.struct(ts, order)).alias("_last"))
             .withColumn("_carried", F.lag("_last").over(W.partitionBy(source).orderBy("_slice")))
             .select(source, "_slice", "_carried"))
+    if before is not None:
+        last = (last.join(before.select(F.col("source").alias(source), F.col("last").alias("_known")), source, "left")
+                .select(source, "_slice", F.coalesce("_carried", "_known").alias("_carried")))
     joined = rows.join(last, [source, "_slice"])
     previous = F.coalesce("_before", "_carried")
     return joined.filter(~previous.eqNullSafe(F.col("_hash"))).select(*df.columns)

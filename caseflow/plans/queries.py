@@ -649,13 +649,17 @@ def stream_changed(spark, sf_dir):
     events = _stream(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("source"), F.col("event_id").alias("ingest_seq"),
         F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("content"))
-    return _run_to_table(stateful.changed_only(events), "changed").select(
+    path = shared_folder(spark, "changed")
+    stateful.changed_only(events, path, interval=None, slice_length="1 day").awaitTermination()
+    return stateful.read_rows(spark, path).select(
         F.col("ingest_seq").alias("event_id"), F.col("source").cast("long").alias("user_id"))
 
 
 @query
 def stream_bounded_seen(spark, sf_dir):
-    return _run_to_table(stateful.bounded_seen(_text_stream(spark, sf_dir)), "seen").select("source", "ingest_seq")
+    path = shared_folder(spark, "seen")
+    stateful.bounded_seen(_text_stream(spark, sf_dir), path, interval=None).awaitTermination()
+    return stateful.read_rows(spark, path).select("source", "ingest_seq")
 
 
 @query

@@ -91,7 +91,8 @@ def test_changed_only_across_batches(spark, tmp_path):
     rng = random.Random(3)
     rows = [(rng.choice("ab"), i, rng.choice(["x", "y", ""])) for i in range(60)]
     stream = arrive(spark, tmp_path / "in", [rows[:20], rows[20:40], rows[40:]])
-    got = sorted((r.source, r.ingest_seq) for r in run(stateful.changed_only(stream), tmp_path).collect())
+    stateful.changed_only(stream, str(tmp_path / "out"), interval=None, slice_length="7 minutes").awaitTermination()
+    got = sorted((r.source, r.ingest_seq) for r in stateful.read_rows(spark, str(tmp_path / "out")).collect())
     assert got == sorted((s, i) for s, i, _ in ref.changed(rows))
 
 
@@ -99,8 +100,8 @@ def test_bounded_seen_across_batches(spark, tmp_path):
     rng = random.Random(4)
     rows = [(rng.choice("ab"), i, f"t{rng.randint(1, 14)}") for i in range(90)]
     stream = arrive(spark, tmp_path / "in", [rows[:30], rows[30:60], rows[60:]])
-    result = run(stateful.bounded_seen(stream, limit=6, keep=3), tmp_path)
-    got = sorted((r.source, r.ingest_seq) for r in result.collect())
+    stateful.bounded_seen(stream, str(tmp_path / "out"), limit=6, keep=3, interval=None).awaitTermination()
+    got = sorted((r.source, r.ingest_seq) for r in stateful.read_rows(spark, str(tmp_path / "out")).collect())
     assert got == sorted(ref.bounded_seen(rows, 6, 3))
 
 
