@@ -136,6 +136,11 @@ def shorten(text: Column, size: int, always: bool = False) -> Column:
     return F.when(F.length(text) > size, F.concat(head, F.lit("..."))).otherwise(head)
 
 
+def iso_instant(ts: Column) -> Column:
+    """A timestamp as UTC text with milliseconds, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
 def once(df, keep: list[str], **computed: Column):
     """Select ``keep`` plus ``computed`` so that each computed column is evaluated exactly once.
 

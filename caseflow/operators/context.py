@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..functions.text import shorten
+from ..functions.text import iso_instant, shorten
 from ..policy import PolicyConfig, PolicyViolation
 from .cases import get_cases, latest, with_mappings
 from .redact import rehydrated
@@ -90,10 +90,6 @@ def search_rows(found: DataFrame) -> DataFrame:
     return found.select(F.struct(-F.col("score"), "first_seq").alias("pos"), *CONTEXT_COLUMNS)
 
 
-def iso_instant(ts: Column) -> Column:
-    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-
-
 def _joined(rows: DataFrame, text: Column, separator: str) -> Column:
     ordered = F.array_sort(F.collect_list(F.struct(F.col("pos"), text.alias("text"))))
     return F.array_join(F.transform(ordered, lambda r: r["text"]), separator)

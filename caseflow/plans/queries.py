@@ -450,7 +450,7 @@ def export_context(spark, sf_dir):
 
 @query
 def context_pack(spark, sf_dir):
-    pack = K.context_pack(_found_rows(spark, sf_dir), F.lit("2024-01-01").cast("timestamp"))
+    pack = K.context_pack(_found_rows(spark, sf_dir), F.timestamp_seconds(F.lit(1704067200)))
     return pack.select("context_type", "total_cases", "generated_at",
                        joined(F.transform("cases", lambda c: c["case_id"])).alias("case_ids"),
                        joined(F.transform("cases", lambda c: c["content_preview"])).alias("previews"))

@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import iso_instant
+
 # Field names of the JSON exchange form and the columns they become.
 JSON_FIELDS = {
     "caseId": ("case_id", "string"),
@@ -39,7 +41,7 @@ def to_store_json(cases: DataFrame) -> DataFrame:
     """One JSON object per case, ``{case_id: {...}}``."""
     def value(column: str) -> Column:
         if column in ("created_at", "updated_at"):
-            return F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+            return iso_instant(F.col(column))
         return F.col(column)
 
     body = F.struct(*[value(column).alias(field) for field, (column, _) in JSON_FIELDS.items()])
