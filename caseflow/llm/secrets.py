@@ -1,0 +1,197 @@
+"""Secret scanning with corpus-wide ownership: which credential-like values are one owner's, and which are copied widely.
+
+Built-in functions only.  Every whole text is searched; places are counted in code points, ends are exclusive.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import stored
+
+#: The base kinds, in the order in which spans that begin at one place are listed.  Fixed values.
+PATTERNS = {
+    "assign": r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
+    "access": r"AKIA[A-Z0-9]+",
+    "hex": r"[0-9a-f]+",
+}
+#: Group of the pattern that is the value, and the code points that it needs.  Fixed values.
+VALUE_GROUP = {"assign": 2, "access": 0, "hex": 0}
+LEAST_LENGTH = {"assign": 12, "access": 18, "hex": 16}
+#: Kinds that the ownership step adds, listed after the base kinds.
+VERDICTS = ("live", "example")
+#: A text that holds none of these (lower-cased where the pattern takes either case) has no match of the kind.
+HINTS = {"assign": ("password", "passwd", "secret", "token", "apikey", "api_key"), "access": ("AKIA",)}
+#: The same matches as the base pattern and its least length, where a failing match cannot hide a later one.
+LONG_ENOUGH = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}"}
+#: A value held by so many distinct owners, or distinct repositories, is a copied example.
+EXAMPLE_OWNERS = 5
+EXAMPLE_REPOSITORIES = 8
+#: A live-looking value has a letter, a digit and so many distinct characters; others are placeholders or plain numbers.
+LIVE_CHARACTERS = 6
+#: Values with more than this share of all candidates are joined apart.  There are fewer than 1 / share of them.
+HEAVY_SHARE = 1e-4
+MASK = "[SECRET]"
+
+
+def _hinted(text: Column, kind: str, found: Column) -> Column:
+    """``found`` where the text can hold a match; otherwise null, and no regex runs."""
+    if kind not in HINTS:
+        return found
+    held = F.lower(text) if kind == "assign" else text
+    return F.when(reduce(Column.__or__, [held.contains(x) for x in HINTS[kind]]), found)
+
+
+def _matches(text: Column, kind: str) -> Column:
+    """Structs (gap, whole, value) of a kind in order, null where there is none; the last has no match.
+
+    ``split`` yields what lies between the matches of the same pattern that ``regexp_extract_all`` yields: ``gap`` is the
+    text before a match, and the place of a match is the running sum of the lengths before it.
+    """
+    pattern, group = LONG_ENOUGH.get(kind, PATTERNS[kind]), VALUE_GROUP[kind]
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    return _hinted(text, kind, F.when(text.rlike(pattern), F.arrays_zip(
+        F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), value.alias("value"))))
+
+
+def _hash(value: Column) -> Column:
+    return F.unhex(F.md5(value))
+
+
+def _live(value: Column) -> Column:
+    return (value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+            & (F.size(F.array_distinct(F.split(value, ""))) >= LIVE_CHARACTERS))
+
+
+def candidates(docs: DataFrame, text: str, *keep: Column) -> DataFrame:
+    """One row per match of a base pattern in the whole texts, and one (rank null) per document without any.
+
+    Columns: what ``keep`` names, and rank, place, gap, size, value_size, hash, live.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+
+    def sizes(rank: int, kind: str) -> Column:
+        made = F.transform(F.filter(_matches(body, kind), lambda x: x["whole"].isNotNull()), lambda x, i: F.struct(
+            F.lit(rank).alias("rank"), i.alias("place"), F.char_length(x["gap"]).alias("gap"),
+            F.char_length(x["whole"]).alias("size"), F.char_length(x["value"]).alias("value_size"),
+            _hash(x["value"]).alias("hash"), _live(x["value"]).alias("live")))
+        return F.coalesce(made, F.array().cast(MATCHES))
+
+    found = F.concat(*[sizes(rank, kind) for rank, kind in enumerate(PATTERNS)])
+    return docs.select(*keep, F.explode_outer(found).alias("x")).select("*", "x.*").drop("x")
+
+
+MATCHES = "array<struct<rank:int,place:int,gap:int,size:int,value_size:int,hash:binary,live:boolean>>"
+ENOUGH = F.element_at(F.array(*[F.lit(LEAST_LENGTH[kind]) for kind in PATTERNS]), F.col("rank") + 1) <= F.col("value_size")
+
+
+def ownership(spans: DataFrame, owners: int = EXAMPLE_OWNERS, repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
+    """(hash, n_owners, n_repositories, n_spans, verdict) of every candidate value of the corpus.
+
+    ``spans`` has owner, repository, hash and live.  Counts of distinct holders are sums over combined rows, so a value
+    that a third of all documents hold costs each task one row per holder.
+    """
+    held = spans.groupBy("hash", "owner", "repository").agg(F.count("*").alias("n"), F.max("live").alias("live"))
+    by_owner = held.groupBy("hash", "owner").agg(F.count("*").alias("r"), F.sum("n").alias("n"), F.max("live").alias("live"))
+    by_value = by_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("r").alias("n_repositories"),
+                                            F.sum("n").alias("n_spans"), F.max("live").alias("looks_live"))
+    copied = (F.col("n_owners") >= owners) | (F.col("n_repositories") >= repositories)
+    return by_value.withColumn("verdict", F.when(copied, F.lit("example")).when(F.col("looks_live"), F.lit("live"))).drop("looks_live")
+
+
+def judged(spans: DataFrame, values: DataFrame) -> DataFrame:
+    """Each span with its value's counts and verdict.
+
+    Values above ``HEAVY_SHARE`` of all spans are fewer than 1 / HEAVY_SHARE and go to every task; the rest is joined
+    by a shuffle in which no value has more than that share of the rows.
+    """
+    total = values.agg(F.sum("n_spans")).first()[0] or 0
+    heavy = F.col("n_spans") > total * HEAVY_SHARE
+    return spans.join(F.broadcast(values.filter(heavy)), "hash").unionByName(spans.join(values.filter(~heavy), "hash"))
+
+
+def _holder(x: Column | str) -> Column:
+    return F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit("")).cast("string")
+
+
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: Column | str = "source",
+         repository: Column | str | None = None, owners: int = EXAMPLE_OWNERS,
+         repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
+    """One row per document: (doc_id, n_assign, n_access, n_hex, n_live, n_example, base, spans).
+
+    ``base`` lists the base spans as ``kind:start:end``, by start and kind; ``spans`` also lists, as ``live`` or
+    ``example``, the place of each value that the ownership of its hash over the corpus decides.  Null texts are empty
+    and have no spans; a null owner or repository is one of its own; repeated rows each get their row, and count as one
+    holder; an empty table gives an empty result; other columns are ignored.
+    """
+    found = stored(candidates(
+        docs.select(F.col(doc_id).alias("doc_id"), _holder(owner).alias("owner"),
+                    _holder(owner if repository is None else repository).alias("repository"), F.col(text).alias("text"),
+                    F.monotonically_increasing_id().alias("row")),
+        "text", F.col("row"), F.col("doc_id"), F.col("owner"), F.col("repository")), "secrets")
+    before = Window.partitionBy("row", "rank").orderBy("place")
+    placed = found.filter(F.col("rank").isNotNull()).withColumn("end", F.sum(F.col("gap") + F.col("size")).over(before).cast("int"))
+    enough = placed.filter(ENOUGH)
+    values = stored(ownership(found.filter(ENOUGH), owners, repositories), "owners")
+    each = judged(enough, values).select("row", "doc_id", "rank", "end", "size", "value_size", "verdict").unionByName(
+        placed.filter(~ENOUGH).select("row", "doc_id", F.lit(None).cast("int").alias("rank"), "end", "size", "value_size",
+                                      F.lit(None).cast("string").alias("verdict")))
+    base = F.when(F.col("rank").isNotNull(), F.struct((F.col("end") - F.col("size")).alias("start"), "rank", "end"))
+    rank = F.when(F.col("verdict") == VERDICTS[0], len(PATTERNS)).when(F.col("verdict") == VERDICTS[1], len(PATTERNS) + 1)
+    added = F.when(rank.isNotNull(), F.struct((F.col("end") - F.col("value_size")).alias("start"), rank.alias("rank"), "end"))
+    spans = each.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(base)).alias("base"),
+                                    F.collect_set(added).alias("added"))
+    names = F.array(*[F.lit(x) for x in (*PATTERNS, *VERDICTS)])
+
+    def listed(x: Column) -> Column:
+        return F.array_join(F.transform(x, lambda s: F.concat_ws(
+            ":", F.element_at(names, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(x: str, rank: int) -> Column:
+        return F.size(F.filter(x, lambda s: s["rank"] == rank)).cast("long")
+
+    with_spans = spans.select(
+        "doc_id", *[count("base", rank).alias(f"n_{kind}") for rank, kind in enumerate(PATTERNS)],
+        *[count("added", len(PATTERNS) + rank).alias(f"n_{kind}") for rank, kind in enumerate(VERDICTS)],
+        listed(F.col("base")).alias("base"), listed(F.array_sort(F.concat("base", "added"))).alias("spans"))
+    without = found.filter(F.col("rank").isNull()).select(
+        "doc_id", *[F.lit(0).cast("long").alias(f"n_{kind}") for kind in (*PATTERNS, *VERDICTS)],
+        F.lit("").alias("base"), F.lit("").alias("spans"))
+    return with_spans.unionByName(without)
+
+
+def mask(docs: DataFrame, text: str = "text", owner: Column | str = "source", repository: Column | str | None = None,
+         length: str | None = "n_chars", **limits: int) -> DataFrame:
+    """``docs`` with every live value of every text replaced by ``MASK``; all rows and columns stay.
+
+    Widely copied examples stay as they are.  ``length``, if the table has that column, is set to the new length of a
+    changed text.  Only texts that hold a match move; all others pass through the scan.
+    """
+    columns = docs.columns
+    body = F.coalesce(F.col(text), F.lit(""))
+    holds = reduce(Column.__or__, [F.coalesce(_hinted(body, kind, body.rlike(LONG_ENOUGH.get(kind, PATTERNS[kind]))), F.lit(False))
+                                   for kind in PATTERNS])
+    some = stored(docs.filter(holds).select(
+        F.monotonically_increasing_id().alias("row"), F.struct(*columns).alias("doc"), body.alias("body"),
+        _holder(owner).alias("owner"), _holder(owner if repository is None else repository).alias("repository")), "secrets")
+    spans = candidates(some, "body", F.col("row"), F.col("owner"), F.col("repository")).filter(ENOUGH)
+    values = stored(ownership(spans, **limits), "owners")
+    live = judged(spans, values).filter(F.col("verdict") == VERDICTS[0]).groupBy("row").agg(F.collect_set("hash").alias("live"))
+    now = some.join(live, "row", "left")
+    for kind in PATTERNS:
+        def covered(x: Column) -> Column:
+            kept = F.left(x["whole"], F.char_length(x["whole"]) - F.char_length(x["value"]))
+            return F.concat(x["gap"], F.coalesce(F.when(F.array_contains("live", _hash(x["value"])), F.concat(kept, F.lit(MASK)))
+                                                 .otherwise(x["whole"]), F.lit("")))
+
+        changed = F.array_join(F.transform(_matches(F.col("body"), kind), covered), "")
+        now = now.withColumn("body", F.when(F.col("live").isNotNull(), F.coalesce(changed, "body")).otherwise(F.col("body")))
+    cells = {c: F.col(f"doc.{c}") for c in columns}
+    cells[text] = F.when(F.col("live").isNotNull(), F.col("body")).otherwise(cells[text])
+    if length in cells:
+        cells[length] = F.when(F.col("live").isNotNull(), F.char_length("body").cast(docs.schema[length].dataType)).otherwise(cells[length])
+    return now.select(*[x.alias(c) for c, x in cells.items()]).unionByName(docs.filter(~holds))
