@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secrets, sharding
+from . import packing, pieces, secrets, sharding, toxicity
 from .common import table
 
+#: Vocabulary files of public tokenizers; they are read where they are installed, never copied.
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -19,6 +24,11 @@ def query(run: Query) -> Query:
     return run
 
 
+@query
+def op1_sum_of_squares_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 @query
 def op2_stratified_shards(spark, sf_dir):
     placed = sharding.shard(table(spark, sf_dir, "documents"))
@@ -32,3 +42,20 @@ def op3_secret_ownership(spark, sf_dir):
     found = secrets.scan(table(spark, sf_dir, "documents"), repository=F.concat_ws("/", "source", "lang"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans",
                         "n_live", "n_example")
+
+
+@query
+def op5_offset_pieces(spark, sf_dir):
+    coded = pieces.encode(table(spark, sf_dir, "documents"), PIECE_BPE)
+    # Pieces lie side by side: what they cover is the sum of their lengths.
+    covered = F.aggregate(F.zip_with("ends", "begins", lambda e, b: (e - b).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"), covered.alias("covered_bytes"))
+
+
+@query
+def op7_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
