@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pieces, secrets, sharding, toxicity
+from . import jaccard, packing, pieces, secrets, sharding, toxicity
 from .common import table
 
 #: Vocabulary files of public tokenizers; they are read where they are installed, never copied.
@@ -59,3 +59,8 @@ def op7_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, table(spark, sf_dir, "labels"))
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+@query
+def op8_size_aware_jaccard(spark, sf_dir):
+    return jaccard.similar(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
