@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, packing, pieces, secrets, sharding, toxicity
+from . import extraction, jaccard, packing, pieces, secrets, sharding, toxicity
 from .common import table
 
 #: Vocabulary files of public tokenizers; they are read where they are installed, never copied.
@@ -64,3 +64,8 @@ def op7_toxicity(spark, sf_dir):
 @query
 def op8_size_aware_jaccard(spark, sf_dir):
     return jaccard.similar(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op9_main_text(spark, sf_dir):
+    return extraction.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
