@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extraction, jaccard, packing, pieces, secrets, sharding, toxicity
+from . import extraction, jaccard, packing, pieces, secrets, sharding, topk, toxicity, transcripts
 from .common import table
 
 #: Vocabulary files of public tokenizers; they are read where they are installed, never copied.
@@ -69,3 +69,16 @@ def op8_size_aware_jaccard(spark, sf_dir):
 @query
 def op9_main_text(spark, sf_dir):
     return extraction.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query
+def op6_cover_tree_top5(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+@query
+def op10_transcript_roles(spark, sf_dir):
+    """Roles are learned from four fifths of the conversations and recovered, without looking at them, in all."""
+    rows = table(spark, sf_dir, "conversations")
+    model = transcripts.train(rows.filter(~toxicity.held_out("conv_id")))
+    return transcripts.parse(rows.drop("role"), model)
