@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extraction, jaccard, packing, pieces, secrets, sharding, topk, toxicity, transcripts
+from . import extraction, hnsw, jaccard, packing, pieces, secrets, sharding, topk, toxicity, transcripts
 from .common import table
 
 #: Vocabulary files of public tokenizers; they are read where they are installed, never copied.
@@ -82,3 +82,8 @@ def op10_transcript_roles(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
     model = transcripts.train(rows.filter(~toxicity.held_out("conv_id")))
     return transcripts.parse(rows.drop("role"), model)
+
+
+@query
+def op4_small_world_near_dups(spark, sf_dir):
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
