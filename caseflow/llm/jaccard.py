@@ -298,3 +298,20 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     without = rows.filter("n = 0").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"),
                                           F.lit(True).alias("first"))
     return with_set.unionByName(without)
+
+
+def first_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row of each component of ``similar``, whole, with all its columns; texts without words all stay.
+
+    Rows to leave out are found by id and MD5 of the text.  Texts pass through the scan where the list of rows to leave out
+    was counted to be short, and through a shuffle where it is long.
+    """
+    found = stored(similar(docs, doc_id, text, words, percent).filter("n_shingles > 0").groupBy("doc_id", "text_key").agg(
+        F.count("*").alias("copies"), F.max("first").alias("first")), "copies")
+    key = F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    of = F.col(doc_id).cast("long").eqNullSafe(F.col("of_id")) & (key == F.col("of_key"))
+    named = found.withColumnsRenamed({"doc_id": "of_id", "text_key": "of_key"})
+    rest = docs.join(small(named.filter("not first").select("of_id", "of_key")), of, "left_anti")
+    repeated = small(named.filter("first and copies > 1").select("of_id", "of_key"))
+    once = rest.join(repeated, of, "left_semi").withColumn("of_key", key).dropDuplicates([doc_id, "of_key"]).drop("of_key")
+    return rest.join(repeated, of, "left_anti").unionByName(once)

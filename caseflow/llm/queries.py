@@ -24,6 +24,11 @@ def query(run: Query) -> Query:
     return run
 
 
+def repository():
+    """A source's documents of one language stand for a repository, the source for its owner."""
+    return F.concat_ws("/", "source", "lang")
+
+
 @query
 def op1_sum_of_squares_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
@@ -38,8 +43,7 @@ def op2_stratified_shards(spark, sf_dir):
 
 @query
 def op3_secret_ownership(spark, sf_dir):
-    """Owners are the sources; a source's documents of one language stand for a repository."""
-    found = secrets.scan(table(spark, sf_dir, "documents"), repository=F.concat_ws("/", "source", "lang"))
+    found = secrets.scan(table(spark, sf_dir, "documents"), repository=repository())
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans",
                         "n_live", "n_example")
 

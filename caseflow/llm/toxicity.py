@@ -139,3 +139,9 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     of = scorer(docs, train(docs, labels, doc_id, text, label, rows))
     scored = docs.withColumn("score", of(F.col(text).cast("string")))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def clean(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
+          rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of ``docs`` that are not predicted to be toxic, with their own columns."""
+    return docs.filter(scorer(docs, train(docs, labels, doc_id, text, label, rows))(F.col(text).cast("string")) < 0.5)
