@@ -86,7 +86,7 @@ def candidates(docs: DataFrame, text: str, *keep: Column) -> DataFrame:
 
 
 MATCHES = "array<struct<rank:int,place:int,gap:int,size:int,value_size:int,hash:binary,live:boolean>>"
-ENOUGH = F.element_at(F.array(*[F.lit(LEAST_LENGTH[kind]) for kind in PATTERNS]), F.col("rank") + 1) <= F.col("value_size")
+ENOUGH = "element_at(array(" + ", ".join(str(LEAST_LENGTH[kind]) for kind in PATTERNS) + "), rank + 1) <= value_size"
 
 
 def ownership(spans: DataFrame, owners: int = EXAMPLE_OWNERS, repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
@@ -138,7 +138,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: Col
     enough = placed.filter(ENOUGH)
     values = stored(ownership(found.filter(ENOUGH), owners, repositories), "owners")
     each = judged(enough, values).select("row", "doc_id", "rank", "end", "size", "value_size", "verdict").unionByName(
-        placed.filter(~ENOUGH).select("row", "doc_id", F.lit(None).cast("int").alias("rank"), "end", "size", "value_size",
+        placed.filter(f"not ({ENOUGH})").select("row", "doc_id", F.lit(None).cast("int").alias("rank"), "end", "size", "value_size",
                                       F.lit(None).cast("string").alias("verdict")))
     base = F.when(F.col("rank").isNotNull(), F.struct((F.col("end") - F.col("size")).alias("start"), "rank", "end"))
     rank = F.when(F.col("verdict") == VERDICTS[0], len(PATTERNS)).when(F.col("verdict") == VERDICTS[1], len(PATTERNS) + 1)
