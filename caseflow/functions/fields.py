@@ -44,7 +44,7 @@ def detected_case_id(text: Column, rules: Sequence[R.Rule] = R.CASE_ID_RULES) ->
 def fallback_case_id(source: Column, ingest_seq: Column, text: Column) -> Column:
     """A stable id, so that a retried task names the case the same way."""
     key = F.concat_ws("|", source, ingest_seq.cast("string"), text)
-    return F.concat(F.lit("CASE-"), F.substring(F.md5(key), 1, 16))
+    return F.concat(F.lit("CASE-"), F.md5(key))
 
 
 def environment(text: Column, rules: Sequence[R.Rule] = R.ENVIRONMENT_RULES) -> Column:

@@ -20,8 +20,6 @@ BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 # A pattern that surely starts / ends with a word character needs only a one-sided boundary.
 _STARTS_WORD = re.compile(r"(\(\?:)?(\w|\\d|\[(?:\w-\w)+\])")
 _ENDS_WORD = re.compile(r"(?:(?<!\\)\w|\\d(?:\{[^}]*\})?|\[(?:\w-\w)+\](?:\+|\{[^}]*\})?)$")
-# A run of word characters, dots and dashes up to an at sign: the run cannot contain the sign, so it has one length.
-_RUN_TO_AT = re.compile(r"\[(?:\\w|[.-])+\]\+@")
 
 
 def _word_boundary(before: str, after: str) -> str:
@@ -36,8 +34,7 @@ def _word_boundary(before: str, after: str) -> str:
         return peek + r"(?<!\w)"
     if _ENDS_WORD.search(before):
         return r"(?!\w)"
-    run = _RUN_TO_AT.match(after)
-    return (f"(?={run.group()[:-1]}+@)" if run else "") + BOUNDARY
+    return BOUNDARY
 
 
 def java_regex(pattern: str, ignore_case: bool = False) -> str:
@@ -69,6 +66,11 @@ def java_regex(pattern: str, ignore_case: bool = False) -> str:
 
 
 def rule_regex(rule) -> str:
+    """The Java regex of a rule.  With a ``lead`` the match itself is group 2 and group 1 stands before it."""
+    if getattr(rule, "java", ""):
+        return rule.java
+    if getattr(rule, "lead", None) is not None:
+        return ("(?i)" if rule.ignore_case else "") + f"({rule.lead})({java_regex(rule.pattern)})"
     return java_regex(rule.pattern, rule.ignore_case)
 
 
@@ -116,8 +118,8 @@ def word_count(text: Column) -> Column:
 
 
 def extract(text: Column, regex: str, group: int = 0) -> Column:
-    """First match, or NULL."""
-    return F.nullif(F.regexp_extract(text, regex, group), F.lit(""))
+    """First match, or NULL where there is none or it is empty; the regex runs once."""
+    return F.get(F.filter(F.array(F.regexp_extract(text, regex, group)), lambda x: x != ""), 0)
 
 
 def extract_all(text: Column, regex: str, group: int = 0) -> Column:

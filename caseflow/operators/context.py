@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..functions.text import iso_instant, shorten
+from ..functions.text import SPACE, iso_instant, once, shorten
 from ..policy import PolicyConfig, PolicyViolation
 from .cases import get_cases, latest, with_mappings
 from .redact import rehydrated
@@ -63,8 +63,10 @@ def export_rows(contexts: DataFrame, ids: Sequence[str] | DataFrame) -> DataFram
 def context_pack(rows: DataFrame, generated_at: Column | None = None) -> DataFrame:
     """Fold ordered context rows (``pos`` first) into one document row.
 
-    The document is a single value: use it for a list of ids or a top-k search and keep ``export_rows`` for tables.
+    The document is a single value, for a list of ids or a top-k search: more than ``MOST_IN_DOCUMENT`` rows are an error.
+    ``context_documents`` writes a table of any size in parallel.
     """
+    rows = _bounded(rows)
     ordered = F.array_sort(F.collect_list(F.struct("pos", F.struct(*CONTEXT_COLUMNS).alias("context"))))
     return (rows.withColumn("environment", F.map_entries("environment"))
             .agg(ordered.alias("_rows"))
@@ -90,6 +92,21 @@ def search_rows(found: DataFrame) -> DataFrame:
     return found.select(F.struct(-F.col("score"), "first_seq").alias("pos"), *CONTEXT_COLUMNS)
 
 
+MOST_IN_DOCUMENT = 10_000
+
+
+def _bounded(rows: DataFrame) -> DataFrame:
+    """``rows``, checked to fit one document while they are read."""
+    if rows.limit(MOST_IN_DOCUMENT + 1).count() > MOST_IN_DOCUMENT:
+        raise ValueError(f"more than {MOST_IN_DOCUMENT} contexts do not make one document, use context_documents")
+    return rows
+
+
+def context_documents(rows: DataFrame) -> DataFrame:
+    """One JSON document per context row (pos, json): the form for tables, without a common document."""
+    return rows.select("pos", F.to_json(F.struct(F.lit(CONTEXT_TYPE).alias("context_type"), *CONTEXT_COLUMNS)).alias("json"))
+
+
 def _joined(rows: DataFrame, text: Column, separator: str) -> Column:
     ordered = F.array_sort(F.collect_list(F.struct(F.col("pos"), text.alias("text"))))
     return F.array_join(F.transform(ordered, lambda r: r["text"]), separator)
@@ -97,6 +114,7 @@ def _joined(rows: DataFrame, text: Column, separator: str) -> Column:
 
 def render_search(rows: DataFrame, query: str) -> DataFrame:
     """Search results as one text listing."""
+    rows = _bounded(rows)
     text = F.concat(
         F.lit("**"), F.col("case_id"), F.lit("**: "), F.col("summary"),
         F.lit("\nTags: "), F.array_join("tags", ", "),
@@ -107,6 +125,7 @@ def render_search(rows: DataFrame, query: str) -> DataFrame:
 
 def render_context(rows: DataFrame) -> DataFrame:
     """Contexts as one markdown text."""
+    rows = _bounded(rows)
     environment = F.array_join(F.transform(
         F.map_entries("environment"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), ", ")
     text = F.concat(
@@ -119,10 +138,29 @@ def render_context(rows: DataFrame) -> DataFrame:
                              _joined(rows, text, "\n---\n\n")).alias("text"))
 
 
+def chunk_context(df: DataFrame, text: str = "content_redacted", size: int = R.CHUNK_WORDS[0]) -> DataFrame:
+    """Each text in chunks of ``size`` words, as rows (chunk, chunk_text) beside the other columns.
+
+    A chunk repeats the last words of the one before: a tenth of the size, but no fewer than ``CHUNK_OVERLAP``.  A text
+    without words has no chunk.
+    """
+    low, high = R.CHUNK_WORDS
+    if not low <= size <= high:
+        raise ValueError(f"chunks have {low} to {high} words, not {size}")
+    overlap = max(size // 10, R.CHUNK_OVERLAP)
+    words = F.array_remove(F.split(F.col(text), f"[{SPACE}]+", -1), "")
+    counted = once(df, df.columns, _words=words)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("_words") - overlap - 1, F.lit(0)), F.lit(size - overlap))
+    chunks = F.transform(starts, lambda at: F.array_join(F.slice("_words", at + 1, size), " "))
+    return counted.filter(F.size("_words") > 0).select(*df.columns, F.posexplode(chunks).alias("chunk", "chunk_text"))
+
+
 def get_full(cases: DataFrame, vault: DataFrame, ids: Sequence[str] | DataFrame, policy: PolicyConfig,
              context: bool = False) -> DataFrame:
     """Cases with ``content_full``, their original text; NULL for a case without mappings.
 
+    Where an input already held token-like text (``token_collision``) the restored text may differ from it.
+
     ``context`` wins and returns contexts.  If the policy forbids restoring and any requested case has mappings, nothing
     is returned.  The result holds originals: it is lazy and never written here.
     """
@@ -133,5 +171,5 @@ def get_full(cases: DataFrame, vault: DataFrame, ids: Sequence[str] | DataFrame,
     if not policy.allow_full_rehydration:
         if not get_cases(mapped, ids).select("case_id").limit(1).isEmpty():
             raise PolicyViolation(f"full rehydration is not permitted under profile {policy.profile!r}")
-    full = F.when(F.size("mappings") > 0, rehydrated(F.col("content_redacted"), F.col("mappings")))
+    full = F.when(F.size("mappings") > 0, rehydrated(F.col("content_redacted"), F.col("mappings"), newest_first=True))
     return with_mappings(wanted, mapped).withColumn("content_full", full).drop("mappings")

@@ -52,8 +52,12 @@ def compress_logs(df: DataFrame, text: str = "content", into: str = "content_com
 def log_pattern_counts(df: DataFrame, text: str = "content", case: str = "case_id") -> DataFrame:
     """Per normalised line over all cases: how often it occurs and in how many cases.
 
-    Both counts combine before the shuffle, so a line that is everywhere costs one row per task.
+    What is counted per line and case is a 128-bit hash of the line.  The lines themselves are shuffled once per task and
+    distinct line, and joined by hash.
     """
-    keys = df.select(case, F.explode(F.split(normalized_lines(F.col(text)), "\n", -1)).alias("pattern"))
-    return keys.groupBy("pattern").agg(
-        F.count("*").alias("occurrences"), F.count_distinct(case).alias("cases"))
+    lines = df.select(case, F.explode(F.split(normalized_lines(F.col(text)), "\n", -1)).alias("pattern"))
+    of = F.unhex(F.md5("pattern")).alias("_hash")
+    pairs = lines.select(case, of).groupBy("_hash", case).agg(F.count("*").alias("n"))
+    counts = pairs.groupBy("_hash").agg(F.sum("n").alias("occurrences"), F.count(case).alias("cases"))
+    patterns = lines.select("pattern").distinct().select("pattern", of)
+    return counts.join(patterns, "_hash").select("pattern", "occurrences", "cases")

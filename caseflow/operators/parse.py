@@ -98,7 +98,7 @@ def ingest(
 
 def cases_of(ingested: DataFrame) -> DataFrame:
     """The case rows of an ingest, without raw text and without mappings."""
-    extra = [c for c in ("discussion", "token_collision", "content_md5") if c in ingested.columns]
+    extra = [c for c in ("discussion", "token_collision", "content_md5", "first_seq") if c in ingested.columns]
     return ingested.select(*CASE_COLUMNS, *extra)
 
 

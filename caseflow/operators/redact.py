@@ -23,8 +23,12 @@ _MARKS = [chr(0xFDD0 + i) for i in range(8)]
 
 
 def _unused_mark(text: Column) -> Column:
+    """A mark that the text does not hold: a single character, or for a text that holds them all the first one followed
+    by one more of the second than the text has in a row."""
+    first, second = _MARKS[:2]
+    longest = F.array_max(F.transform(F.regexp_extract_all(text, F.lit(second + "+"), F.lit(0)), F.length))
     choices = [F.when(~F.contains(text, F.lit(m)), F.lit(m)) for m in _MARKS]
-    return F.coalesce(*choices, F.when(text.isNotNull(), F.raise_error(F.lit("text uses every cut mark"))))
+    return F.coalesce(*choices, F.concat(F.lit(first), F.repeat(F.lit(second), longest + 1)))
 
 
 def _near(words: Sequence[str], window: int) -> str:
@@ -54,9 +58,9 @@ def _let(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _pieces(regex: str) -> str:
+def _pieces(regex: str, lead: bool) -> str:
     """The text between the matches.  Splitting at a single character avoids compiling the regex for every row."""
-    return f"split(regexp_replace(s.t, {quoted(regex)}, _mark), _mark, -1)"
+    return f"split(regexp_replace(s.t, {quoted(regex)}, {chr(39) + '$1' + chr(39) + ' || ' if lead else ''}_mark), _mark, -1)"
 
 
 def _interleaved(separators: str, pieces: str) -> str:
@@ -68,7 +72,8 @@ def _step(rule: R.PiiRule, try_it: str, continued: bool, pseudonym: str | None)
     regex = rule_regex(rule)
     # Numbers go on where an earlier rule with the same token stopped.
     before = f"size(filter(s.m, e -> startswith(e.token, '[{rule.token}_')))" if continued else "0"
-    pieces = _pieces(regex)
+    lead = rule.lead is not None
+    pieces = _pieces(regex, lead)
     if rule.context:
         cuts = "zip_with(a, ok, (m, k) -> if(k != '', _mark, m))"
         pieces = f"split({_interleaved(cuts, pieces)}, _mark, -1)"
@@ -81,7 +86,7 @@ def _step(rule: R.PiiRule, try_it: str, continued: bool, pseudonym: str | None)
                     f"struct(concat('[{rule.token}_', n + 1 + {before}, ']') as token, x as original)))")
     rebuilt = f"if(size(f) > 0, struct({text} as t, {mappings} as m), s)"
     if not rule.context:
-        return f"if({try_it}, {_let('f', f'regexp_extract_all(s.t, {quoted(regex)}, 0)', rebuilt)}, s)"
+        return f"if({try_it}, {_let('f', f'regexp_extract_all(s.t, {quoted(regex)}, {2 * lead})', rebuilt)}, s)"
     words, whole = quoted("(?iu)" + "|".join(re.escape(w) for w in rule.context)), quoted(_context_regex(rule))
     accepted = _let("ok", f"regexp_extract_all(s.t, {whole}, 1)", _let("f", "array_remove(ok, '')", rebuilt))
     found = _let("a", f"regexp_extract_all(s.t, {whole}, 0)", f"if(size(a) > 0, {accepted}, s)")
@@ -148,7 +153,8 @@ def redact_legacy(df: DataFrame, text: str = "content", **names) -> DataFrame:
 def rehydrated(text: Column, mappings: Column, newest_first: bool = False) -> Column:
     """Replace every token by its original, literally, in mapping order.
 
-    ``newest_first`` goes through the mappings backwards, which also restores tokens swallowed by a later match.
+    ``newest_first`` goes through the mappings backwards, which also restores tokens swallowed by a later match: with
+    packs in which a rule's pattern can match a token, or a part of one, it is needed.
     """
     ordered = F.reverse(mappings) if newest_first else mappings
     return F.aggregate(F.coalesce(ordered, F.array().cast(MAPPINGS_TYPE)), text,

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -17,7 +16,6 @@ from .context import CONTEXT_COLUMNS, context_columns
 
 RESULT_COLUMNS = ("case_id", "score", "matches", "summary", "tags", "created_at")
 DEFAULT_LIMIT = 10
-PARTS_PER_QUERY = 64
 
 
 def lowered_fields() -> dict[str, Column]:
@@ -94,28 +92,26 @@ def search_history(history: DataFrame, query: str, limit: int = DEFAULT_LIMIT, a
 def _top_per_query(hits: DataFrame, limit: int) -> DataFrame:
     """The best ``limit`` hits of every query.
 
-    Up to the optimizer's threshold Spark already cuts each task's rows to ``limit`` per query before the shuffle.  For
-    larger limits the hits of a query are first ranked in parts, so that a query matching a third of all cases is not
-    sorted in one task; the final ranking then sees at most ``limit`` rows per part.
+    The hits of a query are ranked in as many parts as there are shuffle partitions, so that a query that a third of all
+    cases match is not sorted in one task; the final ranking sees at most ``limit`` rows per part.
     """
     order = (F.desc("score"), F.asc("first_seq"))
-    threshold = int(hits.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
-    if limit > threshold:
-        part = F.pmod(F.xxhash64("case_id"), F.lit(PARTS_PER_QUERY))
-        hits = (hits.withColumn("_part", part)
-                .withColumn("_rank", F.row_number().over(W.partitionBy("query_no", "_part").orderBy(*order)))
-                .filter(F.col("_rank") <= limit).drop("_part", "_rank"))
+    parts = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hits = (hits.withColumn("_part", F.pmod(F.xxhash64("case_id"), F.lit(parts)))
+            .withColumn("_rank", F.row_number().over(W.partitionBy("query_no", "_part").orderBy(*order)))
+            .filter(F.col("_rank") <= limit).drop("_part", "_rank"))
     return (hits.withColumn("rank", F.row_number().over(W.partitionBy("query_no").orderBy(*order)))
             .filter(F.col("rank") <= limit))
 
 
-def _hits(cases: DataFrame, queries: list[tuple[int, str]], accumulate: bool) -> DataFrame:
+def _hits(cases: DataFrame, queries: list[tuple[int, str]], accumulate: bool, per_pass: int) -> DataFrame:
     narrow = ["case_id", "summary", "tags", "created_at", "first_seq"]
     names = [name for name, _ in R.SEARCH_WEIGHTS]
     # Lower-casing happens once per case, not once per case and query.
     lowered = once(cases, narrow, **{f"_{n}": c for n, c in lowered_fields().items()})
-    wanted = F.array(*[F.struct(F.lit(i).alias("query_no"), F.lit(q).alias("query"), F.lower(F.lit(q)).alias("needle"))
-                       for i, q in queries])
+    phrases = [F.struct(F.lit(i).alias("query_no"), F.lit(q).alias("query"), F.lower(F.lit(q)).alias("needle")) for i, q in queries]
+    passes = [F.array(*phrases[k:k + per_pass]) for k in range(0, len(phrases), per_pass)]
+    lowered = lowered.withColumn("_wanted", F.explode(F.array(*passes)))
 
     def count(q: Column) -> Column:
         hits = field_hits({n: F.col(f"_{n}") for n in names}, q["needle"], accumulate)
@@ -125,7 +121,7 @@ def _hits(cases: DataFrame, queries: list[tuple[int, str]], accumulate: bool) ->
     def any_hit(r: Column) -> Column:
         return F.greatest(*[r[n] for n in names]) > 0
 
-    found = once(lowered, narrow, _found=F.filter(F.transform(wanted, count), any_hit))
+    found = once(lowered, narrow, _found=F.filter(F.transform("_wanted", count), any_hit))
     one = found.select(*narrow, F.explode("_found").alias("_hit"))
     seen = {n: F.col(f"_hit.{n}") for n in names}
     return one.select("_hit.query_no", "_hit.query", *narrow, score_of(seen).alias("score"),
@@ -137,13 +133,12 @@ def search_batch(cases: DataFrame, queries: Sequence[str], limit: int = DEFAULT_
     """``search`` for many phrases: ``query_no``, ``query``, ``rank`` and the result columns.
 
     Each case is scored against a list of phrases in place and only hits leave the row, so cases and phrases are never
-    paired up.  Longer lists take several passes over the cases, ``per_pass`` phrases each.
+    paired up.  A longer list is cut: a case, prepared once, goes through it ``per_pass`` phrases at a time.
     """
     if limit < 0:
         raise ValueError(f"limit must not be negative: {limit}")
     numbered = list(enumerate(queries))
     if not numbered:
         raise ValueError("no queries given")
-    passes = [_hits(cases, numbered[i:i + per_pass], accumulate) for i in range(0, len(numbered), per_pass)]
     columns = ["query_no", "query", "rank", *RESULT_COLUMNS, "first_seq"]
-    return _top_per_query(reduce(DataFrame.unionByName, passes), limit).select(*columns)
+    return _top_per_query(_hits(cases, numbered, accumulate, per_pass), limit).select(*columns)

@@ -59,8 +59,7 @@ def summary(c: str) -> str:
 def case_id(c: str, detected_first: bool = False) -> str:
     found = ", ".join(f"nullif(regexp_extract({c}, {regex(r)}), '')" for r in R.CASE_ID_RULES)
     known = f"{found}, given_case_id" if detected_first else f"given_case_id, {found}"
-    return (f"coalesce({known}, 'CASE-' || substr(md5(source || '|' || CAST(ingest_seq AS VARCHAR) || '|' || {c}), "
-            f"1, 16))")
+    return f"coalesce({known}, 'CASE-' || md5(source || '|' || CAST(ingest_seq AS VARCHAR) || '|' || {c}))"
 
 
 def joined(values: str) -> str:
@@ -365,7 +364,7 @@ def _hmac(value: str) -> str:
 
 
 def _hash_step(rule, i: int, source: str) -> str:
-    name = f"'__{rule.token}_' || upper(substr({_hmac('a[k - 1]')}, 1, 16)) || '__'"
+    name = f"'__{rule.token}_' || upper({_hmac('a[k - 1]')}) || '__'"
     return f"""r{i} AS MATERIALIZED (
   SELECT * EXCLUDE (t, a, sp), CAST([] AS VARCHAR[]) AS m{i}, array_to_string(list_transform(sp, lambda x, k:
       CASE WHEN k = 1 THEN x ELSE {name} || x END), '') AS t
@@ -427,7 +426,7 @@ words AS (SELECT ingest_seq, unnest(w) AS x, generate_subscripts(w, 1) AS pos
   FROM (SELECT ingest_seq, {_WORDS} AS w FROM red)),
 firsts AS (SELECT ingest_seq, x, min(pos) AS pos FROM words GROUP BY ingest_seq, x)
 SELECT CAST(ingest_seq AS VARCHAR) AS case_id,
-  string_agg(substr(sha256(x), 1, {16}), '|' ORDER BY pos) AS fingerprint FROM firsts GROUP BY ingest_seq"""
+  string_agg(sha256(x), '|' ORDER BY pos) AS fingerprint FROM firsts GROUP BY ingest_seq"""
 ORACLES["linked_items"] = f"""WITH {LEAD}
 SELECT DISTINCT {case_id('content')} AS case_id,
   unnest(regexp_extract_all(content, {text(re2(R.LINKED_ITEM_PATTERN))}, 1)) AS item_id FROM raw"""
@@ -447,7 +446,7 @@ _ARRIVED = "SELECT source, doc_id AS ingest_seq, 'Support note: ' || text AS con
 ORACLES["stream_ingest"] = f"""WITH raw AS MATERIALIZED (SELECT min(source) AS source, min(ingest_seq) AS ingest_seq,
   NULL AS given_case_id, content FROM ({_ARRIVED}) WHERE length(content) >= {R.MIN_CONTENT_LENGTH} GROUP BY content),
 {redaction()}
-SELECT ingest_seq, md5(content) AS content_md5, t AS content_redacted, {word_count('content')} AS word_count FROM red"""
+SELECT md5(content) AS content_md5, t AS content_redacted, {word_count('content')} AS word_count FROM red"""
 ORACLES["stream_dedupe"] = f"SELECT DISTINCT md5(content) AS content_md5 FROM ({_ARRIVED})"
 ORACLES["stream_changed"] = f"SELECT event_id, user_id FROM ({ORACLES['changed_only']})"
 ORACLES["stream_tag_counts"] = f"""WITH {LEAD},
@@ -468,3 +467,32 @@ ORACLES["context_json"] = f"""{WITH_CASES},\n{_found(Q.SEARCH_PHRASE, 10)}
 SELECT 'support_cases' AS context_type, CAST(count(*) AS VARCHAR) AS total_cases,
   arg_max(case_id, score * 1000000000 - first_seq) AS first_case,
   arg_max(summary, score * 1000000000 - first_seq) AS first_summary FROM found"""
+
+for _name, _rules in (("rehydrate_legacy", R.PII_RULES_LEGACY + R.CONTEXT_RULES), ("rehydrate_extended", R.PII_RULES_EXTENDED)):
+    ORACLES[_name] = (_raw_query("content") + " WHERE NOT regexp_matches(content, '\\[(?:"
+                      + "|".join(r.token for r in _rules) + ")_\\d+\\]')")
+ORACLES["strict_gate"] = f"""{WITH_CASES},\n{VAULT},\n{REQUESTS}
+SELECT case_id, ingest_seq, CAST(NULL AS VARCHAR) AS content_full FROM cur
+WHERE case_id IN (SELECT case_id FROM wanted) AND case_id NOT IN (SELECT case_id FROM vault)"""
+ORACLES["chunk_context"] = f"""{WITH_RED},
+words AS (SELECT ingest_seq, {_WORDS} AS w FROM red),
+starts AS (SELECT ingest_seq, w, unnest(range(0, greatest(len(w) - {R.CHUNK_OVERLAP}, 1),
+  {R.CHUNK_WORDS[0] - R.CHUNK_OVERLAP})) AS s FROM words WHERE len(w) > 0)
+SELECT ingest_seq, CAST(s // {R.CHUNK_WORDS[0] - R.CHUNK_OVERLAP} AS BIGINT) AS chunk,
+  array_to_string(w[s + 1:s + {R.CHUNK_WORDS[0]}], ' ') AS chunk_text FROM starts"""
+ORACLES["export_summary"] = f"{WITH_CASES}\nSELECT {CONTEXT} FROM cur"
+ORACLES["export_diagnostic"] = f"""{WITH_CASES}
+SELECT case_id, summary, {joined('tags')} AS tags, content_redacted FROM cur"""
+ORACLES["export_full"] = f"SELECT case_id, content_full FROM ({ORACLES['get_full']})"
+ORACLES["policy_flags"] = """SELECT profile, count(*) AS requests, true AS require_redaction, profile = 'trusted' AS
+  allow_full_rehydration, true AS encrypt_vault, profile = 'strict' AS audit_log, profile = 'strict' AS outbound_scrub
+FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN 'strict' ELSE 'trusted' END AS profile FROM documents) GROUP BY profile"""
+ORACLES["policy_add"] = f"""{WITH_RED}
+SELECT {case_id('content')} AS case_id, ingest_seq, 'add' AS operation, 'strict' AS profile,
+  CAST(len(mappings) AS BIGINT) AS tokens, NOT ({' OR '.join(f'regexp_matches(t, {regex(r)})' for r in R.PII_RULES)})
+  AS pii_free, t AS content_redacted FROM red"""
+ORACLES["policy_export"] = f"SELECT case_id, summary, content_preview FROM ({ORACLES['case_context']})"
+ORACLES["case_files"] = """SELECT doc_id // 1000 AS part, CAST(sum(length(text) + 1) AS BIGINT) AS chars
+FROM documents GROUP BY 1"""
+ORACLES["stream_files"] = ORACLES["case_files"]
+ORACLES["data_size"] = "SELECT count(*) AS documents, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents"

@@ -6,22 +6,25 @@ Results are flat, so that any SQL engine can check them: arrays are joined with
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import asdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules as R
+from .. import workflow
 from ..functions import crypto
 from ..functions import fields as X
 from ..functions.text import lines, trimmed_lines, word_count
 from ..operators import cases as C
 from ..operators import context as K
 from ..operators import governance, logs, parse, redact, search, stats
-from ..policy import TRUSTED, CategoryRule
+from ..policy import STRICT, TRUSTED, CategoryRule, policy
 from ..session import shared_folder, spread
 from ..sources.files import context_json as context_document
-from ..sources.store import export_case_store_json, read_case_store, read_case_store_json, write_case_store
-from ..sources.vault import merge, read_vault, transfer, unseal, write_ingested, write_vault
+from ..sources.files import read_case_files, stream_case_files
+from ..sources.store import export_case_store_json, read_case_store, read_case_store_json, store_size, write_case_store
+from ..sources.vault import merge, read_sealed, read_vault, transfer, unseal, write_ingested, write_vault
 from ..streaming import rollups, stateful
 from ..streaming.monitor import Target, dedupe_seen, monitor
 from .corpus import COLUMNS, raw_cases, table
@@ -82,7 +85,17 @@ def vault_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.current_cases(case_history(spark, sf_dir))
+    """Current cases; which writes are current is known before anything is redacted."""
+    return parse.cases_of(ingest_named(C.current_writes(named(spark, sf_dir))))
+
+
+def named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = parse.reject_blank(raw_cases(spark, sf_dir))
+    return raw.withColumn("case_id", parse.case_id(raw))
+
+
+def ingest_named(writes: DataFrame) -> DataFrame:
+    return parse.ingest(writes.withColumn("given_case_id", F.col("case_id")).drop("case_id"))
 
 
 # Extraction ------------------------------------------------------------------------------------------------------
@@ -262,6 +275,23 @@ def redact_extended_pack(spark, sf_dir):
     return done.select("ingest_seq", "content_redacted", flat_mappings("mappings").alias("mappings"))
 
 
+def _restored(spark: SparkSession, sf_dir: str, rules) -> DataFrame:
+    done = redact.redact(raw_cases(spark, sf_dir), rules=rules).filter(~F.col("token_collision"))
+    restored = redact.rehydrated(F.col("content_redacted"), F.col("mappings"), newest_first=True)
+    return done.select("ingest_seq", restored.alias("content"))
+
+
+@query
+def rehydrate_legacy(spark, sf_dir):
+    """The same with the older packs, whose later rules can swallow tokens."""
+    return _restored(spark, sf_dir, R.PII_RULES_LEGACY + R.CONTEXT_RULES)
+
+
+@query
+def rehydrate_extended(spark, sf_dir):
+    return _restored(spark, sf_dir, R.PII_RULES_EXTENDED)
+
+
 @query
 def pii_inventory(spark, sf_dir):
     return redact.pii_inventory(redact.redact(raw_cases(spark, sf_dir)))
@@ -320,15 +350,13 @@ def _requested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _requested_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ingested writes of the requested cases: ids are matched on the raw rows, so only those texts are redacted."""
-    raw = raw_cases(spark, sf_dir)
-    named = raw.withColumn("case_id", parse.case_id(raw))
-    wanted = C.get_cases(named, _requested(spark, sf_dir).select("case_id"))
-    return parse.ingest(wanted.withColumn("given_case_id", F.col("case_id")).drop("case_id"))
+    return ingest_named(C.get_cases(named(spark, sf_dir), _requested(spark, sf_dir).select("case_id")))
 
 
 @query
 def get_cases(spark, sf_dir):
-    cases = C.current_cases(parse.cases_of(_requested_history(spark, sf_dir)))
+    wanted = C.get_cases(named(spark, sf_dir), _requested(spark, sf_dir).select("case_id"))
+    cases = ingest_named(C.current_writes(wanted))
     return cases.select("case_id", "ingest_seq", "summary", joined("tags").alias("tags"))
 
 
@@ -357,11 +385,19 @@ def get_full(spark, sf_dir):
     return K.get_full(C.current_cases(history), vault, ids, TRUSTED).select("case_id", "ingest_seq", "content_full")
 
 
+@query
+def strict_gate(spark, sf_dir):
+    """Under the strict profile, requests for cases without sensitive data pass; with any other one nothing would."""
+    history, vault = _written(_requested_history(spark, sf_dir), "strict_gate")
+    ids = C.cases_without_pii(_requested(spark, sf_dir), vault).select("case_id")
+    return K.get_full(C.current_cases(history), vault, ids, STRICT).select("case_id", "ingest_seq", "content_full")
+
+
 @query
 def content_dedupe(spark, sf_dir):
-    texts = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("ingest_seq"), F.col("text").alias("content"))
-    return C.first_copies(texts).select("ingest_seq", "content_md5", "copies")
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ingest_seq"), "text")
+    hashed = texts.select("ingest_seq", F.md5("text").alias("content_md5"))
+    return hashed.groupBy("content_md5").agg(F.min("ingest_seq").alias("ingest_seq"), F.count("*").alias("copies"))
 
 
 @query
@@ -483,7 +519,9 @@ def top_tags(spark, sf_dir):
 
 @query
 def store_stats(spark, sf_dir):
-    row = stats.stats(_tagged(spark, sf_dir), vault_history(spark, sf_dir))
+    done = redact.redact(named(spark, sf_dir))
+    row = stats.stats_of_writes(done.select("case_id", "ingest_seq", X.tags(F.col("content")).alias("tags"),
+                                            (F.size("mappings") > 0).alias("has_pii")))
     return row.select("total_cases", "cases_with_pii", joined(F.transform(
         "top_tags", lambda t: F.concat(t["tag"], F.lit("="), t["count"].cast("string")))).alias("top_tags"))
 
@@ -494,6 +532,12 @@ def flagship(spark, sf_dir):
     return _flat_context(_found_rows(spark, sf_dir).withColumn("pos", F.col("pos.first_seq")))
 
 
+@query
+def chunk_context(spark, sf_dir):
+    chunks = K.chunk_context(redact.redact(raw_cases(spark, sf_dir)).select("ingest_seq", "content_redacted"))
+    return chunks.select("ingest_seq", F.col("chunk").cast("long").alias("chunk"), "chunk_text")
+
+
 # Governance ------------------------------------------------------------------------------------------------------
 
 @query
@@ -536,6 +580,61 @@ def fingerprint(spark, sf_dir):
     return governance.export_mode(rows, "fingerprint").select("case_id", joined("fingerprint").alias("fingerprint"))
 
 
+@query
+def export_summary(spark, sf_dir):
+    rows = governance.export_mode(current(spark, sf_dir), "summary")
+    return _flat_context(rows.withColumn("pos", F.lit(0).cast("long"))).drop("pos")
+
+
+@query
+def export_diagnostic(spark, sf_dir):
+    rows = governance.export_mode(current(spark, sf_dir), "diagnostic")
+    return rows.select("case_id", "summary", joined("tags").alias("tags"), "content_redacted")
+
+
+@query
+def export_full(spark, sf_dir):
+    history, vault = _written(_requested_history(spark, sf_dir), "export_full")
+    ids = _requested(spark, sf_dir).select("case_id")
+    rows = governance.export_mode(C.current_cases(history), "full", vault, ids, TRUSTED)
+    return rows.select("case_id", "content_full")
+
+
+@query
+def policy_flags(spark, sf_dir):
+    """The profile that each document's request names, with its flags."""
+    names = F.when(F.col("doc_id") % 3 == 0, "strict").otherwise("trusted").alias("profile")
+    flags = spark.createDataFrame([asdict(policy(name)) for name in ("strict", "trusted")])
+    asked = table(spark, sf_dir, "documents").select(names).groupBy("profile").agg(F.count("*").alias("requests"))
+    return asked.join(flags, "profile").select("profile", "requests", "require_redaction", "allow_full_rehydration",
+                                               "encrypt_vault", "audit_log", "outbound_scrub")
+
+
+def _paths(spark: SparkSession, name: str) -> workflow.Paths:
+    path = shared_folder(spark, name)
+    return workflow.Paths(f"{path}/store", f"{path}/vault", f"{path}/audit")
+
+
+@query
+def policy_add(spark, sf_dir):
+    """Adding under the strict profile: the evidence that it leaves.  The batch is written twice, as after a failure."""
+    paths, keys = _paths(spark, "policy_add"), crypto.key_table(spark, **DEMO_KEYS)
+    for _ in range(2):
+        workflow.add_cases(raw_cases(spark, sf_dir), paths, keys, "team", STRICT, batch="first")
+    audit = spark.read.parquet(paths.audit)
+    stored = read_case_store(spark, paths.store).select("case_id", "ingest_seq", "content_redacted")
+    return audit.join(stored, ["case_id", "ingest_seq"]).select(
+        "case_id", "ingest_seq", "operation", "profile", F.col("tokens").cast("long").alias("tokens"), "pii_free", "content_redacted")
+
+
+@query
+def policy_export(spark, sf_dir):
+    """Contexts written for a tool outside under the trusted profile, and read back."""
+    path = shared_folder(spark, "policy_export")
+    workflow.export_contexts(K.current_contexts(case_history(spark, sf_dir)), path, _paths(spark, "audit"), TRUSTED)
+    return spark.read.schema("case_id string, summary string, content_preview string").json(path)
+
+
 @query
 def linked_items(spark, sf_dir):
     raw = raw_cases(spark, sf_dir)
@@ -566,7 +665,7 @@ def vault_transfer(spark, sf_dir):
     keys = crypto.key_table(spark, **DEMO_KEYS)
     path = shared_folder(spark, "vault")
     write_vault(vault_history(spark, sf_dir), path, keys, "team")
-    own = spark.read.parquet(path)
+    own = read_sealed(spark, path)
     both = merge(own, transfer(own, keys, "other"))
     return C.current_vault(unseal(both, keys)).select(
         "case_id", "ingest_seq", flat_mappings("mappings").alias("mappings"))
@@ -601,20 +700,65 @@ def case_store_json(spark, sf_dir):
                        F.col("word_count").cast("long").alias("word_count"))
 
 
+#: Documents per file where texts are read from files.
+DOCS_PER_FILE = 1000
+
+
+def _text_files(spark: SparkSession, sf_dir: str) -> str:
+    """The documents as text files, in folders by number."""
+    path = shared_folder(spark, "files")
+    docs = table(spark, sf_dir, "documents").select(F.expr(f"doc_id div {DOCS_PER_FILE}").alias("part"), "text")
+    docs.repartition("part").write.partitionBy("part").text(path)
+    return f"{path}/*"
+
+
+def _file_rows(cases: DataFrame) -> DataFrame:
+    return cases.select(F.regexp_extract("source", r"part=(\d+)", 1).cast("long").alias("part"),
+                        F.char_length("content").cast("long").alias("chars"))
+
+
+@query
+def case_files(spark, sf_dir):
+    """Files as cases; no two share a number."""
+    cases = read_case_files(spark, _text_files(spark, sf_dir))
+    return _file_rows(cases.groupBy("ingest_seq").agg(F.min("source").alias("source"), F.min("content").alias("content")))
+
+
+@query
+def stream_files(spark, sf_dir):
+    stream = stream_case_files(spark, _text_files(spark, sf_dir))
+    return _file_rows(_run_to_table(stream.select("source", "content"), "files"))
+
+
+@query
+def data_size(spark, sf_dir):
+    path = shared_folder(spark, "size")
+    table(spark, sf_dir, "documents").select("text").write.text(path)
+    size = store_size(spark, path)
+    return table(spark, sf_dir, "documents").agg(F.count("*").alias("documents")).withColumn("bytes", F.lit(size).cast("long"))
+
+
 # Streams ---------------------------------------------------------------------------------------------------------
 
 
-def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # A pattern, because a stream reads a folder or a pattern but not a single file, and a table may be either.
-    still = table(spark, sf_dir, name)
-    stream = spark.readStream.schema(still.schema).parquet(f"{sf_dir}/{name}.parque[t]")
-    cores = spark.sparkContext.defaultParallelism
-    return stream.repartition(cores) if still.rdd.getNumPartitions() < cores else stream
+#: Micro-batches that a table arrives in.
+ARRIVALS = 4
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str, order: str) -> DataFrame:
+    """A table as a stream of several micro-batches in ``order``: one file set after the other is written and read."""
+    still, path = table(spark, sf_dir, name), shared_folder(spark, f"arriving-{name}")
+    bounds = still.agg(F.min(order), F.max(order)).first()
+    step = max(1, (bounds[1] - bounds[0]) // ARRIVALS + 1)
+    for k in range(ARRIVALS):
+        low = bounds[0] + k * step
+        still.filter(F.col(order).between(low, low + step - 1)).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(still.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def _text_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as arriving support texts; exact copies stay exact copies."""
-    return _stream(spark, sf_dir, "documents").select(
+    return _stream(spark, sf_dir, "documents", "doc_id").select(
         "source", F.col("doc_id").alias("ingest_seq"),
         F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id")).alias("ts"),
         F.lit(None).cast("string").alias("given_case_id"),
@@ -634,19 +778,19 @@ def stream_ingest(spark, sf_dir):
     path = shared_folder(spark, "monitor")
     target = Target(f"{path}/store", f"{path}/vault", crypto.key_table(spark, **DEMO_KEYS), "team")
     monitor(_text_stream(spark, sf_dir), target, f"{path}/checkpoint", interval=None).awaitTermination()
-    return spark.read.parquet(target.store).select(
-        "ingest_seq", "content_md5", "content_redacted", F.col("word_count").cast("long").alias("word_count"))
+    return read_case_store(spark, target.store).select(
+        "content_md5", "content_redacted", F.col("word_count").cast("long").alias("word_count"))
 
 
 @query
 def stream_dedupe(spark, sf_dir):
-    seen = dedupe_seen(_text_stream(spark, sf_dir), delay="365 days")
+    seen = dedupe_seen(_text_stream(spark, sf_dir))
     return _run_to_table(seen.select("content_md5"), "dedupe")
 
 
 @query
 def stream_changed(spark, sf_dir):
-    events = _stream(spark, sf_dir, "events").select(
+    events = _stream(spark, sf_dir, "events", "event_id").select(
         F.col("user_id").cast("string").alias("source"), F.col("event_id").alias("ingest_seq"),
         F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("content"))
     path = shared_folder(spark, "changed")
@@ -655,16 +799,9 @@ def stream_changed(spark, sf_dir):
         F.col("ingest_seq").alias("event_id"), F.col("source").cast("long").alias("user_id"))
 
 
-@query
-def stream_bounded_seen(spark, sf_dir):
-    path = shared_folder(spark, "seen")
-    stateful.bounded_seen(_text_stream(spark, sf_dir), path, interval=None).awaitTermination()
-    return stateful.read_rows(spark, path).select("source", "ingest_seq")
-
-
 @query
 def stream_tag_counts(spark, sf_dir):
-    cases = (_stream(spark, sf_dir, "documents").selectExpr(
+    cases = (_stream(spark, sf_dir, "documents", "doc_id").selectExpr(
         "timestamp_seconds(1704067200 + doc_id) AS ts", f"{COLUMNS['content']} AS content")
         .select("ts", X.tags(F.col("content")).alias("tags")))
     path = shared_folder(spark, "tags")

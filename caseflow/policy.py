@@ -16,6 +16,7 @@ class PolicyConfig:
     outbound_scrub: bool
 
 
+# The two profiles.
 STRICT = PolicyConfig(
     profile="strict",
     require_redaction=True,

@@ -16,12 +16,14 @@ class Rule:
     """A named regular expression.
 
     ``hints`` are lower-case literals one of which every match contains; texts without any skip the regex.
+    ``java`` finds the same matches in linear time on one stack frame, where the pattern would not.
     """
 
     name: str
     pattern: str
     ignore_case: bool = True
     hints: tuple[str, ...] = ()
+    java: str = ""
 
 
 @dataclass(frozen=True)
@@ -30,6 +32,9 @@ class PiiRule:
 
     ``hint`` is a lower-case literal that every match must contain; texts without it skip the regex.
     ``context`` lists words, one of which must lie within 100 characters of the match for it to count.
+    ``lead`` is for patterns that begin with a run of characters up to a fixed one: as a Java regex, what may stand between
+    the beginning of such a run, or the end of the match before, and the match.  If the first possible start in a run fails,
+    so do all others, and without trying them a long run is read once.
     """
 
     category: str
@@ -38,6 +43,7 @@ class PiiRule:
     ignore_case: bool = True
     hint: str | None = None
     context: tuple[str, ...] = ()
+    lead: str | None = None
 
     def __post_init__(self):
         if not re.fullmatch(r"\w+", self.token):
@@ -50,8 +56,10 @@ PII_RULES = (
     PiiRule("RESOURCE_GROUP", "RG", r"/resourceGroups/[\w-]+", hint="/resourcegroups/"),
     PiiRule("PROVIDER", "RESOURCE", r"/providers/Microsoft\.[\w/]+", hint="/providers/microsoft."),
     PiiRule("GUID", "GUID", r"\b[a-f0-9]{8}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{12}\b", hint="-"),
-    PiiRule("MS_EMAIL", "MS_EMAIL", r"\b[\w-]+@microsoft\.com\b", hint="@microsoft.com"),
-    PiiRule("EMAIL", "EMAIL", r"\b[\w.-]+@[\w-]+\.[\w.-]+\b", ignore_case=False, hint="@"),
+    PiiRule("MS_EMAIL", "MS_EMAIL", r"\b[\w-]+@microsoft\.com\b", hint="@microsoft.com",
+            lead=r"(?<![\w-])-*+|\G"),
+    PiiRule("EMAIL", "EMAIL", r"\b[\w.-]+@[\w-]+\.[\w.-]+\b", ignore_case=False, hint="@",
+            lead=r"(?<![\w.-])[.-]*+|\G"),
     PiiRule("IP_ADDRESS", "IP", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", ignore_case=False),
     PiiRule("VM_NAME", "VM", r"\bvm-[\w-]+", hint="vm-"),
     PiiRule("PHONE", "PHONE", r"\b\d{3}-\d{3}-\d{4}\b", ignore_case=False, hint="-"),
@@ -69,8 +77,9 @@ PII_RULES_LEGACY = (
     PiiRule("RESOURCE_GROUP", "RG", r"/resourceGroups/[\w-]+", hint="/resourcegroups/"),
     PiiRule("PROVIDER", "RESOURCE", r"/providers/Microsoft\.[\w/]+", hint="/providers/microsoft."),
     PiiRule("GUID", "GUID", r"[a-f0-9]{8}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{12}", hint="-"),
-    PiiRule("MS_EMAIL", "MS_EMAIL", r"\b[\w-]+@microsoft\.com\b", hint="@microsoft.com"),
-    PiiRule("EMAIL", "EMAIL", r"\b[\w-]+@[\w-]+\.com\b", hint="@"),
+    PiiRule("MS_EMAIL", "MS_EMAIL", r"\b[\w-]+@microsoft\.com\b", hint="@microsoft.com",
+            lead=r"(?<![\w-])-*+|\G"),
+    PiiRule("EMAIL", "EMAIL", r"\b[\w-]+@[\w-]+\.com\b", hint="@", lead=r"(?<![\w-])-*+|\G"),
     PiiRule("IP_ADDRESS", "IP", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", ignore_case=False),
     PiiRule("VM_NAME", "VM", r"\bvm-[\w-]+", hint="vm-"),
     PiiRule("PHONE", "PHONE", r"\b\d{3}-\d{3}-\d{4}\b", ignore_case=False, hint="-"),
@@ -104,8 +113,8 @@ PII_RULES_EXTENDED = (
     PiiRule("GUID", "GUID", r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b",
             ignore_case=False, hint="-"),
     PiiRule("INTERNAL_ALIAS", "ALIAS", r"[a-zA-Z][a-zA-Z0-9._-]*@(?:microsoft|corp|redmond)\.(?:com|net)",
-            ignore_case=False, hint="@"),
-    PiiRule("EMAIL", "EMAIL", r"[\w\.-]+@[\w\.-]+", ignore_case=False, hint="@"),
+            ignore_case=False, hint="@", lead=r"(?:(?<![a-zA-Z0-9._-])|\G)[0-9._-]*+"),
+    PiiRule("EMAIL", "EMAIL", r"[\w\.-]+@[\w\.-]+", ignore_case=False, hint="@", lead=r"(?<![\w.-])|\G"),
     PiiRule("IP_ADDRESS", "IP", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", ignore_case=False),
     PiiRule("CASE_ID", "CASE_ID", r"ICM-\d+|Support-\d+|Incident-\d+", ignore_case=False, hint="-"),
     PiiRule("PATH", "PATH", r"[A-Za-z]:\\[^\s<>:\"|?*]+|/[^\s<>:\"|?*]+", ignore_case=False),
@@ -124,6 +133,7 @@ TAG_RULES = (
     Rule("Azure", r"\bAzure\b", hints=("azure",)),
 )
 
+# The older tag list.
 TAG_RULES_LEGACY = (*TAG_RULES[:-1], Rule("Version", r"version\s*\d+\.\d+", hints=("version",)))
 
 # Case id patterns; the first pattern that matches anywhere wins.
@@ -197,10 +207,15 @@ CONTEXT_ERRORS = 3
 LISTED_SYMPTOMS = 2
 PREVIEW_CHARS = 500
 
+# Words of a context chunk, least and most, and the least overlap of two chunks.
+CHUNK_WORDS = (400, 800)
+CHUNK_OVERLAP = 50
+
 # References to linked work items, and small entities in log text.
 LINKED_ITEM_PATTERN = r"(?:Work Item|WI|#)\s*(\d{6,})"
 ENTITY_RULES = (
     Rule("thread", r"TID:\d+", ignore_case=False),
-    Rule("version", r"\b\d+\.\d+(?:\.\d+)*\b", ignore_case=False),
+    Rule("version", r"\b\d+\.\d+(?:\.\d+)*\b", ignore_case=False,
+         java=r"(?<!\w)\d++\.\d++(?!\w)(?:\.\d++(?!\w))*+"),
     Rule("timestamp", r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{3})?", ignore_case=False),
 )

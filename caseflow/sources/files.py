@@ -2,32 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+# Files of one time that numbers keep apart, and the instant from which they count: 2020-01-01.
+FILES_PER_TIME = 1 << 22
+FIRST_MILLIS = 1577836800000
+
+
+def _cases(df: DataFrame) -> DataFrame:
+    return df.select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_modification_time").alias("ts"),
+                     F.lit(None).cast("string").alias("given_case_id"), F.col("value").alias("content"))
+
+
+def _number(place: Column) -> Column:
+    return ((F.unix_millis("ts") - FIRST_MILLIS) * FILES_PER_TIME + place).alias("ingest_seq")
+
+
 def read_case_files(spark: SparkSession, path: str) -> DataFrame:
-    """One file is one case.  ``ingest_seq`` orders the files by modification time, then name, as a stable number."""
-    df = (spark.read.text(path, wholetext=True)
-          .select(F.col("_metadata.file_path").alias("source"),
-                  F.col("_metadata.file_modification_time").alias("ts"),
-                  F.col("value").alias("content")))
-    name_part = F.pmod(F.xxhash64("source"), F.lit(1000))
-    return df.select("source", (F.unix_millis("ts") * 1000 + name_part).alias("ingest_seq"), "ts",
-                     F.lit(None).cast("string").alias("given_case_id"), "content")
+    """One file is one case.  ``ingest_seq`` orders the files by modification time, then by path, without ties.
+
+    Files of one time are ranked by path from the listing alone; the texts are not read for it.
+    """
+    listed = spark.read.format("binaryFile").load(path).select(F.col("path").alias("_path"), F.col("modificationTime").alias("ts"))
+    ranked = listed.withColumn("_place", F.row_number().over(Window.partitionBy("ts").orderBy("_path")))
+    numbered = ranked.select(F.regexp_replace("_path", "^file:/+", "/").alias("_path"), _number(F.col("_place")))
+    cases = _cases(spark.read.text(path, wholetext=True))
+    return (cases.join(numbered, F.regexp_replace(F.url_decode(F.replace("source", F.lit("+"), F.lit("%2B"))), "^file:/+", "/") == F.col("_path"))
+            .select("source", "ingest_seq", "ts", "given_case_id", "content"))
 
 
 def stream_case_files(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """The streaming form of ``read_case_files``: new files in a folder become new cases."""
+    """The streaming form of ``read_case_files``: new files in a folder become new cases.
+
+    A stream cannot rank the files of one time, so their order comes from a hash of the path; two of k such files share a
+    number with a chance of about k * k / 8,000,000.
+    """
     reader = spark.readStream.format("text").option("wholetext", True)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    df = reader.load(path).select(F.col("_metadata.file_path").alias("source"),
-                                  F.col("_metadata.file_modification_time").alias("ts"),
-                                  F.col("value").alias("content"))
-    name_part = F.pmod(F.xxhash64("source"), F.lit(1000))
-    return df.select("source", (F.unix_millis("ts") * 1000 + name_part).alias("ingest_seq"), "ts",
-                     F.lit(None).cast("string").alias("given_case_id"), "content")
+    return _cases(reader.load(path)).select(
+        "source", _number(F.pmod(F.xxhash64("source"), F.lit(FILES_PER_TIME))), "ts", "given_case_id", "content")
 
 
 def context_json(pack: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,17 +26,27 @@ JSON_FIELDS = {
 JSON_SCHEMA = "map<string,struct<" + ",".join(f"{k}:{t}" for k, (_, t) in JSON_FIELDS.items()) + ">>"
 
 
-def write_case_store(cases: DataFrame, path: str) -> None:
-    """Append case rows.  Nothing is rewritten; ``operators.cases.current_cases`` gives the current state.
+# What a stored case row may hold; columns that a write did not have are NULL.
+STORE_SCHEMA = (
+    "case_id string, summary string, symptoms array<string>, environment map<string,string>, error_patterns array<string>, "
+    "tags array<string>, content_redacted string, word_count int, created_at timestamp, updated_at timestamp, "
+    "ingest_seq bigint, discussion array<struct<author:string,timestamp:string>>, token_collision boolean, "
+    "content_md5 string, batch_id string, ingest_date date")
+
+
+def write_case_store(cases: DataFrame, path: str, batch: str | None = None) -> None:
+    """Add case rows.  Nothing else is rewritten; ``operators.cases.current_cases`` gives the current state.
 
-    Rows are split by day, so that a store can be pruned and aged by date.
+    Every writer uses this layout: a folder per batch, so that a repeated batch replaces its rows, and below it one per
+    day, so that a store can be pruned and aged by date.  Without a name a batch is a new one.
     """
     (cases.withColumn("ingest_date", F.to_date("created_at"))
-     .write.mode("append").partitionBy("ingest_date").parquet(path))
+     .write.mode("overwrite").partitionBy("ingest_date").parquet(f"{path}/batch_id={batch or uuid.uuid4().hex}"))
 
 
 def read_case_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """All rows of all batches, with ``STORE_SCHEMA``; no batch can hide another by its columns or folders."""
+    return spark.read.schema(STORE_SCHEMA).parquet(path)
 
 
 def to_store_json(cases: DataFrame) -> DataFrame:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.crypto import encrypt, key_column, try_decrypt
-from ..operators.parse import cases_of, vault_of
+from ..operators.parse import cases_of
 from ..operators.redact import MAPPINGS_TYPE
+from ..session import staged
+from .store import write_case_store
+
+VAULT_SCHEMA = "case_id string, ingest_seq bigint, key_id string, payload string, batch_id string"
 
 MAX_BROADCAST_KEYS = 10_000
 
@@ -20,31 +26,51 @@ def seal(vault: DataFrame, keys: DataFrame, key_id: str) -> DataFrame:
 
 def unseal(sealed: DataFrame, keys: DataFrame) -> DataFrame:
     """Mappings of sealed rows; ``readable`` is false where the key is unknown or wrong or the payload damaged."""
-    # Nearly all rows name the same key: a shuffle by key would send them to one task.
-    small = keys.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS
-    with_key = sealed.join(F.broadcast(keys) if small else keys, "key_id", "left")
+    # Nearly all rows name the same key: a key table too long to be sent whole is repeated once per part of the rows.
+    if keys.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS:
+        with_key = sealed.join(F.broadcast(keys), "key_id", "left")
+    else:
+        parts = int(sealed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        repeated = keys.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        dealt = sealed.withColumn("_part", F.pmod(F.xxhash64("case_id", "ingest_seq"), F.lit(parts)).cast("int"))
+        with_key = dealt.join(repeated, ["key_id", "_part"], "left")
     opened = with_key.withColumn("_json", try_decrypt(F.col("payload"), F.col("key")))
     return opened.select("case_id", "ingest_seq", F.from_json("_json", MAPPINGS_TYPE).alias("mappings"),
                          F.col("_json").isNotNull().alias("readable"))
 
 
-def write_vault(vault: DataFrame, path: str, keys: DataFrame, key_id: str) -> None:
-    seal(vault, keys, key_id).write.mode("append").parquet(path)
+def _write_sealed(sealed: DataFrame, path: str, batch: str | None) -> None:
+    sealed.write.mode("overwrite").parquet(f"{path}/batch_id={batch or uuid.uuid4().hex}")
+
+
+def write_vault(vault: DataFrame, path: str, keys: DataFrame, key_id: str, batch: str | None = None) -> None:
+    """Seal mappings and add them as one batch; a repeated batch replaces its rows."""
+    _write_sealed(seal(vault, keys, key_id), path, batch)
 
 
-def write_ingested(done: DataFrame, store: str, vault: str, keys: DataFrame, key_id: str, mode: str = "append") -> None:
-    """Write an ingest to a case store and a sealed vault; the texts are parsed and redacted once for both."""
+def write_ingested(done: DataFrame, store: str, vault: str, keys: DataFrame, key_id: str, batch: str | None = None) -> DataFrame:
+    """Write an ingest to a case store and a sealed vault as one batch; returns the written case rows with ``tokens``.
+
+    Texts are parsed, redacted and sealed once, into a table of the shared folder from which both are taken: no original is
+    on any disk unsealed.  A batch that failed half-way is repeated under its name and leaves nothing twice.
+    """
+    batch = batch or uuid.uuid4().hex
+    tokens = F.coalesce(F.size("mappings"), F.lit(0))
+    payload = F.when(tokens > 0, encrypt(F.to_json("mappings"), key_column(keys, key_id)))
     # Raw text is not among the kept columns.
-    done = done.select(*cases_of(done).columns, "mappings").persist()
-    try:
-        seal(vault_of(done), keys, key_id).write.mode(mode).parquet(vault)
-        cases_of(done).write.mode(mode).parquet(store)
-    finally:
-        done.unpersist()
+    once = staged(done.select(*cases_of(done).columns, tokens.alias("tokens"), payload.alias("payload")), "ingested")
+    _write_sealed(once.filter(F.col("payload").isNotNull()).select("case_id", "ingest_seq", F.lit(key_id).alias("key_id"), "payload"),
+                  vault, batch)
+    write_case_store(cases_of(once), store, batch)
+    return once.drop("payload")
+
+
+def read_sealed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(VAULT_SCHEMA).parquet(path).drop("batch_id")
 
 
 def read_vault(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
-    return unseal(spark.read.parquet(path), keys)
+    return unseal(read_sealed(spark, path), keys)
 
 
 def unreadable_count(vault: DataFrame) -> int:
@@ -62,5 +88,5 @@ def transfer(sealed: DataFrame, keys: DataFrame, to_key_id: str) -> DataFrame:
 
 
 def merge(own: DataFrame, imported: DataFrame) -> DataFrame:
-    """Own and imported vault rows as one history; ``operators.cases.current_vault`` picks the last per case."""
+    """Own and imported vault rows as one history; a write may be in both, and the joins reduce it to one row."""
     return own.unionByName(imported)

@@ -7,19 +7,21 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException, StreamingQueryException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import rules as R
 from ..functions import fields as X
-from ..operators.cases import first_copies
 from ..operators.parse import ingest
 from ..sources.vault import write_ingested
 
 log = logging.getLogger(__name__)
 
+#: Parts of the rows within which copies are dropped first.
+PARTS = 64
+
 
 @dataclass(frozen=True)
 class Target:
@@ -35,52 +37,33 @@ def valid_content(stream: DataFrame, min_length: int = R.MIN_CONTENT_LENGTH) ->
     return stream.filter(X.is_case_content(F.col("content"), min_length))
 
 
-def dedupe_seen(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Drop a text already seen within ``delay`` of event time; the state beyond it is evicted."""
-    hashed = stream.withColumn("content_md5", F.md5("content"))
-    return hashed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["content_md5"])
-
-
-def _stored_hashes(spark: SparkSession, target: Target, batch_id: int, remember: int | None) -> DataFrame | None:
-    try:
-        stored = spark.read.schema("content_md5 string, batch_id bigint").parquet(target.store)
-    except AnalysisException:
-        return None
-    earlier = stored.filter(F.col("batch_id") < batch_id)
-    if remember is not None:
-        earlier = earlier.filter(F.col("batch_id") >= batch_id - remember)
-    return earlier.select("content_md5")
+def dedupe_seen(stream: DataFrame, parts: int = PARTS) -> DataFrame:
+    """Drop a text that the stream has held before, however late it comes.
 
+    The hashes are in Spark's state store, so a batch costs what it holds, whatever was seen earlier.  Copies are first
+    dropped within ``parts`` parts of the rows and then among what is left, so the copies of one text never meet in one task.
+    """
+    hashed = stream.withColumn("content_md5", F.md5("content")).withColumn("_part", F.pmod(F.xxhash64("ingest_seq"), F.lit(parts)))
+    return hashed.dropDuplicates(["content_md5", "_part"]).dropDuplicates(["content_md5"]).drop("_part")
 
-def write_batch(batch: DataFrame, batch_id: int, target: Target, remember: int | None = None, **options) -> None:
-    """Append one micro-batch.
 
-    Every batch owns the folders ``batch_id=<n>`` and overwrites them, so running a batch again leaves the same files.
-    A text is remembered once its case is stored: the store itself is the set of seen hashes.  Copies inside the batch
-    are combined before the shuffle, so a text repeated by a third of the rows costs one row per task.
-    """
-    spark = batch.sparkSession
-    fresh = first_copies(batch).drop("copies")
-    seen = _stored_hashes(spark, target, batch_id, remember)
-    if seen is not None:
-        fresh = fresh.join(seen, "content_md5", "left_anti")
+def write_batch(batch: DataFrame, batch_id: int, target: Target, **options) -> None:
+    """Add one micro-batch.  It owns the folders ``batch_id=<n>``, so running it again leaves the same files."""
     suggested = F.get(X.detect_case_ids(F.col("content")), 0)
-    named = fresh.withColumn("given_case_id", F.coalesce("given_case_id", suggested))
-    folder = f"batch_id={batch_id}"
-    write_ingested(ingest(named, **options), f"{target.store}/{folder}", f"{target.vault}/{folder}", target.keys,
-                   target.key_id, mode="overwrite")
+    named = batch.withColumn("given_case_id", F.coalesce("given_case_id", suggested))
+    write_ingested(ingest(named, **options), target.store, target.vault, target.keys, target.key_id, str(batch_id))
 
 
 def monitor(stream: DataFrame, target: Target, checkpoint: str, interval: str | None = "1 second",
-            min_length: int = R.MIN_CONTENT_LENGTH, remember: int | None = None, **options) -> StreamingQuery:
-    """Start ingesting ``stream`` (source, ingest_seq, ts, given_case_id, content).
+            min_length: int = R.MIN_CONTENT_LENGTH, **options) -> StreamingQuery:
+    """Start ingesting ``stream`` (source, ingest_seq, ts, given_case_id, content): valid texts, each once.
 
-    ``interval=None`` processes what is there and stops.  ``remember`` limits how many earlier batches are searched for
-    copies; without it the whole store is.  A failed batch stops the query and is repeated when it is started again.
+    ``interval=None`` processes what is there and stops.  A failed batch stops the query and is repeated when it is
+    started again with its checkpoint.
     """
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
-    return (valid_content(stream, min_length).writeStream
-            .foreachBatch(lambda batch, n: write_batch(batch, n, target, remember, **options))
+    return (dedupe_seen(valid_content(stream, min_length)).writeStream
+            .foreachBatch(lambda batch, n: write_batch(batch, n, target, **options))
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 

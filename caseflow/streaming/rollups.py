@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def tag_counts(cases: DataFrame, window: str = "10 minutes", delay: str = "1 hour") -> DataFrame:
-    """Cases per tag and event-time window; counts combine before the shuffle."""
-    return (cases.withWatermark("ts", delay)
-            .select("ts", F.explode("tags").alias("tag"))
+def tag_counts(cases: DataFrame, window: str = "10 minutes", delay: str | None = None) -> DataFrame:
+    """Cases per tag and event-time window; counts combine before the shuffle.
+
+    No row is too late: the state has one number per window and tag.  ``delay`` lets Spark forget windows that are older
+    by that much; rows that arrive for them afterwards are not counted.
+    """
+    timed = cases.withWatermark("ts", delay) if delay else cases
+    return (timed.select("ts", F.explode("tags").alias("tag"))
             .groupBy(F.window("ts", window).alias("window"), "tag").count())
 
 

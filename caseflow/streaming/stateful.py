@@ -1,14 +1,14 @@
 """What a monitor remembers per source, across micro-batches.
 
-Only ids and hashes pass through here, never texts.  Each micro-batch writes its rows and the new memory of the sources it
-saw into folders of its own, so a repeated batch starts from the same memory and leaves the same files.
+Only ids and hashes pass through here, never texts.  Each micro-batch writes its rows and a snapshot, the last hash of every
+source so far, into folders of its own; it reads the snapshot of the batch before and no other.  So a batch costs its rows and
+one row per source however long the stream has run, and a repeated batch leaves the same files.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,23 +18,19 @@ from ..operators import cases as C
 
 ROW = ["source", "ingest_seq", "ts", "content_hash"]
 ROW_SCHEMA = "source string, ingest_seq bigint, ts timestamp, content_hash string"
-SEEN_LIMIT = 1000
-SEEN_KEEP = 500
+LAST_SCHEMA = "source string, last string, ts timestamp, ingest_seq bigint"
 
 
 def _narrow(stream: DataFrame, text: str, hashed: Column) -> DataFrame:
     return stream.filter(F.length(text) > 0).select("source", "ingest_seq", "ts", hashed.alias("content_hash"))
 
 
-def _memory(spark: SparkSession, folder: str, batch_id: int, column: str, kind: str) -> DataFrame:
-    """(source, ``column``) as the batches before this one left it."""
-    schema = f"source string, {column} {kind}, batch_id bigint"
+def _snapshot(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
+    """The last hash of every source as the batch before this one left it."""
     try:
-        stored = spark.read.schema(schema).parquet(f"{folder}/memory")
+        return spark.read.schema(LAST_SCHEMA).parquet(f"{folder}/last/batch_id={batch_id - 1}")
     except AnalysisException:
-        stored = spark.createDataFrame([], schema)
-    return (stored.filter(F.col("batch_id") < batch_id).groupBy("source")
-            .agg(F.max_by(column, "batch_id").alias(column)))
+        return spark.createDataFrame([], LAST_SCHEMA)
 
 
 def _write(df: DataFrame, folder: str, kind: str, batch_id: int) -> None:
@@ -44,14 +40,7 @@ def _write(df: DataFrame, folder: str, kind: str, batch_id: int) -> None:
 def _start(rows: DataFrame, step: Callable[[DataFrame, int], None], folder: str, interval: str | None) -> StreamingQuery:
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            step(batch, batch_id)
-        finally:
-            batch.unpersist()
-
-    return (rows.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/checkpoint")
+    return (rows.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint")
             .trigger(**trigger).start())
 
 
@@ -67,61 +56,12 @@ def changed_only(stream: DataFrame, folder: str, text: str = "content", interval
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        before = _memory(batch.sparkSession, folder, batch_id, "last", "string")
+        before = _snapshot(batch.sparkSession, folder, batch_id)
         kept = C.changed_only(batch, text="content_hash", slice_length=slice_length, before=before)
         _write(kept, folder, "rows", batch_id)
-        last = batch.groupBy("source").agg(
-            F.max_by(F.sha2("content_hash", 256), F.struct("ts", "ingest_seq")).alias("last"))
-        _write(last, folder, "memory", batch_id)
+        own = batch.select("source", F.sha2("content_hash", 256).alias("last"), "ts", "ingest_seq", F.lit(1).alias("new"))
+        both = own.unionByName(before.withColumn("new", F.lit(0)))
+        newest = F.max_by(F.struct("last", "ts", "ingest_seq"), F.struct("new", "ts", "ingest_seq"))
+        _write(both.groupBy("source").agg(newest.alias("x")).select("source", "x.*"), folder, "last", batch_id)
 
     return _start(_narrow(stream, text, F.sha2(F.col(text), 256)), step, folder, interval)
-
-
-def _walk(frames: Iterator[pd.DataFrame], limit: int, keep: int) -> Iterator[pd.DataFrame]:
-    """Go through rows sorted by source and time, holding one source's memory; a row with ``hashes`` sets it."""
-    source, seen = None, {}
-    for frame in frames:
-        out = []
-        for row in frame.itertuples(index=False):
-            if row.source != source:
-                if source is not None:
-                    out.append((source, None, None, None, list(seen)))
-                source, seen = row.source, {}
-            if row.hashes is not None:
-                seen = dict.fromkeys(row.hashes)
-            elif row.content_hash not in seen:
-                out.append((row.source, row.ingest_seq, row.ts, row.content_hash, None))
-                seen[row.content_hash] = None
-                if len(seen) > limit:
-                    seen = dict.fromkeys(list(seen)[-keep:])
-        yield pd.DataFrame(out, columns=[*ROW, "hashes"]).astype({"ingest_seq": "Int64", "ts": "datetime64[us]"})
-    if source is not None:
-        yield pd.DataFrame([(source, None, None, None, list(seen))], columns=[*ROW, "hashes"]).astype(
-            {"ingest_seq": "Int64", "ts": "datetime64[us]"})
-
-
-def bounded_seen(stream: DataFrame, folder: str, text: str = "content", limit: int = SEEN_LIMIT,
-                 keep: int = SEEN_KEEP, interval: str | None = "1 second") -> StreamingQuery:
-    """Keep rows whose text is not among the remembered ones of the source.
-
-    A source remembers its texts in order; when there are more than ``limit``, only the newest ``keep`` stay.  What is
-    remembered depends on the order of arrival, so a source is walked through in order: Spark sorts its rows, spilling
-    where needed, and the walk holds at most ``limit`` hashes.
-    """
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        memory = _memory(spark, folder, batch_id, "hashes", "array<string>")
-        memory = memory.join(batch.select("source").distinct(), "source", "left_semi")
-        both = batch.unionByName(memory, allowMissingColumns=True)
-        ordered = both.repartition("source").sortWithinPartitions(
-            "source", F.asc_nulls_first("ts"), F.asc_nulls_first("ingest_seq"))
-        walked = ordered.select(*ROW, "hashes").mapInPandas(
-            lambda frames: _walk(frames, limit, keep), f"{ROW_SCHEMA}, hashes array<string>").persist()
-        try:
-            _write(walked.filter(F.col("hashes").isNull()).select(*ROW), folder, "rows", batch_id)
-            _write(walked.filter(F.col("hashes").isNotNull()).select("source", "hashes"), folder, "memory", batch_id)
-        finally:
-            walked.unpersist()
-
-    return _start(_narrow(stream, text, F.md5(text)), step, folder, interval)

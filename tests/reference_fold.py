@@ -68,17 +68,3 @@ def changed(rows: list[tuple]) -> list[tuple]:
         if text:
             last[source] = text
     return out
-
-
-def bounded_seen(rows: list[tuple], limit: int, keep: int) -> list[tuple]:
-    memory: dict = {}
-    out = []
-    for source, order, text in sorted(rows, key=lambda r: r[1]):
-        seen = memory.setdefault(source, [])
-        if text in seen:
-            continue
-        out.append((source, order))
-        seen.append(text)
-        if len(seen) > limit:
-            memory[source] = seen[-keep:]
-    return out

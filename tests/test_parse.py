@@ -50,7 +50,7 @@ def test_fallback_id_is_stable(spark):
     df = raw(spark, "nothing to see here", "nothing to see here")
     ids = [r.case_id for r in parse.parse_case(df).collect()]
     assert ids == [r.case_id for r in parse.parse_case(df.repartition(3)).orderBy("ingest_seq").collect()]
-    assert len(set(ids)) == 2 and all(i.startswith("CASE-") and len(i) == 21 for i in ids)
+    assert len(set(ids)) == 2 and all(i.startswith("CASE-") and len(i) == 37 for i in ids)
 
 
 def test_environment_omits_what_is_absent(spark):

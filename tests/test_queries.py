@@ -3,10 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry
+from caseflow.plans.oracles import ORACLES
+from caseflow.plans.queries import QUERIES
 
 from .compare import connect, differences
 
-NO_SQL = {"stream_bounded_seen"}
+
 
 
 @pytest.fixture(scope="module")
@@ -14,8 +16,9 @@ def engine(sf_dir):
     return connect(sf_dir)
 
 
-def test_every_query_has_sql_unless_listed():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == NO_SQL
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
@@ -23,10 +26,9 @@ def test_entry(spark):
     assert entry.entry(spark).count() == 10
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, engine, sf_dir, name):
-    df = entry.queries()[name](spark, sf_dir)
+    df = QUERIES[name](spark, sf_dir)
     rows = [tuple(r) for r in df.collect()]
-    if name not in NO_SQL:
-        result = engine.execute(entry.oracle_sql()[name])
-        assert differences(rows, df.columns, result.fetchall(), [d[0] for d in result.description]) == ""
+    result = engine.execute(ORACLES[name])
+    assert differences(rows, df.columns, result.fetchall(), [d[0] for d in result.description]) == ""

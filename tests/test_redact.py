@@ -1,9 +1,11 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from caseflow import rules as R
+from caseflow.functions.fields import entities
 from caseflow.functions.text import rule_regex
 from caseflow.operators import redact as D
 from caseflow.plans.corpus import raw_cases
@@ -11,7 +13,8 @@ from caseflow.plans.corpus import raw_cases
 from . import reference_fold as ref
 
 EDGES = [
-    "", "x", "Contact user@example.com for details", "Server at 192.168.1.100 failed", "a@b.co a@b.co",
+    "", "x", "Please write to pat@sample.org today", "The host 10.20.30.40 is down", "a@b.co a@b.co", "a@b.c-@d.e x..-@y.z a@b@c.d",
+    "..a@b.c -.-x@y.z- a.b.c@d", "9x@corp.com.9y@corp.netx 1@corp.com", "-@microsoft.com a-@microsoft.com-b@microsoft.com",
     "\u00e91.2.3.4", "-x-@host.org and .a.@b-c.de.", "1.2.3.4.5 999.999.999.999", "[EMAIL_1] a@b.co",
     "\\\\srv\\share one two\nC:\\Users\\joe\\a.log; HKEY_LOCAL_MACHINE\\Soft.ware", "xserver=db.a;Database=m",
     "VM-prod_1 vm- 555-123-4567 1555-123-4567", "\u00a0/subscriptions/" + "a" * 36 + "/resourceGroups/x",
@@ -49,7 +52,7 @@ def test_equals_a_plain_fold(spark, texts, rules):
 
 
 def test_no_match_leaves_the_text_alone(spark):
-    row = D.redact(spark.createDataFrame([("Normal support case with no sensitive data",)], "content string")).first()
+    row = D.redact(spark.createDataFrame([("The printer on the second floor is out of paper",)], "content string")).first()
     assert row.content_redacted == row.content and row.mappings == [] and row.token_collision is False
 
 
@@ -91,7 +94,36 @@ def test_every_stage_runs_once_whatever_is_put_on_top(spark):
     df = D.redact(spark.createDataFrame([("x",)], "content string"))
     on_top = df.filter(F.size("mappings") > 0).filter(F.contains("content_redacted", F.lit("zz"))).select("mappings")
     plan = on_top._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("regexp_extract_all(") == len(R.PII_RULES)
+    marks = 1  # the longest run of a mark, looked up for a text that holds them all
+    assert plan.count("regexp_extract_all(") == len(R.PII_RULES) + marks
+
+
+def test_a_text_with_every_mark_is_redacted(spark):
+    marks = "".join(D._MARKS)
+    for text in (marks + " 1.2.3.4 " + marks[1] * 3 + " a@b.co " + marks[:2], marks * 2 + "customer Ann Lee" + marks[1] * 5):
+        for rules in (R.PII_RULES, R.PII_RULES_LEGACY + R.CONTEXT_RULES):
+            row = D.redact(spark.createDataFrame([(text,)], "content string"), rules=rules).first()
+            assert (row.content_redacted, [(m.token, m.original) for m in row.mappings]) == ref.redact(text, rules)
+
+
+@pytest.mark.parametrize("unit", ["a", "a.", "1.", "A1", "a-", "a@", "a@b.", ".", "-", "@", "x@y", "1.1 "])
+def test_a_long_word_is_read_in_seconds(spark, unit):
+    text = unit * (1_000_000 // len(unit)) + " @ a@b.co"
+    df = spark.createDataFrame([(text,)], "content string")
+    start = time.monotonic()
+    for rules in (R.PII_RULES, R.PII_RULES_LEGACY, R.PII_RULES_EXTENDED):
+        small = [r for r in rules if r.hint == "@" or r.token in ("MS_EMAIL", "IP")]
+        D.redact(df, rules=small).select(F.length("content_redacted"), F.size("mappings")).collect()
+    df.select(F.size(entities(F.col("content")))).collect()
+    assert time.monotonic() - start < 60
+
+
+@pytest.mark.parametrize("rules", [R.PII_RULES, R.PII_RULES_LEGACY + R.CONTEXT_RULES, R.PII_RULES_EXTENDED])
+def test_newest_first_restores_every_pack(spark, texts, rules):
+    df = spark.createDataFrame([(t,) for t in [*texts[:300], "see /home/a@b.co/x"]], "content string").repartition(8)
+    done = D.redact(df, rules=rules).filter(~F.col("token_collision"))
+    restored = D.rehydrated(F.col("content_redacted"), F.col("mappings"), newest_first=True)
+    assert done.filter(restored != F.col("content")).count() == 0
 
 
 def test_inventory(spark):

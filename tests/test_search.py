@@ -11,9 +11,9 @@ SCHEMA = ("case_id string, summary string, symptoms array<string>, environment m
 @pytest.fixture(scope="module")
 def cases(spark):
     return spark.createDataFrame([
-        ("ICM-1", "AMA timeout on Windows", [], {}, [], ["Windows", "Timeout"], "AMA timeout error", "", 1, 1),
-        ("ICM-2", "Linux connection failure", [], {}, [], ["Linux", "Connection"], "Linux conn failed", "", 2, 2),
-        ("ICM-3", "Storage latency", [], {}, ["StorageException timeout"], ["Azure"], "", "", 3, 3),
+        ("ICM-1", "Backup timeout at night", [], {}, [], ["Windows", "Timeout"], "job timeout at two", "", 1, 1),
+        ("ICM-2", "Linux printer offline", [], {}, [], ["Linux", "Connection"], "the linux queue stopped", "", 2, 2),
+        ("ICM-3", "Slow shared drive", [], {}, ["DriveException timeout"], ["Azure"], "", "", 3, 3),
     ], SCHEMA)
 
 

@@ -1,4 +1,5 @@
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -77,3 +78,33 @@ def test_single_case(spark):
     done = parse.ingest(raw(spark, "ICM-301: Windows timeout"))
     assert stats.stats(current_cases(parse.cases_of(done)), parse.vault_of(done)).first().total_cases == 1
     assert done.select(F.size("mappings")).first()[0] == 0
+
+
+def test_files_of_one_time_are_numbered_without_ties(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for n in range(300):
+        (folder / f"note {n}+é.txt").write_text(f"text {n}")
+        os.utime(folder / f"note {n}+é.txt", (1_700_000_000, 1_700_000_000))
+    cases = files.read_case_files(spark, str(folder)).collect()
+    assert len({c.ingest_seq for c in cases}) == len(cases) == 300
+
+
+def test_stats_of_writes_equal_stats(spark):
+    from caseflow.operators.cases import latest
+
+    writes = spark.createDataFrame([("a", 1, ["x"], True), ("a", 3, ["y", "x"], False), ("b", 2, [], False), ("c", 4, ["y"], None)],
+                                   "case_id string, ingest_seq bigint, tags array<string>, has_pii boolean")
+    vault = writes.filter("has_pii").select("case_id", F.array(F.lit(1)).alias("mappings"))
+    one, other = stats.stats_of_writes(writes, 7).first(), stats.stats(latest(writes.drop("has_pii")), vault, 7).first()
+    assert one.asDict(True) == other.asDict(True)
+
+
+def test_log_patterns_shuffle_hashes_with_the_cases(spark):
+    from caseflow.operators.logs import log_pattern_counts
+
+    df = spark.createDataFrame([("c1", "a\nb\na"), ("c2", "a")], "case_id string, content string")
+    found = log_pattern_counts(df)
+    assert {tuple(r) for r in found.collect()} == {("a", 3, 2), ("b", 1, 1)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
