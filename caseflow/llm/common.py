@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,9 +13,6 @@ from ..session import shared_folder
 #: At most this many narrow rows (ids, hashes) are sent to every task; above it the join is a shuffle.
 BROADCAST_ROWS = 200_000
 
-_written: list[tuple[SparkSession, str]] = []
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -27,20 +22,9 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
 
     The folder goes when the Python process ends.
     """
-    spark = df.sparkSession
-    path = shared_folder(spark, purpose)
+    path = shared_folder(df.sparkSession, purpose)
     df.write.parquet(path)
-    if not _written:
-        atexit.register(_remove_written)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove_written() -> None:
-    with contextlib.suppress(Exception):  # the JVM may be gone already
-        for spark, path in _written:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame) -> DataFrame:
