@@ -17,6 +17,9 @@ MARKERS = {"system": "system|instructions?|context", "user": "user|human|custome
            "assistant": "assistant|ai|bot|agent|support|model|answer|a"}
 #: Turns, and later blocks of turns, that one task decodes together.
 BLOCK = 64
+#: What each state is taken to have had beside what is counted: lines of every value, lines with its own marker and with
+#: another role's; and the share of turns that begin within a row.
+SMOOTHING, OWN_MARKER, OTHER_MARKER, WITHIN_ROW = 0.5, 50.0, 0.0001, 0.1
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 #: Each role begins a turn or continues it; the last state stands before the first line.
@@ -70,8 +73,13 @@ class Model:
         state = np.array([2 * ROLES.index(r) + (not s) for r, s in zip(lines["role"], lines["starts"])], np.int64)
         weight = lines["n"].to_numpy(float)
         for values, size in zip(_features(lines["code"].to_numpy(np.int64)), _SIZES):
-            table = np.ones((STATES, size)) * 0.5
+            table = np.full((STATES, size), SMOOTHING)
             np.add.at(table, (state, values), weight)
+            if not self.tables:  # the marker: a turn's own one is likely, another's is not, whether or not any was counted
+                table[:, :len(ROLES)] += OTHER_MARKER - SMOOTHING
+                table[np.arange(0, STATES, 2), np.arange(len(ROLES))] += OWN_MARKER
+            elif len(self.tables) in (1, 5):  # turns can begin within a row, even if every counted one began a row
+                table[0:STATES:2, 0] = table[0:STATES:2].sum(axis=1) * WITHIN_ROW
             self.tables.append(np.log(table / table.sum(axis=1, keepdims=True)))
         first, change = np.ones(len(ROLES)), np.ones((len(ROLES), len(ROLES)))
         for before, role, n in zip(turns["before"], turns["role"], turns["n"]):

@@ -1,0 +1,78 @@
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from caseflow.llm import secrets
+
+from .rows import TEXTS, edge_docs, no_docs
+
+PATTERNS = {k: re.compile(p) for k, p in secrets.PATTERNS.items()}
+
+
+def spans(text):
+    found = []
+    for rank, (kind, pattern) in enumerate(PATTERNS.items()):
+        for m in pattern.finditer(text or ""):
+            value = m[secrets.VALUE_GROUP[kind]]
+            if len(value) >= secrets.LEAST_LENGTH[kind]:
+                found.append((m.start(), rank, m.end(), kind, value))
+    return sorted(found)
+
+
+def listed(found):
+    return ",".join(f"{kind}:{start}:{end}" for start, _, end, kind, *_ in found)
+
+
+def live(value):
+    return bool(re.search("[0-9]", value) and re.search("[A-Za-z]", value) and len(set(value)) >= secrets.LIVE_CHARACTERS)
+
+
+def corpus(spark):
+    rows = [(n, f"note {n} token = 'shared0123456789example' é{'é' * n}", "en", f"s{n}", 0) for n in range(7)]
+    rows += [(20, "Secret: token: abcdefghijkl12 API_KEY=own0own1own2own3own4", "en", "s1", 0), (21, "password = short", "en", "s1", 0),
+             (22, " ".join("%020x" % (7**n % 2**80) for n in range(1200)), "en", "s2", 0), (23, "AKIA" + "A" * 14 + "x AKIAAKIA1", "en", "s2", 0),
+             (24, "secret=000000000000000000000000", "en", "s3", 0), (25, "passwd" + " " * 5000 + ":" + "z9y8x7w6v5u4", "de", "s3", 0)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+
+
+@pytest.mark.parametrize("share", [1e-4, 0.9])
+def test_spans_and_verdicts_equal_brute_force(spark, monkeypatch, share):
+    monkeypatch.setattr(secrets, "HEAVY_SHARE", share)  # all values sent, or nearly all joined by a shuffle
+    docs = corpus(spark)
+    rows = docs.collect()
+    holders = {}
+    for r in rows:
+        for *_, value in spans(r.text):
+            holders.setdefault(value, set()).add(r.source)
+    for found in secrets.scan(docs).collect():
+        text = next(r.text for r in rows if r.doc_id == found.doc_id)
+        base = spans(text)
+        added = set()
+        for _, _, end, _, value in base:
+            kind = "example" if len(holders[value]) >= secrets.EXAMPLE_OWNERS else "live" if live(value) else None
+            if kind:
+                added.add((end - len(value), 3 + (kind == "example"), end, kind))
+        assert found.base == listed(base) and found.spans == listed(sorted([*(b[:4] for b in base), *added]))
+        assert (found.n_assign, found.n_access, found.n_hex) == tuple(sum(b[3] == k for b in base) for k in PATTERNS)
+
+
+def test_only_live_values_are_masked(spark):
+    docs = corpus(spark)
+    masked = {r.doc_id: r for r in secrets.mask(docs).collect()}
+    before = {r.doc_id: r for r in docs.collect()}
+    assert set(masked) == set(before)
+    assert all(masked[n].text == before[n].text for n in range(7))  # copied widely
+    assert masked[20].text == "Secret: token: abcdefghijkl12 API_KEY=[SECRET]" and masked[20].n_chars == len(masked[20].text)
+    assert masked[22].text.count(secrets.MASK) == sum(live(v) for *_, v in spans(before[22].text))
+    assert masked[25].text.endswith(":[SECRET]") and masked[24] == before[24] and masked[21] == before[21]
+
+
+def test_awkward_rows(spark):
+    docs = edge_docs(spark)
+    found = secrets.scan(docs, repository=F.concat_ws("/", "source", "lang")).collect()
+    assert sorted((str(r.doc_id), r.base) for r in found) == sorted((str(i), listed(spans(t))) for i, t, *_ in TEXTS)
+    masked = secrets.mask(docs)
+    assert masked.columns == docs.columns and masked.count() == docs.count()
+    assert "AKIA" in masked.filter("doc_id = 8").first().text and secrets.MASK in masked.filter("doc_id = 8").first().text
+    assert secrets.scan(no_docs(spark)).count() == 0 and secrets.mask(no_docs(spark)).count() == 0
