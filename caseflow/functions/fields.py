@@ -38,7 +38,7 @@ def summary(line_text: Column) -> Column:
 
 def detected_case_id(text: Column, rules: Sequence[R.Rule] = R.CASE_ID_RULES) -> Column:
     """Whole match of the first rule that matches anywhere, else NULL."""
-    return F.coalesce(*[extract(text, rule_regex(r)) for r in rules])
+    return F.coalesce(*[F.when(_may_match(text, r), extract(text, rule_regex(r))) for r in rules])
 
 
 def fallback_case_id(source: Column, ingest_seq: Column, text: Column) -> Column:

@@ -138,10 +138,10 @@ TAG_RULES_LEGACY = (*TAG_RULES[:-1], Rule("Version", r"version\s*\d+\.\d+", hint
 
 # Case id patterns; the first pattern that matches anywhere wins.
 CASE_ID_RULES = (
-    Rule("icm", r"ICM[:-](\d+)"),
-    Rule("incident", r"Incident[:-](\d+)"),
-    Rule("support_request", r"Support Request Number:\s*(\d+)"),
-    Rule("support", r"Support[:-](\d+)"),
+    Rule("icm", r"ICM[:-](\d+)", hints=("icm",)),
+    Rule("incident", r"Incident[:-](\d+)", hints=("incident",)),
+    Rule("support_request", r"Support Request Number:\s*(\d+)", hints=("support request number:",)),
+    Rule("support", r"Support[:-](\d+)", hints=("support",)),
 )
 
 # Environment fields, group 1 is the value.
