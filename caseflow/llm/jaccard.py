@@ -194,8 +194,17 @@ def _short(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "big", signed=True)
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the linked pairs among (short_a, short_b); the whole sets decide."""
+def _sets_of(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(short, node, grams) of the sets that ``pairs`` name: each is read again from one of its documents."""
+    wanted = pairs.select(F.explode(F.array("short_a", "short_b")).alias("short")).distinct()
+    some = wanted.join(nodes, "short").select(F.col("best.doc_id").alias("id"), F.col("best.text_key").alias("of"), "set_key", "short", "node")
+    chosen = texts.join(small(some.select("id", "of").distinct()), (F.col("text_key") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    found = _encoded(chosen.select("doc_id", "text_key", "text"), words, counted=False).select("set_key", "grams")
+    return found.join(some.select("set_key", "short", "node"), "set_key").dropDuplicates(["node"])
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b) of the linked nodes among the pairs (short_a, short_b); the whole sets decide."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
@@ -205,10 +214,11 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 kept.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
+    pairs = stored(pairs.select("short_a", "short_b"), "pairs")
+    sets = stored(_sets_of(pairs, texts, nodes, words), "grams")
     a = sets.select(F.col("short").alias("short_a"), F.col("node").alias("a"), F.col("grams").alias("grams_a"))
     b = sets.select(F.col("short").alias("short_b"), F.col("node").alias("b"), F.col("grams").alias("grams_b"))
-    return (pairs.select("short_a", "short_b").join(b, "short_b").join(a, "short_a").select("a", "b", "grams_a", "grams_b")
-            .mapInArrow(run, "a bigint, b bigint"))
+    return pairs.join(b, "short_b").join(a, "short_a").select("a", "b", "grams_a", "grams_b").mapInArrow(run, "a bigint, b bigint")
 
 
 def _possible(n: Column, m: Column, percent: int) -> Column:
@@ -261,19 +271,13 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
         F.min("short").alias("least"), F.max("short").alias("most")).filter("least < most").select("key", "least")
     lists = stored(_entries(texts, words, percent, counts, limit).join(shared, "key").distinct(), "lists")
 
-    some = lists.select("short").distinct().join(nodes, "short").select(
-        F.col("best.doc_id").alias("id"), F.col("best.text_key").alias("of"), "set_key", "short", "node")
-    chosen = texts.join(small(some.select("id", "of").distinct()), (F.col("text_key") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")))
-    sets = stored(_encoded(chosen.select("doc_id", "text_key", "text"), words, counted=False).select("set_key", "grams")
-                  .join(some.select("set_key", "short", "node"), "set_key").dropDuplicates(["node"]), "grams")
-
     n_of = nodes.groupBy("short").agg(F.max("n").alias("n"))
     stars = lists.filter("short > least").groupBy(F.col("least").alias("short_a"), F.col("short").alias("short_b")).agg(
         F.count("*").alias("keys"), F.max("n").alias("n_b")).join(n_of.withColumnsRenamed({"short": "short_a", "n": "n_a"}), "short_a")
     # A list's smallest node changes from list to list, so these counts are low: half of what a link needs will do here.
     enough = 2 * F.col("keys") >= _in_common(F.col("n_a"), F.col("n_b"), percent, limit)
     stars = stars.filter(_possible(F.col("n_a"), F.col("n_b"), percent) & enough)
-    linked = stored(_linked(stars, sets, percent), "links")
+    linked = stored(_linked(stars, texts, nodes, words, percent), "links")
     joined = stored(components(linked), "components")
 
     placed = nodes.join(joined, "node", "left").select("short", F.coalesce("component", "node").alias("component"))
@@ -286,7 +290,7 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     across = across.groupBy(F.col("x.short").alias("short_a"), F.col("y.short").alias("short_b")).agg(
         F.count("*").alias("keys"), F.max("x.n").alias("n_a"), F.max("y.n").alias("n_b"))
     across = across.filter(F.col("keys") >= _in_common(F.col("n_a"), F.col("n_b"), percent, limit))
-    more = stored(_linked(across, sets, percent), "links")
+    more = stored(_linked(across, texts, nodes, words, percent), "links")
     if not more.isEmpty():
         joined = stored(components(linked.unionByName(more)), "components")
 
