@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +72,32 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+PARTS = "part int, counts binary"
+#: Numbers of one part of a counter array.
+PART_SIZE = 1 << 14
+
+
+def count_parts(counts: np.ndarray) -> pa.RecordBatch:
+    """An array of counts as rows (part, counts), compressed, to be summed over tasks."""
+    parts = [zlib.compress(counts[at:at + PART_SIZE].astype("<i8").tobytes(), 1) for at in range(0, len(counts), PART_SIZE)]
+    return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])
+
+
+def summed_parts(parts: DataFrame) -> np.ndarray:
+    """The sum of the arrays of all tasks; parts are summed in parallel, and the result has the size of one array."""
+    def unpacked(value: bytes) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(value), "<i8")
+
+    def total(key: tuple, some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        summed = sum(unpacked(x) for batch in some for x in batch.column("counts").to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()),
+                                          pa.array([zlib.compress(summed.astype("<i8").tobytes(), 1)], pa.binary())], names=["part", "counts"])
+
+    rows = parts.select("part", "counts").groupBy("part").applyInArrow(total, PARTS).collect()
+    found = [unpacked(r["counts"]) for r in sorted(rows, key=lambda r: r["part"])]
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
 def lowered_words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` in UTF-8 with A-Z lowered; the bytes methods know ASCII only, as wanted."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

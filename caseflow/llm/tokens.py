@@ -16,7 +16,7 @@ from functools import lru_cache
 from .common import slices
 
 #: Parts remembered by a worker, and the longest part worth it.  A full memory learns no more; results do not change.
-REMEMBERED = 1_000_000
+REMEMBERED = 150_000
 LONGEST = 48
 #: Characters that are split at once: bounds the memory of a worker beside its batch of texts.
 AT_ONCE = 2_000_000

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from .common import mixed
+from .common import PARTS, count_parts, mixed, stored, summed_parts
 
 #: Features are hashed to 2 ** BITS places.
 BITS = 20
@@ -20,6 +20,8 @@ GAPS = (1, 2, 3)
 #: At most so many labelled documents are learned from: the first ones by a hash of their id.
 TRAIN_ROWS = 24_000
 EPOCHS = 4
+#: Texts of a batch that are in a worker as Python strings at one time.
+TEXTS_AT_ONCE = 256
 #: FTRL-proximal: learning rate, its smoothing, and the two penalties.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 6.0, 0.0
 
@@ -67,8 +69,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """(bias, places, weights) learned from at most ``rows`` labelled documents that are not held out.
 
     Labels that are null, or whose document is missing, are ignored; of several labels of one document the largest
-    counts.  Texts become feature places in parallel; one task learns from the bounded sample in hash order.  Without
-    any labelled document there are no weights and the bias says "not toxic".
+    counts.  Texts become feature places in parallel.  A place that n documents have gathers gradients of at most n * EPOCHS;
+    up to the L1 penalty its weight stays zero, so such places, nearly all, are dropped.  One task then learns from what is
+    left of the bounded sample, in hash order.  Without any labelled document there are no weights and the bias says "not
+    toxic".
     """
     known = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id))
     known = known.groupBy(F.col(doc_id).alias("doc_id")).agg((F.max(label) > 0).cast("int").alias("y"))
@@ -76,19 +80,15 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(features(t)).tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())],
-                                             names=["turn", "y", "at"])
+            for begin in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(begin, TEXTS_AT_ONCE)
+                found = [np.unique(features(t)).tobytes() for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.binary())],
+                                                 names=["turn", "y", "at"])
 
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         examples = [(y, np.frombuffer(at, np.uint32)) for batch in batches
                     for y, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-        # A place seen n times gathers gradients of at most n * EPOCHS: up to the L1 penalty its weight stays zero.
-        seen = np.zeros(1 << BITS, np.int64)
-        for _, at in examples:
-            seen[at] += 1
-        matter = seen * EPOCHS > L1
-        examples = [(y, at[matter[at]]) for y, at in examples]
         positive = sum(y for y, _ in examples)
         model = Ftrl(1 << BITS, float(np.log((positive + 0.5) / (len(examples) - positive + 1))))
         for _ in range(EPOCHS):
@@ -101,7 +101,26 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     chosen = texts.join(F.broadcast(sample), texts["id"] == sample["doc_id"])  # bounded: ``rows`` rows at most
-    examples = chosen.select("turn", "y", "text").mapInArrow(hashed, "turn bigint, y int, at binary")
+    examples = stored(chosen.select("turn", "y", "text").mapInArrow(hashed, "turn bigint, y int, at binary"), "examples")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << BITS, np.int64)
+        for batch in batches:
+            for at in batch.column(2).to_pylist():
+                seen[np.frombuffer(at, np.uint32)] += 1
+        yield count_parts(seen)
+
+    seen = summed_parts(examples.mapInArrow(counted, PARTS))
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(seen * EPOCHS > L1))
+
+    def mattering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matter = np.unpackbits(sent.value).astype(bool)
+        for batch in batches:
+            kept = [(x := np.frombuffer(at, np.uint32))[matter[x]].tobytes() for at in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.binary())], names=["turn", "y", "at"])
+
+    if len(seen):
+        examples = examples.mapInArrow(mattering, "turn bigint, y int, at binary")
     model = examples.repartition(1).sortWithinPartitions("turn", "at").mapInArrow(learned, "at bigint, weight double").toPandas()
     bias = float(model.loc[model["at"] < 0, "weight"].iloc[0]) if len(model) else -1.0
     model = model[model["at"] >= 0]
@@ -113,18 +132,19 @@ def scorer(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray]):
     bias, at, weights = model
     sent = docs.sparkSession.sparkContext.broadcast((bias, at.astype(np.int64), weights))
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(DoubleType())
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bias, at, weights = sent.value
         dense = np.zeros(1 << BITS)
         dense[at] = weights
         for batch in batches:
             out = np.empty(len(batch))
-            for k, text in enumerate(batch):
-                found = features(text)
-                found = found[dense[found] != 0]
-                out[k] = bias + dense[np.unique(found)].sum()
-            yield pd.Series(1 / (1 + np.exp(-np.clip(out, -35, 35))))
+            for begin in range(0, len(batch), TEXTS_AT_ONCE):
+                for k, text in enumerate(batch.slice(begin, TEXTS_AT_ONCE).to_pylist(), begin):
+                    found = features(text)
+                    found = found[dense[found] != 0]
+                    out[k] = bias + dense[np.unique(found)].sum()
+            yield pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))
 
     return score
 
