@@ -25,6 +25,8 @@ AT_ONCE = 256
 #: Every so many searched vectors one is also compared with the whole shard; the beam is doubled until so many of the links
 #: that this finds were found.
 AUDIT_EVERY, RECALL = 16, 0.995
+#: A beam that would be wider than this share of a shard, as 1 / WIDEST, is no saving: the whole shard is compared.
+WIDEST = 16
 #: Links are looked for from this much below the threshold on, in single precision, and verified in double precision.
 MARGIN = 1e-4
 
@@ -54,53 +56,52 @@ class SmallWorld:
             done += len(some)
 
     def _insert(self, some: np.ndarray, levels: np.ndarray, searched: bool) -> None:
+        """Link new vectors, level by level: to what a beam finds, to those before them in the block, and back."""
         among = self.units[some] @ self.units[some].T
-        np.fill_diagonal(among, -np.inf)
+        among[np.triu_indices(len(some))] = -np.inf
         start = np.full((len(some), 1), self.entry)
         for level in range(len(self.links) - 1, -1, -1):
-            here = levels >= level
-            found, sims = (self.beam(self.units[some], start, BUILD_BEAM if here.any() else 1, level) if searched
-                           else (np.full((len(some), 1), -1), np.full((len(some), 1), -np.inf)))
-            for row in np.flatnonzero(here):
-                mates = np.flatnonzero(here & (among[row] > -np.inf) & (np.arange(len(some)) < row))
-                ids = np.concatenate([found[row][found[row] >= 0], some[mates]])
-                near = np.concatenate([sims[row][found[row] >= 0], among[row, mates]])
-                if len(ids):
-                    first = np.argsort(-near, kind="stable")[:BUILD_BEAM]
-                    kept = self._spread(ids[first], near[first], NEIGHBOURS)
-                    self.links[level][some[row], :len(kept)] = kept
-                    for other in kept:
-                        self._back(level, int(other), int(some[row]))
+            here = np.flatnonzero(levels >= level)
+            found, sims = (self.beam(self.units[some], start, BUILD_BEAM if len(here) else 1, level) if searched
+                           else (np.full((len(some), 1), -1), np.full((len(some), 1), -np.inf, np.float32)))
+            if len(here):
+                near = np.concatenate([sims[here], among[np.ix_(here, here)]], axis=1)
+                ids = np.concatenate([found[here], np.broadcast_to(some[here], (len(here), len(here)))], axis=1)
+                first = np.argsort(-near, axis=1, kind="stable")[:, :BUILD_BEAM]
+                near, ids = np.take_along_axis(near, first, axis=1), np.take_along_axis(ids, first, axis=1)
+                kept = self._spread(np.where(near > -np.inf, ids, -1), near, NEIGHBOURS)
+                self.links[level][some[here], :kept.shape[1]] = kept
+                row, column = np.nonzero(kept >= 0)
+                self._back(level, kept[row, column], some[here][row])
             if searched:
                 start = np.where(found[:, :1] >= 0, found[:, :1], start)
 
     def _spread(self, ids: np.ndarray, near: np.ndarray, most: int) -> np.ndarray:
-        """Up to ``most`` of the ids, nearest first: such as are nearer to the vector than to any taken before, then others."""
-        if len(ids) <= most:
-            return ids
-        between = self.units[ids] @ self.units[ids].T
-        closest = np.full(len(ids), -np.inf)
-        taken, left = [], []
-        for k in range(len(ids)):
-            if near[k] > closest[k]:
-                taken.append(k)
-                if len(taken) == most:
-                    break
-                closest = np.maximum(closest, between[k])
-            else:
-                left.append(k)
-        return ids[(taken + left)[:most]]
+        """Up to ``most`` ids of each row (-1 for none; rows go from near to far): first those that are nearer to the row's
+        vector than to any taken before, then the nearest of the others."""
+        units = self.units[np.maximum(ids, 0)]
+        between = units @ units.transpose(0, 2, 1)
+        closest, taken, count = np.full(ids.shape, -np.inf, np.float32), np.zeros(ids.shape, bool), np.zeros(len(ids), np.int64)
+        for k in range(ids.shape[1]):
+            taken[:, k] = (ids[:, k] >= 0) & (near[:, k] > closest[:, k]) & (count < most)
+            count += taken[:, k]
+            closest = np.where(taken[:, k, None], np.maximum(closest, between[:, k]), closest)
+        place = np.arange(ids.shape[1]) + ids.shape[1] * np.where(taken, 0, np.where(ids >= 0, 1, 2))
+        return np.take_along_axis(ids, np.argsort(place, axis=1)[:, :most], axis=1)
 
-    def _back(self, level: int, node: int, new: int) -> None:
-        own = self.links[level][node]
-        free = np.flatnonzero(own < 0)
-        if len(free):
-            own[free[0]] = new
-            return
-        ids = np.append(own, new)
-        near = self.units[ids] @ self.units[node]
-        order = np.argsort(-near, kind="stable")
-        own[:] = self._spread(ids[order], near[order], len(own))
+    def _back(self, level: int, nodes: np.ndarray, new: np.ndarray) -> None:
+        """Add links from ``nodes`` to ``new``; a full list is chosen anew.  Each round adds one link per node."""
+        links = self.links[level]
+        while len(nodes):
+            own, first = np.unique(nodes, return_index=True)
+            rest = np.ones(len(nodes), bool)
+            rest[first] = False
+            ids = np.concatenate([links[own], new[first][:, None]], axis=1)
+            near = np.einsum("rcd,rd->rc", self.units[np.maximum(ids, 0)], self.units[own])
+            near[ids < 0] = -np.inf
+            order = np.argsort(-near, axis=1, kind="stable")
+            links[own] = self._spread(np.take_along_axis(ids, order, axis=1), np.take_along_axis(near, order, axis=1), links.shape[1])
+            nodes, new = nodes[rest], new[rest]
 
     def beam(self, queries: np.ndarray, start: np.ndarray, width: int, level: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(ids, similarities), best first: the beams after no vector in one has unvisited neighbours.  -1 fills up."""
@@ -122,7 +123,8 @@ class SmallWorld:
             near = links[ids[rows, pick[rows]]]
             index = np.maximum(near, 0)
             new = (near >= 0) & ~seen[rows[:, None], index]
-            seen[rows[:, None], index] |= near >= 0
+            at, column = np.nonzero(new)
+            seen[rows[at], near[at, column]] = True
             own = np.einsum("rcd,rd->rc", self.units[index], queries[rows])
             all_ids = np.concatenate([ids[rows], near], axis=1)
             all_sims = np.concatenate([sims[rows], np.where(new, own, -np.inf).astype(np.float32)], axis=1)
@@ -137,20 +139,25 @@ class SmallWorld:
         return ids, sims
 
     def within(self, queries: np.ndarray, least: float, beam: int) -> list[np.ndarray]:
-        """For each query the vectors of at least that similarity.  Beams that hold nothing else are doubled."""
+        """For each query the vectors of at least that similarity.  A beam more than half of which they fill is doubled; one
+        that would hold a large share of all vectors is replaced by looking at all."""
         start = np.full((len(queries), 1), self.entry)
         for level in range(len(self.links) - 1, 0, -1):
             start = self.beam(queries, start, 2, level)[0][:, :1]
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
         todo = np.arange(len(queries))
         while len(todo):
-            beam = min(beam, len(self.units))
+            if beam > BEAM and beam * WIDEST >= len(self.units):
+                for some in np.array_split(todo, -(-len(todo) // AT_ONCE)):
+                    for k, near in zip(some, queries[some] @ self.units.T):
+                        out[k] = np.flatnonzero(near >= least)
+                break
             again = []
             for some in np.array_split(todo, -(-len(todo) * beam // (AT_ONCE * 512)) or 1):
                 ids, sims = self.beam(queries[some], start[some], beam)
                 for k, own, near in zip(some, ids, sims):
                     out[k] = own[(near >= least) & (own >= 0)]
-                again.append(some[(sims[:, -1] >= least) & (beam < len(self.units))])
+                again.append(some[2 * (sims >= least).sum(axis=1) > beam])
             todo = np.concatenate(again)
             beam *= 2
         return out
@@ -236,12 +243,17 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
             least = cosine - MARGIN
             audited = np.arange(0, len(queries[block]), AUDIT_EVERY)
             truth = [np.flatnonzero(t >= least) for t in queries[block][audited] @ units.T]
-            while True:
-                hits = world.within(queries[block], least, beam)
-                found = sum(len(np.intersect1d(hits[k], t)) for k, t in zip(audited, truth))
-                if found >= RECALL * sum(map(len, truth)) or beam >= len(units):
+            hits, wide = world.within(queries[block], least, beam), beam
+            while wide == beam or wide * WIDEST < 2 * len(units):
+                found = [len(np.intersect1d(hits[k], t)) for k, t in zip(audited, truth)]
+                if sum(found) >= RECALL * sum(map(len, truth)):
                     break
-                beam = min(2 * beam, len(units))
+                # Links that were found in part are looked for with wider beams; all are if some vector's were not found at all.
+                wide *= 2
+                blind = any(len(t) and not f for f, t in zip(found, truth))
+                todo = [k for k in range(len(hits)) if blind or len(hits[k])]
+                for k, own_hits in zip(todo, world.within(queries[block][todo], least, wide)):
+                    hits[k] = np.union1d(hits[k], own_hits)
             a = np.repeat(np.arange(begin, begin + len(hits)), [len(h) for h in hits])
             b = np.concatenate(hits)
             linked = np.zeros(len(a), bool)
