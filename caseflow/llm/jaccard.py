@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, lowered_words, mixed, slices, small, stored
@@ -34,6 +34,9 @@ SUBSET = 2
 LARGEST_SMALL = 256
 #: What reading one entry of an inverted list costs, with writing a subset or an entry as 1.
 SCAN_COST = 1.0
+#: Keys beyond the first that a pair must share before its sets are compared, and nodes that a node is compared with first.
+SPARE = 2
+PROPOSALS = 2
 DOCS_PER_BATCH = 256
 
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
@@ -65,14 +68,13 @@ class Order:
         self.counts, self.shift = counts, np.uint64(64 - int(len(counts)).bit_length() + 1)
 
     def prefix(self, grams: np.ndarray, length: int) -> np.ndarray:
-        if length >= len(grams):
-            return grams
         count = self.counts[(grams >> self.shift).astype(np.int64)]
         return grams[np.lexsort((grams, count))[:length]]
 
 
-def keys(grams: np.ndarray, order: Order, percent: int, boundary: int) -> np.ndarray:
-    """What a set is looked up by: subsets up to ``boundary``, n-grams for every set that may meet a larger one."""
+def keys(grams: np.ndarray, order: Order, percent: int, boundary: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, places): what a set is looked up by, subsets up to ``boundary`` (place 0) and n-grams, with their places in the
+    global order, for every set that may meet a larger one."""
     size = len(grams)
     common = least_common(size, percent)
     found = []
@@ -85,7 +87,9 @@ def keys(grams: np.ndarray, order: Order, percent: int, boundary: int) -> np.nda
             found.append(mixed(mixed(some[i]) * np.uint64(_MULTIPLIERS[0]) + some[j]))
     if size > least_common(boundary + 1, percent) - 1:
         found.append(order.prefix(grams, size - common + 1))
-    return np.concatenate(found)
+    places = [np.zeros(len(found[0]), np.int64)] if size <= boundary else []
+    places += [np.arange(len(found[-1]))] if len(places) < len(found) else []
+    return np.concatenate(found), np.concatenate(places)
 
 
 def _packed(counts: np.ndarray) -> bytes:
@@ -167,7 +171,7 @@ def _summed(parts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _entries(docs: DataFrame, words: int, percent: int, counts: np.ndarray, limit: int) -> DataFrame:
-    """(key, short, n) for every key of the set of every row of (doc_id, text_key, text).
+    """(key, short, n, place) for every key of the set of every row of (doc_id, text_key, text).
 
     ``short`` is the first half of the set's 128-bit hash: sets that share it are told apart where pairs are verified.
     """
@@ -181,13 +185,14 @@ def _entries(docs: DataFrame, words: int, percent: int, counts: np.ndarray, limi
                 if not sets:
                     continue
                 found = [keys(g, order, percent, limit) for g in sets]
-                sizes = [len(k) for k in found]
+                sizes = [len(k) for k, _ in found]
                 short = np.array([_short(xxhash.xxh3_128_digest(g.tobytes())) for g in sets], np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(short, sizes)),
-                     pa.array(np.repeat(np.array([len(g) for g in sets], np.int64), sizes))], names=["key", "short", "n"])
+                    [pa.array(np.concatenate([k for k, _ in found]).view(np.int64)), pa.array(np.repeat(short, sizes)),
+                     pa.array(np.repeat(np.array([len(g) for g in sets], np.int64), sizes)),
+                     pa.array(np.concatenate([p for _, p in found]))], names=["key", "short", "n", "place"])
 
-    return docs.mapInArrow(run, "key bigint, short bigint, n bigint")
+    return docs.mapInArrow(run, "key bigint, short bigint, n bigint, place bigint")
 
 
 def _short(digest: bytes) -> int:
@@ -225,16 +230,20 @@ def _possible(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def _in_common(n: Column, m: Column, percent: int, limit: int) -> Column:
-    """Keys that two linked sets of n and m n-grams share at least.
+def _overlap(n: Column, m: Column, percent: int) -> Column:
+    """N-grams that two linked sets of n and m have in common at least."""
+    return F.ceil(percent * (n + m) / (100 + percent))
 
-    They have at least o = percent (n + m) / (100 + percent) n-grams in common, and the k-th of these has a rank of at
-    most k + n - o in the one set and k + m - o in the other, so it is in both prefixes for
-    k <= o - ceil(percent max(n, m) / 100) + 1.  Two small sets share at least one subset.
+
+def _spare(n: Column, m: Column, percent: int, limit: int) -> Column:
+    """How many keys more than one two linked sets are asked to share; two small sets share at least one subset.
+
+    They have o n-grams in common or more.  The (k + 1)-th of these, counted from 0, is at a place of at most n - o + k in the
+    one set and m - o + k in the other.  So k + 1 keys are shared at places up to n - o + k and m - o + k, as long as these are
+    in both prefixes.
     """
-    overlap = F.ceil(percent * (n + m) / (100 + percent))
-    return F.when(F.greatest(n, m) <= limit, 1).otherwise(
-        F.greatest(F.lit(1), overlap - F.ceil(percent * F.greatest(n, m) / 100) + 1))
+    room = _overlap(n, m, percent) - F.ceil(percent * F.greatest(n, m) / 100)
+    return F.when(F.greatest(n, m) <= limit, 0).otherwise(F.least(F.lit(SPARE), F.greatest(F.lit(0), room)))
 
 
 def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -251,7 +260,7 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     proposes its smallest node to the rest, which joins groups of near copies at a cost of one pair per node.  Lists that
     still hold several components then yield the pairs across them; a pair counts if it shares as many keys as a link
     implies, and the whole sets decide.  So no group is expanded into all its pairs, and no link that joins components is
-    missed.
+    missed.  For a pair of two sizes only the first places of its prefixes count, those that a link cannot do without.
     """
     whole = F.col(text).cast("string")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(whole, F.lit("")))).alias("text_key"),
@@ -274,9 +283,10 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     n_of = nodes.groupBy("short").agg(F.max("n").alias("n"))
     stars = lists.filter("short > least").groupBy(F.col("least").alias("short_a"), F.col("short").alias("short_b")).agg(
         F.count("*").alias("keys"), F.max("n").alias("n_b")).join(n_of.withColumnsRenamed({"short": "short_a", "n": "n_a"}), "short_a")
-    # A list's smallest node changes from list to list, so these counts are low: half of what a link needs will do here.
-    enough = 2 * F.col("keys") >= _in_common(F.col("n_a"), F.col("n_b"), percent, limit)
-    stars = stars.filter(_possible(F.col("n_a"), F.col("n_b"), percent) & enough)
+    # These only join groups early: each node proposes itself to the few nodes with which it shares most.
+    shares_most = Window.partitionBy("short_b").orderBy(F.desc("keys"), "short_a")
+    stars = (stars.filter(_possible(F.col("n_a"), F.col("n_b"), percent)).withColumn("rank", F.row_number().over(shares_most))
+             .filter((F.col("rank") <= PROPOSALS) & (F.col("keys") > _spare(F.col("n_a"), F.col("n_b"), percent, limit))))
     linked = stored(_linked(stars, texts, nodes, words, percent), "links")
     joined = stored(components(linked), "components")
 
@@ -285,11 +295,13 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     several = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
     split = stored(placed.join(several, "key"), "split")
     x, y = split.alias("x"), split.alias("y")
+    n, m = F.col("x.n"), F.col("y.n")
+    short = _spare(n, m, percent, limit) - _overlap(n, m, percent)
     across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component"))
-                    & _possible(F.col("x.n"), F.col("y.n"), percent))
+                    & _possible(n, m, percent) & (F.col("x.place") <= n + short) & (F.col("y.place") <= m + short))
     across = across.groupBy(F.col("x.short").alias("short_a"), F.col("y.short").alias("short_b")).agg(
         F.count("*").alias("keys"), F.max("x.n").alias("n_a"), F.max("y.n").alias("n_b"))
-    across = across.filter(F.col("keys") >= _in_common(F.col("n_a"), F.col("n_b"), percent, limit))
+    across = across.filter(F.col("keys") > _spare(F.col("n_a"), F.col("n_b"), percent, limit))
     more = stored(_linked(across, texts, nodes, words, percent), "links")
     if not more.isEmpty():
         joined = stored(components(linked.unionByName(more)), "components")
