@@ -259,8 +259,8 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     Equal sets are one node.  Keys that only one node has are dropped after a combined count.  Each other list first
     proposes its smallest node to the rest, which joins groups of near copies at a cost of one pair per node.  Lists that
     still hold several components then yield the pairs across them; a pair counts if it shares as many keys as a link
-    implies, and the whole sets decide.  So no group is expanded into all its pairs, and no link that joins components is
-    missed.  For a pair of two sizes only the first places of its prefixes count, those that a link cannot do without.
+    implies, and the whole sets decide.  So a group of linked copies is not expanded into its pairs, and no link that joins
+    components is missed; copies that are nearly, but not, similar enough are still paired across their lists.  For a pair of two sizes only the first places of its prefixes count, those that a link cannot do without.
     """
     whole = F.col(text).cast("string")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(whole, F.lit("")))).alias("text_key"),
