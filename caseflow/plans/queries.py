@@ -727,7 +727,7 @@ def case_files(spark, sf_dir):
 @query
 def stream_files(spark, sf_dir):
     stream = stream_case_files(spark, _text_files(spark, sf_dir))
-    return _file_rows(_run_to_table(stream.select("source", "content"), "files"))
+    return _file_rows(_run_to_table(stream.select("source", "content"), shared_folder(spark, "streamed")))
 
 
 @query
@@ -745,67 +745,77 @@ def data_size(spark, sf_dir):
 ARRIVALS = 4
 
 
-def _stream(spark: SparkSession, sf_dir: str, name: str, order: str) -> DataFrame:
-    """A table as a stream of several micro-batches in ``order``: one file set after the other is written and read."""
+def _arrive(spark: SparkSession, sf_dir: str, name: str, order: str, run: Callable[[DataFrame], object]) -> None:
+    """A table as a stream of several micro-batches in ``order``: ``run`` is given the stream after each part was written.
+
+    A part is written by the tasks that read the table, and all its files are one micro-batch of a run that keeps its
+    checkpoint.  Parts have about as many rows each, rows with a null in ``order`` come first, and a table without any
+    other arrives at once.
+    """
     still, path = table(spark, sf_dir, name), shared_folder(spark, f"arriving-{name}")
-    bounds = still.agg(F.min(order), F.max(order)).first()
-    step = max(1, (bounds[1] - bounds[0]) // ARRIVALS + 1)
-    for k in range(ARRIVALS):
-        low = bounds[0] + k * step
-        still.filter(F.col(order).between(low, low + step - 1)).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(still.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    places = [k / ARRIVALS for k in range(1, ARRIVALS)]
+    ends = still.agg(F.percentile_approx(order, places, 10_000)).first()[0] or []
+    for low, high in zip([None, *ends], [*ends, None]):
+        part = F.lit(True) if high is None else F.col(order) <= high
+        part = part | F.col(order).isNull() if low is None else part & (F.col(order) > low)
+        still.filter(part).write.mode("append").parquet(path)
+        run(spark.readStream.schema(still.schema).parquet(path))
 
 
-def _text_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _texts_arrive(spark: SparkSession, sf_dir: str, run: Callable[[DataFrame], object]) -> None:
     """The documents as arriving support texts; exact copies stay exact copies."""
-    return _stream(spark, sf_dir, "documents", "doc_id").select(
+    _arrive(spark, sf_dir, "documents", "doc_id", lambda docs: run(docs.select(
         "source", F.col("doc_id").alias("ingest_seq"),
         F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id")).alias("ts"),
         F.lit(None).cast("string").alias("given_case_id"),
-        F.concat(F.lit("Support note: "), F.col("text")).alias("content"))
+        F.concat(F.lit("Support note: "), F.col("text")).alias("content"))))
 
 
-def _run_to_table(df: DataFrame, name: str) -> DataFrame:
-    """Run a stream over everything that is there and return what it wrote."""
-    spark, path = df.sparkSession, shared_folder(df.sparkSession, name)
+def _run_to_table(df: DataFrame, path: str) -> DataFrame:
+    """Run a stream over everything that is there and return what it has written to ``path`` so far."""
     (df.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint")
      .trigger(availableNow=True).start(f"{path}/rows").awaitTermination())
-    return spark.read.schema(df.schema).parquet(f"{path}/rows")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows")
 
 
 @query
 def stream_ingest(spark, sf_dir):
     path = shared_folder(spark, "monitor")
     target = Target(f"{path}/store", f"{path}/vault", crypto.key_table(spark, **DEMO_KEYS), "team")
-    monitor(_text_stream(spark, sf_dir), target, f"{path}/checkpoint", interval=None).awaitTermination()
+    _texts_arrive(spark, sf_dir, lambda texts: monitor(
+        texts, target, f"{path}/checkpoint", interval=None).awaitTermination())
     return read_case_store(spark, target.store).select(
         "content_md5", "content_redacted", F.col("word_count").cast("long").alias("word_count"))
 
 
 @query
 def stream_dedupe(spark, sf_dir):
-    seen = dedupe_seen(_text_stream(spark, sf_dir))
-    return _run_to_table(seen.select("content_md5"), "dedupe")
+    path, rows = shared_folder(spark, "dedupe"), []
+    _texts_arrive(spark, sf_dir, lambda texts: rows.append(_run_to_table(dedupe_seen(texts).select("content_md5"), path)))
+    return rows[-1]
 
 
 @query
 def stream_changed(spark, sf_dir):
-    events = _stream(spark, sf_dir, "events", "event_id").select(
-        F.col("user_id").cast("string").alias("source"), F.col("event_id").alias("ingest_seq"),
-        F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("content"))
     path = shared_folder(spark, "changed")
-    stateful.changed_only(events, path, interval=None, slice_length="1 day").awaitTermination()
+    _arrive(spark, sf_dir, "events", "event_id", lambda events: stateful.changed_only(events.select(
+        F.col("user_id").cast("string").alias("source"), F.col("event_id").alias("ingest_seq"),
+        F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("content")),
+        path, interval=None, slice_length="1 day").awaitTermination())
     return stateful.read_rows(spark, path).select(
         F.col("ingest_seq").alias("event_id"), F.col("source").cast("long").alias("user_id"))
 
 
 @query
 def stream_tag_counts(spark, sf_dir):
-    cases = (_stream(spark, sf_dir, "documents", "doc_id").selectExpr(
-        "timestamp_seconds(1704067200 + doc_id) AS ts", f"{COLUMNS['content']} AS content")
-        .select("ts", X.tags(F.col("content")).alias("tags")))
     path = shared_folder(spark, "tags")
-    rollups.write_updates(rollups.tag_counts(cases), f"{path}/rows", f"{path}/checkpoint",
-                          interval=None).awaitTermination()
+
+    def count(docs: DataFrame) -> None:
+        cases = (docs.selectExpr("timestamp_seconds(1704067200 + doc_id) AS ts", f"{COLUMNS['content']} AS content")
+                 .select("ts", X.tags(F.col("content")).alias("tags")))
+        rollups.write_updates(rollups.tag_counts(cases), f"{path}/rows", f"{path}/checkpoint",
+                              interval=None).awaitTermination()
+
+    _arrive(spark, sf_dir, "documents", "doc_id", count)
     return rollups.read_counts(spark, f"{path}/rows").select(
         F.unix_seconds("start").alias("start"), "tag", "count")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from caseflow.functions.crypto import key_table
 from caseflow.operators.cases import first_copies
 from caseflow.operators.parse import ingest
+from caseflow.plans import queries
 from caseflow.sources.files import stream_case_files
 from caseflow.sources.store import read_case_store
 from caseflow.sources.vault import read_vault
@@ -127,3 +128,38 @@ def test_a_failed_run_is_started_again_and_repeats_its_batch(spark, tmp_path):
 
     assert keep_running(start, interval=0.01) == 1
     assert sorted(seen) == ["x", "y"]
+
+
+def documents(spark, folder, ids):
+    """A table of documents, one text each, in several files."""
+    rows = [(i, f"{note(n)} of the batch", "en", "s1", 0) for n, i in enumerate(ids)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame(rows, schema).repartition(6).write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_a_table_arrives_whole_in_order_and_in_parallel(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "ARRIVALS", 3)
+    ids = [*range(120), 10**12, None, None]  # uneven, and two without an id
+    batches = []
+
+    def run(stream):
+        (stream.select("doc_id", F.input_file_name().alias("file")).writeStream.foreachBatch(lambda batch, n: batches.append(
+            ([r.doc_id for r in batch.collect()], len({r.file for r in batch.collect()}))))
+         .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination())
+
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # a task per file
+    try:
+        queries._arrive(spark, documents(spark, tmp_path / "t", ids), "documents", "doc_id", run)
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(batches) == 3 and sorted((i for b, _ in batches for i in b), key=str) == sorted(ids, key=str)
+    assert batches[0][0].count(None) == 2 and all(files > 1 and len(b) > 30 for b, files in batches)
+    found = [sorted(-1 if i is None else i for i in b) for b, _ in batches]
+    assert all(a[-1] < b[0] for a, b in zip(found, found[1:]))
+
+
+def test_stream_queries_keep_texts_without_an_id_and_take_empty_tables(spark, tmp_path):
+    some, none = documents(spark, tmp_path / "some", [1, 2, 900, None, None]), documents(spark, tmp_path / "none", [])
+    assert queries.stream_dedupe(spark, some).count() == 5 and queries.stream_dedupe(spark, none).count() == 0
+    assert queries.stream_tag_counts(spark, none).count() == 0
