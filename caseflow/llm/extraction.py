@@ -25,6 +25,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose text is not part of the page as it is read.  The first ones hold no tags, only their own end.
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 UNREAD = frozenset("head template select option button svg math canvas audio video object label legend datalist".split())
+#: What an open head can hold.  Its end can be left out: any other element, or text, is the first of the body.
+HEAD_HOLDS = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
 #: These end where a sibling begins.
 ENDS = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 #: Tags that say nothing about what they hold.
@@ -72,6 +74,8 @@ def blocks(page: str) -> tuple[list[Block], list[str]]:
 
     def take(text: str) -> None:
         nonlocal now, tags
+        if stack[-1][0] == "head" and text.strip():
+            close("head")
         if unread or not text:
             return
         words = len(text.split())
@@ -117,6 +121,8 @@ def blocks(page: str) -> tuple[list[Block], list[str]]:
         if ending:
             close(name)
             continue
+        if stack[-1][0] == "head" and name not in HEAD_HOLDS:
+            close("head")
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
             at = len(page) if end is None else page.find(">", end.start()) + 1 or len(page)

@@ -45,6 +45,14 @@ def test_odd_pages(page, text):
     assert extraction.main_text(page) == text
 
 
+@pytest.mark.parametrize("head", [
+    "<head><title>T</title><body>", "<head><title>T</title>", "<head><meta charset=x><template><p>no</p></template><style>p {}</style>\n<body>",
+    "<HEAD><link rel=x><noscript><p>no</p></noscript><!-- no --><body></head>", "<head>", "<head><title>T</title></head><body>"])
+def test_the_end_of_a_head_can_be_left_out(head):
+    assert extraction.main_text(f"<!DOCTYPE html><html>{head}<p>{TEXT}</p><p>{TEXT}</p></html>") == f"{TEXT} {TEXT}"
+    assert extraction.main_text(f"<html>{head}{TEXT}") == TEXT
+
+
 def test_the_region_has_the_largest_sum():
     page = "<div class=ad><p>x y</p></div><article><p>a b c</p></article><div class=ad><p>many bad words stand here between</p></div><article><p>d</p></article>"
     assert extraction.main_text(page) in ("a b c", "a b c d")
