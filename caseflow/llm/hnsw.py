@@ -23,7 +23,7 @@ NEIGHBOURS, BUILD_BEAM, BEAM = 12, 48, 32
 #: Vectors inserted, or searched, at once.
 AT_ONCE = 256
 #: Every so many searched vectors one is also compared with the whole shard; the beam is doubled until so many of the links
-#: that this finds were found.
+#: that this finds were found, and some of every vector that has any.
 AUDIT_EVERY, RECALL = 16, 0.995
 #: A beam that would be wider than this share of a shard, as 1 / WIDEST, is no saving: the whole shard is compared.
 WIDEST = 16
@@ -163,6 +163,28 @@ class SmallWorld:
         return out
 
 
+def audited(world: SmallWorld, queries: np.ndarray, least: float, beam: int, own: np.ndarray, nodes: np.ndarray) -> list[np.ndarray]:
+    """What ``within`` finds for a block of vectors, with beams as wide as the audit of some of them asks for.
+
+    ``own`` and ``nodes`` name the queries and the shard's vectors: that a vector finds itself is no link and counts for nothing.
+    A group's many links cannot make up for a vector outside it that has links and found none.
+    """
+    some = np.arange(0, len(queries), AUDIT_EVERY)
+    truth = [t[nodes[t] != own[k]] for k, t in zip(some, (np.flatnonzero(t >= least) for t in queries[some] @ world.units.T))]
+    hits, wide = world.within(queries, least, beam), beam
+    while wide == beam or wide * WIDEST < 2 * len(world.units):
+        found = [len(np.intersect1d(hits[k], t)) for k, t in zip(some, truth)]
+        blind = any(len(t) and not f for f, t in zip(found, truth))
+        if not blind and sum(found) >= RECALL * sum(map(len, truth)):
+            break
+        # Links that were found in part are looked for with wider beams; all are if some vector's were not found at all.
+        wide *= 2
+        todo = [k for k in range(len(hits)) if blind or (nodes[hits[k]] != own[k]).any()]
+        for k, own_hits in zip(todo, world.within(queries[todo], least, wide)):
+            hits[k] = np.union1d(hits[k], own_hits)
+    return hits
+
+
 def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
     out = np.zeros((len(vectors), width))
     for row, vector in enumerate(vectors):
@@ -196,8 +218,8 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
 
     ``n_links`` counts the other rows found to be linked directly, ``component_id`` is the smallest id reachable by links.
     Links are verified in double precision, so none is below the threshold; how many are missed is audited in every search
-    against brute force, and beams are widened until at least ``RECALL`` are found.  Equal vectors are searched once and
-    count as often as they occur.  Vectors that are null, zero or empty, or hold a null or an infinite or undefined component,
+    against brute force, and beams are widened until at least ``RECALL`` are found and no audited vector with links found
+    none.  Equal vectors are searched once and count as often as they occur.  Vectors that are null, zero or empty, or hold a null or an infinite or undefined component,
     are linked with nothing; shorter vectors count as if zeros followed; rows with equal ids are each counted, and a
     component of null ids has a null id; an empty table gives an empty result; other columns are ignored.
 
@@ -240,20 +262,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
         beam = BEAM
         for begin in range(0, len(own), AT_ONCE):
             block = slice(begin, begin + AT_ONCE)
-            least = cosine - MARGIN
-            audited = np.arange(0, len(queries[block]), AUDIT_EVERY)
-            truth = [np.flatnonzero(t >= least) for t in queries[block][audited] @ units.T]
-            hits, wide = world.within(queries[block], least, beam), beam
-            while wide == beam or wide * WIDEST < 2 * len(units):
-                found = [len(np.intersect1d(hits[k], t)) for k, t in zip(audited, truth)]
-                if sum(found) >= RECALL * sum(map(len, truth)):
-                    break
-                # Links that were found in part are looked for with wider beams; all are if some vector's were not found at all.
-                wide *= 2
-                blind = any(len(t) and not f for f, t in zip(found, truth))
-                todo = [k for k in range(len(hits)) if blind or len(hits[k])]
-                for k, own_hits in zip(todo, world.within(queries[block][todo], least, wide)):
-                    hits[k] = np.union1d(hits[k], own_hits)
+            hits = audited(world, queries[block], cosine - MARGIN, beam, own[block], nodes)
             a = np.repeat(np.arange(begin, begin + len(hits)), [len(h) for h in hits])
             b = np.concatenate(hits)
             linked = np.zeros(len(a), bool)

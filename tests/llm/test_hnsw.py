@@ -64,3 +64,25 @@ def test_graph_reaches_everything(size):
     hits = graph.within(units, 0.5, 8)
     truth = units @ units.T >= 0.5
     assert sum(len(h) for h in hits) >= 0.99 * truth.sum() and all(truth[k, h].all() for k, h in enumerate(hits))
+
+
+def test_a_groups_links_do_not_hide_a_vector_that_finds_none():
+    rng = np.random.default_rng(7)
+    group = rng.normal(size=32)
+    pairs = rng.normal(size=(16, 32))
+    x = np.concatenate([group + rng.normal(size=(4000, 32)) * 0.01, np.repeat(pairs, 2, axis=0) + rng.normal(size=(32, 32)) * 0.01])
+    units, _ = hnsw._units(x)
+
+    class Blind(hnsw.SmallWorld):
+        """Finds all of the group, but of the pairs only the vector itself before the beam is wider."""
+
+        def __init__(self):
+            self.units = units
+
+        def within(self, queries, least, beam):
+            own = [np.flatnonzero(q @ units.T >= least) for q in queries]
+            return [o if beam > hnsw.BEAM or len(o) > 2 else o[units[o] @ q > 0.99999] for o, q in zip(own, queries)]
+
+    some = np.r_[np.arange(224), np.arange(4000, 4032)]
+    hits = hnsw.audited(Blind(), units[some], 0.9, hnsw.BEAM, some, np.arange(len(x)))
+    assert [len(h) for h in hits] == [4000] * 224 + [2] * 32
