@@ -11,12 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from .common import BROADCAST_ROWS, buckets_for, fraction_below, stored
+
 ROLES = ("system", "user", "assistant")
 #: What speakers are called at the beginning of a line, by role.
 MARKERS = {"system": "system|instructions?|context", "user": "user|human|customer|client|question|q|you|me",
            "assistant": "assistant|ai|bot|agent|support|model|answer|a"}
 #: Turns, and later blocks of turns, that one task decodes together.
 BLOCK = 64
+#: A block with more rows than this, as turn numbers are repeated or null, is cut at ranges of the texts' hashes.
+ROWS_PER_BLOCK = 4 * BLOCK
 #: What each state is taken to have had beside what is counted: lines of every value, lines with its own marker and with
 #: another role's; and the share of turns that begin within a row.
 SMOOTHING, OWN_MARKER, OTHER_MARKER, WITHIN_ROW = 0.5, 50.0, 0.0001, 0.1
@@ -147,13 +151,19 @@ def train(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: s
 
     The counts have a row per role and feature combination, a bounded number; rows with an unknown or null role count for
     nothing.  The turn before is found by a join on the conversation and the turn's number, which splits long conversations.
+    Rows of one number are combined before it: each counts one change, shared among the rows of the number before.
     """
     known = rows.filter(F.col(role).isin(*ROLES)).select(
         F.col(conv_id).alias("c"), F.col(turn).cast("long").alias("t"), F.col(role).alias("role"), F.col(text).cast("string").alias("text"))
     lines = known.select("role", F.posexplode(_codes("text")).alias("at", "code")).groupBy(
         "role", (F.col("at") == 0).alias("starts"), "code").agg(F.count("*").alias("n"))
-    before = known.select("c", (F.col("t") + 1).alias("t"), F.col("role").alias("before"))
-    turns = known.select("c", "t", "role").join(before, ["c", "t"], "left").groupBy("before", "role").agg(F.count("*").alias("n"))
+    said = known.groupBy("c", "t").agg(*[F.count(F.when(F.col("role") == r, 1)).alias(r) for r in ROLES])
+    before = said.select("c", (F.col("t") + 1).alias("t"), F.struct(*ROLES).alias("before"))
+    of_before = {b: F.col(f"before.{b}") / sum(F.col(f"before.{r}") for r in ROLES) for b in ROLES}
+    of_before[None] = F.when(F.col("before").isNull(), 1.0)
+    pairs = F.array(*[F.struct(F.lit(b).cast("string").alias("before"), F.lit(r).alias("role"), (F.col(r) * share).alias("n"))
+                      for b, share in of_before.items() for r in ROLES])
+    turns = said.join(before, ["c", "t"], "left").select(F.inline(pairs)).filter("n > 0").groupBy("before", "role").agg(F.sum("n").alias("n"))
     return Model(lines.toPandas(), turns.toPandas())
 
 
@@ -181,8 +191,9 @@ def parse(rows: DataFrame, model: Model, conv_id: str = "conv_id", turn: str = "
     The lines of a conversation, in the order of its rows, are decoded together: the result is the best sequence of
     states for the whole conversation.  A conversation of any length is decoded in blocks: the best scores from each state
     before a block to each state after it form a small matrix, matrices are combined block by block in as many levels as
-    the turn numbers need, and the states chosen at the borders go back down.  So no task holds more than ``BLOCK`` turn
-    numbers.  ``part`` counts the turns within a row, which has several if markers stand in its text.
+    the turn numbers need, and the states chosen at the borders go back down.  A block of ``BLOCK`` turn numbers that has
+    more than ``ROWS_PER_BLOCK`` distinct rows is decoded in cells: ranges of the texts' hashes within a turn number, whose
+    matrices are combined first.  So no task holds more than a bounded number of rows together.  ``part`` counts the turns within a row, which has several if markers stand in its text.
 
     A null or empty text is one empty line; a null turn comes first; a row with a null conv_id is a conversation of its
     own; equal rows are decoded together and each returned; of one turn number, rows go by their text; an empty table
@@ -196,38 +207,60 @@ def parse(rows: DataFrame, model: Model, conv_id: str = "conv_id", turn: str = "
     bounds = given.agg(F.min("turn"), F.max("turn")).first()
     low, high = (bounds[0] or 0) - 1, bounds[1] or 0
     given = given.withColumn("c", F.coalesce(F.col("conv_id").cast("string"), F.concat(F.lit("row "), "h"))).withColumn(
-        "at", F.coalesce(F.col("turn") - low, F.lit(0))).withColumn("block", F.expr(f"at div {BLOCK}")).withColumn("codes", _codes("text"))
+        "at", F.coalesce(F.col("turn") - low, F.lit(0))).withColumn("block", F.expr(f"at div {BLOCK}"))
+    crowded = stored(given.groupBy("c", "block").agg(F.count("*").alias("n")).filter(F.col("n") > ROWS_PER_BLOCK), "crowded")
+    most, blocks = crowded.agg(F.max("n"), F.count("*")).first()
+    ranges = buckets_for(most or 0, ROWS_PER_BLOCK)
+    cell = F.expr(f"at % {BLOCK}") * ranges + fraction_below(F.col("h"), ranges)
+    if not blocks:
+        given = given.withColumn("cell", F.lit(0).cast("long"))
+    elif blocks > BROADCAST_ROWS:  # too many to name: every block is cut
+        given = given.withColumn("cell", cell)
+    else:
+        given = given.join(F.broadcast(crowded), ["c", "block"], "left").withColumn(
+            "cell", F.when(F.col("n").isNull(), F.lit(0).cast("long")).otherwise(cell)).drop("n")
+    given = given.withColumn("codes", _codes("text"))
 
     def matrix(key: tuple, some: pd.DataFrame) -> pd.DataFrame:
         some = some.sort_values(["at", "h"])
         total = sent.value.transfer(np.concatenate(some["codes"].to_list()))
-        return pd.DataFrame({"c": [key[0]], "at": [key[1]], "scores": [total.ravel()]})
+        return pd.DataFrame({"c": [key[0]], "at": [key[1]], "cell": [key[2]], "scores": [total.ravel()]})
 
     def product(key: tuple, some: pd.DataFrame) -> pd.DataFrame:
-        some = some.sort_values("at")
+        some = some.sort_values(["at", "cell"])
         total = None
         for scores in some["scores"]:
             step = np.asarray(scores).reshape(STATES + 1, STATES + 1)
             total = step if total is None else (total[:, :, None] + step[None]).max(axis=1)
-        return pd.DataFrame({"c": [key[0]], "at": [key[1]], "scores": [total.ravel()]})
+        return pd.DataFrame({"c": [key[0]], "at": [key[1]], "cell": [key[2]], "scores": [total.ravel()]})
 
-    def choose(key: tuple, above: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
-        some = some.sort_values("at")
+    def choose(key: tuple, border: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
+        some = some.sort_values(["at", "cell"])
         steps = [np.asarray(s).reshape(STATES + 1, STATES + 1) for s in some["scores"]]
-        entry, leave = int(above["entry"].iloc[0]), int(above["leave"].iloc[0])
+        entry, leave = int(border["entry"].iloc[0]), int(border["leave"].iloc[0])
         path = best_path(steps, entry, None if leave < 0 else leave)
-        return pd.DataFrame({"c": some["c"], "at": some["at"], "entry": np.r_[entry, path[:-1]], "leave": path})
-
-    schema = "c string, at bigint, scores array<double>"
-    levels = [given.select("c", F.col("block"), "at", "h", "codes").groupBy("c", "block").applyInPandas(matrix, schema)]
-    count = (high - low) // BLOCK + 1
-    while count > 1:
-        levels.append(levels[-1].withColumn("block", F.expr(f"at div {BLOCK}")).groupBy("c", "block").applyInPandas(product, schema))
-        count = (count - 1) // BLOCK + 1
-    ends = levels[-1].select("c", F.lit(0).cast("long").alias("block"), F.lit(START).alias("entry"), F.lit(-1).alias("leave"))
-    for level in reversed(levels):
-        ends = ends.groupBy("c", "block").cogroup(level.withColumn("block", F.expr(f"at div {BLOCK}")).groupBy("c", "block")).applyInPandas(
-            choose, "c string, at bigint, entry int, leave int").withColumnRenamed("at", "block")
+        return pd.DataFrame({"c": some["c"], "at": some["at"], "cell": some["cell"], "entry": np.r_[entry, path[:-1]], "leave": path})
+
+    def above(level: DataFrame, cells: bool) -> DataFrame:
+        """What is combined goes together: cells of a block, or blocks."""
+        at, cell = (F.col("at"), F.expr(f"cell div {BLOCK}")) if cells else (F.expr(f"at div {BLOCK}"), F.lit(0).cast("long"))
+        return level.select("*", at.alias("above_at"), cell.alias("above_cell"))
+
+    schema = "c string, at bigint, cell bigint, scores array<double>"
+    levels = [given.select("c", "block", "cell", "at", "h", "codes").groupBy("c", "block", "cell").applyInPandas(matrix, schema)]
+    if blocks:
+        levels[0] = stored(levels[0], "matrices")
+    steps, count = [], BLOCK * ranges if blocks else 1
+    for cells, count in ((True, count), (False, (high - low) // BLOCK + 1)):
+        while count > 1:
+            steps.append(cells)
+            levels.append(above(levels[-1], cells).groupBy("c", "above_at", "above_cell").applyInPandas(product, schema))
+            count = (count - 1) // BLOCK + 1
+    zero = F.lit(0).cast("long")
+    ends = levels[-1].select("c", zero.alias("at"), zero.alias("cell"), F.lit(START).alias("entry"), F.lit(-1).alias("leave"))
+    for level, cells in zip(reversed(levels), [False, *reversed(steps)]):
+        ends = ends.groupBy("c", "at", "cell").cogroup(above(level, cells).groupBy("c", "above_at", "above_cell")).applyInPandas(
+            choose, "c string, at bigint, cell bigint, entry int, leave int")
 
     def decode(key: tuple, border: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
         some = some.sort_values(["at", "h"])
@@ -241,5 +274,5 @@ def parse(rows: DataFrame, model: Model, conv_id: str = "conv_id", turn: str = "
         frame = pd.DataFrame(out, columns=["conv_id", "turn", "part", "role", "content", "rendered"])
         return frame.astype({"conv_id": "Int64", "turn": "Int64"})
 
-    return ends.groupBy("c", "block").cogroup(given.groupBy("c", "block")).applyInPandas(
+    return ends.groupBy("c", "at", "cell").cogroup(given.groupBy("c", "block", "cell")).applyInPandas(
         decode, "conv_id bigint, turn bigint, part int, role string, content string, rendered string")

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 
@@ -93,3 +95,51 @@ def test_awkward_rows(spark, model):
     empty = spark.createDataFrame([], SCHEMA)
     assert transcripts.parse(empty, model).count() == 0
     assert transcripts.parse(spark.createDataFrame(rows, SCHEMA), transcripts.train(empty)).count() >= len(rows)
+
+
+def test_repeated_turns_weigh_as_often_as_they_occur(spark):
+    def changes(k):
+        rows = [(1, n // k, ["user", "assistant"][n // k], f"text {n}", "", "", "") for n in range(2 * k)]
+        model = transcripts.train(spark.createDataFrame(rows, SCHEMA))
+        return np.exp(model.moves[2, 4] - model.moves[2, 2])  # from the user's turn to the assistant's, against to the user's
+
+    assert np.isclose(changes(1), 2) and np.isclose(changes(5), 6)
+
+
+class Bounded(transcripts.Model):
+    """A model that takes no more than 60 lines together."""
+
+    def __init__(self, model):
+        self.moves, self.tables = model.moves, model.tables
+
+    def emissions(self, code):
+        assert len(code) <= 60, "too many rows together"
+        return super().emissions(code)
+
+
+@pytest.mark.parametrize("named", [200_000, 0])
+def test_many_rows_of_one_turn_are_decoded_in_parts(spark, model, monkeypatch, named):
+    monkeypatch.setattr(transcripts, "BLOCK", 8)
+    monkeypatch.setattr(transcripts, "ROWS_PER_BLOCK", 16)
+    monkeypatch.setattr(transcripts, "BROADCAST_ROWS", named)
+
+    rng = np.random.default_rng(2)
+    texts = [f"{t} " + "word " * int(n) for t, n in enumerate(rng.choice([4, 30, 120], 400))]
+    for k in rng.choice(400, 40, replace=False):
+        texts[k] = f"{['User', 'Assistant'][k % 2]}: {k}?"
+    rows = [(9, None if t < 150 else 70 if t < 300 else t, None, text, "", "", "") for t, text in enumerate(texts)]
+    rows += [(8, t, None, f"text {t}", "", "", "") for t in range(60, 90)]
+    found = transcripts.parse(spark.createDataFrame(rows, SCHEMA).repartition(5), Bounded(model)).collect()
+    assert sorted((r.conv_id, str(r.turn)) for r in found) == sorted((r[0], str(r[1])) for r in rows)
+    for conv in (8, 9):
+        own = sorted((r for r in rows if r[0] == conv), key=lambda r: (-1 if r[1] is None else r[1], hashlib.md5(r[3].encode()).hexdigest()))
+        role = {(r.turn, r.content): transcripts.ROLES.index(r.role) for r in found if r.conv_id == conv}
+        said = [[role.get((r[1], x.strip())) for x in (r[3], r[3].split(": ")[-1])] for r in own]
+        code = np.concatenate([transcripts.codes(r[3]) for r in own])
+        emitted = model.emissions(code)
+        chosen = np.array([a if a is not None else b for a, b in said])
+        emitted[:, :-1][np.arange(transcripts.STATES)[None] // 2 != chosen[:, None]] = -np.inf
+        score = np.where(np.arange(transcripts.STATES + 1) == transcripts.START, 0.0, -np.inf)
+        for line in emitted:
+            score = (score[:, None] + model.moves).max(axis=0) + line
+        assert np.isclose(score.max(), model.transfer(code)[transcripts.START].max())
