@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extraction, hnsw, jaccard, packing, pieces, secrets, sharding, topk, toxicity, transcripts
+from . import differencing, extraction, hnsw, jaccard, packing, pieces, runs, secrets, sharding, spelling, topk, toxicity, transcripts
 from .common import table
 
 #: Vocabulary files of public tokenizers; they are read where they are installed, never copied.
@@ -91,3 +91,25 @@ def op10_transcript_roles(spark, sf_dir):
 @query
 def op4_small_world_near_dups(spark, sf_dir):
     return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_periodic_runs(spark, sf_dir):
+    found = runs.periodic_runs(table(spark, sf_dir, "documents"), change=runs.repeated)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("before"), (-r.period).alias("less"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.before")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.less")).alias("period"), F.expr("1000 * best.length div -best.less").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query
+def op12_differencing_packing(spark, sf_dir):
+    placed = differencing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
+    return placed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), spoil=True)
