@@ -621,7 +621,7 @@ def policy_add(spark, sf_dir):
     paths, keys = _paths(spark, "policy_add"), crypto.key_table(spark, **DEMO_KEYS)
     for _ in range(2):
         workflow.add_cases(raw_cases(spark, sf_dir), paths, keys, "team", STRICT, batch="first")
-    audit = spark.read.parquet(paths.audit)
+    audit = governance.read_audit(spark, paths.audit)
     stored = read_case_store(spark, paths.store).select("case_id", "ingest_seq", "content_redacted")
     return audit.join(stored, ["case_id", "ingest_seq"]).select(
         "case_id", "ingest_seq", "operation", "profile", F.col("tokens").cast("long").alias("tokens"), "pii_free", "content_redacted")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import iso_instant
+from .commits import read_batches, write_batch
 
 # Field names of the JSON exchange form and the columns they become.
 JSON_FIELDS = {
@@ -37,16 +36,16 @@ STORE_SCHEMA = (
 def write_case_store(cases: DataFrame, path: str, batch: str | None = None) -> None:
     """Add case rows.  Nothing else is rewritten; ``operators.cases.current_cases`` gives the current state.
 
-    Every writer uses this layout: a folder per batch, so that a repeated batch replaces its rows, and below it one per
-    day, so that a store can be pruned and aged by date.  Without a name a batch is a new one.
+    Every writer uses this layout: a committed folder per batch, so that a repeated batch replaces its rows and no writer
+    touches another's, and below it one per day, so that a store can be pruned and aged by date.  Without a name a batch is
+    a new one.
     """
-    (cases.withColumn("ingest_date", F.to_date("created_at"))
-     .write.mode("overwrite").partitionBy("ingest_date").parquet(f"{path}/batch_id={batch or uuid.uuid4().hex}"))
+    write_batch(cases.withColumn("ingest_date", F.to_date("created_at")), path, batch, ["ingest_date"])
 
 
 def read_case_store(spark: SparkSession, path: str) -> DataFrame:
-    """All rows of all batches, with ``STORE_SCHEMA``; no batch can hide another by its columns or folders."""
-    return spark.read.schema(STORE_SCHEMA).parquet(path)
+    """All rows of all committed batches, with ``STORE_SCHEMA``; no batch can hide another by its columns or folders."""
+    return read_batches(spark, path, STORE_SCHEMA)
 
 
 def to_store_json(cases: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions.crypto import encrypt, key_column, try_decrypt
 from ..operators.parse import cases_of
 from ..operators.redact import MAPPINGS_TYPE
 from ..session import staged
+from .commits import read_batches, write_batch
 from .store import write_case_store
 
 VAULT_SCHEMA = "case_id string, ingest_seq bigint, key_id string, payload string, batch_id string"
@@ -39,13 +40,9 @@ def unseal(sealed: DataFrame, keys: DataFrame) -> DataFrame:
                          F.col("_json").isNotNull().alias("readable"))
 
 
-def _write_sealed(sealed: DataFrame, path: str, batch: str | None) -> None:
-    sealed.write.mode("overwrite").parquet(f"{path}/batch_id={batch or uuid.uuid4().hex}")
-
-
 def write_vault(vault: DataFrame, path: str, keys: DataFrame, key_id: str, batch: str | None = None) -> None:
     """Seal mappings and add them as one batch; a repeated batch replaces its rows."""
-    _write_sealed(seal(vault, keys, key_id), path, batch)
+    write_batch(seal(vault, keys, key_id), path, batch)
 
 
 def write_ingested(done: DataFrame, store: str, vault: str, keys: DataFrame, key_id: str, batch: str | None = None) -> DataFrame:
@@ -59,14 +56,15 @@ def write_ingested(done: DataFrame, store: str, vault: str, keys: DataFrame, key
     payload = F.when(tokens > 0, encrypt(F.to_json("mappings"), key_column(keys, key_id)))
     # Raw text is not among the kept columns.
     once = staged(done.select(*cases_of(done).columns, tokens.alias("tokens"), payload.alias("payload")), "ingested")
-    _write_sealed(once.filter(F.col("payload").isNotNull()).select("case_id", "ingest_seq", F.lit(key_id).alias("key_id"), "payload"),
-                  vault, batch)
+    # Originals first: a failure between the two leaves no case without them.
+    write_batch(once.filter(F.col("payload").isNotNull()).select("case_id", "ingest_seq", F.lit(key_id).alias("key_id"), "payload"),
+                vault, batch)
     write_case_store(cases_of(once), store, batch)
     return once.drop("payload")
 
 
 def read_sealed(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(VAULT_SCHEMA).parquet(path).drop("batch_id")
+    return read_batches(spark, path, VAULT_SCHEMA).drop("batch_id")
 
 
 def read_vault(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import rules as R
 from ..functions import fields as X
 from ..operators.parse import ingest
+from ..sources import commits
 from ..sources.vault import write_ingested
 
 log = logging.getLogger(__name__)
@@ -47,11 +48,41 @@ def dedupe_seen(stream: DataFrame, parts: int = PARTS) -> DataFrame:
     return hashed.dropDuplicates(["content_md5", "_part"]).dropDuplicates(["content_md5"]).drop("_part")
 
 
-def write_batch(batch: DataFrame, batch_id: int, target: Target, **options) -> None:
-    """Add one micro-batch.  It owns the folders ``batch_id=<n>``, so running it again leaves the same files."""
+def query_id(batch: DataFrame) -> str | None:
+    """The id of the streaming query that hands over ``batch``: its checkpoint keeps it, no other query has it."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+
+
+def not_stored(batch: DataFrame, store: str, writer: str) -> DataFrame:
+    """The rows of ``batch`` that no other writer has stored: same number, same text.
+
+    They are there where a checkpoint was lost and a new query reads its source again.  Only two narrow columns are read, and
+    only of batches whose range of numbers meets this one's.
+    """
+    spark = batch.sparkSession
+    numbers = commits.numbers_of(batch)
+    others = [c for c in commits.committed(spark, store) if not c.batch.startswith(f"{writer}-") and c.may_hold(numbers)]
+    if not others:
+        return batch
+    held = commits.read_batches(spark, store, "ingest_seq bigint, content_md5 string", others).distinct()
+    held = held.select(F.col("ingest_seq").alias("_number"), F.col("content_md5").alias("_md5"))
+    return batch.join(held, F.col("ingest_seq").eqNullSafe(F.col("_number")) & F.col("content_md5").eqNullSafe(F.col("_md5")), "left_anti")
+
+
+def write_batch(batch: DataFrame, batch_id: int, target: Target, writer: str | None = None, **options) -> None:
+    """Add one micro-batch under the name of its writer and its number.
+
+    Running it again changes nothing: what is committed is left, what is not is written anew.  Batches of other writers are
+    never touched, and rows that they have stored are not stored again.
+    """
+    name = f"{writer}-{batch_id}" if writer else str(batch_id)
+    if writer:
+        if any(c.batch == name for c in commits.committed(batch.sparkSession, target.store)):
+            return
+        batch = not_stored(batch, target.store, writer)
     suggested = F.get(X.detect_case_ids(F.col("content")), 0)
     named = batch.withColumn("given_case_id", F.coalesce("given_case_id", suggested))
-    write_ingested(ingest(named, **options), target.store, target.vault, target.keys, target.key_id, str(batch_id))
+    write_ingested(ingest(named, **options), target.store, target.vault, target.keys, target.key_id, name)
 
 
 def monitor(stream: DataFrame, target: Target, checkpoint: str, interval: str | None = "1 second",
@@ -59,11 +90,12 @@ def monitor(stream: DataFrame, target: Target, checkpoint: str, interval: str |
     """Start ingesting ``stream`` (source, ingest_seq, ts, given_case_id, content): valid texts, each once.
 
     ``interval=None`` processes what is there and stops.  A failed batch stops the query and is repeated when it is
-    started again with its checkpoint.
+    started again with its checkpoint.  Any number of monitors may share a store; one that starts without its old checkpoint
+    stores nothing twice, unless it runs beside the query that it repeats.
     """
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
     return (dedupe_seen(valid_content(stream, min_length)).writeStream
-            .foreachBatch(lambda batch, n: write_batch(batch, n, target, **options))
+            .foreachBatch(lambda batch, n: write_batch(batch, n, target, query_id(batch), **options))
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 
