@@ -446,9 +446,18 @@ _ARRIVED = "SELECT source, doc_id AS ingest_seq, 'Support note: ' || text AS con
 ORACLES["stream_ingest"] = f"""WITH raw AS MATERIALIZED (SELECT min(source) AS source, min(ingest_seq) AS ingest_seq,
   NULL AS given_case_id, content FROM ({_ARRIVED}) WHERE length(content) >= {R.MIN_CONTENT_LENGTH} GROUP BY content),
 {redaction()}
-SELECT md5(content) AS content_md5, t AS content_redacted, {word_count('content')} AS word_count FROM red"""
+SELECT ingest_seq, md5(content) AS content_md5, t AS content_redacted, {word_count('content')} AS word_count FROM red"""
 ORACLES["stream_dedupe"] = f"SELECT DISTINCT md5(content) AS content_md5 FROM ({_ARRIVED})"
 ORACLES["stream_changed"] = f"SELECT event_id, user_id FROM ({ORACLES['changed_only']})"
+# Arrival by arrival, all users at once: the memory of each as a list.
+ORACLES["stream_newest"] = f"""WITH RECURSIVE texts AS MATERIALIZED (SELECT event_id, user_id, concat_ws(' ', event_type, event_id % {Q.NEWEST_KINDS}) AS t,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+steps(n, user_id, event_id, fresh, held) AS (
+  SELECT CAST(0 AS BIGINT), user_id, CAST(NULL AS BIGINT), false, CAST([] AS VARCHAR[]) FROM texts GROUP BY user_id
+  UNION ALL SELECT texts.n, texts.user_id, texts.event_id, NOT list_contains(held, t), CASE WHEN list_contains(held, t) THEN held
+    WHEN len(held) >= {Q.NEWEST_MOST} THEN list_append(held[len(held) - {Q.NEWEST_KEPT - 2}:], t) ELSE list_append(held, t) END
+  FROM steps JOIN texts ON texts.user_id = steps.user_id AND texts.n = steps.n + 1)
+SELECT event_id, user_id FROM steps WHERE fresh"""
 ORACLES["stream_tag_counts"] = f"""WITH {LEAD},
 tagged AS (SELECT 1704067200 + ingest_seq AS s, unnest({tag_list('content')}) AS tag FROM raw)
 SELECT CAST(s - s % 600 AS BIGINT) AS start, tag, count(*) AS count FROM tagged GROUP BY ALL"""

@@ -741,19 +741,23 @@ def data_size(spark, sf_dir):
 # Streams ---------------------------------------------------------------------------------------------------------
 
 
-#: Micro-batches that a table arrives in.
+#: Micro-batches that a table arrives in, and how far a row may be from its place where they arrive out of order.
 ARRIVALS = 4
+DISORDER = 1500
+#: The limits of ``stream_newest``, and the kinds that an event type is split into.
+NEWEST_MOST, NEWEST_KEPT, NEWEST_KINDS = 8, 4, 3
 
 
-def _arrive(spark: SparkSession, sf_dir: str, name: str, order: str, run: Callable[[DataFrame], object]) -> None:
+def _arrive(spark: SparkSession, still: DataFrame, order: str, run: Callable[[DataFrame], object], arrivals: int | None = None) -> None:
     """A table as a stream of several micro-batches in ``order``: ``run`` is given the stream after each part was written.
 
     A part is written by the tasks that read the table, and all its files are one micro-batch of a run that keeps its
     checkpoint.  Parts have about as many rows each, rows with a null in ``order`` come first, and a table without any
     other arrives at once.
     """
-    still, path = table(spark, sf_dir, name), shared_folder(spark, f"arriving-{name}")
-    places = [k / ARRIVALS for k in range(1, ARRIVALS)]
+    path = shared_folder(spark, "arriving")
+    arrivals = arrivals or ARRIVALS
+    places = [k / arrivals for k in range(1, arrivals)]
     ends = still.agg(F.percentile_approx(order, places, 10_000)).first()[0] or []
     for low, high in zip([None, *ends], [*ends, None]):
         part = F.lit(True) if high is None else F.col(order) <= high
@@ -762,13 +766,13 @@ def _arrive(spark: SparkSession, sf_dir: str, name: str, order: str, run: Callab
         run(spark.readStream.schema(still.schema).parquet(path))
 
 
-def _texts_arrive(spark: SparkSession, sf_dir: str, run: Callable[[DataFrame], object]) -> None:
+def _texts_arrive(spark: SparkSession, sf_dir: str, run: Callable[[DataFrame], object], arrivals: int | None = None) -> None:
     """The documents as arriving support texts; exact copies stay exact copies."""
-    _arrive(spark, sf_dir, "documents", "doc_id", lambda docs: run(docs.select(
+    _arrive(spark, table(spark, sf_dir, "documents"), "doc_id", lambda docs: run(docs.select(
         "source", F.col("doc_id").alias("ingest_seq"),
         F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id")).alias("ts"),
         F.lit(None).cast("string").alias("given_case_id"),
-        F.concat(F.lit("Support note: "), F.col("text")).alias("content"))))
+        F.concat(F.lit("Support note: "), F.col("text")).alias("content"))), arrivals)
 
 
 def _run_to_table(df: DataFrame, path: str) -> DataFrame:
@@ -780,12 +784,21 @@ def _run_to_table(df: DataFrame, path: str) -> DataFrame:
 
 @query
 def stream_ingest(spark, sf_dir):
-    path = shared_folder(spark, "monitor")
-    target = Target(f"{path}/store", f"{path}/vault", crypto.key_table(spark, **DEMO_KEYS), "team")
-    _texts_arrive(spark, sf_dir, lambda texts: monitor(
-        texts, target, f"{path}/checkpoint", interval=None).awaitTermination())
+    """Two monitors on one store: the first sees a half of the texts as they arrive, the second the other half afterwards,
+    and once more without its checkpoint."""
+    path, arrived = shared_folder(spark, "monitor"), []
+    target = Target(f"{path}/store", f"{path}/vault", crypto.key_table(spark, **DEMO_KEYS), "team", f"{path}/late")
+
+    def run(texts: DataFrame, half: int, checkpoint: str) -> None:
+        arrived.append(texts)
+        of = F.pmod(F.xxhash64("content"), F.lit(2)) == half
+        monitor(texts.filter(of), target, f"{path}/{checkpoint}", interval=None, delay="90 days").awaitTermination()
+
+    _texts_arrive(spark, sf_dir, lambda texts: run(texts, 0, "first"), arrivals=2)
+    for checkpoint in ("second", "lost"):
+        run(arrived[-1], 1, checkpoint)
     return read_case_store(spark, target.store).select(
-        "content_md5", "content_redacted", F.col("word_count").cast("long").alias("word_count"))
+        "ingest_seq", "content_md5", "content_redacted", F.col("word_count").cast("long").alias("word_count"))
 
 
 @query
@@ -795,17 +808,41 @@ def stream_dedupe(spark, sf_dir):
     return rows[-1]
 
 
+def _event_texts(events: DataFrame) -> DataFrame:
+    """Events as texts of their user."""
+    return events.select(F.col("user_id").cast("string").alias("source"), F.col("event_id").alias("ingest_seq"),
+                         F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("content"))
+
+
 @query
 def stream_changed(spark, sf_dir):
-    path = shared_folder(spark, "changed")
-    _arrive(spark, sf_dir, "events", "event_id", lambda events: stateful.changed_only(events.select(
-        F.col("user_id").cast("string").alias("source"), F.col("event_id").alias("ingest_seq"),
-        F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("content")),
-        path, interval=None, slice_length="1 day").awaitTermination())
+    """Events arrive out of order, by up to DISORDER places across micro-batches, and are compared in the order of their time."""
+    path, rows = shared_folder(spark, "changed"), table(spark, sf_dir, "events")
+    place = F.col("event_id") + F.pmod(F.xxhash64("event_id"), F.lit(DISORDER))
+    # An event without a text ends the stream: it moves time past all others.
+    end = rows.groupBy().agg(F.max("ts").alias("ts")).filter("ts IS NOT NULL").select(
+        F.lit(None).cast("bigint").alias("event_id"), (F.col("ts") + F.expr("INTERVAL 100 DAYS")).alias("ts"), F.lit(1 << 62).alias("place"))
+    arriving = rows.withColumn("place", place).unionByName(end, allowMissingColumns=True)
+    _arrive(spark, arriving, "place", lambda events: stateful.changed_only(
+        _event_texts(events), path, interval=None, delay="60 days").awaitTermination())
     return stateful.read_rows(spark, path).select(
         F.col("ingest_seq").alias("event_id"), F.col("source").cast("long").alias("user_id"))
 
 
+@query
+def stream_newest(spark, sf_dir):
+    """Events whose type is not among the last ones that their user's memory holds; small limits, so that it is cut often."""
+    path, rows = shared_folder(spark, "newest"), []
+
+    def run(events: DataFrame) -> None:
+        named = _event_texts(events).withColumn("content", F.concat_ws(" ", "content", F.col("ingest_seq") % NEWEST_KINDS))
+        with stateful.rocksdb(spark):
+            rows.append(_run_to_table(stateful.bounded_seen(named, most=NEWEST_MOST, kept=NEWEST_KEPT).select("ingest_seq", "source"), path))
+
+    _arrive(spark, table(spark, sf_dir, "events"), "event_id", run)
+    return rows[-1].select(F.col("ingest_seq").alias("event_id"), F.col("source").cast("long").alias("user_id"))
+
+
 @query
 def stream_tag_counts(spark, sf_dir):
     path = shared_folder(spark, "tags")
@@ -816,6 +853,6 @@ def stream_tag_counts(spark, sf_dir):
         rollups.write_updates(rollups.tag_counts(cases), f"{path}/rows", f"{path}/checkpoint",
                               interval=None).awaitTermination()
 
-    _arrive(spark, sf_dir, "documents", "doc_id", count)
+    _arrive(spark, table(spark, sf_dir, "documents"), "doc_id", count)
     return rollups.read_counts(spark, f"{path}/rows").select(
         F.unix_seconds("start").alias("start"), "tag", "count")

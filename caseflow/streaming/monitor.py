@@ -17,6 +17,7 @@ from ..functions import fields as X
 from ..operators.parse import ingest
 from ..sources import commits
 from ..sources.vault import write_ingested
+from .stateful import earliest_within, rocksdb
 
 log = logging.getLogger(__name__)
 
@@ -26,12 +27,13 @@ PARTS = 64
 
 @dataclass(frozen=True)
 class Target:
-    """Where a monitor writes and the vault key it uses."""
+    """Where a monitor writes and the vault key it uses.  ``late`` holds raw rows: give it the protection of the source."""
 
     store: str
     vault: str
     keys: DataFrame
     key_id: str
+    late: str | None = None
 
 
 def valid_content(stream: DataFrame, min_length: int = R.MIN_CONTENT_LENGTH) -> DataFrame:
@@ -60,8 +62,10 @@ def not_stored(batch: DataFrame, store: str, writer: str) -> DataFrame:
     only of batches whose range of numbers meets this one's.
     """
     spark = batch.sparkSession
-    numbers = commits.numbers_of(batch)
-    others = [c for c in commits.committed(spark, store) if not c.batch.startswith(f"{writer}-") and c.may_hold(numbers)]
+    others = [c for c in commits.committed(spark, store) if not c.batch.startswith(f"{writer}-")]
+    if others:
+        numbers = commits.numbers_of(batch)
+        others = [c for c in others if c.may_hold(numbers)]
     if not others:
         return batch
     held = commits.read_batches(spark, store, "ingest_seq bigint, content_md5 string", others).distinct()
@@ -72,30 +76,57 @@ def not_stored(batch: DataFrame, store: str, writer: str) -> DataFrame:
 def write_batch(batch: DataFrame, batch_id: int, target: Target, writer: str | None = None, **options) -> None:
     """Add one micro-batch under the name of its writer and its number.
 
-    Running it again changes nothing: what is committed is left, what is not is written anew.  Batches of other writers are
-    never touched, and rows that they have stored are not stored again.
+    Running it again replaces what it has written.  Batches of other writers are never touched, and rows that they have
+    stored are not stored again.
     """
     name = f"{writer}-{batch_id}" if writer else str(batch_id)
     if writer:
-        if any(c.batch == name for c in commits.committed(batch.sparkSession, target.store)):
-            return
         batch = not_stored(batch, target.store, writer)
     suggested = F.get(X.detect_case_ids(F.col("content")), 0)
     named = batch.withColumn("given_case_id", F.coalesce("given_case_id", suggested))
     write_ingested(ingest(named, **options), target.store, target.vault, target.keys, target.key_id, name)
 
 
+def _step(batch: DataFrame, batch_id: int, target: Target, **options) -> None:
+    """One micro-batch of a running query: late rows beside the store, the others into it.  What is committed is left."""
+    writer = query_id(batch)
+    if any(c.batch == f"{writer}-{batch_id}" for c in commits.committed(batch.sparkSession, target.store)):
+        return
+    batch.persist()  # what the state gives out is computed once
+    try:
+        if batch.isEmpty():
+            return
+        fresh = batch
+        if "late" in batch.columns:
+            fresh = batch.filter("NOT late").drop("late")
+            if target.late:
+                commits.write_batch(batch.filter("late").drop("late"), target.late, f"{writer}-{batch_id}")
+        write_batch(fresh, batch_id, target, writer, **options)
+    finally:
+        batch.unpersist()
+
+
 def monitor(stream: DataFrame, target: Target, checkpoint: str, interval: str | None = "1 second",
-            min_length: int = R.MIN_CONTENT_LENGTH, **options) -> StreamingQuery:
+            min_length: int = R.MIN_CONTENT_LENGTH, delay: str | None = None, **options) -> StreamingQuery:
     """Start ingesting ``stream`` (source, ingest_seq, ts, given_case_id, content): valid texts, each once.
 
     ``interval=None`` processes what is there and stops.  A failed batch stops the query and is repeated when it is
     started again with its checkpoint.  Any number of monitors may share a store; one that starts without its old checkpoint
     stores nothing twice, unless it runs beside the query that it repeats.
+
+    With ``delay`` texts are remembered for so long only (``stateful.earliest_within``): the state is bounded, the earliest
+    copy of a text in a batch is the one that is stored, and rows that come later than that go to ``target.late`` as they
+    are.  Without it every text is remembered.
     """
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
+    if delay:
+        # Texts are forgotten with the next rows: no batches without any are run for it.
+        with rocksdb(stream.sparkSession, noDataMicroBatches="false"):
+            return (earliest_within(valid_content(stream, min_length), delay).writeStream
+                    .foreachBatch(lambda batch, n: _step(batch, n, target, **options))
+                    .option("checkpointLocation", checkpoint).trigger(**trigger).start())
     return (dedupe_seen(valid_content(stream, min_length)).writeStream
-            .foreachBatch(lambda batch, n: write_batch(batch, n, target, query_id(batch), **options))
+            .foreachBatch(lambda batch, n: _step(batch, n, target, **options))
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 

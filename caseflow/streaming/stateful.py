@@ -1,67 +1,274 @@
-"""What a monitor remembers per source, across micro-batches.
+"""What a stream remembers, in the engine's own state store: seen texts, the newest texts of a source, its last text.
 
-Only ids and hashes pass through here, never texts.  Each micro-batch writes its rows and a snapshot, the last hash of every
-source so far, into folders of its own; it reads the snapshot of the batch before and no other.  So a batch costs its rows and
-one row per source however long the stream has run, and a repeated batch leaves the same files.
+State is keyed and versioned by the engine, kept in RocksDB beside the executors and saved with the checkpoint; nothing here
+reads or writes folders of its own.  Each operator forgets by event time, so its state is bounded by the delay and the rate of
+the stream, not by how long it runs.  A row older than the delay allows is not lost: it comes out marked ``late``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import BooleanType, StructType
 
-from ..operators import cases as C
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: When more than MOST texts of a source are remembered, the newest KEPT stay.
+MOST, KEPT = 1000, 500
 
-ROW = ["source", "ingest_seq", "ts", "content_hash"]
-ROW_SCHEMA = "source string, ingest_seq bigint, ts timestamp, content_hash string"
-LAST_SCHEMA = "source string, last string, ts timestamp, ingest_seq bigint"
+ROW_SCHEMA = "source string, ingest_seq bigint, ts timestamp, content_hash string, late boolean"
 
 
-def _narrow(stream: DataFrame, text: str, hashed: Column) -> DataFrame:
-    return stream.filter(F.length(text) > 0).select("source", "ingest_seq", "ts", hashed.alias("content_hash"))
+@contextmanager
+def rocksdb(spark: SparkSession, **more: str) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB; the session's own settings come back afterwards."""
+    settings = {PROVIDER: ROCKSDB} | {f"spark.sql.streaming.{k}.enabled": v for k, v in more.items()}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def _snapshot(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
-    """The last hash of every source as the batch before this one left it."""
-    try:
-        return spark.read.schema(LAST_SCHEMA).parquet(f"{folder}/last/batch_id={batch_id - 1}")
-    except AnalysisException:
-        return spark.createDataFrame([], LAST_SCHEMA)
+def _remembered(rows: DataFrame, keys: list[str], processor: StatefulProcessor, timed: bool = True) -> DataFrame:
+    """``rows`` through a processor that returns rows of the same columns and ``late``."""
+    schema = StructType([*rows.schema.fields]).add("late", BooleanType())
+    return rows.groupBy(*keys).transformWithState(processor, schema, "append", "eventTime" if timed else "none").drop("_ms")
 
 
-def _write(df: DataFrame, folder: str, kind: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{folder}/{kind}/batch_id={batch_id}")
+def _timed(stream: DataFrame, delay: str) -> DataFrame:
+    """``stream`` with a watermark, and its time as milliseconds in ``_ms``.
 
+    The engine drops late rows before an operator that sees the marked column.  The numbers are not marked: late rows reach
+    the processors, which hand them on.
+    """
+    plain = F.timestamp_micros(F.unix_micros("ts")).alias("ts")
+    marked = stream.withWatermark("ts", delay)
+    return marked.select(*[plain if c == "ts" else F.col(c) for c in stream.columns], F.unix_millis("ts").alias("_ms"))
 
-def _start(rows: DataFrame, step: Callable[[DataFrame, int], None], folder: str, interval: str | None) -> StreamingQuery:
-    trigger = {"processingTime": interval} if interval else {"availableNow": True}
 
-    return (rows.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint")
-            .trigger(**trigger).start())
+def _out(row: Row, late: bool) -> Row:
+    return Row(**row.asDict(), late=late)
 
 
-def read_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(ROW_SCHEMA).parquet(f"{folder}/rows")
+def _number(row: Row) -> tuple[bool, int]:
+    return row.ingest_seq is not None, row.ingest_seq or 0
 
 
-def changed_only(stream: DataFrame, folder: str, text: str = "content", interval: str | None = "1 second",
-                 slice_length: str = "1 hour") -> StreamingQuery:
-    """Keep rows whose text differs from the previous non-empty one of the same source.
+class _Seen(StatefulProcessor):
+    """Of the rows of a text the first one, once."""
+
+    def __init__(self, delay_ms: int) -> None:
+        self.delay_ms = delay_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.until = handle.getValueState("until", "ms bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        now, first, newest = timerValues.getCurrentWatermarkInMs(), None, -1
+        for row in rows:
+            if row._ms is not None and row._ms < now:
+                yield _out(row, True)
+                continue
+            newest = max(newest, row._ms if row._ms is not None else now)
+            if first is None or _number(row) < _number(first):
+                first = row
+        if first is None:
+            return
+        known = self.until.get()
+        if known is None:
+            yield _out(first, False)
+        until = newest + self.delay_ms + 1
+        if known is None or until > known[0]:
+            if known is not None:
+                self.handle.deleteTimer(known[0])
+            self.handle.registerTimer(until)
+            self.until.update((until,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.until.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
 
-    Inside a batch a busy source is cut into slices of time, as in ``operators.cases.changed_only``.
+def _milliseconds(delay: str) -> int:
+    number, unit = delay.split()
+    return int(number) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}[unit.rstrip("s")] * 1000
+
+
+def _fewer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the copies of a text in one batch of rows the one with the least number and the latest one."""
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        chosen = set()
+        for column, direction in (("ingest_seq", "ascending"), ("_ms", "descending")):
+            order = pc.sort_indices(table, sort_keys=[("content_md5", "ascending"), (column, direction)], null_placement="at_end")
+            md5 = table["content_md5"].take(order).to_pylist()
+            chosen.update(k for k, this, before in zip(order.to_pylist(), md5, [object(), *md5]) if this != before)
+        yield from table.take(pa.array(sorted(chosen), pa.int64())).combine_chunks().to_batches()
+
+
+def earliest_within(stream: DataFrame, delay: str) -> DataFrame:
+    """Drop a text that the stream has held within ``delay`` before; of the copies in a batch the one with the least
+    ``ingest_seq`` stays.  Adds ``content_md5`` and ``late``.
+
+    A text is forgotten when the watermark has passed its latest copy by ``delay``, so the state holds the distinct texts of
+    that time and no more.  Rows older than the watermark are handed on with ``late``; of a text whose first copies are late,
+    another one that is not stands for it.  Rows without a time count as new.  Copies are reduced where they are read: a
+    text that makes up a third of the rows sends two rows per Arrow batch to its task.
     """
+    hashed = _timed(stream.withColumn("content_md5", F.md5("content")), delay)
+    fewer = hashed.mapInArrow(_fewer, hashed.schema)
+    return _remembered(fewer, ["content_md5"], _Seen(_milliseconds(delay)))
+
+
+class _Newest(StatefulProcessor):
+    """Rows whose text is not among the newest of the key; the list of these is cut when it has grown too long."""
+
+    def __init__(self, most: int, kept: int, idle_ms: int) -> None:
+        self.most, self.kept, self.idle_ms = most, kept, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.texts = handle.getListState("texts", "md5 string")
+        self.until = handle.getValueState("until", "ms bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = [t[0] for t in self.texts.get()] if self.texts.exists() else []
+        known, before, newest = set(held), len(held), timerValues.getCurrentWatermarkInMs()
+        cut = False
+        for row in sorted(rows, key=_number):
+            newest = max(newest, row._ms or 0)
+            if row.content_md5 in known:
+                continue
+            yield _out(row, False)
+            held.append(row.content_md5)
+            known.add(row.content_md5)
+            if len(held) > self.most:
+                held, cut = held[-self.kept:], True
+                known = set(held)
+        if cut:
+            self.texts.put([(t,) for t in held])
+        elif len(held) > before:
+            self.texts.appendList([(t,) for t in held[before:]])
+        until, last = newest + self.idle_ms, self.until.get()
+        if last is None or until > last[0]:
+            if last is not None:
+                self.handle.deleteTimer(last[0])
+            self.handle.registerTimer(until)
+            self.until.update((until,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.texts.clear()
+        self.until.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def bounded_seen(stream: DataFrame, most: int = MOST, kept: int = KEPT, parts: int = 1, idle: str = "30 days") -> DataFrame:
+    """Drop a text that is among the newest ones of its source: when more than ``most`` are remembered, ``kept`` stay.
+
+    Rows of a batch are taken in the order of ``ingest_seq``.  ``parts`` splits what a source remembers, and its rows, by
+    ranges of the text's hash, each with limits of its own, so a busy source is many keys.  A source that was silent for
+    ``idle`` of event time is forgotten.  Adds ``content_md5``.
+    """
+    hashed = _timed(stream.withColumn("content_md5", F.md5("content")), "0 seconds")
+    part = F.floor(F.conv(F.substring("content_md5", 1, 8), 16, 10).cast("bigint") * parts / (1 << 32)).cast("int")
+    kept_rows = _remembered(hashed.withColumn("_part", part), ["source", "_part"], _Newest(most, kept, _milliseconds(idle)))
+    return kept_rows.drop("_part", "late")
+
+
+class _Changed(StatefulProcessor):
+    """The rows of a source in the order of time, as far as the watermark has come, that differ from the one before."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ms bigint, us bigint, ingest_seq bigint, content_hash string")
+        self.last = handle.getValueState("last", "content_hash string")
+        self.next = handle.getValueState("next", "ms bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        now, new = timerValues.getCurrentWatermarkInMs(), []
+        for row in rows:
+            if row.content_hash is None:
+                continue
+            if row._ms is None or row._ms <= now:
+                yield _out(row, True)
+            else:
+                new.append((row._ms, row._us, row.ingest_seq, row.content_hash))
+        if not new:
+            return
+        self.waiting.appendList(new)
+        first, timer = min(new)[0], self.next.get()
+        if timer is None or first < timer[0]:
+            if timer is not None:
+                self.handle.deleteTimer(timer[0])
+            self.handle.registerTimer(first)
+            self.next.update((first,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs()
+        held = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: (r[1], r[2] is not None, r[2] or 0))
+        last = (self.last.get() or (None,))[0]
+        ready = [r for r in held if r[0] <= now]
+        for ms, us, number, text in ready:
+            if text != last:
+                yield Row(source=key[0], ingest_seq=number, content_hash=text, _us=us, _ms=ms, late=False)
+            last = text
+        self.last.update((last,))
+        rest = held[len(ready):]
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(rest[0][0])
+            self.next.update((rest[0][0],))
+        else:
+            self.waiting.clear()
+            self.next.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def changes(stream: DataFrame, delay: str, text: str = "content") -> DataFrame:
+    """(source, ingest_seq, ts, content_hash, late): rows whose text differs from the previous non-empty one of their source.
+
+    "Previous" is by time, then ``ingest_seq``, whatever the order of arrival: a row waits until the watermark, the latest
+    time less ``delay``, has reached it.  A row that comes after that, or has no time, comes out marked ``late`` and is
+    compared with nothing.  Empty texts only move time on.  Only ids and hashes pass through here.
+    """
+    narrow = stream.select("source", "ingest_seq", "ts", F.when(F.length(text) > 0, F.sha2(F.col(text), 256)).alias("content_hash"))
+    # A filter here would be moved below the watermark, and empty texts would not move time on: the processor skips them.
+    timed = _timed(narrow, delay).withColumn("_us", F.unix_micros("ts"))
+    found = _remembered(timed.select("source", "ingest_seq", "content_hash", "_us", "_ms"), ["source"], _Changed())
+    return found.select("source", "ingest_seq", F.timestamp_micros("_us").alias("ts"), "content_hash", "late")
+
+
+def changed_only(stream: DataFrame, folder: str, text: str = "content", interval: str | None = "1 second",
+                 delay: str = "1 hour") -> StreamingQuery:
+    """Start writing ``changes`` below ``folder``; ``read_rows`` and ``read_late`` give them back."""
+    trigger = {"processingTime": interval} if interval else {"availableNow": True}
+    with rocksdb(stream.sparkSession):
+        return (changes(stream, delay, text).writeStream.format("parquet").partitionBy("late")
+                .option("checkpointLocation", f"{folder}/checkpoint").trigger(**trigger).start(f"{folder}/rows"))
+
+
+def read_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(ROW_SCHEMA).parquet(f"{folder}/rows").filter("NOT late").drop("late")
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        before = _snapshot(batch.sparkSession, folder, batch_id)
-        kept = C.changed_only(batch, text="content_hash", slice_length=slice_length, before=before)
-        _write(kept, folder, "rows", batch_id)
-        own = batch.select("source", F.sha2("content_hash", 256).alias("last"), "ts", "ingest_seq", F.lit(1).alias("new"))
-        both = own.unionByName(before.withColumn("new", F.lit(0)))
-        newest = F.max_by(F.struct("last", "ts", "ingest_seq"), F.struct("new", "ts", "ingest_seq"))
-        _write(both.groupBy("source").agg(newest.alias("x")).select("source", "x.*"), folder, "last", batch_id)
 
-    return _start(_narrow(stream, text, F.sha2(F.col(text), 256)), step, folder, interval)
+def read_late(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(ROW_SCHEMA).parquet(f"{folder}/rows").filter("late").drop("late")

@@ -93,13 +93,67 @@ def test_dedupe_seen_keeps_late_texts(spark, tmp_path):
         "new", "old", "older"]
 
 
-def test_changed_only_across_batches(spark, tmp_path):
+@pytest.mark.parametrize("delay", ["10 minutes", "1 minute"])
+def test_changed_only_across_batches(spark, tmp_path, delay):
     rng = random.Random(3)
     rows = [(rng.choice("ab"), i, rng.choice(["x", "y", ""])) for i in range(60)]
-    stream = arrive(spark, tmp_path / "in", [rows[:20], rows[20:40], rows[40:]])
-    stateful.changed_only(stream, str(tmp_path / "out"), interval=None, slice_length="7 minutes").awaitTermination()
+    mixed = sorted(rows, key=lambda r: r[1] + rng.uniform(0, 8))
+    stream = arrive(spark, tmp_path / "in", [mixed[:20], mixed[20:40], mixed[40:], [("a", 9999, "")]])
+    stateful.changed_only(stream, str(tmp_path / "out"), interval=None, delay=delay).awaitTermination()
+    late = {r.ingest_seq for r in stateful.read_late(spark, str(tmp_path / "out")).collect()}
+    assert bool(late) == (delay == "1 minute")
     got = sorted((r.source, r.ingest_seq) for r in stateful.read_rows(spark, str(tmp_path / "out")).collect())
-    assert got == sorted((s, i) for s, i, _ in ref.changed(rows))
+    assert got == sorted((s, i) for s, i, _ in ref.changed([r for r in rows if r[1] not in late]))
+
+
+def stateful_run(stream, folder):
+    """The rows that a stateful query writes, and what its state held after each batch."""
+    with stateful.rocksdb(stream.sparkSession):
+        query = (stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/cp")
+                 .trigger(availableNow=True).start(f"{folder}/out"))
+    query.awaitTermination()
+    held = [sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in query.recentProgress]
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out").collect(), held
+
+
+def test_texts_are_remembered_for_the_delay(spark, tmp_path):
+    batches = [[("a", 20, "x"), ("a", 15, "x"), ("b", 16, "y")], [("a", 21, "x"), ("a", 30, "z")],
+               [("a", 200, "w"), ("a", 29, "x"), ("a", 201, "x")], [("b", 22, "q"), ("a", 202, "w"), ("a", 203, None)]]
+    rows, _ = stateful_run(stateful.earliest_within(arrive(spark, tmp_path / "in", batches), "30 minutes"), tmp_path)
+    fresh = sorted((r.ingest_seq, r.content) for r in rows if not r.late)
+    # Of the copies in the third batch none is late yet; in the fourth, what is older than 171 minutes is.
+    assert fresh == [(15, "x"), (16, "y"), (30, "z"), (200, "w"), (203, None)]
+    assert sorted(r.ingest_seq for r in rows if r.late) == [22]
+    assert {r.content_md5 for r in rows if r.content == "q"} == {"7694f4a66316e53c8cdd9d9954bd611d"}
+
+
+def test_the_state_of_seen_texts_does_not_grow(spark, tmp_path):
+    batches = [[("a", 10 * n + k, f"text {10 * n + k // 2}") for k in range(10)] for n in range(20)]
+    rows, held = stateful_run(stateful.earliest_within(arrive(spark, tmp_path / "in", batches), "15 minutes"), tmp_path)
+    assert len(rows) == 100 and not any(r.late for r in rows)
+    assert max(held[4:]) <= max(held[:5]) + 2 and held[-1] < 60
+
+
+def newest(rows, most, kept):
+    """The hand-made form: one list per source."""
+    memory = {}
+    for source, number, text in rows:
+        held = memory.setdefault(source, [])
+        if text not in held:
+            yield number
+            held.append(text)
+            if len(held) > most:
+                del held[:-kept]
+
+
+def test_the_newest_texts_of_a_source(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(rng.choice("ab"), i, rng.choice("pqrstuvw")) for i in range(90)]
+    batches = [rng.sample(rows[n:n + 30], 30) for n in (0, 30, 60)]
+    found, _ = stateful_run(stateful.bounded_seen(arrive(spark, tmp_path / "in", batches), most=4, kept=2), tmp_path)
+    assert sorted(r.ingest_seq for r in found) == sorted(newest(rows, 4, 2))
+    parted, _ = stateful_run(stateful.bounded_seen(arrive(spark, tmp_path / "in2", batches), parts=16), tmp_path / "2")
+    assert len(parted) == len({(s, t) for s, _, t in rows})
 
 
 def test_tag_counts_keep_the_latest_update(spark, tmp_path):
@@ -150,7 +204,7 @@ def test_a_table_arrives_whole_in_order_and_in_parallel(spark, tmp_path, monkeyp
 
     spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # a task per file
     try:
-        queries._arrive(spark, documents(spark, tmp_path / "t", ids), "documents", "doc_id", run)
+        queries._arrive(spark, spark.read.parquet(f"{documents(spark, tmp_path / 't', ids)}/documents.parquet"), "doc_id", run)
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert len(batches) == 3 and sorted((i for b, _ in batches for i in b), key=str) == sorted(ids, key=str)
