@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from .. import rules as R
+from ..operators import recall
 from . import corpus
 from . import queries as Q
 
@@ -427,6 +428,18 @@ words AS (SELECT ingest_seq, unnest(w) AS x, generate_subscripts(w, 1) AS pos
 firsts AS (SELECT ingest_seq, x, min(pos) AS pos FROM words GROUP BY ingest_seq, x)
 SELECT CAST(ingest_seq AS VARCHAR) AS case_id,
   string_agg(sha256(x), '|' ORDER BY pos) AS fingerprint FROM firsts GROUP BY ingest_seq"""
+ORACLES["fingerprint_match"] = f"""WITH raw AS MATERIALIZED (SELECT source, doc_id AS ingest_seq, NULL AS given_case_id,
+  text AS content FROM documents),
+{redaction()},
+sets AS (SELECT ingest_seq, list_sort(list_distinct({_WORDS})) AS w FROM red),
+classes AS MATERIALIZED (SELECT min(ingest_seq) AS first_seq, count(*) AS n_cases, len(w) AS n, w FROM sets GROUP BY w),
+words AS MATERIALIZED (SELECT first_seq, n, n_cases, unnest(w) AS x FROM classes),
+links AS (SELECT a.first_seq, any_value(b.n_cases) AS other_cases FROM words AS a JOIN words AS b USING (x)
+  WHERE a.first_seq <> b.first_seq AND 100 * least(a.n, b.n) >= {recall.PERCENT} * greatest(a.n, b.n)
+  GROUP BY a.first_seq, b.first_seq HAVING 100 * count(*) >= {recall.PERCENT} * any_value(greatest(a.n, b.n))),
+linked AS (SELECT first_seq, sum(other_cases) AS cases, count(*) AS n_classes FROM links GROUP BY first_seq)
+SELECT first_seq, n_cases, CAST(CASE WHEN n > 0 THEN n_cases - 1 ELSE 0 END + coalesce(cases, 0) AS BIGINT) AS n_links,
+  coalesce(n_classes, 0) AS n_classes FROM classes LEFT JOIN linked USING (first_seq)"""
 ORACLES["linked_items"] = f"""WITH {LEAD}
 SELECT DISTINCT {case_id('content')} AS case_id,
   unnest(regexp_extract_all(content, {text(re2(R.LINKED_ITEM_PATTERN))}, 1)) AS item_id FROM raw"""

@@ -18,7 +18,7 @@ from ..functions import fields as X
 from ..functions.text import lines, trimmed_lines, word_count
 from ..operators import cases as C
 from ..operators import context as K
-from ..operators import governance, logs, parse, redact, search, stats
+from ..operators import governance, logs, parse, recall, redact, search, stats
 from ..policy import STRICT, TRUSTED, CategoryRule, policy
 from ..session import shared_folder, spread
 from ..sources.files import context_json as context_document
@@ -396,8 +396,7 @@ def strict_gate(spark, sf_dir):
 @query
 def content_dedupe(spark, sf_dir):
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ingest_seq"), "text")
-    hashed = texts.select("ingest_seq", F.md5("text").alias("content_md5"))
-    return hashed.groupBy("content_md5").agg(F.min("ingest_seq").alias("ingest_seq"), F.count("*").alias("copies"))
+    return C.first_copies(texts, text="text").select("ingest_seq", "content_md5", "copies")
 
 
 @query
@@ -580,6 +579,14 @@ def fingerprint(spark, sf_dir):
     return governance.export_mode(rows, "fingerprint").select("case_id", joined("fingerprint").alias("fingerprint"))
 
 
+@query
+def fingerprint_match(spark, sf_dir):
+    """Classes of cases with equal fingerprints, and how many cases share four fifths of their words with them."""
+    texts = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), F.col("text").alias("content")), "case_id")
+    prints = governance.export_mode(redact.redact(texts).select("case_id", "content_redacted"), "fingerprint")
+    return recall.fingerprint_match(prints).withColumnRenamed("class_id", "first_seq")
+
+
 @query
 def export_summary(spark, sf_dir):
     rows = governance.export_mode(current(spark, sf_dir), "summary")
