@@ -69,7 +69,7 @@ def context_pack(rows: DataFrame, generated_at: Column | None = None) -> DataFra
     rows = _bounded(rows)
     ordered = F.array_sort(F.collect_list(F.struct("pos", F.struct(*CONTEXT_COLUMNS).alias("context"))))
     return (rows.withColumn("environment", F.map_entries("environment"))
-            .agg(ordered.alias("_rows"))
+            .agg(_checked(ordered).alias("_rows"))
             .select(F.lit(CONTEXT_TYPE).alias("context_type"),
                     F.size("_rows").cast("long").alias("total_cases"),
                     iso_instant(F.current_timestamp() if generated_at is None else generated_at).alias("generated_at"),
@@ -96,10 +96,14 @@ MOST_IN_DOCUMENT = 10_000
 
 
 def _bounded(rows: DataFrame) -> DataFrame:
-    """``rows``, checked to fit one document while they are read."""
-    if rows.limit(MOST_IN_DOCUMENT + 1).count() > MOST_IN_DOCUMENT:
-        raise ValueError(f"more than {MOST_IN_DOCUMENT} contexts do not make one document, use context_documents")
-    return rows
+    """No more rows than ``_checked`` needs to see."""
+    return rows.limit(MOST_IN_DOCUMENT + 1)
+
+
+def _checked(document: Column) -> Column:
+    """An aggregate over ``_bounded`` rows, or an error if they do not fit one document; the input runs once."""
+    message = f"more than {MOST_IN_DOCUMENT} contexts do not make one document, use context_documents"
+    return F.when(F.count("*") > MOST_IN_DOCUMENT, F.raise_error(F.lit(message))).otherwise(document)
 
 
 def context_documents(rows: DataFrame) -> DataFrame:
@@ -120,7 +124,7 @@ def render_search(rows: DataFrame, query: str) -> DataFrame:
         F.lit("\nTags: "), F.array_join("tags", ", "),
         F.lit("\nKey symptoms: "), F.array_join(F.slice("symptoms", 1, R.LISTED_SYMPTOMS), "; "), F.lit("\n"))
     head = F.concat(F.lit("Found "), F.count("*").cast("string"), F.lit(f' similar cases for: "{query}"\n\n'))
-    return rows.agg(F.concat(head, _joined(rows, text, "\n")).alias("text"))
+    return rows.agg(_checked(F.concat(head, _joined(rows, text, "\n"))).alias("text"))
 
 
 def render_context(rows: DataFrame) -> DataFrame:
@@ -134,8 +138,8 @@ def render_context(rows: DataFrame) -> DataFrame:
         F.lit("\n**Key Errors**: "), F.array_join("key_errors", "; "),
         F.lit("\n**Tags**: "), F.array_join("tags", ", "),
         F.lit("\n**Content Preview**: "), F.col("content_preview"), F.lit("\n"))
-    return rows.agg(F.concat(F.lit("**Support Case Context for Analysis:**\n\n"),
-                             _joined(rows, text, "\n---\n\n")).alias("text"))
+    return rows.agg(_checked(F.concat(F.lit("**Support Case Context for Analysis:**\n\n"),
+                                      _joined(rows, text, "\n---\n\n"))).alias("text"))
 
 
 def chunk_context(df: DataFrame, text: str = "content_redacted", size: int = R.CHUNK_WORDS[0]) -> DataFrame:

@@ -513,8 +513,8 @@ ORACLES["policy_add"] = f"""{WITH_RED}
 SELECT {case_id('content')} AS case_id, ingest_seq, 'add' AS operation, 'strict' AS profile,
   CAST(len(mappings) AS BIGINT) AS tokens, NOT ({' OR '.join(f'regexp_matches(t, {regex(r)})' for r in R.PII_RULES)})
   AS pii_free, t AS content_redacted FROM red"""
-ORACLES["policy_export"] = f"SELECT case_id, summary, content_preview FROM ({ORACLES['case_context']})"
-ORACLES["case_files"] = """SELECT doc_id // 1000 AS part, CAST(sum(length(text) + 1) AS BIGINT) AS chars
+ORACLES["policy_export"] = f"SELECT case_id, summary, content_preview, 'export' AS operation, 'strict' AS profile, true AS pii_free FROM ({ORACLES['case_context']})"
+ORACLES["case_files"] = f"""SELECT doc_id // {Q.DOCS_PER_FILE} AS part, CAST(sum(length(text) + 1) AS BIGINT) AS chars
 FROM documents GROUP BY 1"""
 ORACLES["stream_files"] = ORACLES["case_files"]
 ORACLES["data_size"] = "SELECT count(*) AS documents, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents"

@@ -636,10 +636,11 @@ def policy_add(spark, sf_dir):
 
 @query
 def policy_export(spark, sf_dir):
-    """Contexts written for a tool outside under the trusted profile, and read back."""
-    path = shared_folder(spark, "policy_export")
-    workflow.export_contexts(K.current_contexts(case_history(spark, sf_dir)), path, _paths(spark, "audit"), TRUSTED)
-    return spark.read.schema("case_id string, summary string, content_preview string").json(path)
+    """Contexts written for a tool outside under the strict profile, checked and with evidence, and read back."""
+    path, paths = shared_folder(spark, "policy_export"), _paths(spark, "audit")
+    workflow.export_contexts(K.current_contexts(case_history(spark, sf_dir)), path, paths, STRICT)
+    evidence = governance.read_audit(spark, paths.audit).select("case_id", "operation", "profile", "pii_free")
+    return spark.read.schema("case_id string, summary string, content_preview string").json(path).join(evidence, "case_id")
 
 
 @query
@@ -708,7 +709,7 @@ def case_store_json(spark, sf_dir):
 
 
 #: Documents per file where texts are read from files.
-DOCS_PER_FILE = 1000
+DOCS_PER_FILE = 100
 
 
 def _text_files(spark: SparkSession, sf_dir: str) -> str:

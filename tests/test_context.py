@@ -88,3 +88,16 @@ def test_contexts_of_a_history_shuffle_no_text(done):
     plan = contexts._jdf.queryExecution().executedPlan().toString()
     assert "content_redacted" not in plan[:plan.index("Exchange")]
     assert contexts.count() == 3
+
+
+def test_a_document_with_too_many_contexts_is_an_error(spark, monkeypatch):
+    rows = spark.range(6).selectExpr(
+        "id AS pos", "string(id) AS case_id", "'s' AS summary", "array('x') AS symptoms", "map('os', 'Linux') AS environment",
+        "array('e') AS key_errors", "array('t') AS tags", "'p' AS content_preview")
+    monkeypatch.setattr(K, "MOST_IN_DOCUMENT", 6)
+    documents = [K.context_pack(rows).selectExpr("string(total_cases) AS text"), K.render_context(rows), K.render_search(rows, "q")]
+    assert documents[0].first().text == "6" and all(d.first().text for d in documents[1:])
+    monkeypatch.setattr(K, "MOST_IN_DOCUMENT", 5)
+    for document in (K.context_pack(rows), K.render_context(rows), K.render_search(rows, "q")):
+        with pytest.raises(Exception, match="more than 5 contexts"):
+            document.collect()
