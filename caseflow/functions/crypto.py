@@ -25,12 +25,18 @@ def key_column(keys: DataFrame, key_id: str) -> Column:
     return keys.where(F.col("key_id") == key_id).select("key").scalar()
 
 
-def encrypt(text: Column, key: Column) -> Column:
+def _bound_to(bound: Column | None) -> list[Column]:
+    return [] if bound is None else [F.lit("DEFAULT"), bound]
+
+
+def encrypt(text: Column, key: Column, bound: Column | None = None) -> Column:
     """AES-256-GCM as ``hex(iv):hex(tag):hex(ciphertext)``; the iv is random, so equal texts differ.
 
-    The pieces are cut with one regex so that the random value is drawn only once.
+    ``bound`` is authenticated but not stored: only with the same value can the payload be read.  The pieces are cut with one
+    regex so that the random value is drawn only once.
     """
-    sealed = F.lower(F.hex(F.aes_encrypt(text, key, F.lit("GCM"))))
+    more = [F.lit("DEFAULT"), F.lit("").cast("binary"), bound] if bound is not None else []
+    sealed = F.lower(F.hex(F.aes_encrypt(text, key, F.lit("GCM"), *more)))
     return F.regexp_replace(sealed, r"^(.{24})(.*)(.{32})$", "$1:$3:$2")
 
 
@@ -39,16 +45,16 @@ def _gcm_bytes(payload: Column) -> Column:
     return F.when(F.rlike(payload, F.lit(parts)), F.unhex(F.regexp_replace(payload, parts, "$1$3$2")))
 
 
-def decrypt(payload: Column, key: Column) -> Column:
-    """The text; a malformed payload or a wrong key is an error."""
+def decrypt(payload: Column, key: Column, bound: Column | None = None) -> Column:
+    """The text; a malformed payload, a wrong key or another ``bound`` is an error."""
     data = F.coalesce(_gcm_bytes(payload), F.when(
         payload.isNotNull(), F.raise_error(F.lit("invalid ciphertext format")).cast("binary")))
-    return F.aes_decrypt(data, key, F.lit("GCM")).cast("string")
+    return F.aes_decrypt(data, key, F.lit("GCM"), *_bound_to(bound)).cast("string")
 
 
-def try_decrypt(payload: Column, key: Column) -> Column:
-    """The text, or NULL for a malformed payload or a wrong key."""
-    return F.try_aes_decrypt(_gcm_bytes(payload), key, F.lit("GCM")).cast("string")
+def try_decrypt(payload: Column, key: Column, bound: Column | None = None) -> Column:
+    """The text, or NULL for a malformed payload, a wrong key or another ``bound``."""
+    return F.try_aes_decrypt(_gcm_bytes(payload), key, F.lit("GCM"), *_bound_to(bound)).cast("string")
 
 
 def encrypt_cbc(text: Column, key: Column) -> Column:

@@ -448,6 +448,9 @@ ORACLES["entities"] = f"WITH {LEAD},\n{IDS}\n" + " UNION ALL ".join(
     for r in R.ENTITY_RULES)
 ORACLES["vault_roundtrip"] = (f"{WITH_RED},\n{VAULT}\n"
                               f"SELECT case_id, ingest_seq, {FLAT_MAPPINGS} AS mappings FROM vault")
+ORACLES["vault_rotation"] = f"""WITH whole AS MATERIALIZED ({ORACLES['vault_roundtrip']})
+SELECT case_id, ingest_seq, mappings, true AS readable FROM whole
+UNION ALL SELECT case_id || ' moved', ingest_seq, NULL, false FROM whole"""
 ORACLES["vault_transfer"] = ORACLES["current_vault"]
 ORACLES["encrypt_cbc"] = _raw_query("content")
 ORACLES["case_store"] = ORACLES["current_cases"]

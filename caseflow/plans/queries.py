@@ -24,7 +24,7 @@ from ..session import shared_folder, spread
 from ..sources.files import context_json as context_document
 from ..sources.files import read_case_files, stream_case_files
 from ..sources.store import export_case_store_json, read_case_store, read_case_store_json, store_size, write_case_store
-from ..sources.vault import merge, read_sealed, read_vault, transfer, unseal, write_ingested, write_vault
+from ..sources.vault import merge, read_sealed, read_vault, rotate, transfer, unseal, write_ingested, write_vault
 from ..streaming import rollups, stateful
 from ..streaming.monitor import Target, dedupe_seen, monitor
 from .corpus import COLUMNS, raw_cases, table
@@ -679,6 +679,18 @@ def vault_transfer(spark, sf_dir):
         "case_id", "ingest_seq", flat_mappings("mappings").alias("mappings"))
 
 
+@query
+def vault_rotation(spark, sf_dir):
+    """The vault sealed anew under the last key of a chain; payloads that were put into another case's row are unreadable."""
+    keys = crypto.key_table(spark, **DEMO_KEYS)
+    path = shared_folder(spark, "vault")
+    write_vault(vault_history(spark, sf_dir), path, keys, "team")
+    rotated = rotate(read_sealed(spark, path), keys, ["team", "other"])
+    moved = rotated.withColumn("case_id", F.concat("case_id", F.lit(" moved")))
+    return unseal(rotated.unionByName(moved), keys.filter("key_id = 'other'")).select(
+        "case_id", "ingest_seq", flat_mappings("mappings").alias("mappings"), "readable")
+
+
 @query
 def encrypt_cbc(spark, sf_dir):
     """Every text through the older cipher form and back."""

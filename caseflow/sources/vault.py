@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.crypto import encrypt, key_column, try_decrypt
@@ -19,14 +20,23 @@ VAULT_SCHEMA = "case_id string, ingest_seq bigint, key_id string, payload string
 MAX_BROADCAST_KEYS = 10_000
 
 
+def owner() -> Column:
+    """What a payload is bound to: its case and the write that made it."""
+    return F.concat_ws("\n", F.col("case_id"), F.coalesce(F.col("ingest_seq").cast("string"), F.lit("")))
+
+
 def seal(vault: DataFrame, keys: DataFrame, key_id: str) -> DataFrame:
-    """(case_id, ingest_seq, mappings) with the mappings as an encrypted ``payload``."""
-    payload = encrypt(F.to_json("mappings"), key_column(keys, key_id))
+    """(case_id, ingest_seq, mappings) with the mappings as an encrypted ``payload``.
+
+    A payload is bound to its case and write: in another row it cannot be read.
+    """
+    payload = encrypt(F.to_json("mappings"), key_column(keys, key_id), owner())
     return vault.select("case_id", "ingest_seq", F.lit(key_id).alias("key_id"), payload.alias("payload"))
 
 
 def unseal(sealed: DataFrame, keys: DataFrame) -> DataFrame:
-    """Mappings of sealed rows; ``readable`` is false where the key is unknown or wrong or the payload damaged."""
+    """Mappings of sealed rows; ``readable`` is false where the key is unknown or wrong, or the payload is damaged or another
+    row's."""
     # Nearly all rows name the same key: a key table too long to be sent whole is repeated once per part of the rows.
     if keys.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS:
         with_key = sealed.join(F.broadcast(keys), "key_id", "left")
@@ -35,7 +45,7 @@ def unseal(sealed: DataFrame, keys: DataFrame) -> DataFrame:
         repeated = keys.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
         dealt = sealed.withColumn("_part", F.pmod(F.xxhash64("case_id", "ingest_seq"), F.lit(parts)).cast("int"))
         with_key = dealt.join(repeated, ["key_id", "_part"], "left")
-    opened = with_key.withColumn("_json", try_decrypt(F.col("payload"), F.col("key")))
+    opened = with_key.withColumn("_json", try_decrypt(F.col("payload"), F.col("key"), owner()))
     return opened.select("case_id", "ingest_seq", F.from_json("_json", MAPPINGS_TYPE).alias("mappings"),
                          F.col("_json").isNotNull().alias("readable"))
 
@@ -53,7 +63,7 @@ def write_ingested(done: DataFrame, store: str, vault: str, keys: DataFrame, key
     """
     batch = batch or uuid.uuid4().hex
     tokens = F.coalesce(F.size("mappings"), F.lit(0))
-    payload = F.when(tokens > 0, encrypt(F.to_json("mappings"), key_column(keys, key_id)))
+    payload = F.when(tokens > 0, encrypt(F.to_json("mappings"), key_column(keys, key_id), owner()))
     # Raw text is not among the kept columns.
     once = staged(done.select(*cases_of(done).columns, tokens.alias("tokens"), payload.alias("payload")), "ingested")
     # Originals first: a failure between the two leaves no case without them.
@@ -85,6 +95,15 @@ def transfer(sealed: DataFrame, keys: DataFrame, to_key_id: str) -> DataFrame:
     return seal(checked, keys, to_key_id)
 
 
+def rotate(sealed: DataFrame, keys: DataFrame, chain: Sequence[str]) -> DataFrame:
+    """All rows under the last key of ``chain``: those under an earlier one are sealed anew, in one pass over them.
+
+    Rows under keys outside the chain stay as they are.  The keys of the chain must be in ``keys`` until this is written.
+    """
+    old = F.coalesce(F.col("key_id").isin(list(chain[:-1])), F.lit(False))
+    return transfer(sealed.filter(old), keys, chain[-1]).unionByName(sealed.filter(~old))
+
+
 def merge(own: DataFrame, imported: DataFrame) -> DataFrame:
     """Own and imported vault rows as one history; a write may be in both, and the joins reduce it to one row."""
     return own.unionByName(imported)

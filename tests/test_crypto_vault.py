@@ -80,3 +80,23 @@ def test_transfer_and_merge(spark, keys, tmp_path):
     assert [(r.case_id, r.mappings[0].original) for r in last] == [("a", "5.5.5.5")]
     with pytest.raises(Exception, match="cannot decrypt"):
         V.transfer(theirs, keys.filter("key_id = 'team'").unionByName(K.key_table(spark, other=KEY)), "team").collect()
+
+
+def test_a_payload_belongs_to_its_row(spark, keys):
+    rows = [("a", 1, [("[IP_1]", "1.1.1.1")]), ("b", 1, [("[IP_1]", "2.2.2.2")]), ("a", 2, [("[IP_1]", "3.3.3.3")]), ("a", None, [])]
+    sealed = V.seal(spark.createDataFrame(rows, VAULT), keys, "team").cache()
+    assert V.unseal(sealed, keys).filter("readable").count() == 4
+    payload = {(r.case_id, r.ingest_seq): r.payload for r in sealed.collect()}
+    turned = {("a", 1): ("b", 1), ("b", 1): ("a", 1), ("a", 2): ("a", 1), ("a", None): ("a", 2)}
+    moved = spark.createDataFrame([(c, n, "team", payload[turned[c, n]]) for c, n in payload], sealed.schema)
+    assert V.unseal(moved, keys).filter("readable").count() == 0 and V.unreadable_count(V.unseal(moved, keys)) == 4
+
+
+def test_keys_are_rotated_along_their_chain(spark, keys):
+    first = V.seal(spark.createDataFrame([("a", 1, [("[IP_1]", "1.1.1.1")])], VAULT), keys, "team")
+    second = V.seal(spark.createDataFrame([("b", 2, [("[IP_1]", "2.2.2.2")])], VAULT), keys, "other")
+    rotated = V.rotate(first.unionByName(second), keys, ["team", "other"]).cache()
+    assert {r.key_id for r in rotated.collect()} == {"other"}
+    opened = V.unseal(rotated, keys.filter("key_id = 'other'")).collect()
+    assert sorted((r.case_id, r.mappings[0].original) for r in opened) == [("a", "1.1.1.1"), ("b", "2.2.2.2")]
+    assert {r.key_id for r in V.rotate(first, keys, ["other"]).collect()} == {"team"}
