@@ -746,8 +746,11 @@ def case_files(spark, sf_dir):
 
 @query
 def stream_files(spark, sf_dir):
-    stream = stream_case_files(spark, _text_files(spark, sf_dir))
-    return _file_rows(_run_to_table(stream.select("source", "content"), shared_folder(spark, "streamed")))
+    """Files as they arrive; no two share a number."""
+    stream = stream_case_files(spark, _text_files(spark, sf_dir)).select("source", "ingest_seq", "content")
+    with stateful.rocksdb(spark):
+        cases = _run_to_table(stream, shared_folder(spark, "streamed"))
+    return _file_rows(cases.groupBy("ingest_seq").agg(F.min("source").alias("source"), F.min("content").alias("content")))
 
 
 @query

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..streaming.stateful import places
 
 # Files of one time that numbers keep apart, and the instant from which they count: 2020-01-01.
 FILES_PER_TIME = 1 << 22
@@ -36,14 +37,14 @@ def read_case_files(spark: SparkSession, path: str) -> DataFrame:
 def stream_case_files(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """The streaming form of ``read_case_files``: new files in a folder become new cases.
 
-    A stream cannot rank the files of one time, so their order comes from a hash of the path; two of k such files share a
-    number with a chance of about k * k / 8,000,000.
+    Files of one time are counted as they arrive, in the engine's state, and in the order of their paths where they arrive
+    together: no two share a number, and a folder that is complete when the stream starts gets the numbers of the batch form.
+    The query is started inside ``streaming.stateful.rocksdb``, as a monitor does by itself.
     """
     reader = spark.readStream.format("text").option("wholetext", True)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return _cases(reader.load(path)).select(
-        "source", _number(F.pmod(F.xxhash64("source"), F.lit(FILES_PER_TIME))), "ts", "given_case_id", "content")
+    return places(_cases(reader.load(path))).select("source", _number(F.col("place")), "ts", "given_case_id", "content")
 
 
 def context_json(pack: DataFrame) -> DataFrame:

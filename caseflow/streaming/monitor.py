@@ -119,15 +119,12 @@ def monitor(stream: DataFrame, target: Target, checkpoint: str, interval: str |
     are.  Without it every text is remembered.
     """
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
-    if delay:
-        # Texts are forgotten with the next rows: no batches without any are run for it.
-        with rocksdb(stream.sparkSession, noDataMicroBatches="false"):
-            return (earliest_within(valid_content(stream, min_length), delay).writeStream
-                    .foreachBatch(lambda batch, n: _step(batch, n, target, **options))
-                    .option("checkpointLocation", checkpoint).trigger(**trigger).start())
-    return (dedupe_seen(valid_content(stream, min_length)).writeStream
-            .foreachBatch(lambda batch, n: _step(batch, n, target, **options))
-            .option("checkpointLocation", checkpoint).trigger(**trigger).start())
+    valid = valid_content(stream, min_length)
+    # Texts are forgotten with the next rows: no batches without any are run for it.
+    with rocksdb(stream.sparkSession, noDataMicroBatches="false"):
+        return ((earliest_within(valid, delay) if delay else dedupe_seen(valid)).writeStream
+                .foreachBatch(lambda batch, n: _step(batch, n, target, **options))
+                .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 
 def keep_running(start: Callable[[], StreamingQuery], interval: float = 1.0, max_restarts: int | None = None) -> int:

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import BooleanType, StructType
+from pyspark.sql.types import BooleanType, LongType, StructType
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -243,6 +243,32 @@ class _Changed(StatefulProcessor):
         pass
 
 
+class _Places(StatefulProcessor):
+    """Rows of one time with their places, from 1 on, in the order of ``source`` within a batch."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.used = handle.getValueState("used", "n bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        place = self.used.get()[0] if self.used.exists() else 0
+        for row in sorted(rows, key=lambda r: r.source):
+            place += 1
+            yield Row(**row.asDict(), place=place)
+        self.used.update((place,))
+
+    def close(self) -> None:
+        pass
+
+
+def places(stream: DataFrame, time: str = "ts") -> DataFrame:
+    """``stream`` with ``place``: rows of one ``time`` are counted across batches, so that time and place name a row.
+
+    The state holds one number per distinct time.  Rows of one time in a batch are ordered by one task.
+    """
+    schema = StructType([*stream.schema.fields]).add("place", LongType())
+    return stream.groupBy(time).transformWithState(_Places(), schema, "append", "none")
+
+
 def changes(stream: DataFrame, delay: str, text: str = "content") -> DataFrame:
     """(source, ingest_seq, ts, content_hash, late): rows whose text differs from the previous non-empty one of their source.
 

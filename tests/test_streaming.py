@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -8,7 +9,7 @@ from caseflow.functions.crypto import key_table
 from caseflow.operators.cases import first_copies
 from caseflow.operators.parse import ingest
 from caseflow.plans import queries
-from caseflow.sources.files import stream_case_files
+from caseflow.sources.files import read_case_files, stream_case_files
 from caseflow.sources.store import read_case_store
 from caseflow.sources.vault import read_vault
 from caseflow.streaming import rollups, stateful
@@ -217,3 +218,28 @@ def test_stream_queries_keep_texts_without_an_id_and_take_empty_tables(spark, tm
     some, none = documents(spark, tmp_path / "some", [1, 2, 900, None, None]), documents(spark, tmp_path / "none", [])
     assert queries.stream_dedupe(spark, some).count() == 5 and queries.stream_dedupe(spark, none).count() == 0
     assert queries.stream_tag_counts(spark, none).count() == 0
+
+
+def test_files_of_one_time_get_numbers_of_their_own(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+
+    def put(names):
+        for name in names:
+            (folder / name).write_text(name)
+            os.utime(folder / name, (1_700_000_000, 1_700_000_000))
+
+    put([f"f{k:04}.txt" for k in range(1500)])
+    out = str(tmp_path / "out")
+
+    def run():
+        stream = stream_case_files(spark, str(folder)).select("source", "ingest_seq", "content")
+        with stateful.rocksdb(spark):
+            return queries._run_to_table(stream, out)
+
+    first = {r.content: r.ingest_seq for r in run().collect()}
+    assert first == {r.content: r.ingest_seq for r in read_case_files(spark, str(folder)).collect()}
+    put([f"e{k:04}.txt" for k in range(1500)])
+    both = [(r.ingest_seq, r.content) for r in run().collect()]
+    assert len(both) == len({n for n, _ in both}) == 3000 and max(first.values()) + 1 in {n for n, t in both if t == "e0000.txt"}
+    assert len({r.ingest_seq for r in read_case_files(spark, str(folder)).collect()}) == 3000
