@@ -459,6 +459,8 @@ SELECT case_id, summary, {joined('symptoms')} AS symptoms, environment, {joined(
   {joined('tags')} AS tags, content_redacted, word_count FROM cur"""
 
 _ARRIVED = "SELECT source, doc_id AS ingest_seq, 'Support note: ' || text AS content FROM documents"
+ORACLES["case_store_object"] = (f"SELECT case_id, summary, tags, content_redacted, word_count, true AS readable "
+                                f"FROM ({ORACLES['case_store_json']})")
 ORACLES["stream_ingest"] = f"""WITH raw AS MATERIALIZED (SELECT min(source) AS source, min(ingest_seq) AS ingest_seq,
   NULL AS given_case_id, content FROM ({_ARRIVED}) WHERE length(content) >= {R.MIN_CONTENT_LENGTH} GROUP BY content),
 {redaction()}

@@ -23,7 +23,7 @@ from ..policy import STRICT, TRUSTED, CategoryRule, policy
 from ..session import shared_folder, spread
 from ..sources.files import context_json as context_document
 from ..sources.files import read_case_files, stream_case_files
-from ..sources.store import export_case_store_json, read_case_store, read_case_store_json, store_size, write_case_store
+from ..sources.store import export_case_store_json, read_case_store, read_case_store_json, store_size, to_store_json, write_case_store
 from ..sources.vault import merge, read_sealed, read_vault, rotate, transfer, unseal, write_ingested, write_vault
 from ..streaming import rollups, stateful
 from ..streaming.monitor import Target, dedupe_seen, monitor
@@ -720,6 +720,24 @@ def case_store_json(spark, sf_dir):
                        F.col("word_count").cast("long").alias("word_count"))
 
 
+#: JSON objects that a store is dealt to.
+OBJECTS = 16
+
+
+@query
+def case_store_object(spark, sf_dir):
+    """Current cases as one JSON object per file, read back in ranges."""
+    path = shared_folder(spark, "object")
+    entry = F.regexp_replace("value", r"(?s)^\{(.*)\}$", "$1")
+    # The exchange form of one store, indented as tools write it.
+    rows = to_store_json(current(spark, sf_dir)).select(F.pmod(F.xxhash64("value"), F.lit(OBJECTS)).alias("part"), entry.alias("value"))
+    whole = rows.groupBy("part").agg(F.concat(F.lit("{\n  "), F.array_join(F.collect_list("value"), ",\n  "), F.lit("\n}\n")).alias("value"))
+    whole.select("value").write.text(path)
+    back = read_case_store_json(spark, path)
+    return back.select("case_id", "summary", joined("tags").alias("tags"), "content_redacted",
+                       F.col("word_count").cast("long").alias("word_count"), "readable")
+
+
 #: Documents per file where texts are read from files.
 DOCS_PER_FILE = 100
 

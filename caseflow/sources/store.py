@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import iso_instant
 from .commits import read_batches, write_batch
+from .objects import object_entries
 
 # Field names of the JSON exchange form and the columns they become.
 JSON_FIELDS = {
@@ -66,13 +67,17 @@ def export_case_store_json(cases: DataFrame, path: str) -> None:
 def read_case_store_json(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
     """Cases of JSON stores: one object per file, or with ``whole_file=False`` one object per line.
 
+    An object of any size is read by many tasks, as it is cut at its entries (``objects.object_entries``).
     Text that is not such an object gives a row with ``readable = false`` and no case, instead of vanishing.
     """
-    read = spark.read.text(path, wholetext=whole_file)
-    parsed = read.select(F.col("_metadata.file_path").alias("store_file"),
-                         F.from_json("value", JSON_SCHEMA, {"mode": "PERMISSIVE"}).alias("store"))
-    rows = parsed.select("store_file", F.col("store").isNotNull().alias("readable"),
+    if whole_file:
+        read = object_entries(spark, path).withColumnRenamed("json", "value")
+    else:
+        read = spark.read.text(path).select(F.col("_metadata.file_path").alias("store_file"), F.lit(None).cast("int").alias("slot"), "value")
+    parsed = read.select("store_file", "slot", F.from_json("value", JSON_SCHEMA, {"mode": "PERMISSIVE"}).alias("store"))
+    rows = parsed.select("store_file", F.col("store").isNotNull().alias("readable"), F.col("slot").alias("_slot"),
                          F.posexplode_outer(F.map_entries("store")).alias("slot", "entry"))
+    rows = rows.withColumn("slot", F.coalesce("_slot", "slot")).drop("_slot")
     columns = [F.col(f"entry.value.{field}").alias(column) for field, (column, _) in JSON_FIELDS.items()
                if column not in ("case_id", "created_at", "updated_at")]
     times = [F.try_to_timestamp(f"entry.value.{field}").alias(column)
