@@ -732,7 +732,7 @@ def case_store_object(spark, sf_dir):
     # The exchange form of one store, indented as tools write it.
     rows = to_store_json(current(spark, sf_dir)).select(F.pmod(F.xxhash64("value"), F.lit(OBJECTS)).alias("part"), entry.alias("value"))
     whole = rows.groupBy("part").agg(F.concat(F.lit("{\n  "), F.array_join(F.collect_list("value"), ",\n  "), F.lit("\n}\n")).alias("value"))
-    whole.select("value").write.text(path)
+    whole.select("value").write.option("maxRecordsPerFile", 1).text(path)
     back = read_case_store_json(spark, path)
     return back.select("case_id", "summary", joined("tags").alias("tags"), "content_redacted",
                        F.col("word_count").cast("long").alias("word_count"), "readable")
