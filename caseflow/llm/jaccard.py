@@ -212,12 +212,13 @@ def _linked(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, pe
     """(a, b) of the linked nodes among the pairs (short_a, short_b); the whole sets decide."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                kept.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
+            for at in range(0, batch.num_rows, DOCS_PER_BATCH):
+                some, kept = batch.slice(at, DOCS_PER_BATCH), []
+                for x, y in zip(some.column(2).to_pylist(), some.column(3).to_pylist()):
+                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    kept.append(100 * common >= percent * (len(x) + len(y) - common))
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1)], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     pairs = stored(pairs.select("short_a", "short_b"), "pairs")
     sets = stored(_sets_of(pairs, texts, nodes, words), "grams")
