@@ -15,7 +15,7 @@ from .test_parse import raw
 
 @pytest.fixture(scope="module")
 def done(spark):
-    texts = ["ICM-200: Storage latency issue in East US for a@b.co", "ICM-301: Windows timeout again and again",
+    texts = ["ICM-200: slow disks in West Europe, reported by a@b.co", "ICM-301: Windows timeout again and again",
              "ICM-400: long " + "x" * 600]
     return parse.ingest(raw(spark, *texts)).persist()
 
@@ -76,7 +76,7 @@ def test_policy_profiles():
 def test_full_view_follows_the_policy(done, cases):
     vault = parse.vault_of(done)
     full = {r.case_id: r.content_full for r in K.get_full(cases, vault, ["ICM-200", "ICM-301"], TRUSTED).collect()}
-    assert full == {"ICM-200": "ICM-200: Storage latency issue in East US for a@b.co", "ICM-301": None}
+    assert full == {"ICM-200": "ICM-200: slow disks in West Europe, reported by a@b.co", "ICM-301": None}
     with pytest.raises(PolicyViolation, match="not permitted"):
         K.get_full(cases, vault, ["ICM-200"], STRICT)
     assert K.get_full(cases, vault, ["ICM-301"], STRICT).count() == 1
