@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +35,13 @@ SUBSET = 2
 LARGEST_SMALL = 256
 #: What reading one entry of an inverted list costs, with writing a subset or an entry as 1.
 SCAN_COST = 1.0
-#: Keys beyond the first that a pair must share before its sets are compared, and nodes that a node is compared with first.
+#: Keys beyond the first that a pair must share before its sets are compared.
 SPARE = 2
-PROPOSALS = 2
+#: In a round, each list has this many leaders at most, and each node is compared with this many of them at most.
+LEADERS = 4
+PROPOSALS = 4
+#: Rounds go on while each settles at least this share of the pairs that are left.
+GAIN = 0.2
 DOCS_PER_BATCH = 256
 
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
@@ -73,23 +78,22 @@ class Order:
 
 
 def keys(grams: np.ndarray, order: Order, percent: int, boundary: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, places): what a set is looked up by, subsets up to ``boundary`` (place 0) and n-grams, with their places in the
-    global order, for every set that may meet a larger one."""
+    """(keys, places): what a set is looked up by, subsets up to ``boundary`` and n-grams for every set that may meet a larger
+    one.  Places are those in the global order; a subset has that of its last n-gram."""
     size = len(grams)
     common = least_common(size, percent)
     found = []
     if size <= boundary:
-        some = np.sort(order.prefix(grams, size - common + SUBSET))
+        some = order.prefix(grams, size - common + SUBSET)
         if len(some) < SUBSET:  # a set of one n-gram: it is its only subset
-            found.append(mixed(some ^ np.uint64(1)))
+            found.append((mixed(some ^ np.uint64(1)), np.zeros(len(some), np.int64)))
         else:
             i, j = np.triu_indices(len(some), 1)
-            found.append(mixed(mixed(some[i]) * np.uint64(_MULTIPLIERS[0]) + some[j]))
+            low, high = np.minimum(some[i], some[j]), np.maximum(some[i], some[j])
+            found.append((mixed(mixed(low) * np.uint64(_MULTIPLIERS[0]) + high), j))
     if size > least_common(boundary + 1, percent) - 1:
-        found.append(order.prefix(grams, size - common + 1))
-    places = [np.zeros(len(found[0]), np.int64)] if size <= boundary else []
-    places += [np.arange(len(found[-1]))] if len(places) < len(found) else []
-    return np.concatenate(found), np.concatenate(places)
+        found.append((order.prefix(grams, size - common + 1), np.arange(size - common + 1)))
+    return np.concatenate([k for k, _ in found]), np.concatenate([p for _, p in found])
 
 
 def _packed(counts: np.ndarray) -> bytes:
@@ -247,6 +251,58 @@ def _spare(n: Column, m: Column, percent: int, limit: int) -> Column:
     return F.when(F.greatest(n, m) <= limit, 0).otherwise(F.least(F.lit(SPARE), F.greatest(F.lit(0), room)))
 
 
+def _unsettled(lists: DataFrame, nodes: DataFrame, joined: DataFrame | None, turn: int) -> DataFrame:
+    """(key, short, n, place, component, leaders) of the lists that hold several components.
+
+    ``leaders`` are some of a list's nodes, (short, n, component).  Half are those where the key comes first: a text that copies
+    were made from has no rare n-grams of its own before it, and most copies are linked to it rather than to each other.  Ties
+    and the other half are drawn by hashes that differ from turn to turn but not from list to list: lists that hold the same
+    nodes have the same leaders, and the keys that a node shares with one are counted.
+    """
+    of = nodes.select("short", "node") if joined is None else nodes.join(joined, "node", "left").select("short", "node", "component")
+    of = of.select("short", F.col("node").alias("component") if joined is None else F.coalesce("component", "node").alias("component"))
+    placed = stored(lists.join(of, "short"), "placed")
+    hashed = [F.xxhash64("short", F.lit(turn), F.lit(k)) for k in range(LEADERS)]
+    drawn = [F.min_by(F.struct("short", "n", "component"), F.struct("place", x) if k % 2 == 0 else x) for k, x in enumerate(hashed)]
+    several = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.array_distinct(
+        F.array(*drawn)).alias("leaders")).filter("x < y").select("key", "leaders")
+    return stored(placed.join(several, "key"), "split")
+
+
+def _left(split: DataFrame) -> tuple[int, int]:
+    """(pairs of different components that the lists hold, entries of the lists)."""
+    held = split.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(
+        F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+    found = held.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("s")).first()
+    return int(found[0] or 0), int(found[1] or 0)
+
+
+def _proposals(split: DataFrame, percent: int, limit: int) -> DataFrame:
+    """(short_a, short_b) of nodes and leaders of other components: for each node those with which it shares most keys."""
+    pairs = split.select("short", "n", "component", F.col("leaders.short").alias("all"), F.explode("leaders").alias("leader"))
+    # Two leaders of a list propose once.
+    pairs = pairs.filter((F.col("leader.component") != F.col("component")) & _possible(F.col("n"), F.col("leader.n"), percent)
+                         & ((F.col("leader.short") < F.col("short")) | ~F.array_contains("all", F.col("short"))))
+    pairs = pairs.groupBy(F.col("leader.short").alias("short_a"), F.col("short").alias("short_b")).agg(
+        F.count("*").alias("keys"), F.max("leader.n").alias("n_a"), F.max("n").alias("n_b"))
+    pairs = pairs.filter(F.col("keys") > _spare(F.col("n_a"), F.col("n_b"), percent, limit))
+    shares_most = Window.partitionBy("short_b").orderBy(F.desc("keys"), "short_a")
+    return pairs.withColumn("rank", F.row_number().over(shares_most)).filter(F.col("rank") <= PROPOSALS).select("short_a", "short_b")
+
+
+def _across(split: DataFrame, percent: int, limit: int) -> DataFrame:
+    """(short_a, short_b) of all nodes of different components that share as many keys as a link implies."""
+    x, y = split.drop("leaders").alias("x"), split.drop("leaders").alias("y")
+    n, m = F.col("x.n"), F.col("y.n")
+    # The last place that a key may have: that of the last n-gram of the first subset, or of the first n-grams, in common.
+    last = F.when(F.greatest(n, m) <= limit, SUBSET - 1).otherwise(_spare(n, m, percent, limit)) - _overlap(n, m, percent)
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component"))
+                   & _possible(n, m, percent) & (F.col("x.place") <= n + last) & (F.col("y.place") <= m + last))
+    pairs = pairs.groupBy(F.col("x.short").alias("short_a"), F.col("y.short").alias("short_b")).agg(
+        F.count("*").alias("keys"), F.max("x.n").alias("n_a"), F.max("y.n").alias("n_b"))
+    return pairs.filter(F.col("keys") > _spare(F.col("n_a"), F.col("n_b"), percent, limit))
+
+
 def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document: (doc_id, text_key, n_shingles, component_id, first).
 
@@ -257,11 +313,13 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     component of null ids has a null id.  Repeated rows are linked; an empty table gives an empty result; other columns
     are ignored.
 
-    Equal sets are one node.  Keys that only one node has are dropped after a combined count.  Each other list first
-    proposes its smallest node to the rest, which joins groups of near copies at a cost of one pair per node.  Lists that
-    still hold several components then yield the pairs across them; a pair counts if it shares as many keys as a link
-    implies, and the whole sets decide.  So a group of linked copies is not expanded into its pairs, and no link that joins
-    components is missed; copies that are nearly, but not, similar enough are still paired across their lists.  For a pair of two sizes only the first places of its prefixes count, those that a link cannot do without.
+    Equal sets are one node.  Keys that only one node has are dropped after a combined count.  Then lists are settled in
+    rounds: leaders of each list are compared with its nodes of other components, a few pairs per node, what is linked
+    becomes one component, and lists that hold a single one are done.  When rounds settle little more, or no more pairs are
+    left than entries, all pairs across components that share as many keys as a link implies are compared; the whole sets
+    decide.  So a group of linked copies is not expanded into its pairs, and no link that joins components is missed.  Copies
+    that are nearly, but not, similar enough, and not linked through others either, are still paired in their lists.  For a
+    pair of two sizes only the first places of its prefixes count, those that a link cannot do without.
     """
     whole = F.col(text).cast("string")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(whole, F.lit("")))).alias("text_key"),
@@ -278,35 +336,25 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
 
     # Twice from the texts: writing all entries would take more disk than the texts do.
     shared = _entries(texts, words, percent, counts, limit).groupBy("key").agg(
-        F.min("short").alias("least"), F.max("short").alias("most")).filter("least < most").select("key", "least")
+        F.min("short").alias("least"), F.max("short").alias("most")).filter("least < most").select("key")
     lists = stored(_entries(texts, words, percent, counts, limit).join(shared, "key").distinct(), "lists")
 
-    n_of = nodes.groupBy("short").agg(F.max("n").alias("n"))
-    stars = lists.filter("short > least").groupBy(F.col("least").alias("short_a"), F.col("short").alias("short_b")).agg(
-        F.count("*").alias("keys"), F.max("n").alias("n_b")).join(n_of.withColumnsRenamed({"short": "short_a", "n": "n_a"}), "short_a")
-    # These only join groups early: each node proposes itself to the few nodes with which it shares most.
-    shares_most = Window.partitionBy("short_b").orderBy(F.desc("keys"), "short_a")
-    stars = (stars.filter(_possible(F.col("n_a"), F.col("n_b"), percent)).withColumn("rank", F.row_number().over(shares_most))
-             .filter((F.col("rank") <= PROPOSALS) & (F.col("keys") > _spare(F.col("n_a"), F.col("n_b"), percent, limit))))
-    linked = stored(_linked(stars, texts, nodes, words, percent), "links")
-    joined = stored(components(linked), "components")
-
-    placed = nodes.join(joined, "node", "left").select("short", F.coalesce("component", "node").alias("component"))
-    placed = stored(lists.drop("least").join(placed, "short"), "placed")
-    several = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    split = stored(placed.join(several, "key"), "split")
-    x, y = split.alias("x"), split.alias("y")
-    n, m = F.col("x.n"), F.col("y.n")
-    short = _spare(n, m, percent, limit) - _overlap(n, m, percent)
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component"))
-                    & _possible(n, m, percent) & (F.col("x.place") <= n + short) & (F.col("y.place") <= m + short))
-    across = across.groupBy(F.col("x.short").alias("short_a"), F.col("y.short").alias("short_b")).agg(
-        F.count("*").alias("keys"), F.max("x.n").alias("n_a"), F.max("y.n").alias("n_b"))
-    across = across.filter(F.col("keys") > _spare(F.col("n_a"), F.col("n_b"), percent, limit))
-    more = stored(_linked(across, texts, nodes, words, percent), "links")
-    if not more.isEmpty():
-        joined = stored(components(linked.unionByName(more)), "components")
-
+    links = joined = before = None
+    for turn in count():
+        split = _unsettled(lists, nodes, joined, turn)
+        left, entries = _left(split)
+        every = left <= entries or (before is not None and left > (1 - GAIN) * before)
+        more = stored(_linked(_across(split, percent, limit) if every else _proposals(split, percent, limit),
+                              texts, nodes, words, percent), "links")
+        if not more.isEmpty():
+            links = more if links is None else links.unionByName(more)
+            joined = stored(components(links), "components")
+        if every:
+            break
+        lists, before = split.select("key", "short", "n", "place"), left
+
+    if joined is None:
+        joined = docs.sparkSession.createDataFrame([], "node bigint, component bigint")
     of = nodes.join(joined, "node", "left").select("set_key", "best", F.coalesce("component", "node").alias("component"))
     named = of.join(of.groupBy("component").agg(F.min("best").alias("chosen")), "component").select("set_key", "chosen")
     with_set = rows.filter("n > 0").join(named, "set_key").select(

@@ -75,6 +75,27 @@ def test_every_boundary_finds_the_same(spark, monkeypatch, limit):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute(rows, 4, 85)
 
 
+def test_a_group_of_copies_is_not_paired(spark, monkeypatch):
+    rng = random.Random(6)
+    base = [f"b{n}" for n in range(150)]
+    rows = [(0, " ".join(base))]
+    for n in range(1, 400):  # two edits each: linked with the text they were made from, not with each other
+        copy = list(base)
+        for at in rng.sample(range(5, 145, 10), 2):
+            copy[at] = f"e{n}_{at}"
+        rows.append((n, " ".join(copy)))
+    compared, linked = [], jaccard._linked
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return linked(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "_linked", counted)
+    found = jaccard.similar(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute(rows, 4, 85)
+    assert {r.component_id for r in found} == {0} and sum(compared) <= 2 * jaccard.PROPOSALS * len(rows)
+
+
 def test_awkward_rows(spark):
     big = lambda v: 1 << 60 if v is None else v
     found = jaccard.similar(edge_docs(spark)).collect()
