@@ -37,6 +37,8 @@ LARGEST_SMALL = 256
 SCAN_COST = 1.0
 #: Keys beyond the first that a pair must share before its sets are compared.
 SPARE = 2
+#: Lists of more entries are settled in rounds before they are paired.
+LONG_LIST = 8
 #: In a round, each list has this many leaders at most, and each node is compared with this many of them at most.
 LEADERS = 4
 PROPOSALS = 4
@@ -251,22 +253,26 @@ def _spare(n: Column, m: Column, percent: int, limit: int) -> Column:
     return F.when(F.greatest(n, m) <= limit, 0).otherwise(F.least(F.lit(SPARE), F.greatest(F.lit(0), room)))
 
 
-def _unsettled(lists: DataFrame, nodes: DataFrame, joined: DataFrame | None, turn: int) -> DataFrame:
-    """(key, short, n, place, component, leaders) of the lists that hold several components.
+def _unsettled(lists: DataFrame, nodes: DataFrame, joined: DataFrame | None, turn: int | None = None) -> DataFrame:
+    """(key, short, n, place, component) of the lists that hold several components; with ``turn`` also their leaders,
+    without it also ``first``, the smallest place of all keys that a node shares with any other.
 
     ``leaders`` are some of a list's nodes, (short, n, component).  Half are those where the key comes first: a text that copies
     were made from has no rare n-grams of its own before it, and most copies are linked to it rather than to each other.  Ties
     and the other half are drawn by hashes that differ from turn to turn but not from list to list: lists that hold the same
     nodes have the same leaders, and the keys that a node shares with one are counted.
     """
-    of = nodes.select("short", "node") if joined is None else nodes.join(joined, "node", "left").select("short", "node", "component")
-    of = of.select("short", F.col("node").alias("component") if joined is None else F.coalesce("component", "node").alias("component"))
-    placed = stored(lists.join(of, "short"), "placed")
-    hashed = [F.xxhash64("short", F.lit(turn), F.lit(k)) for k in range(LEADERS)]
-    drawn = [F.min_by(F.struct("short", "n", "component"), F.struct("place", x) if k % 2 == 0 else x) for k, x in enumerate(hashed)]
-    several = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.array_distinct(
-        F.array(*drawn)).alias("leaders")).filter("x < y").select("key", "leaders")
-    return stored(placed.join(several, "key"), "split")
+    of = nodes.select("short", F.col("node").alias("component")) if joined is None else nodes.join(joined, "node", "left").select(
+        "short", F.coalesce("component", "node").alias("component"))
+    if turn is None:
+        of = of.join(lists.groupBy("short").agg(F.min("place").alias("first")), "short")
+    placed = stored(lists.select("key", "short", "n", "place").join(of, "short"), "placed")
+    found = [F.min("component").alias("x"), F.max("component").alias("y")]
+    if turn is not None:
+        hashed = [F.xxhash64("short", F.lit(turn), F.lit(k)) for k in range(LEADERS)]
+        found.append(F.array_distinct(F.array(*(F.min_by(F.struct("short", "n", "component"), F.struct("place", x) if k % 2 == 0 else x)
+                                                for k, x in enumerate(hashed)))).alias("leaders"))
+    return stored(placed.join(placed.groupBy("key").agg(*found).filter("x < y").drop("x", "y"), "key"), "split")
 
 
 def _left(split: DataFrame) -> tuple[int, int]:
@@ -292,12 +298,17 @@ def _proposals(split: DataFrame, percent: int, limit: int) -> DataFrame:
 
 def _across(split: DataFrame, percent: int, limit: int) -> DataFrame:
     """(short_a, short_b) of all nodes of different components that share as many keys as a link implies."""
-    x, y = split.drop("leaders").alias("x"), split.drop("leaders").alias("y")
+    x, y = split.alias("x"), split.alias("y")
     n, m = F.col("x.n"), F.col("y.n")
+
+    def may(side: str, size: Column) -> Column:
+        # As many n-grams as a set may lack come before the first one in common, at most; subsets have other places.
+        return (size <= limit) | (F.col(f"{side}.first") <= size - _overlap(n, m, percent))
+
     # The last place that a key may have: that of the last n-gram of the first subset, or of the first n-grams, in common.
     last = F.when(F.greatest(n, m) <= limit, SUBSET - 1).otherwise(_spare(n, m, percent, limit)) - _overlap(n, m, percent)
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component"))
-                   & _possible(n, m, percent) & (F.col("x.place") <= n + last) & (F.col("y.place") <= m + last))
+                   & _possible(n, m, percent) & may("x", n) & may("y", m) & (F.col("x.place") <= n + last) & (F.col("y.place") <= m + last))
     pairs = pairs.groupBy(F.col("x.short").alias("short_a"), F.col("y.short").alias("short_b")).agg(
         F.count("*").alias("keys"), F.max("x.n").alias("n_a"), F.max("y.n").alias("n_b"))
     return pairs.filter(F.col("keys") > _spare(F.col("n_a"), F.col("n_b"), percent, limit))
@@ -313,10 +324,10 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     component of null ids has a null id.  Repeated rows are linked; an empty table gives an empty result; other columns
     are ignored.
 
-    Equal sets are one node.  Keys that only one node has are dropped after a combined count.  Then lists are settled in
-    rounds: leaders of each list are compared with its nodes of other components, a few pairs per node, what is linked
+    Equal sets are one node.  Keys that only one node has are dropped after a combined count.  Then long lists are settled
+    in rounds: leaders of each list are compared with its nodes of other components, a few pairs per node, what is linked
     becomes one component, and lists that hold a single one are done.  When rounds settle little more, or no more pairs are
-    left than entries, all pairs across components that share as many keys as a link implies are compared; the whole sets
+    left than entries, all pairs of all lists across components that share as many keys as a link implies are compared; the whole sets
     decide.  So a group of linked copies is not expanded into its pairs, and no link that joins components is missed.  Copies
     that are nearly, but not, similar enough, and not linked through others either, are still paired in their lists.  For a
     pair of two sizes only the first places of its prefixes count, those that a link cannot do without.
@@ -336,23 +347,24 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
 
     # Twice from the texts: writing all entries would take more disk than the texts do.
     shared = _entries(texts, words, percent, counts, limit).groupBy("key").agg(
-        F.min("short").alias("least"), F.max("short").alias("most")).filter("least < most").select("key")
-    lists = stored(_entries(texts, words, percent, counts, limit).join(shared, "key").distinct(), "lists")
+        F.min("short").alias("least"), F.max("short").alias("most"), (F.count("*") > LONG_LIST).alias("long")).filter("least < most")
+    lists = stored(_entries(texts, words, percent, counts, limit).join(shared.select("key", "long"), "key").distinct(), "lists")
 
     links = joined = before = None
+    long = lists.filter("long")
     for turn in count():
-        split = _unsettled(lists, nodes, joined, turn)
+        split = _unsettled(long, nodes, joined, turn)
         left, entries = _left(split)
-        every = left <= entries or (before is not None and left > (1 - GAIN) * before)
-        more = stored(_linked(_across(split, percent, limit) if every else _proposals(split, percent, limit),
-                              texts, nodes, words, percent), "links")
-        if not more.isEmpty():
-            links = more if links is None else links.unionByName(more)
-            joined = stored(components(links), "components")
-        if every:
+        if left <= entries or (before is not None and left > (1 - GAIN) * before):
             break
-        lists, before = split.select("key", "short", "n", "place"), left
-
+        more = stored(_linked(_proposals(split, percent, limit), texts, nodes, words, percent), "links")
+        if more.isEmpty():
+            break
+        links = more if links is None else links.unionByName(more)
+        joined, before, long = stored(components(links), "components"), left, split.drop("component", "leaders")
+    more = stored(_linked(_across(_unsettled(lists, nodes, joined), percent, limit), texts, nodes, words, percent), "links")
+    if not more.isEmpty():
+        joined = stored(components(more if links is None else links.unionByName(more)), "components")
     if joined is None:
         joined = docs.sparkSession.createDataFrame([], "node bigint, component bigint")
     of = nodes.join(joined, "node", "left").select("set_key", "best", F.coalesce("component", "node").alias("component"))
