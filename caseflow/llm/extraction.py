@@ -31,6 +31,8 @@ HEAD_HOLDS = frozenset("base basefont bgsound link meta title noscript noframes
 ENDS = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 #: Tags that say nothing about what they hold.
 PLAIN = frozenset("<" + x for x in "html body div p br hr table tbody tr td".split())
+#: Their classes speak of the whole page, not of what is the article.
+WHOLE = frozenset(("html", "body"))
 #: Where an implied end stops looking.
 SCOPE = frozenset("ul ol table td th div article section main body aside nav header footer form blockquote dl".split())
 DOCS_PER_BATCH = 64
@@ -137,7 +139,7 @@ def blocks(page: str) -> tuple[list[Block], list[str]]:
                 if stack[k][0] in SCOPE:
                     break
         _, features, main = stack[-1]
-        if name in BLOCK:
+        if name in BLOCK and name not in WHOLE:
             own = {"<" + name} - PLAIN
             for value in _NAMES.findall(rest):
                 own.update(_WORD.findall("".join(value).lower()))

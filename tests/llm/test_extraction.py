@@ -53,6 +53,12 @@ def test_the_end_of_a_head_can_be_left_out(head):
     assert extraction.main_text(f"<html>{head}{TEXT}") == TEXT
 
 
+@pytest.mark.parametrize("names", ["nav-fixed comments-open", "search-enabled has-sidebar", "ad menu footer cookie-banner"])
+def test_classes_of_the_whole_page_say_nothing(names):
+    page = f"<nav><a href='/'>Home</a></nav><article><h1>Head</h1><p>{TEXT}</p></article><footer>Ours.</footer>"
+    assert extraction.main_text(f'<html class="{names}"><body class="{names}" id="page">{page}') == f"Head {TEXT}"
+
+
 def test_the_region_has_the_largest_sum():
     page = "<div class=ad><p>x y</p></div><article><p>a b c</p></article><div class=ad><p>many bad words stand here between</p></div><article><p>d</p></article>"
     assert extraction.main_text(page) in ("a b c", "a b c d")
