@@ -15,6 +15,9 @@ from .cases import latest
 from .context import CONTEXT_COLUMNS, context_columns
 
 RESULT_COLUMNS = ("case_id", "score", "matches", "summary", "tags", "created_at")
+#: What of a case travels with its hits, and the columns of a search for many phrases.
+NARROW = ["case_id", "summary", "tags", "created_at", "first_seq"]
+BATCH_COLUMNS = ("query_no", "query", "rank", *RESULT_COLUMNS, "first_seq")
 DEFAULT_LIMIT = 10
 
 
@@ -89,7 +92,7 @@ def search_history(history: DataFrame, query: str, limit: int = DEFAULT_LIMIT, a
     return _best(found.drop("ingest_seq"), limit)
 
 
-def _top_per_query(hits: DataFrame, limit: int) -> DataFrame:
+def top_per_query(hits: DataFrame, limit: int) -> DataFrame:
     """The best ``limit`` hits of every query.
 
     The hits of a query are ranked in as many parts as there are shuffle partitions, so that a query that a third of all
@@ -104,15 +107,14 @@ def _top_per_query(hits: DataFrame, limit: int) -> DataFrame:
             .filter(F.col("rank") <= limit))
 
 
-def _hits(cases: DataFrame, queries: list[tuple[int, str]], accumulate: bool, per_pass: int) -> DataFrame:
-    narrow = ["case_id", "summary", "tags", "created_at", "first_seq"]
+def hits_of(cases: DataFrame, accumulate: bool = False) -> DataFrame:
+    """Hits of cases with the phrases of their ``_wanted``, an array of (query_no, query, needle in lower case)."""
     names = [name for name, _ in R.SEARCH_WEIGHTS]
     # Lower-casing happens once per case, not once per case and query.
-    lowered = once(cases, narrow, **{f"_{n}": c for n, c in lowered_fields().items()})
-    phrases = [F.struct(F.lit(i).alias("query_no"), F.lit(q).alias("query"), F.lower(F.lit(q)).alias("needle")) for i, q in queries]
-    passes = [F.array(*phrases[k:k + per_pass]) for k in range(0, len(phrases), per_pass)]
-    lowered = lowered.withColumn("_wanted", F.explode(F.array(*passes)))
+    return _compared(once(cases, [*NARROW, "_wanted"], **{f"_{n}": c for n, c in lowered_fields().items()}), names, accumulate)
+
 
+def _compared(lowered: DataFrame, names: list[str], accumulate: bool) -> DataFrame:
     def count(q: Column) -> Column:
         hits = field_hits({n: F.col(f"_{n}") for n in names}, q["needle"], accumulate)
         return F.struct(q["query_no"].alias("query_no"), q["query"].alias("query"),
@@ -121,13 +123,27 @@ def _hits(cases: DataFrame, queries: list[tuple[int, str]], accumulate: bool, pe
     def any_hit(r: Column) -> Column:
         return F.greatest(*[r[n] for n in names]) > 0
 
-    found = once(lowered, narrow, _found=F.filter(F.transform("_wanted", count), any_hit))
-    one = found.select(*narrow, F.explode("_found").alias("_hit"))
+    found = once(lowered, NARROW, _found=F.filter(F.transform("_wanted", count), any_hit))
+    one = found.select(*NARROW, F.explode("_found").alias("_hit"))
     seen = {n: F.col(f"_hit.{n}") for n in names}
-    return one.select("_hit.query_no", "_hit.query", *narrow, score_of(seen).alias("score"),
+    return one.select("_hit.query_no", "_hit.query", *NARROW, score_of(seen).alias("score"),
                       matches_of(seen).alias("matches"))
 
 
+def _hits(cases: DataFrame, queries: list[tuple[int, str]], accumulate: bool, per_pass: int) -> DataFrame:
+    names = [name for name, _ in R.SEARCH_WEIGHTS]
+    lowered = once(cases, NARROW, **{f"_{n}": c for n, c in lowered_fields().items()})
+    phrases = [F.struct(F.lit(i).alias("query_no"), F.lit(q).alias("query"), F.lower(F.lit(q)).alias("needle")) for i, q in queries]
+    passes = [F.array(*phrases[k:k + per_pass]) for k in range(0, len(phrases), per_pass)]
+    return _compared(lowered.withColumn("_wanted", F.explode(F.array(*passes))), names, accumulate)
+
+
+def numbered(queries: Sequence[str]) -> list[tuple[int, str]]:
+    if not queries:
+        raise ValueError("no queries given")
+    return list(enumerate(queries))
+
+
 def search_batch(cases: DataFrame, queries: Sequence[str], limit: int = DEFAULT_LIMIT, accumulate: bool = False,
                  per_pass: int = 200) -> DataFrame:
     """``search`` for many phrases: ``query_no``, ``query``, ``rank`` and the result columns.
@@ -137,8 +153,4 @@ def search_batch(cases: DataFrame, queries: Sequence[str], limit: int = DEFAULT_
     """
     if limit < 0:
         raise ValueError(f"limit must not be negative: {limit}")
-    numbered = list(enumerate(queries))
-    if not numbered:
-        raise ValueError("no queries given")
-    columns = ["query_no", "query", "rank", *RESULT_COLUMNS, "first_seq"]
-    return _top_per_query(_hits(cases, numbered, accumulate, per_pass), limit).select(*columns)
+    return top_per_query(_hits(cases, numbered(queries), accumulate, per_pass), limit).select(*BATCH_COLUMNS)

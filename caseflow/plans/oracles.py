@@ -203,6 +203,15 @@ def _found(phrase: str, limit: int, accumulate: bool = False) -> str:
            f"ORDER BY score DESC, first_seq LIMIT {limit})"
 
 
+def _batch(phrases) -> str:
+    """The best cases of each phrase."""
+    return f"""{WITH_CASES},
+phrases(query_no, query) AS (VALUES {', '.join(f'({i}, {text(q)})' for i, q in enumerate(phrases))})
+SELECT CAST(query_no AS BIGINT) AS query_no, query, CAST(rank AS BIGINT) AS rank, {HITS} FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_no ORDER BY score DESC, first_seq) AS rank
+  FROM ({scored('lower(query)', source='cur, phrases')}) WHERE score > 0) WHERE rank <= {Q.BATCH_LIMIT}"""
+
+
 def _raw_query(columns: str) -> str:
     return f"WITH {LEAD}\nSELECT ingest_seq, {columns} FROM raw"
 
@@ -304,11 +313,8 @@ WHERE before IS DISTINCT FROM event_type""",
     "search_scores": f"{WITH_CASES}\nSELECT {HITS} FROM ({scored(text(Q.SEARCH_PHRASE))})",
     "search_topk": f"{WITH_CASES},\n{_found(Q.SEARCH_PHRASE, 10)}\nSELECT {HITS} FROM found",
     "search_accumulate": f"{WITH_CASES},\n{_found('socket', 10, True)}\nSELECT {HITS} FROM found",
-    "search_batch": f"""{WITH_CASES},
-phrases(query_no, query) AS (VALUES {', '.join(f'({i}, {text(q)})' for i, q in enumerate(Q.BATCH_PHRASES))})
-SELECT CAST(query_no AS BIGINT) AS query_no, query, CAST(rank AS BIGINT) AS rank, {HITS} FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_no ORDER BY score DESC, first_seq) AS rank
-  FROM ({scored('lower(query)', source='cur, phrases')}) WHERE score > 0) WHERE rank <= {Q.BATCH_LIMIT}""",
+    "search_batch": _batch(Q.BATCH_PHRASES),
+    "search_indexed": _batch(Q.INDEX_PHRASES),
     "case_context": f"{WITH_CASES}\nSELECT first_seq AS pos, {CONTEXT} FROM cur",
     "export_context": f"{WITH_CASES},\n{REQUESTS}\nSELECT pos, {CONTEXT} FROM wanted JOIN cur USING (case_id)",
     "context_pack": f"""{WITH_CASES},\n{_found(Q.SEARCH_PHRASE, 10)},

@@ -18,9 +18,9 @@ from ..functions import fields as X
 from ..functions.text import lines, trimmed_lines, word_count
 from ..operators import cases as C
 from ..operators import context as K
-from ..operators import governance, logs, parse, recall, redact, search, stats
+from ..operators import governance, grams, logs, parse, recall, redact, search, stats
 from ..policy import STRICT, TRUSTED, CategoryRule, policy
-from ..session import shared_folder, spread
+from ..session import shared_folder, spread, staged
 from ..sources.files import context_json as context_document
 from ..sources.files import read_case_files, stream_case_files
 from ..sources.store import export_case_store_json, read_case_store, read_case_store_json, store_size, to_store_json, write_case_store
@@ -35,6 +35,9 @@ QUERIES: dict[str, Query] = {}
 SEARCH_PHRASE = "timeout"
 BATCH_PHRASES = ("timeout", "linux", "Socket", "azure storage", "telegraf", "zyxwvuts", "[EMAIL_1]", "the ")
 BATCH_LIMIT = 7
+#: Phrases looked up in the index: common, rare and absent ones, and some under three characters.
+INDEX_PHRASES = (*BATCH_PHRASES, "a", "", "10", *(f"1.{n}" for n in range(40)), *(f"vm-prod-{n}" for n in range(10)),
+                 *(f"work item {n}" for n in range(10)), *(f"azure storage {w}" for w in ("latency", "Latency issue", "queue")))
 
 DEMO_SECRET = "00112233445566778899aabbccddeeff"
 DEMO_KEYS = {"team": "0f" * 32, "other": "a5" * 32}
@@ -443,6 +446,21 @@ def search_batch(spark, sf_dir):
                       F.col("rank").cast("long").alias("rank"))
 
 
+@query
+def search_indexed(spark, sf_dir):
+    """Many phrases through the trigram index of a store that was written in two batches."""
+    store = f"{shared_folder(spark, 'search_indexed')}/store"
+    batch = F.pmod(F.col("ingest_seq"), F.lit(2)) == 0
+    history = staged(case_history(spark, sf_dir), "history")
+    for name, some in (("even", batch), ("others", batch.isNull() | ~batch)):
+        write_case_store(history.filter(some), f"{store}/cases", name)
+        grams.index_writes(history.filter(some), f"{store}/index", name)
+    cases = C.current_cases(read_case_store(spark, f"{store}/cases"))
+    found = grams.search_indexed(cases, f"{store}/index", INDEX_PHRASES, limit=BATCH_LIMIT)
+    return _flat_hits(found, F.col("query_no").cast("long").alias("query_no"), "query",
+                      F.col("rank").cast("long").alias("rank"))
+
+
 # Context ---------------------------------------------------------------------------------------------------------
 
 
