@@ -12,15 +12,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import staged
-from ..sources.commits import read_batches, write_batch
+from ..sources.commits import committed, read_batches, write_batch
 from .search import BATCH_COLUMNS, DEFAULT_LIMIT, hits_of, lowered_fields, numbered, top_per_query
 
 #: Folders that the trigrams of a batch are dealt to; a look-up reads those of its trigrams.
 PARTS = 64
 #: Trigrams looked up per phrase, the rarest ones.
 LOOKED_UP = 3
-POSTINGS = "part int, gram string, write_key bigint"
+POSTINGS = "part int, gram string, write_no bigint"
 COUNTS = "part int, gram string, n bigint"
 PHRASE = "struct<query_no:int,query:string,needle:string>"
 #: Looked-up trigrams of all phrases together that are broadcast; more are joined as sizes decide.
@@ -36,20 +35,20 @@ def _part(gram: Column) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(PARTS)).cast("int")
 
 
-def _write_key() -> Column:
-    """A number of the write; that two share one adds a comparison, never a result."""
-    return F.xxhash64("case_id", "ingest_seq")
+def _write_no() -> Column:
+    """The number of the write; that two share one, or have none, adds a comparison, never a result."""
+    return F.coalesce("ingest_seq", F.lit(-1).cast("bigint"))
 
 
 def postings(writes: DataFrame) -> DataFrame:
-    """(part, gram, write_key), one row per write and distinct trigram within one of its fields or their elements."""
+    """(part, gram, write_no), one row per write and distinct trigram within one of its fields or their elements."""
     parts = []
     for name, value in lowered_fields().items():
         whole = name in ("summary", "content")
         each = grams_of(value) if whole else F.flatten(F.transform(value, grams_of))
         parts.append(F.coalesce(each, F.array().cast("array<string>")))
-    rows = writes.select(_write_key().alias("write_key"), F.explode(F.array_distinct(F.concat(*parts))).alias("gram"))
-    return rows.select(_part(F.col("gram")).alias("part"), "gram", "write_key")
+    rows = writes.select(_write_no().alias("write_no"), F.explode(F.array_distinct(F.concat(*parts))).alias("gram"))
+    return rows.select(_part(F.col("gram")).alias("part"), "gram", "write_no")
 
 
 def index_writes(writes: DataFrame, path: str, batch: str) -> None:
@@ -59,11 +58,11 @@ def index_writes(writes: DataFrame, path: str, batch: str) -> None:
     """
     spark = writes.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = staged(postings(writes), "postings")
-    ranged = rows.repartitionByRange(tasks, "part", "gram", "write_key").sortWithinPartitions("part", "gram", "write_key")
-    write_batch(ranged, f"{path}/postings", batch, ["part"])
-    counts = rows.groupBy("part", "gram").agg(F.count("*").alias("n")).repartition("part")  # a row per trigram: one file a folder
-    write_batch(counts, f"{path}/grams", batch, ["part"])
+    order = ("part", "gram", "write_no")
+    write_batch(postings(writes).repartitionByRange(tasks, *order).sortWithinPartitions(*order), f"{path}/postings", batch, ["part"])
+    mine = [c for c in committed(spark, f"{path}/postings") if c.batch == batch]
+    counts = read_batches(spark, f"{path}/postings", POSTINGS, mine).groupBy("part", "gram").agg(F.count("*").alias("n"))
+    write_batch(counts.repartition("part"), f"{path}/grams", batch, ["part"])  # a row per trigram: one file a folder
 
 
 def _needles(spark: SparkSession, queries: Sequence[str]) -> DataFrame:
@@ -92,7 +91,7 @@ def _of(table: DataFrame, grams: set[tuple[int, str]]) -> DataFrame:
 
 
 def candidates(spark: SparkSession, index: str, queries: Sequence[str]) -> DataFrame:
-    """(write_key, wanted): the writes that hold all looked-up trigrams of a phrase, with the phrases.
+    """(write_no, wanted): the writes that hold all looked-up trigrams of a phrase, with the phrases.
 
     Every write that holds a phrase of three characters or more is there; shorter phrases have no trigram and are not.
     A list of phrases per write is the longest group.
@@ -102,9 +101,9 @@ def candidates(spark: SparkSession, index: str, queries: Sequence[str]) -> DataF
     looked_up = spark.createDataFrame(rows, "query_no int, part int, gram string, bit int, bits int").drop("part")
     few = F.broadcast if len(rows) <= BROADCAST_ROWS else lambda small: small
     held = _of(read_batches(spark, f"{index}/postings", POSTINGS), {(r[1], r[2]) for r in rows}).join(few(looked_up), "gram")
-    held = held.groupBy("write_key", "query_no").agg(F.bit_or("bit").alias("seen"), F.max("bits").alias("bits"))
+    held = held.groupBy("write_no", "query_no").agg(F.bit_or("bit").alias("seen"), F.max("bits").alias("bits"))
     both = held.filter("seen = bits").join(few(needles), "query_no")
-    return both.groupBy("write_key").agg(F.collect_list(F.struct("query_no", "query", "needle")).alias("wanted"))
+    return both.groupBy("write_no").agg(F.collect_list(F.struct("query_no", "query", "needle")).alias("wanted"))
 
 
 def search_indexed(cases: DataFrame, index: str, queries: Sequence[str], limit: int = DEFAULT_LIMIT,
@@ -121,8 +120,8 @@ def search_indexed(cases: DataFrame, index: str, queries: Sequence[str], limit:
     short = _needles(spark, queries).filter(F.size(grams_of(F.col("needle"))) == 0).collect()
     everywhere = F.array(*[F.struct(F.lit(r.query_no).alias("query_no"), F.lit(r.query).alias("query"), F.lit(r.needle).alias("needle"))
                            for r in short]).cast(f"array<{PHRASE}>")
-    named = candidates(spark, index, queries).withColumnRenamed("write_key", "_key").withColumnRenamed("wanted", "_named")
-    met = cases.withColumn("_write", _write_key()).join(named, F.col("_write") == F.col("_key"), "left" if short else "inner")
+    named = candidates(spark, index, queries).withColumnRenamed("write_no", "_key").withColumnRenamed("wanted", "_named")
+    met = cases.withColumn("_write", _write_no()).join(named, F.col("_write") == F.col("_key"), "left" if short else "inner")
     wanted = F.concat(everywhere, F.coalesce(F.col("_named").cast(f"array<{PHRASE}>"), F.array().cast(f"array<{PHRASE}>")))
     hits = hits_of(met.withColumn("_wanted", wanted), accumulate)
     return top_per_query(hits, limit).select(*BATCH_COLUMNS)
