@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from ..session import staged
 
 PERCENT = 80
-#: A word in more than one of so many (class, word) rows is frequent: there are fewer than FREQUENT of them.
-FREQUENT = 10_000
+#: Cells of the table of word counts that orders the words, as a power of two.
+SKETCH_BITS = 20
+LAST_CELL = (1 << SKETCH_BITS) - 1
+#: Sets are compared in bands by the size of the larger one: (more words than this, longs of a signature).
+BANDS = ((0, 4), (256, 8), (512, 16), (1024, 32))
 
 
 def word_set(fingerprint: Column) -> Column:
@@ -22,21 +25,32 @@ def word_set(fingerprint: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(fingerprint, lambda x: F.xxhash64(x))))
 
 
+def _word_sets(prints: DataFrame, case: str, fingerprint: str) -> DataFrame:
+    words = word_set(F.coalesce(fingerprint, F.array().cast("array<string>")))
+    return prints.select(F.col(case).alias("case"), words.alias("words")).withColumn(
+        "digest", F.sha2(F.array_join(F.col("words").cast("array<string>"), ","), 256))
+
+
+def _class_words(sets: DataFrame) -> DataFrame:
+    """(class_id, n_cases, words), staged: copies combine inside every task, so words move once."""
+    found = sets.groupBy("digest").agg(F.min("case").alias("class_id"), F.count("*").alias("n_cases"), F.first("words").alias("words"))
+    found = staged(found.filter("class_id IS NOT NULL"), "classes")
+    # A case that is given twice may name two classes: it stands for one of them.
+    twice = found.groupBy("class_id").agg(F.min("digest").alias("_kept"), F.count("*").alias("_n")).filter("_n > 1")
+    if not twice.isEmpty():
+        found = found.join(twice, "class_id", "left").filter("_kept IS NULL OR _kept = digest")
+    return found.select("class_id", "n_cases", "words")
+
+
 def classes(prints: DataFrame, case: str = "case_id", fingerprint: str = "fingerprint") -> tuple[DataFrame, DataFrame]:
     """(case, class_id) of every case, and (class_id, n_cases, words) of every class, named by its smallest case.
 
-    Copies are counted on a digest, combining inside every task; the words of one case per class are joined back.  A null
-    fingerprint is the empty set.
+    Copies are counted on a digest.  A null fingerprint is the empty set.
     """
-    sets = staged(prints.select(F.col(case).alias("case"), word_set(F.coalesce(fingerprint, F.array().cast("array<string>"))).alias("words"))
-                  .withColumn("digest", F.sha2(F.array_join(F.col("words").cast("array<string>"), ","), 256)), "word-sets")
-    firsts = sets.groupBy("digest").agg(F.min("case").alias("class_id"), F.count("*").alias("n_cases"))
-    members = sets.select("case", "digest").join(firsts.select("digest", "class_id"), "digest").select("case", "class_id")
-    # A case may be given twice: its words are taken once.
-    words = (sets.join(firsts.select(F.col("digest").alias("_digest"), "class_id", "n_cases"),
-                       (F.col("digest") == F.col("_digest")) & (F.col("case") == F.col("class_id")))
-             .select("class_id", "n_cases", "words").dropDuplicates(["class_id"]))
-    return members, words
+    sets = staged(_word_sets(prints, case, fingerprint), "word-sets")
+    firsts = sets.groupBy("digest").agg(F.min("case").alias("class_id"))
+    members = sets.select("case", "digest").join(firsts, "digest").select("case", "class_id")
+    return members, _class_words(sets)
 
 
 def _needed(n: Column, percent: int) -> Column:
@@ -44,48 +58,69 @@ def _needed(n: Column, percent: int) -> Column:
     return F.ceil(n * percent / 100)
 
 
+def sketch(sets: DataFrame) -> DataFrame:
+    """One row, ``cells``: how many sets hold a word of each cell.  Its size is fixed, whatever the number of words."""
+    cells = sets.sparkSession.range(1 << SKETCH_BITS).select(F.col("id").alias("cell"))
+    rows = sets.select(F.explode("words").alias("word")).select(F.col("word").bitwiseAND(LAST_CELL).alias("cell")).unionAll(cells)
+    counts = rows.groupBy("cell").agg((F.count("*") - 1).cast("int").alias("n"))
+    return counts.agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "n"))), lambda x: x["n"]).alias("cells"))
+
+
+def signature(longs: int) -> Column:
+    """The parities of the numbers of words at ``64 * longs`` places: two sets differ in at least as many words as parities."""
+    return F.expr(f"transform(sequence(0, {longs - 1}), i -> aggregate(filter(words, w -> (shiftright(w, 6) & {longs - 1}) = i), "
+                  "0L, (x, w) -> x ^ shiftleft(1L, cast(w & 63 as int))))")
+
+
 def prefixes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The inverted index (word, class_id, n, place): of every class its rarest words, as many as a link cannot do without.
+    """(band, class_id, n, prefix, signature): of every class its rarest words, as many as a link cannot do without, once per
+    band that a linked class may be the larger of a pair in.
 
     Two sets that share enough words share one of these, whatever the order, as long as it is the same for all; rare words
-    first keeps the lists short.  Frequent words are looked up by broadcast, as there are fewer than ``FREQUENT`` of them;
-    the others hold no more than their share of the rows, so no word is a hot key.
+    first keeps the lists short.  The order is by the counts of a bounded sketch, which every task gets, so no words move.
     """
-    rows = staged(sets.select("class_id", F.size("words").alias("n"), F.explode("words").alias("word")), "class-words")
-    counts = staged(rows.groupBy("word").agg(F.count("*").alias("often")), "word-counts")
-    hot = F.col("often") * FREQUENT > rows.count()
-    frequent = F.broadcast(counts.filter(hot))
-    known = rows.join(frequent, "word", "left")
-    rare = known.filter("often IS NULL").drop("often").join(counts.filter(~hot), "word")
-    columns = ["class_id", "n", "word", "often"]
-    ordered = (known.filter("often IS NOT NULL").select(*columns).unionAll(rare.select(*columns))
-               .groupBy("class_id", "n").agg(F.array_sort(F.collect_list(F.struct("often", "word"))).alias("ordered")))
-    length = (F.col("n") - _needed(F.col("n"), percent) + 1).cast("int")
-    # A word of one class alone leads to nobody.
-    return (ordered.select("class_id", "n", F.posexplode(F.slice("ordered", F.lit(1), length)).alias("place", "of"))
-            .filter("of.often > 1").select(F.col("of.word").alias("word"), "class_id", "n", "place"))
+    n = F.size("words")
+    length = (n - _needed(n, percent) + 1).cast("int")
+    ordered = F.expr(f"array_sort(transform(words, w -> struct(cells[cast(w & {LAST_CELL} as int)] as often, w as word)))")
+    bands = []
+    for (low, longs), (high, _) in zip(BANDS, [*BANDS[1:], (None, 0)]):
+        inside = n >= _needed(F.lit(low + 1), percent)
+        bands.append(F.when(inside if high is None else inside & (n <= high), F.struct(F.lit(low).alias("band"), signature(longs).alias("signature"))))
+    found = sets.filter(n > 0).crossJoin(F.broadcast(sketch(sets)))
+    one = found.select("class_id", n.alias("n"), F.slice(ordered, F.lit(1), length).alias("prefix"), F.inline(F.array_compact(F.array(*bands))))
+    return one.select("band", "class_id", "n", "prefix", "signature")
 
 
 def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(class_id, other_id, common) of linked classes, each pair once, ``class_id`` the smaller.
 
-    What meets in the index is compared only if sizes, and the words that can still be shared from there on, allow a link;
-    the rest is verified on the whole sets.
+    What meets in the index is kept only if sizes, the words that can still be shared from there on, and the signatures allow
+    a link; that is decided where classes meet, so pairs without one are on no disk.  The rest is verified on the whole sets.
     """
-    index = staged(prefixes(sets, percent), "prefixes")
+    found = staged(prefixes(sets, percent), "prefixes")
+    # A word of one class alone leads to nobody.
+    index = (found.select("band", "class_id", "n", "signature", F.posexplode("prefix").alias("place", "of"))
+             .filter("of.often > 1").select("band", F.col("of.word").alias("word"), "class_id", "n", "place", "signature"))
     a, b = index.alias("a"), index.alias("b")
     larger = F.greatest("a.n", "b.n")
     least = _needed(larger, percent)
     # At the first word that both hold, this many can still be common; a linked pair meets there.
     left = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
-    met = a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.class_id") < F.col("b.class_id"))
-                 & (F.least("a.n", "b.n") >= least) & (left >= least))
+    odd = [F.coalesce(F.bit_count(F.get("a.signature", i).bitwiseXOR(F.get("b.signature", i))), F.lit(0)) for i in range(BANDS[-1][1])]
+    apart = odd[0]
+    for more in odd[1:]:
+        apart = apart + more
+    met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.word") == F.col("b.word"))
+                 & (F.col("a.class_id") < F.col("b.class_id")) & (larger > F.col("a.band")) & (F.least("a.n", "b.n") >= least)
+                 & (left >= least) & (apart <= F.col("a.n") + F.col("b.n") - 2 * least))
     pairs = met.select(F.col("a.class_id").alias("class_id"), F.col("b.class_id").alias("other_id")).distinct()
-    own, other = sets.select("class_id", "words"), sets.select(F.col("class_id").alias("other_id"), F.col("words").alias("other_words"))
-    common = F.size(F.array_intersect("words", "other_words"))
-    largest = F.greatest(F.size("words"), F.size("other_words"))
-    return (pairs.join(own, "class_id").join(other, "other_id").withColumn("common", common)
-            .filter(F.col("common") * 100 >= largest * percent).select("class_id", "other_id", "common"))
+    own, other = sets.alias("own"), sets.alias("other")
+    common = F.size(F.array_intersect("own.words", "other.words"))
+    largest = F.greatest(F.size("own.words"), F.size("other.words"))
+    return (pairs.alias("p").join(own, F.col("p.class_id") == F.col("own.class_id"))
+            .join(other, F.col("p.other_id") == F.col("other.class_id"))
+            .select("p.class_id", "p.other_id", common.alias("common"), largest.alias("_largest"))
+            .filter(F.col("common") * 100 >= F.col("_largest") * percent).drop("_largest"))
 
 
 def fingerprint_match(prints: DataFrame, case: str = "case_id", fingerprint: str = "fingerprint",
@@ -96,8 +131,7 @@ def fingerprint_match(prints: DataFrame, case: str = "case_id", fingerprint: str
     Cases without any word are a class that is linked with nothing, not even with itself; repeated rows count each; an empty
     table gives an empty result; other columns are ignored.
     """
-    _, sets = classes(prints, case, fingerprint)
-    sets = staged(sets, "classes")
+    sets = _class_words(_word_sets(prints, case, fingerprint))
     found = staged(links(sets, percent), "links")
     sizes = sets.select(F.col("class_id").alias("_of"), F.col("n_cases").alias("_n"))
     both = found.select("class_id", "other_id").unionAll(found.select(F.col("other_id"), F.col("class_id")))

@@ -1,5 +1,6 @@
 import random
 from collections import Counter
+from itertools import combinations
 
 from pyspark.sql import functions as F
 
@@ -52,6 +53,23 @@ def test_copies_are_not_paired(spark):
     assert [tuple(r) for r in recall.links(found).collect()] == [(0, 5000, 20)]
 
 
+def test_signatures_tell_unlike_sets_apart(spark):
+    """Sets that share a rare word and little else are told apart by their signatures, and linked ones never are."""
+    rng = random.Random(2)
+    sets = [(k, [f"rare{k // 2}", *rng.sample([f"w{i}" for i in range(4000)], rng.choice((200, 230, 400, 700)))]) for k in range(24)]
+    sets += [(100 + k, [*words[:-9], *(f"new{k}-{i}" for i in range(9))]) for k, words in sets]
+    _, found = recall.classes(rows(spark, sets))
+    words = {r.class_id: set(r.words) for r in found.collect()}
+    pruned = 0
+    for a, b in combinations(recall.prefixes(found).collect(), 2):
+        if a.band == b.band:
+            odd = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a.signature, b.signature))
+            assert odd <= len(words[a.class_id] ^ words[b.class_id])
+            pruned += odd > a.n + b.n - 2 * -(-max(a.n, b.n) * recall.PERCENT // 100)
+    assert pruned > 100
+    assert matched(spark, sets) == by_brute_force(sets)
+
+
 def test_awkward_rows(spark):
     sets = [(1, None), (2, []), (3, ["a"]), (3, ["a"]), (None, ["a"]), (4, ["a", "a"])]
     assert matched(spark, sets) == [(1, 2, 0, 0), (3, 4, 3, 0)]
