@@ -28,13 +28,13 @@ def _column(df: DataFrame, name: str, default: Column) -> Column:
     return F.col(name) if name in df.columns else default
 
 
-def case_id(df: DataFrame, text: str = "content", detected_first: bool = False) -> Column:
+def case_id(df: DataFrame, text: str = "content", detected_first: bool = False, lowered: Column | None = None) -> Column:
     """Given id, else the id found in the text, else a stable generated one.
 
     ``detected_first`` prefers the id in the text over the given one, as the older variant does.
     """
     given = _column(df, "given_case_id", F.lit(None).cast("string"))
-    found = X.detected_case_id(F.col(text))
+    found = X.detected_case_id(F.col(text), lowered=lowered)
     first, second = (found, given) if detected_first else (given, found)
     source = _column(df, "source", F.lit(""))
     return F.coalesce(first, second, X.fallback_case_id(source, F.col("ingest_seq"), F.col(text)))
@@ -58,14 +58,15 @@ def parse_case(
     kept = [c for c in df.columns if c not in added]
     raw, source = F.col(text), F.col(read_from or text)
     now = _column(df, "ts", F.current_timestamp())
-    lined = df.withColumn("_lined", trimmed_lines(source))
+    lowered, lowered_source = F.col("_lowered"), F.col("_lowered_source" if read_from else "_lowered")
+    lined = df.withColumns({"_lined": trimmed_lines(source), "_lowered": F.lower(raw)} | ({"_lowered_source": F.lower(source)} if read_from else {}))
     computed = {
-        "case_id": case_id(df, text, detected_first),
+        "case_id": case_id(df, text, detected_first, lowered),
         "summary": X.summary(F.col("_lined")),
-        "symptoms": X.symptoms(source),
-        "environment": X.environment(source),
+        "symptoms": X.symptoms(source, lowered=lowered_source),
+        "environment": X.environment(source, lowered=lowered_source),
         "error_patterns": X.error_patterns(F.col("_lined")),
-        "tags": X.tags(raw, tag_rules),
+        "tags": X.tags(raw, tag_rules, lowered),
         "word_count": word_count(raw),
         "created_at": now,
         "updated_at": now,

@@ -1,10 +1,12 @@
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from caseflow import rules as R
 from caseflow.functions import fields as X
+from caseflow.functions.text import word_count
 from caseflow.operators import parse
 
 SCHEMA = "source string, ingest_seq bigint, ts timestamp, given_case_id string, content string"
@@ -121,3 +123,24 @@ def test_ingest_splits_into_cases_and_vault(spark):
 def test_ingest_can_compress_first(spark):
     done = parse.ingest(raw(spark, "TID:1 Error x\nTID:2 Error x"), compress=True).first()
     assert done.content_redacted.split("\n") == ["TID:1 Error x", R.REPEATED_HEADER, "[REPEATED 2x] [TID] Error x..."]
+
+
+def test_texts_are_lower_cased_a_few_times_not_once_per_hint(spark):
+    done = parse.ingest(raw(spark, "ICM-1: AMA timeout"), fields="raw")
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") <= 4
+
+
+def test_error_lines_and_words_with_odd_blanks(spark):
+    assert field(spark, "a\nan Error\n\nFailed\nan Error\nException\rx", X.error_patterns) == ["an Error", "Failed", "Exception\rx"]
+    assert field(spark, "error", X.error_patterns) == [] and field(spark, None, X.error_patterns) is None
+    for text, n in (("", 1), (" a", 2), ("a\u00a0b\u3000 c", 3), ("a\x0b\tb ", 3), ("a\u200bb \u4e00", 2), ("\ufeff", 2)):
+        assert field(spark, text, word_count) == n
+
+
+def test_discussion_is_read_up_to_its_last_time(spark):
+    text = "Jane Doe\nNote Submitted at 2024-02-03 10:11:12\nBob\nx Submitted at 1\n2 \nMore\nwords " + "Some Words\n" * 3000
+    start = time.monotonic()
+    assert [(e.author, e.timestamp) for e in field(spark, text, X.discussion)] == [("Jane Doe", "2024-02-03 10:11:12"), ("Bob", "1\n2")]
+    assert time.monotonic() - start < 8
+    assert field(spark, "Submitted at ", X.discussion) == [] and field(spark, "A\nSubmitted at 5 Submitted at x", X.discussion)[0].timestamp == "5"

@@ -1,3 +1,4 @@
+import dataclasses
 import random
 import time
 
@@ -126,6 +127,18 @@ def test_newest_first_restores_every_pack(spark, texts, rules):
     assert done.filter(restored != F.col("content")).count() == 0
 
 
+@pytest.mark.parametrize("rules", [R.PII_RULES, R.PII_RULES_LEGACY, R.PII_RULES_EXTENDED])
+def test_searching_around_a_character_finds_what_the_whole_text_holds(spark, rules):
+    rng, parts = random.Random(7), ["a", "b-c", "@", "@microsoft.com", "x.org", " ", "  ", "\n", "-", ".", "vm-1", "555-123-4567", "\u00e9", "\u00a0",
+                                    "0a1b2c3d-0000-1111-2222-0a1b2c3d4e5f", "\ufdd0", "_"]
+    texts = ["", " ", "@", "-", " @ ", "@ -", *["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(600)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, content string").repartition(8)
+    whole = [dataclasses.replace(r, around=None) for r in rules]
+    assert any(r.around for r in rules)
+    done = [{r.n: (r.content_redacted, r.mappings) for r in D.redact(df, rules=some).collect()} for some in (rules, whole)]
+    assert done[0] == done[1] and sum(len(m) for _, m in done[0].values()) > 200
+
+
 def test_inventory(spark):
     df = spark.createDataFrame([("c1", "a@b.co 1.2.3.4"), ("c2", "x@y.z 1.1.1.1 2.2.2.2")], "case_id string, content string")
     done = D.redact(df)
