@@ -738,8 +738,8 @@ def case_store_json(spark, sf_dir):
                        F.col("word_count").cast("long").alias("word_count"))
 
 
-#: JSON objects that a store is dealt to.
-OBJECTS = 16
+#: JSON objects that a store is dealt to, at least, and the most documents per object: one is made by a single task.
+OBJECTS, DOCS_PER_OBJECT = 16, 10_000
 
 
 @query
@@ -747,8 +747,9 @@ def case_store_object(spark, sf_dir):
     """Current cases as one JSON object per file, read back in ranges."""
     path = shared_folder(spark, "object")
     entry = F.regexp_replace("value", r"(?s)^\{(.*)\}$", "$1")
+    objects = max(OBJECTS, -(-table(spark, sf_dir, "documents").count() // DOCS_PER_OBJECT))
     # The exchange form of one store, indented as tools write it.
-    rows = to_store_json(current(spark, sf_dir)).select(F.pmod(F.xxhash64("value"), F.lit(OBJECTS)).alias("part"), entry.alias("value"))
+    rows = to_store_json(current(spark, sf_dir)).select(F.pmod(F.xxhash64("value"), F.lit(objects)).alias("part"), entry.alias("value"))
     whole = rows.groupBy("part").agg(F.concat(F.lit("{\n  "), F.array_join(F.collect_list("value"), ",\n  "), F.lit("\n}\n")).alias("value"))
     whole.select("value").write.option("maxRecordsPerFile", 1).text(path)
     back = read_case_store_json(spark, path)

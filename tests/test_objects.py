@@ -1,8 +1,10 @@
 import json
+import pathlib
 import random
 
 import pytest
 
+from caseflow.plans import queries as Q
 from caseflow.sources import store
 from caseflow.sources.objects import object_entries
 
@@ -50,3 +52,13 @@ def test_files_that_are_no_whole_objects(spark, tmp_path):
         "cut": [("A", True), (None, False)], "open": [(None, False)], "broken": [(None, False)], "list": [(None, False)],
         "whole": [("A", True), ("B", True)]}
     assert object_entries(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_a_larger_table_is_dealt_to_more_objects(spark, tmp_path, monkeypatch):
+    spark.range(120).selectExpr("id AS doc_id", "'some words ' || id AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(Q, "DOCS_PER_OBJECT", 2)
+    folders = []
+    monkeypatch.setattr(Q, "shared_folder", lambda _, name: folders.append(f"{tmp_path}/{name}") or folders[-1])
+    rows = Q.QUERIES["case_store_object"](spark, str(tmp_path))
+    assert rows.count() == rows.select("case_id").distinct().count() > 80
+    assert len(list(pathlib.Path(folders[0]).glob("part-*"))) > Q.OBJECTS
