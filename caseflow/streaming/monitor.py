@@ -82,7 +82,7 @@ def write_batch(batch: DataFrame, batch_id: int, target: Target, writer: str | N
     name = f"{writer}-{batch_id}" if writer else str(batch_id)
     if writer:
         batch = not_stored(batch, target.store, writer)
-    suggested = F.get(X.detect_case_ids(F.col("content")), 0)
+    suggested = X.detected_case_id(F.col("content"), R.DETECT_ID_RULES)  # the first of ``detect_case_ids``, without the others
     named = batch.withColumn("given_case_id", F.coalesce("given_case_id", suggested))
     write_ingested(ingest(named, **options), target.store, target.vault, target.keys, target.key_id, name)
 

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from caseflow.functions import fields as X
 from caseflow.functions.crypto import key_table
 from caseflow.operators.cases import first_copies
 from caseflow.operators.parse import ingest
@@ -243,3 +244,15 @@ def test_files_of_one_time_get_numbers_of_their_own(spark, tmp_path):
     both = [(r.ingest_seq, r.content) for r in run().collect()]
     assert len(both) == len({n for n, _ in both}) == 3000 and max(first.values()) + 1 in {n for n, t in both if t == "e0000.txt"}
     assert len({r.ingest_seq for r in read_case_files(spark, str(folder)).collect()}) == 3000
+
+
+def test_the_suggested_id_is_looked_for_alone(spark, tmp_path, monkeypatch):
+    texts = ["Ticket: AB12CD34 and Case 12345678", "Teams call 123456789, ICM: 87654321", "no id here", "SR 2400000001 Incident-10000007", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "ingest_seq bigint, content string")
+    chosen = F.get(X.detect_case_ids(F.col("content")), 0)
+    before = {r.ingest_seq: r.id for r in df.select("ingest_seq", chosen.alias("id")).collect()}
+    monkeypatch.delattr(X, "detect_case_ids")
+    rows = df.filter("content IS NOT NULL").selectExpr("'s' AS source", "ingest_seq", "timestamp_seconds(1) AS ts", "CAST(NULL AS string) AS given_case_id", "content")
+    write_batch(rows, 0, Target(f"{tmp_path}/store", f"{tmp_path}/vault", key_table(spark, team="0f" * 32), "team"))
+    stored = {r.ingest_seq: r.case_id for r in read_case_store(spark, f"{tmp_path}/store").collect()}
+    assert {n: i if i and not i.startswith("CASE-") else None for n, i in stored.items()} == {n: i for n, i in before.items() if n != 4}
