@@ -10,9 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import BooleanType, LongType, StructType
@@ -21,6 +23,10 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: When more than MOST texts of a source are remembered, the newest KEPT stay.
 MOST, KEPT = 1000, 500
+#: Keys that sources are dealt to: a call into Python, and the state that it reads, is for one of them.
+BUCKETS = 1024
+#: Slices that the time which rows of ``changes`` may wait is cut into.
+SLICES = 8
 
 ROW_SCHEMA = "source string, ingest_seq bigint, ts timestamp, content_hash string, late boolean"
 
@@ -134,6 +140,47 @@ def earliest_within(stream: DataFrame, delay: str) -> DataFrame:
     return _remembered(fewer, ["content_md5"], _Seen(_milliseconds(delay)))
 
 
+def _bucket(*keys: Column | str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def _numbers() -> list[Column]:
+    """``ingest_seq`` and ``ts`` as numbers that are never NULL and a flag each: in pandas, NULLs would make them floating ones."""
+    us, zero = F.unix_micros("ts"), F.lit(0).cast("bigint")
+    return [F.coalesce("ingest_seq", zero).alias("number"), F.col("ingest_seq").isNotNull().alias("numbered"),
+            F.coalesce(us, zero).alias("us"), us.isNotNull().alias("timed")]
+
+
+def _back() -> dict[str, Column]:
+    return {"ingest_seq": F.when(F.col("numbered"), F.col("number")), "ts": F.when(F.col("timed"), F.timestamp_micros("us"))}
+
+
+def _bucket(*keys: Column | str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def _numbers() -> list[Column]:
+    """``ingest_seq`` and ``ts`` as numbers that are never NULL and a flag each: in pandas, NULLs would make them floating ones."""
+    us, zero = F.unix_micros("ts"), F.lit(0).cast("bigint")
+    return [F.coalesce("ingest_seq", zero).alias("number"), F.col("ingest_seq").isNotNull().alias("numbered"),
+            F.coalesce(us, zero).alias("us"), us.isNotNull().alias("timed")]
+
+
+def _back() -> dict[str, Column]:
+    return {"ingest_seq": F.when(F.col("numbered"), F.col("number")), "ts": F.when(F.col("timed"), F.timestamp_micros("us"))}
+
+
+def _packed(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(rows.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(rows: bytes) -> pa.Table:
+    return pa.ipc.open_stream(bytes(rows)).read_all()
+
+
 class _Newest(StatefulProcessor):
     """Rows whose text is not among the newest of the key; the list of these is cut when it has grown too long."""
 
@@ -192,52 +239,89 @@ def bounded_seen(stream: DataFrame, most: int = MOST, kept: int = KEPT, parts: i
     return kept_rows.drop("_part", "late")
 
 
+#: A row of ``changes`` as its processor sees it.  Numbers are never NULL there, as they would become floating ones.
+WAITING = "source string, content_hash string, number bigint, numbered boolean, us bigint, timed boolean"
+WAITING_ARROW = pa.schema([("source", pa.string()), ("content_hash", pa.string()), ("number", pa.int64()), ("numbered", pa.bool_()),
+                           ("us", pa.int64()), ("timed", pa.bool_())])
+
+
 class _Changed(StatefulProcessor):
-    """The rows of a source in the order of time, as far as the watermark has come, that differ from the one before."""
+    """The rows of a source in the order of time, as far as the watermark has come, that differ from the one before.
+
+    A key is a bucket of sources.  What waits is kept by slices of time, each one value, so that only slices which the
+    watermark has reached are read again.
+    """
+
+    def __init__(self, slice_ms: int) -> None:
+        self.slice_ms = slice_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "ms bigint, us bigint, ingest_seq bigint, content_hash string")
-        self.last = handle.getValueState("last", "content_hash string")
+        self.waiting = handle.getMapState("waiting", "slice bigint", "packed binary")
+        self.last = handle.getMapState("last", "known boolean, source string", "content_hash string")
         self.next = handle.getValueState("next", "ms bigint")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         now, new = timerValues.getCurrentWatermarkInMs(), []
-        for row in rows:
-            if row.content_hash is None:
-                continue
-            if row._ms is None or row._ms <= now:
-                yield _out(row, True)
-            else:
-                new.append((row._ms, row._us, row.ingest_seq, row.content_hash))
-        if not new:
+        for frame in rows:
+            frame = frame[frame["content_hash"].notna()]
+            late = ~frame["timed"].astype(bool) | (frame["us"] // 1000 <= now)
+            if late.any():
+                yield self._marked(frame[late], True)
+            new.append(frame[~late])
+        new = pd.concat(new)
+        if new.empty:
             return
-        self.waiting.appendList(new)
-        first, timer = min(new)[0], self.next.get()
+        for number, some in new.groupby(new["us"] // 1000 // self.slice_ms):
+            table, held = pa.Table.from_pandas(some, WAITING_ARROW, preserve_index=False), self.waiting.getValue((int(number),))
+            self.waiting.updateValue((int(number),), (_packed(pa.concat_tables([_unpacked(held[0]), table]) if held else table),))
+        first, timer = int(new["us"].min()) // 1000, self.next.get()
         if timer is None or first < timer[0]:
             if timer is not None:
                 self.handle.deleteTimer(timer[0])
             self.handle.registerTimer(first)
             self.next.update((first,))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = timerValues.getCurrentWatermarkInMs()
-        held = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: (r[1], r[2] is not None, r[2] or 0))
-        last = (self.last.get() or (None,))[0]
-        ready = [r for r in held if r[0] <= now]
-        for ms, us, number, text in ready:
-            if text != last:
-                yield Row(source=key[0], ingest_seq=number, content_hash=text, _us=us, _ms=ms, late=False)
-            last = text
-        self.last.update((last,))
-        rest = held[len(ready):]
-        if rest:
-            self.waiting.put(rest)
-            self.handle.registerTimer(rest[0][0])
-            self.next.update((rest[0][0],))
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, ready, following = timerValues.getCurrentWatermarkInMs(), [], []
+        for (number,) in sorted(tuple(k) for k in self.waiting.keys()):
+            if number * self.slice_ms > now:
+                following.append(number * self.slice_ms)
+                break
+            held = _unpacked(self.waiting.getValue((number,))[0])
+            due = pc.less(held["us"], (now + 1) * 1000)
+            ready.append(held.filter(due))
+            rest = held.filter(pc.invert(due))
+            if rest.num_rows:
+                self.waiting.updateValue((number,), (_packed(rest),))
+                following.append(pc.min(rest["us"]).as_py() // 1000)
+            else:
+                self.waiting.removeKey((number,))
+        if following:
+            self.handle.registerTimer(min(following))
+            self.next.update((min(following),))
         else:
-            self.waiting.clear()
             self.next.clear()
+        if any(part.num_rows for part in ready):
+            yield self._different(pa.concat_tables(ready))
+
+    def _different(self, ready: pa.Table) -> pd.DataFrame:
+        order = [(c, "ascending") for c in ("source", "us", "numbered", "number")]
+        ready = ready.take(pc.sort_indices(ready, sort_keys=order, null_placement="at_start")).to_pandas()
+        source = pd.factorize(ready["source"], use_na_sentinel=False)[0]
+        first = np.flatnonzero(np.diff(source, prepend=-1))
+        before = ready["content_hash"].shift().to_numpy(object, copy=True)
+        ends = ready["content_hash"].to_numpy(object)[[*(first[1:] - 1), len(ready) - 1]]
+        for k, name, end in zip(first, ready["source"].to_numpy(object)[first], ends):
+            owner = (name is not None, name or "")
+            before[k] = (self.last.getValue(owner) or (None,))[0]
+            if end != before[k]:
+                self.last.updateValue(owner, (end,))
+        return self._marked(ready[ready["content_hash"].to_numpy(object) != before], False)
+
+    @staticmethod
+    def _marked(rows: pd.DataFrame, late: bool) -> pd.DataFrame:
+        return rows[WAITING_ARROW.names].assign(late=late)
 
     def close(self) -> None:
         pass
@@ -269,18 +353,20 @@ def places(stream: DataFrame, time: str = "ts") -> DataFrame:
     return stream.groupBy(time).transformWithState(_Places(), schema, "append", "none")
 
 
-def changes(stream: DataFrame, delay: str, text: str = "content") -> DataFrame:
+def changes(stream: DataFrame, delay: str, text: str = "content", buckets: int = BUCKETS) -> DataFrame:
     """(source, ingest_seq, ts, content_hash, late): rows whose text differs from the previous non-empty one of their source.
 
     "Previous" is by time, then ``ingest_seq``, whatever the order of arrival: a row waits until the watermark, the latest
     time less ``delay``, has reached it.  A row that comes after that, or has no time, comes out marked ``late`` and is
-    compared with nothing.  Empty texts only move time on.  Only ids and hashes pass through here.
+    compared with nothing.  Empty texts only move time on.  Only ids and hashes pass through here.  Sources are dealt to
+    ``buckets``; what a bucket holds ready at once is in memory at once.
     """
     narrow = stream.select("source", "ingest_seq", "ts", F.when(F.length(text) > 0, F.sha2(F.col(text), 256)).alias("content_hash"))
     # A filter here would be moved below the watermark, and empty texts would not move time on: the processor skips them.
-    timed = _timed(narrow, delay).withColumn("_us", F.unix_micros("ts"))
-    found = _remembered(timed.select("source", "ingest_seq", "content_hash", "_us", "_ms"), ["source"], _Changed())
-    return found.select("source", "ingest_seq", F.timestamp_micros("_us").alias("ts"), "content_hash", "late")
+    flat = _timed(narrow, delay).select("source", "content_hash", *_numbers(), _bucket("source", buckets=buckets).alias("bucket"))
+    found = flat.groupBy("bucket").transformWithStateInPandas(
+        _Changed(max(1, _milliseconds(delay) // SLICES)), f"{WAITING}, late boolean", "append", "eventTime")
+    return found.select("source", *[c.alias(name) for name, c in _back().items()], "content_hash", "late")
 
 
 def changed_only(stream: DataFrame, folder: str, text: str = "content", interval: str | None = "1 second",

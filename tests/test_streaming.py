@@ -158,6 +158,27 @@ def test_the_newest_texts_of_a_source(spark, tmp_path):
     assert len(parted) == len({(s, t) for s, _, t in rows})
 
 
+def test_many_sources_share_a_key_of_the_state(spark, tmp_path):
+    rows = [[(f"s{n}", n + 4000 * k, "xy"[n % 2]) for n in range(4000)] for k in range(2)]
+    changed, held = stateful_run(stateful.changes(arrive(spark, tmp_path / "in", rows), "60 days"), tmp_path / "changes")
+    assert not changed and max(held) <= 4 * stateful.BUCKETS
+
+
+def test_changes_of_unnamed_sources_and_large_numbers(spark, tmp_path):
+    big, at = 2**62 + 1, lambda m: START + dt.timedelta(minutes=m)
+    data = [[(None, big, at(5), "x"), ("", big, at(5), "x"), (None, None, at(5), "y"), ("a", 1, None, "x"), ("a", 2, at(0), None)],
+            [(None, big + 2, at(6), "x"), ("", big + 2, at(6), "x"), ("", big + 4, at(60), "y")],
+            [("", big + 1, at(5), "z"), ("b", 3, at(500), "")], [("b", 4, at(1), "late")]]
+    for rows in data:
+        spark.createDataFrame([(s, i, t, None, x) for s, i, t, x in rows], RAW).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(RAW).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    found, _ = stateful_run(stateful.changes(stream, "100 minutes"), tmp_path)
+    known = {(r.source, r.ingest_seq, r.ts) for r in found if not r.late}
+    # Without a number comes first: y, x for the unnamed source; x, z, x, y for the empty name, as big + 1 is after big.
+    assert known == {(None, None, at(5)), (None, big, at(5)), ("", big, at(5)), ("", big + 1, at(5)), ("", big + 2, at(6)), ("", big + 4, at(60))}
+    assert {(r.source, r.ingest_seq, r.ts) for r in found if r.late} == {("a", 1, None), ("b", 4, at(1))}
+
+
 def test_tag_counts_keep_the_latest_update(spark, tmp_path):
     rows = [[("a", 1, "x"), ("a", 2, "x")], [("a", 3, "x"), ("a", 14, "y")]]
     stream = arrive(spark, tmp_path / "in", rows).withColumn("tags", F.array("content"))
