@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import BooleanType, LongType, StructType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructType
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -25,8 +25,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 MOST, KEPT = 1000, 500
 #: Keys that sources are dealt to: a call into Python, and the state that it reads, is for one of them.
 BUCKETS = 1024
-#: Slices that the time which rows of ``changes`` may wait is cut into.
-SLICES = 8
+#: Slices that the time which rows of ``changes`` may wait is cut into, and clean-ups of silent sources in their time.
+SLICES, CLEANED = 8, 8
 
 ROW_SCHEMA = "source string, ingest_seq bigint, ts timestamp, content_hash string, late boolean"
 
@@ -181,62 +181,99 @@ def _unpacked(rows: bytes) -> pa.Table:
     return pa.ipc.open_stream(bytes(rows)).read_all()
 
 
+#: How columns that are no texts are written as JSON, to come back as they were.
+JSON_EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}
+MEMORY_ARROW = pa.schema([("source", pa.string()), ("part", pa.int32()), ("until", pa.int64()), ("md5", pa.list_(pa.string()))])
+
+
 class _Newest(StatefulProcessor):
-    """Rows whose text is not among the newest of the key; the list of these is cut when it has grown too long."""
+    """Rows whose text is not among the newest of their source; the list of these is cut when it has grown too long.
+
+    A key is a bucket of sources, and what it remembers of them one packed value: a call into the engine takes longer than
+    all the work on a source's few rows.
+    """
 
     def __init__(self, most: int, kept: int, idle_ms: int) -> None:
         self.most, self.kept, self.idle_ms = most, kept, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.texts = handle.getListState("texts", "md5 string")
-        self.until = handle.getValueState("until", "ms bigint")
+        self.texts = handle.getValueState("texts", "packed binary, clean_ms bigint")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        held = [t[0] for t in self.texts.get()] if self.texts.exists() else []
-        known, before, newest = set(held), len(held), timerValues.getCurrentWatermarkInMs()
-        cut = False
-        for row in sorted(rows, key=_number):
-            newest = max(newest, row._ms or 0)
-            if row.content_md5 in known:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now, state, opened, kept = timerValues.getCurrentWatermarkInMs(), self.texts.get(), {}, []
+        memory, rows = self._memory(state, now), pd.concat(rows, ignore_index=True)
+        owners, texts = list(zip(rows["source"], rows["part"])), rows["content_md5"].tolist()
+        seen_at = np.where(rows["timed"].astype(bool), np.maximum(rows["us"] // 1000, now), now).tolist()
+        for i in np.lexsort((rows["number"], rows["numbered"])).tolist():
+            owner = owners[i]
+            if owner not in opened:
+                until, held = memory.get(owner, (now, []))
+                opened[owner] = [until, held, set(held)]
+            entry = opened[owner]
+            entry[0] = max(entry[0], seen_at[i] + self.idle_ms)
+            if texts[i] in entry[2]:
                 continue
-            yield _out(row, False)
-            held.append(row.content_md5)
-            known.add(row.content_md5)
-            if len(held) > self.most:
-                held, cut = held[-self.kept:], True
-                known = set(held)
-        if cut:
-            self.texts.put([(t,) for t in held])
-        elif len(held) > before:
-            self.texts.appendList([(t,) for t in held[before:]])
-        until, last = newest + self.idle_ms, self.until.get()
-        if last is None or until > last[0]:
-            if last is not None:
-                self.handle.deleteTimer(last[0])
-            self.handle.registerTimer(until)
-            self.until.update((until,))
+            kept.append(i)
+            entry[1].append(texts[i])
+            entry[2].add(texts[i])
+            if len(entry[1]) > self.most:
+                entry[1] = entry[1][-self.kept:]
+                entry[2] = set(entry[1])
+        self._remember(memory | {owner: (until, held) for owner, (until, held, _) in opened.items()}, state[1] if state else None, now)
+        if kept:
+            yield rows.iloc[kept].drop(columns=["bucket", "part"])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.texts.clear()
-        self.until.clear()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        memory = self._memory(self.texts.get(), now)
+        if memory:
+            self._remember(memory, None, now)
+        else:
+            self.texts.clear()
         yield from ()
 
+    def _memory(self, state: tuple | None, now: int) -> dict[tuple, tuple[int, list]]:
+        """(source, part) with the time it is forgotten at and its texts, without those of which that time has come."""
+        held = _unpacked(state[0]) if state else MEMORY_ARROW.empty_table()
+        held = held.filter(pc.greater(held["until"], now))
+        source, part, until, md5 = (held[c].to_pylist() for c in MEMORY_ARROW.names)
+        return dict(zip(zip(source, part), zip(until, md5)))
+
+    def _remember(self, memory: dict[tuple, tuple[int, list]], clean: int | None, now: int) -> None:
+        if clean is None:  # silent sources are not cleaned away one by one
+            clean = max(min(until for until, _ in memory.values()), now + self.idle_ms // CLEANED)
+            self.handle.registerTimer(clean)
+        columns = zip(*[(*owner, until, held) for owner, (until, held) in memory.items()])
+        self.texts.update((_packed(pa.table([pa.array(c, t) for c, t in zip(columns, MEMORY_ARROW.types)], schema=MEMORY_ARROW)), clean))
+
     def close(self) -> None:
         pass
 
 
-def bounded_seen(stream: DataFrame, most: int = MOST, kept: int = KEPT, parts: int = 1, idle: str = "30 days") -> DataFrame:
+def bounded_seen(stream: DataFrame, most: int = MOST, kept: int = KEPT, parts: int = 1, idle: str = "30 days",
+                 buckets: int = BUCKETS) -> DataFrame:
     """Drop a text that is among the newest ones of its source: when more than ``most`` are remembered, ``kept`` stay.
 
     Rows of a batch are taken in the order of ``ingest_seq``.  ``parts`` splits what a source remembers, and its rows, by
     ranges of the text's hash, each with limits of its own, so a busy source is many keys.  A source that was silent for
-    ``idle`` of event time is forgotten.  Adds ``content_md5``.
+    ``idle`` of event time is forgotten.  Sources are dealt to ``buckets``.  A bucket's rows of a batch and what it remembers are
+    in memory at once, and the latter is written whole: the more sources there are, the more buckets they need.
+    Adds ``content_md5``.
     """
-    hashed = _timed(stream.withColumn("content_md5", F.md5("content")), "0 seconds")
+    hashed = _timed(stream.withColumn("content_md5", F.md5("content")), "0 seconds").drop("_ms")
     part = F.floor(F.conv(F.substring("content_md5", 1, 8), 16, 10).cast("bigint") * parts / (1 << 32)).cast("int")
-    kept_rows = _remembered(hashed.withColumn("_part", part), ["source", "_part"], _Newest(most, kept, _milliseconds(idle)))
-    return kept_rows.drop("_part", "late")
+    fixed = ["source", "content_md5", "ingest_seq", "ts"]
+    others = {f"c{k}": f for k, f in enumerate(f for f in hashed.schema.fields if f.name not in fixed)}
+    texts = [F.to_json(F.struct(F.col(f"`{f.name}`").alias(c)), JSON_EXACT).alias(c) if f.dataType != StringType() else F.col(f"`{f.name}`").alias(c)
+             for c, f in others.items()]
+    flat = hashed.select("source", "content_md5", *texts, *_numbers(), F.coalesce(part, F.lit(-1)).alias("part"),
+                         _bucket("source", part, buckets=buckets).alias("bucket"))
+    schema = StructType([f for f in flat.schema.fields if f.name not in ("part", "bucket")])
+    rows = flat.groupBy("bucket").transformWithStateInPandas(_Newest(most, kept, _milliseconds(idle)), schema, "append", "eventTime")
+    back = _back() | {f.name: F.from_json(c, StructType().add(c, f.dataType), JSON_EXACT)[c] if f.dataType != StringType() else F.col(c)
+                      for c, f in others.items()}
+    return rows.select(*[back.get(c, F.col(f"`{c}`")).alias(c) for c in hashed.columns])
 
 
 #: A row of ``changes`` as its processor sees it.  Numbers are never NULL there, as they would become floating ones.

@@ -158,12 +158,34 @@ def test_the_newest_texts_of_a_source(spark, tmp_path):
     assert len(parted) == len({(s, t) for s, _, t in rows})
 
 
+def test_the_columns_of_a_row_come_back_as_they_were(spark, tmp_path):
+    big = 2**62 + 1
+    data = [(None, big, START, None, "t"), ("a", None, None, "g", None), ("a", big + 2, START + dt.timedelta(microseconds=7), None, "t")]
+    plain = spark.createDataFrame(data, RAW).selectExpr(
+        "*", "IF(content IS NULL, NULL, array(1L, NULL, 9007199254740993L)) AS `a list`", "double('NaN') AS _d", "ts AS us", "ingest_seq AS number",
+        "decode(unhex('c3a9'), 'UTF-8') AS part", "IF(ingest_seq IS NULL, X'00ff', NULL) AS bytes", "TIMESTAMP_NTZ'2024-01-01 00:00:00.000001' AS ntz")
+    plain.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(plain.schema).parquet(str(tmp_path / "in"))
+    bounded = stateful.bounded_seen(stream)
+    found, _ = stateful_run(bounded, tmp_path)
+    assert bounded.columns == [*plain.columns, "content_md5"]
+    assert sorted(map(repr, found)) == sorted(map(repr, plain.withColumn("content_md5", F.md5("content")).collect()))
+
+
 def test_many_sources_share_a_key_of_the_state(spark, tmp_path):
     rows = [[(f"s{n}", n + 4000 * k, "xy"[n % 2]) for n in range(4000)] for k in range(2)]
-    changed, held = stateful_run(stateful.changes(arrive(spark, tmp_path / "in", rows), "60 days"), tmp_path / "changes")
+    bounded, held = stateful_run(stateful.bounded_seen(arrive(spark, tmp_path / "in", rows)), tmp_path / "newest")
+    assert len(bounded) == 4000 and max(held) <= 4 * stateful.BUCKETS
+    changed, held = stateful_run(stateful.changes(spark.readStream.schema(RAW).parquet(str(tmp_path / "in")), "60 days"), tmp_path / "changes")
     assert not changed and max(held) <= 4 * stateful.BUCKETS
 
 
+def test_a_silent_source_is_forgotten(spark, tmp_path):
+    batches = [[("a", 1, "x"), ("b", 2, "x")], [("b", 20, "x")], [("b", 40, "x")], [("a", 41, "x"), ("b", 42, "x")], [("c", 999, "x")], [("c", 1000, "x")]]
+    found, held = stateful_run(stateful.bounded_seen(arrive(spark, tmp_path / "in", batches), idle="30 minutes"), tmp_path)
+    assert sorted(r.ingest_seq for r in found) == [1, 2, 41, 999] and held[-1] < held[1]
+
+
 def test_changes_of_unnamed_sources_and_large_numbers(spark, tmp_path):
     big, at = 2**62 + 1, lambda m: START + dt.timedelta(minutes=m)
     data = [[(None, big, at(5), "x"), ("", big, at(5), "x"), (None, None, at(5), "y"), ("a", 1, None, "x"), ("a", 2, at(0), None)],
