@@ -86,3 +86,44 @@ def test_a_groups_links_do_not_hide_a_vector_that_finds_none():
     some = np.r_[np.arange(224), np.arange(4000, 4032)]
     hits = hnsw.audited(Blind(), units[some], 0.9, hnsw.BEAM, some, np.arange(len(x)))
     assert [len(h) for h in hits] == [4000] * 224 + [2] * 32
+
+
+def mixed_group(rng, size, alone):
+    """A third of the group within balls of each other, the rest linked ever more loosely."""
+    group = rng.normal(size=32) + rng.normal(size=(size, 32)) * np.repeat([0.02, 0.2, 0.5], -(-size // 3))[:size, None]
+    return rng.permutation(np.concatenate([group, rng.normal(size=(alone, 32))]))
+
+
+def test_a_dense_group_takes_no_wider_beams(monkeypatch):
+    units, _ = hnsw._units(mixed_group(np.random.default_rng(5), 600, 1400))
+    graph, widths, beam = hnsw.SmallWorld(units), set(), hnsw.SmallWorld.beam
+
+    def noted(self, queries, start, width, level=0):
+        widths.add(width)
+        return beam(self, queries, start, width, level)
+
+    monkeypatch.setattr(hnsw.SmallWorld, "beam", noted)
+    hits = graph.within(units, 0.9, hnsw.BEAM)
+    truth = units @ units.T >= 0.9
+    assert max(widths) == hnsw.BEAM
+    assert sum(map(len, hits)) >= 0.999 * truth.sum() and all(truth[k, h].all() for k, h in enumerate(hits))
+
+
+@pytest.mark.parametrize("cosine", [0.6, 0.9, 0.99])
+def test_balls_count_as_single_comparisons_do(cosine):
+    rng = np.random.default_rng(11)
+    units, exact = hnsw._units(mixed_group(rng, 300, 200))
+    copies = rng.integers(1, 4, len(units))
+    graph = hnsw.SmallWorld(units, same=np.cos(np.arccos(cosine) / 2) + hnsw.MARGIN)
+    assert (graph.leader != np.arange(len(units))).sum() > 50 and (graph.leader[graph.leader] == graph.leader).all()
+    balls = hnsw.Balls(exact, graph.leader, copies, cosine)
+    own = np.where(rng.random(len(units)) < 0.5, np.arange(len(units)), -1)  # the others are of another shard
+    hits = [np.flatnonzero(near) for near in units @ units.T >= balls.least]
+    counts, a, b = balls.links(exact, own, hits)
+    linked = np.einsum("ad,bd->ab", exact, exact) >= cosine
+    assert (counts == linked @ copies - np.where(own >= 0, copies, 0)).all()
+    linked[own >= 0, own[own >= 0]] = False
+    q, v = np.nonzero(linked)
+    size, members = len(units), np.flatnonzero(graph.leader != np.arange(len(units)))
+    together, expected = (hnsw._roots(2 * size, np.r_[size + x, members], np.r_[y, graph.leader[members]]) for x, y in ((a, b), (q, v)))
+    assert (together == expected).all()
