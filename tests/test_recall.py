@@ -2,6 +2,7 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from caseflow.operators import recall
@@ -81,3 +82,58 @@ def test_fingerprints_of_texts(spark):
     df = spark.createDataFrame([("a", text), ("b", f"{text} word3 "), ("c", f"{text} more"), ("d", "")], "case_id string, text string")
     found = recall.fingerprint_match(df.select("case_id", fingerprint(F.col("text")).alias("fingerprint")))
     assert sorted(tuple(r) for r in found.collect()) == [("a", 2, 2, 1), ("c", 1, 2, 1), ("d", 1, 0, 0)]
+
+
+def near_copies(rng, count, words, changed):
+    """Sets that share most of ``words``; what is changed is drawn from few other words, so it is rarer, but not unique."""
+    other = [f"other{k}" for k in range(40 * changed)]
+    return [(k, [*rng.sample(words, len(words) - changed), *rng.sample(other, changed)]) for k in range(count)]
+
+
+def linked(sets, percent=80):
+    return {(a, b, len(x & y)) for (a, x), (b, y) in combinations([(k, set(w)) for k, w in sets], 2)
+            if 100 * len(x & y) >= percent * max(len(x), len(y))}
+
+
+def test_a_pair_is_taken_about_once(spark):
+    """Near copies share dozens of prefix words; their pairs leave the index about once, not once for each word."""
+    sets = near_copies(random.Random(3), 120, [f"w{k}" for k in range(300)], 20)
+    _, found = recall.classes(rows(spark, sets))
+    index = recall._index(recall.prefixes(found), recall.LONGEST).filter("band = 256").toArrow()
+    taken = Counter()
+    for table in recall._whole(index.to_batches(max_chunksize=100)):
+        ids = table.column("class_id").to_numpy()
+        for small, large in recall._meetings(table, 256, 8, 80):
+            taken.update(frozenset(p) for p in zip(ids[small].tolist(), ids[large].tolist()))
+    expected = linked(sets)
+    assert len(expected) > 5000 and {frozenset(p[:2]) for p in expected} <= set(taken)
+    assert sum(taken.values()) < 3 * len(taken)
+    assert {tuple(r) for r in recall.links(found).collect()} == expected
+
+
+def test_long_lists_are_dealt_into_parts(spark):
+    """With lists and candidates dealt into small parts, no link is lost or found twice."""
+    rng = random.Random(4)
+    sets = [(k, w) for k, w in near_copies(rng, 40, [f"w{i}" for i in range(600)], 66)]
+    sets += [(100 + k, w) for k, w in near_copies(rng, 40, [f"w{i}" for i in range(30)], 3)]
+    sets += [(200 + k, rng.sample([f"w{i}" for i in range(8)], rng.randint(1, 6))) for k in range(40)]
+    _, found = recall.classes(rows(spark, sets))
+    kept = {r.class_id for r in found.collect()}
+    expected = linked([s for s in sets if s[0] in kept])
+    assert len(expected) > 900
+    for longest, most in ((5, 7), (50, 100_000)):
+        assert sorted(tuple(r) for r in recall.links(found, longest=longest, most=most).collect()) == sorted(expected)
+
+
+def test_common_words_of_pairs():
+    rng = random.Random(5)
+    sets = [sorted(rng.sample(range(-60, 60), rng.randint(1, 50))) for _ in range(30)]
+    sizes = np.array([len(s) for s in sets])
+    words = np.array([w for s in sets for w in s], np.int64)
+    one, two = (np.array(x) for x in zip(*combinations(range(30), 2)))
+    expected = [len(set(sets[a]) & set(sets[b])) for a, b in zip(one, two)]
+    members = np.cumsum(sizes) - sizes, sizes, words
+    assert recall._common(*members, one, two).tolist() == expected
+    assert recall._common_of_group(*members, one, two).tolist() == expected
+    assert recall._common_of_group(*members, one[:20:19], two[:20:19]) is not None
+    assert recall._common_of_group(*members, np.arange(15), np.arange(15, 30)) is None
